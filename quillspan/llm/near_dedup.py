@@ -108,7 +108,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
     kept says whether it is the document's own.
 
     Null or empty text, or text without words: an empty set, linked with nothing. A null
-    doc_id: component_id null, kept true. Rows that repeat a doc_id share its component.
+    doc_id: component_id null, kept true. Rows that repeat a doc_id are each
+    placed by their own text.
     Other columns are ignored. An empty table gives an empty table.
 
     The minima find a pair of similarity 0.75 with a chance of 1 - (1 - 0.75**rows)**bands,
@@ -135,10 +136,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
     scratch.drop("members", "placed", "open")
 
     alike = components(first.unionByName(more), scratch, "last").select(F.col("u").alias("rep"), F.col("v").alias("c"))
-    # A doc_id of several rows may stand in several classes: its classes are one component then.
     named = classes.join(alike, "rep", "left").select("n_shingles", "set_hi", "set_lo", F.coalesce("c", "rep").alias("c"))
     out = found.join(named, ["n_shingles", "set_hi", "set_lo"], "left")
-    out = out.select("doc_id", F.col("n_shingles").cast("long"), F.coalesce("c", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n_shingles").cast("long"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

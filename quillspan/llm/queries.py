@@ -3,9 +3,11 @@ over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspan.llm import near_dedup
+from quillspan.llm import mixing, near_dedup, token_blocks, url_filter, warc
 from quillspan.llm.scratch import Scratch
 
 
@@ -13,12 +15,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(spark, table(spark, sf_dir, "documents"), "op1")
+
+
+def token_digest(spark: SparkSession, docs: DataFrame, job: str) -> DataFrame:
+    """Write ``docs`` as token blocks, read them back, and give each document's place and checksum."""
+    path = Scratch(spark, job).path("tokens")
+    token_blocks.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_blocks.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, Scratch(spark, "op6"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op10").path("warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, "record_id", "record_type", "payload_digest", "payload_bytes", "refers_to")
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 QUERIES = {
+    "op1_token_blocks": op1_token_blocks,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_mix_sources": op4_mix_sources,
+    "op6_url_filter": op6_url_filter,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -34,5 +68,17 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) c USING (doc_id)
+""",
+    "op4_mix_sources": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT source, source_size, CASE place % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS most FROM s),
+o AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM w) - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+l AS (SELECT level FROM o WHERE level * w <= most ORDER BY most / w LIMIT 1),
+t AS (SELECT w.source, source_size, round(least(most, (SELECT level FROM l) * w), 6) AS target FROM w),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0) ELSE 0 END AS rate,
+  ('0x' || substr(md5('mix-1:' || d.doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """,
 }
