@@ -2,11 +2,14 @@
 signatures, confirmation on the full shingle sets, and connected components.
 
 Scale: equal shingle sets are one class before anything is compared, and a class takes
-part through its smallest document. Each bucket of a band first links its members to
-its least member, which is linear in the bucket. Only members that are still in different
-components are compared with each other, and of those only pairs whose sizes and signatures
-allow the threshold. All groupings are summed up before the shuffle, and all other
-steps are joins that Spark can divide when a key is hot."""
+part through its smallest document. Each bucket of a band first links its members to the
+member with the most copies, which is linear in the bucket. What is left are buckets whose
+members are not all linked yet. Of each member of those, the shingles are counted that any
+other such member has: two sets with n and m shingles of which at most s and t are shared
+can't reach a similarity of 0.75 unless 7 * min(s, t) >= 3 * (n + m). That rules out, without
+loss, the many members of a large group that have drifted too far, so that few pairs are
+compared. All groupings are summed up before the shuffle, and all other steps are joins
+that Spark can divide when a key is hot."""
 
 from __future__ import annotations
 
@@ -117,31 +120,62 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
     found = scratch.keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signatures(k, bands, rows, seed), FEATURES), "features")
     sets = found.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.keep(sets.groupBy("n_shingles", "set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "set_hi", "set_lo"), ["doc_id", "n_shingles", "set_hi", "set_lo"], "left_semi")
-    reps = scratch.keep(reps.select("doc_id", "n_shingles", "bands", "signature"), "reps")
-    rows_of = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = rows_of.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = scratch.keep(rows_of.join(shared, ["band", "key"]), "members")
+    heads = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "set_hi", "set_lo", F.col("n").alias("copies"))
+    reps = sets.join(heads, ["doc_id", "n_shingles", "set_hi", "set_lo"]).dropDuplicates(["doc_id", "set_hi", "set_lo"])
+    reps = scratch.keep(reps.select("doc_id", "n_shingles", "copies", "bands", "signature"), "reps")
+    rows_of = reps.select("doc_id", "n_shingles", "copies", F.posexplode("bands").alias("band", "key"))
+    shared = rows_of.groupBy("band", "key").agg(F.max(F.struct("copies", -F.col("doc_id"))).alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("band", "key", (-F.col("head.col2")).alias("head"))
+    member = scratch.keep(rows_of.join(shared, ["band", "key"]).drop("copies"), "members")
 
     tied = scratch.keep(_links(member.where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), reps, docs, scratch, "near", k, percent, bands, rows), "tied")
-    first = components(tied, scratch, "first")
-    placed = member.join(first.select(F.col("u").alias("doc_id"), F.col("v").alias("c")), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
+    placed = member.drop("head").join(_labels(tied), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     placed = scratch.keep(placed, "placed")
     open_ = placed.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
     part = scratch.keep(placed.join(open_, ["band", "key"], "left_semi"), "open")
-    other = part.select("band", "key", F.col("doc_id").alias("v"), F.col("c").alias("d"))
-    pairs = part.select("band", "key", F.col("doc_id").alias("u"), "c").join(other, ["band", "key"]).where("c < d")
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tied, ["u", "v"], "left_anti")
+    able = part.join(_shared_counts(part, docs, scratch, k), "doc_id").where(f"{100 + percent} * s >= {percent} * n_shingles + {percent} * ceil(n_shingles * {percent / 100})")
+    part = scratch.keep(able, "able")
+    other = part.select("band", "key", F.col("doc_id").alias("v"), F.col("c").alias("d"), F.col("n_shingles").alias("m"), F.col("s").alias("t"))
+    possible = f"c < d and {100 + percent} * least(s, t) >= {percent} * (n_shingles + m)"
+    pairs = part.withColumnRenamed("doc_id", "u").join(other, ["band", "key"]).where(possible)
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     more = scratch.keep(_links(pairs, reps, docs, scratch, "rest", k, percent, bands, rows), "more")
-    scratch.drop("members", "placed", "open")
+    scratch.drop("members", "placed", "open", "able")
 
-    alike = components(first.unionByName(more), scratch, "last").select(F.col("u").alias("rep"), F.col("v").alias("c"))
+    alike = components(tied.unionByName(more), scratch).select(F.col("u").alias("rep"), F.col("v").alias("c"))
     named = classes.join(alike, "rep", "left").select("n_shingles", "set_hi", "set_lo", F.coalesce("c", "rep").alias("c"))
     out = found.join(named, ["n_shingles", "set_hi", "set_lo"], "left")
     out = out.select("doc_id", F.col("n_shingles").cast("long"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _labels(tied: DataFrame) -> DataFrame:
+    """(doc_id, c): of linked documents the least id within two links. Equal labels are of one
+    component; documents of one component may still differ, and are then compared once more."""
+    both = tied.select("u", "v").unionByName(tied.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    one = both.groupBy("u").agg(F.least("u", F.min("v")).alias("c"))
+    return both.join(one.select(F.col("u").alias("v"), "c"), "v").groupBy(F.col("u").alias("doc_id")).agg(F.min("c").alias("c"))
+
+
+def _shared_counts(part: DataFrame, docs: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(doc_id, s): at most so many shingles of a document are in any other document of ``part``.
+    Shingles go by 32 bits of their hash, which can only raise the count."""
+
+    def explode(batches):
+        for batch in batches:
+            ids, first = batch.column("doc_id").to_numpy(), 0
+            for texts in (batch.column("text").slice(i, 256) for i in range(0, len(batch), 256)):
+                sets = list(words.shingle_sets(texts, k))
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first : first + len(sets)], [len(x) for x in sets])), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc_id", "g"])
+                first += len(sets)
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(part.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = scratch.keep(texts.mapInArrow(explode, "doc_id long, g int"), "shingles")
+    common = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    return rows.join(common, "g").groupBy("doc_id").agg(F.count("*").alias("s"))
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
     """Of candidate pairs (u, v), those whose full sets reach the similarity."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
