@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import mixing, near_dedup, token_blocks, url_filter, warc
+from quillspan.llm import decontaminate, language_id, mixing, near_dedup, token_blocks, url_filter, warc
 from quillspan.llm.scratch import Scratch
 
 
@@ -26,6 +26,11 @@ def token_digest(spark: SparkSession, docs: DataFrame, job: str) -> DataFrame:
     return token_blocks.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op3"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -40,6 +45,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op10").path("warc")
     warc.write_pages(table(spark, sf_dir, "pages"), path)
@@ -50,8 +59,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op6_url_filter": op6_url_filter,
+    "op8_language_id": op8_language_id,
     "op10_warc": op10_warc,
 }
 
@@ -68,6 +79,17 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) c USING (doc_id)
+""",
+    "op3_decontaminate": r"""
+WITH w AS (
+  SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT 1, item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark),
+s AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id)
+SELECT a.id AS doc_id, b.id AS item_id, n.n AS n_item, count(*) AS n_shared, count(*) / n.n AS containment
+FROM s a JOIN s b ON a.g = b.g AND a.kind = 0 AND b.kind = 1 JOIN n ON n.id = b.id GROUP BY a.id, b.id, n.n HAVING 100 * count(*) >= 75 * n.n
 """,
     "op4_mix_sources": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
