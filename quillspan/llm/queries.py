@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, language_id, mixing, near_dedup, token_blocks, url_filter, warc
+from quillspan.llm import decontaminate, language_id, mixing, near_dedup, substring_dedup, token_blocks, url_filter, warc
 from quillspan.llm.scratch import Scratch
 
 
@@ -49,6 +49,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op10").path("warc")
     warc.write_pages(table(spark, sf_dir, "pages"), path)
@@ -63,6 +68,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op6_url_filter": op6_url_filter,
     "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
 }
 

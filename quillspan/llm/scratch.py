@@ -5,6 +5,7 @@ A lineage that is read more than once is cut by writing it as Parquet under
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,8 +40,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
+        """Delete tables that no later step reads, and let Spark's cleaner find the shuffle
+        files of the plans that wrote them."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
