@@ -143,26 +143,40 @@ _loaded: dict[str, tuple] = {}
 
 
 class CachedEncoder:
-    """Encodes texts as the tokenizer does, each distinct unit once; holds ``most`` units at most."""
+    """Encodes texts as the tokenizer does, each distinct unit once; holds about ``most`` units at most."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}
+        #: Ids of tokens that begin with a space.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, units: set[str]) -> None:
+        """Units that begin with a space are encoded as one text, and cut where tokens do."""
+        spaced = [u for u in units if len(u) > 1 and u[0] == " " and not u.isspace()]
+        rest = list(units.difference(spaced))
+        self.known.update(zip(rest, self._ids(rest), strict=True))
+        for i in range(0, len(spaced), 8192):
+            part = spaced[i : i + 8192]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            at = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
+            raw = ids.tobytes()
+            if len(at) != len(part) + 1:
+                raise ValueError("this tokenizer doesn't begin words with a space alone")
+            self.known.update(zip(part, (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
         out, cut = [], [None if WHOLE.search(x) else UNIT.findall(x) for x in texts]
         if len(self.known) > self.most:
             self.known = {}
-        new = list({u for units in cut if units for u in units if u not in self.known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.known.update(zip(part, self._ids(part), strict=True))
+        self._learn(set().union(*filter(None, cut)).difference(self.known))
         for text, units in zip(texts, cut, strict=True):
             out.append(self._ids([text])[0] if units is None else b"".join(map(self.known.__getitem__, units)))
         return out
