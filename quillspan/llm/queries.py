@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, language_id, mixing, near_dedup, substring_dedup, token_blocks, url_filter, warc
+from quillspan.llm import decontaminate, language_id, language_model, mixing, near_dedup, substring_dedup, token_blocks, url_filter, warc
 from quillspan.llm.scratch import Scratch
 
 
@@ -45,6 +45,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op6_url_filter": op6_url_filter,
+    "op7_language_model": op7_language_model,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
