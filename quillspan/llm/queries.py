@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, language_id, language_model, mixing, near_dedup, substring_dedup, token_blocks, url_filter, warc
+from quillspan.llm import audio, decontaminate, language_id, language_model, mixing, near_dedup, substring_dedup, token_blocks, url_filter, warc
 from quillspan.llm.scratch import Scratch
 
 
@@ -36,6 +36,16 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that play the vectors of ``embeddings``: every row's class, and the alignments
+    of the classes that hold an id divisible by 20 with all others."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"))
+    members, found = audio.align(audio.fingerprints(audio.sonified(rows)), rows.where("id % 20 = 0"), Scratch(spark, "op5"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("offset", "int"), ("votes", "long"), ("overlap", "long"), ("bit_errors", "long"))]
+    members = members.select(F.lit("member").alias("kind"), F.col("rep").alias("vec_id"), F.col("id").alias("other_id"), *none)
+    return members.unionByName(found.select(F.lit("aligned").alias("kind"), F.col("rep").alias("vec_id"), F.col("other").alias("other_id"), "offset", "votes", "overlap", "bit_errors"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, Scratch(spark, "op6"))
@@ -65,11 +75,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_token_blocks": op1_token_blocks,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
+    "op5_audio_fingerprints": op5_audio_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op7_language_model": op7_language_model,
     "op8_language_id": op8_language_id,
