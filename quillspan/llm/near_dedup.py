@@ -7,8 +7,10 @@ member with the most copies, which is linear in the bucket. What is left are buc
 members are not all linked yet. Of each member of those, the shingles are counted that any
 other such member has: two sets with n and m shingles of which at most s and t are shared
 can't reach a similarity of 0.75 unless 7 * min(s, t) >= 3 * (n + m). That rules out, without
-loss, the many members of a large group that have drifted too far, so that few pairs are
-compared. All groupings are summed up before the shuffle, and all other steps are joins
+loss, the many members of a large group that have drifted too far. Shared shingles are told
+apart by whether the bucket's head has them, which was counted before: what two sets have in
+common is at most the lesser of either number, less what only one has lost of the head, which
+256 bits a member bound from below. Few pairs are left to be compared. All groupings are summed up before the shuffle, and all other steps are joins
 that Spark can divide when a key is hot."""
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 28, 4
 #: Minima that must agree for a pair to be confirmed on its full sets. With 112 minima and a true
 #: similarity of 0.75 fewer than 56 agree with a chance below 1e-8.
 AGREE = 0.5
+LOST = ("lost0", "lost1", "lost2", "lost3")
 FEATURES = "doc_id long, n_shingles int, set_hi long, set_lo long, bands array<long>, signature binary"
 
 
@@ -71,21 +74,24 @@ def signatures(k: int, bands: int, rows: int, seed: int):
 
 
 def confirm(k: int, percent: int):
-    """A function for mapInArrow: pairs whose full shingle sets reach the similarity."""
+    """A function for mapInArrow: the number of shingles that both of a pair have, whether their full
+    sets reach the similarity, and 256 bits for the shingles of u that v hasn't, by their hash."""
 
     def run(batches):
         kept_id, kept = None, None
         for batch in batches:
             own = list(words.shingle_sets(batch.column("text_v"), k))
             ids, texts = batch.column("u"), batch.column("text_u")
-            yes = np.zeros(len(own), bool)
+            common, yes, lost = np.zeros(len(own), np.int64), np.zeros(len(own), bool), np.zeros((len(own), 4), np.int64)
             for i, y in enumerate(own):
                 if (u := ids[i].as_py()) != kept_id:
                     kept_id, kept = u, next(words.shingle_sets(texts.slice(i, 1), k))
-                common = len(np.intersect1d(kept, y, assume_unique=True))
-                yes[i] = common > 0 and 100 * common >= percent * (len(kept) + len(y) - common)
-            mask = pa.array(yes)
-            yield pa.RecordBatch.from_arrays([ids.filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
+                common[i] = n = len(np.intersect1d(kept, y, assume_unique=True))
+                yes[i] = n > 0 and 100 * n >= percent * (len(kept) + len(y) - n)
+                bits = np.zeros(256, bool)
+                bits[np.setdiff1d(kept, y, assume_unique=True) & np.uint64(255)] = True
+                lost[i] = np.packbits(bits).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, batch.column("v"), pa.array(common), pa.array(yes), *map(pa.array, np.ascontiguousarray(lost.T))], names=["u", "v", "common", "linked", *LOST])
 
     return run
 
@@ -128,19 +134,28 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
     shared = shared.select("band", "key", (-F.col("head.col2")).alias("head"))
     member = scratch.keep(rows_of.join(shared, ["band", "key"]).drop("copies"), "members")
 
-    tied = scratch.keep(_links(member.where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), reps, docs, scratch, "near", k, percent, bands, rows), "tied")
-    placed = member.drop("head").join(_labels(tied), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    placed = scratch.keep(placed, "placed")
+    near = scratch.keep(_links(member.where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), reps, docs, scratch, "near", k, percent, bands, rows), "near")
+    tied = near.where("linked").select("u", "v")
+    placed = scratch.keep(member.join(_labels(tied), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "placed")
     open_ = placed.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
     part = scratch.keep(placed.join(open_, ["band", "key"], "left_semi"), "open")
     able = part.join(_shared_counts(part, docs, scratch, k), "doc_id").where(f"{100 + percent} * s >= {percent} * n_shingles + {percent} * ceil(n_shingles * {percent / 100})")
-    part = scratch.keep(able, "able")
-    other = part.select("band", "key", F.col("doc_id").alias("v"), F.col("c").alias("d"), F.col("n_shingles").alias("m"), F.col("s").alias("t"))
-    possible = f"c < d and {100 + percent} * least(s, t) >= {percent} * (n_shingles + m)"
+    to_head = near.select(F.col("u").alias("head"), F.col("v").alias("doc_id"), F.col("common").alias("r"), *LOST).dropDuplicates(["head", "doc_id"])
+    able = able.join(to_head, ["head", "doc_id"], "left")
+    # Shared shingles that the head has (r) and hasn't (x). Where the head wasn't compared, all may be of either sort.
+    own = F.col("doc_id") == F.col("head")
+    able = able.withColumn("known", own | F.col("r").isNotNull()).withColumns({"r": F.when(own, F.col("n_shingles")).otherwise(F.coalesce("r", "s")), "x": F.when(own, 0).when(F.col("r").isNull(), F.col("s")).otherwise(F.col("s") - F.least("r", "s"))})
+    part = scratch.keep(able.fillna(0, [*LOST]).drop("head"), "able")
+    renamed = {"doc_id": "v", "c": "d", "n_shingles": "m", "s": "t", "r": "q", "x": "y", "known": "known_v"} | {c: f"{c}_v" for c in LOST}
+    other = part.withColumnsRenamed(renamed)
+    # The head's shingles that one has and the other has lost: one at least for each bit.
+    only_u, only_v = (" + ".join(f"bit_count({c}{b} & ~{c}{a})" for c in LOST) for a, b in (("", "_v"), ("_v", "")))
+    of_head = f"case when known and known_v then least(r - ({only_u}), q - ({only_v})) else least(r, q) end"
+    possible = f"c < d and {100 + percent} * least(s, t, {of_head} + least(x, y)) >= {percent} * (n_shingles + m)"
     pairs = part.withColumnRenamed("doc_id", "u").join(other, ["band", "key"]).where(possible)
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = scratch.keep(_links(pairs, reps, docs, scratch, "rest", k, percent, bands, rows), "more")
-    scratch.drop("members", "placed", "open", "able")
+    more = scratch.keep(_links(pairs, reps, docs, scratch, "rest", k, percent, bands, rows), "more").where("linked").select("u", "v")
+    scratch.drop("members", "placed", "open", "able", "shingles", "near-texts", "rest-texts")
 
     alike = components(tied.unionByName(more), scratch).select(F.col("u").alias("rep"), F.col("v").alias("c"))
     named = classes.join(alike, "rep", "left").select("n_shingles", "set_hi", "set_lo", F.coalesce("c", "rep").alias("c"))
@@ -177,7 +192,7 @@ def _shared_counts(part: DataFrame, docs: DataFrame, scratch: Scratch, k: int) -
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """Of candidate pairs (u, v), those whose full sets reach the similarity."""
+    """Of candidate pairs (u, v), (common, linked) for those that may reach the similarity by size and signature."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
     sized = pairs.join(side("u"), "u").join(side("v"), "v").where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
     likely = scratch.keep(sized.select("u", "v", "sig_u", "sig_v").mapInArrow(agreeing(bands, rows), "u long, v long"), f"{name}-likely")
@@ -186,7 +201,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch,
     texts = scratch.keep(texts.join(wanted, "doc_id", "left_semi"), f"{name}-texts")
     with_u = likely.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     with_both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    return with_both.mapInArrow(confirm(k, percent), "u long, v long").distinct()
+    return with_both.mapInArrow(confirm(k, percent), f"u long, v long, common long, linked boolean, {' long, '.join(LOST)} long")
 
 
 def drop_near_duplicates(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
