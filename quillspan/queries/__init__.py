@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillspan.jobs.retrieve import flagship
+from quillspan.queries import ingest, layout, memory, retrieval, streams, web  # noqa: F401
+from quillspan.queries.core import ORACLE_SQL, QUERIES
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
