@@ -145,7 +145,7 @@ _loaded: dict[str, tuple] = {}
 class CachedEncoder:
     """Encodes texts as the tokenizer does, each distinct unit once; holds about ``most`` units at most."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -155,7 +155,7 @@ class CachedEncoder:
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: set[str]) -> None:
         """Units that begin with a space are encoded as one text, and cut where tokens do."""
@@ -164,7 +164,7 @@ class CachedEncoder:
         self.known.update(zip(rest, self._ids(rest), strict=True))
         for i in range(0, len(spaced), 8192):
             part = spaced[i : i + 8192]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
             at = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
             raw = ids.tobytes()
             if len(at) != len(part) + 1:
