@@ -137,7 +137,7 @@ LOADED = "loaded AS (SELECT r.session_id, r.messages AS recent, coalesce(s.l, []
 def loaded(spark, sf_dir):
     near = similar(spark, sf_dir).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat("role", F.lit(": "), F.col("id").cast("string")).alias("t")))), lambda x: x["t"]).alias("related"))
     recent = M.recent_messages(sessions(spark, sf_dir), messages(spark, sf_dir))
-    return recent.join(near, F.col("session_id") == F.col("query_id"), "left").select("session_id", F.col("messages").alias("recent"), F.coalesce("similar", F.array().cast("array<string>")).alias("related"))
+    return recent.join(near, F.col("session_id") == F.col("query_id"), "left").select("session_id", F.col("messages").alias("recent"), F.coalesce("related", F.array().cast("array<string>")).alias("related"))
 
 
 @query(with_(MESSAGES, AFTER, RECENT, VECTORS, SIMILAR, LOADED) + " SELECT * FROM loaded")
