@@ -56,7 +56,8 @@ def _nearest(rows: list, base: DataFrame, k: int, by: str | None) -> DataFrame:
             if groups is not None:
                 score = np.where(frame[by].to_numpy(object)[:, None] == groups[None, :], score, -np.inf)
             own = frame["id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(own[:, None], score.shape), -score), axis=0)[:k]
+            place = np.argsort(np.argsort(own, kind="stable"), kind="stable")
+            order = np.lexsort((np.broadcast_to(place[:, None], score.shape), -score), axis=0)[:k]
             best.append(pd.DataFrame({"query_id": np.repeat(ids[None, :], len(order), 0).ravel(), "id": own[order].ravel(), "score": np.take_along_axis(score, order, 0).ravel()}))
             if len(best) > 8:
                 best = [_kept(best, k)]
@@ -81,12 +82,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def route_query(queries: DataFrame, registry: DataFrame, least: float = 0.5) -> DataFrame:
     """(query_id, table_id, sim): the collection whose description is nearest, if at least ``least``; else null.
 
-    The registry is a table of collections, one short row each; it is joined by broadcast
-    only while Spark's own size check allows that."""
-    pairs = queries.select("query_id", F.col("vector").alias("q")).join(registry.select("table_id", "vector"), F.lit(True), "inner")
-    sims = pairs.select("query_id", "table_id", F.round(V.cosine(F.col("q"), F.col("vector")), 6).alias("sim")).where(F.col("sim") >= least)
-    best = sims.groupBy("query_id").agg(F.max(F.struct("sim", "table_id")).alias("b"))
-    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.col("b.table_id").alias("table_id"), F.col("b.sim").alias("sim"))
+    The queries go to the registry's tasks in blocks, as in :func:`knn_join`; ties by id."""
+    near = knn_join(queries, registry.withColumnRenamed("table_id", "id"), 1).where(F.col("score") >= least)
+    best = near.select("query_id", F.col("id").alias("table_id"), F.col("score").alias("sim"))
+    return queries.select("query_id").join(best, "query_id", "left")
 
 
 def format_hits(hits: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def knn_join(spark, sf_dir):
 
 COLLECTIONS = "coll AS (SELECT table_id, arg_min(vector, id) AS vector FROM vectors GROUP BY table_id)"
 ROUTED = f"""sims AS (SELECT v.id AS query_id, c.table_id, round({COS.format('v.vector', 'c.vector')}, 6) AS sim FROM vectors v, coll c WHERE v.id % 20 = 0),
-best AS (SELECT query_id, table_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, table_id DESC) AS n FROM sims WHERE sim >= 0.1) WHERE n = 1),
+best AS (SELECT query_id, table_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, table_id) AS n FROM sims WHERE sim >= 0.1) WHERE n = 1),
 routed AS (SELECT v.id AS query_id, b.table_id, b.sim FROM vectors v LEFT JOIN best b ON b.query_id = v.id WHERE v.id % 20 = 0)"""
 
 
