@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.scratch import Scratch
+from quillspan.llm.scratch import Scratch, unused
 
 SHINGLE, PERCENT = 5, 75
 #: Minima beyond those that a document may miss: so many must agree at least.
@@ -89,5 +89,6 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, percent: i
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns stay."""
-    bad = scratch.keep(contaminated(docs, items, scratch, **options).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct(), "bad")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")), "left_anti")
+    d, t = unused(docs, "_d"), unused(docs, "_t")
+    bad = scratch.keep(contaminated(docs, items, scratch, **options).select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct(), "bad")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "left_anti")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.scratch import Scratch
+from quillspan.llm.scratch import Scratch, unused
 
 WEIGHTS, SHARE, CEILING, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,8 +69,9 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS,
     four new ones take the place of any of the same name. An empty table gives an empty one."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     sizes = scratch.keep(docs.select(F.col("source").cast("string"), word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
-    rates = targets(sizes, scratch, weights, share, ceiling).withColumnRenamed("source", "_source")
-    joined = docs.select(*own, word_count(F.col("text")).alias("size")).join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    key = unused(docs, "_source")
+    rates = targets(sizes, scratch, weights, share, ceiling).withColumnRenamed("source", key)
+    joined = docs.select(*own, word_count(F.col("text")).alias("size")).join(rates, F.col("source").eqNullSafe(F.col(key))).drop(key)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(ceiling))).otherwise(0.0)
     extra = (unit_hash(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("copies", F.floor(rate) + extra)
@@ -78,5 +79,8 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS,
 
 def emit(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The mix itself: every document of ``docs`` as often as :func:`mix` says, columns as they were."""
-    mixed = mix(docs, scratch, **options).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    names = {c: unused(docs, f"_{c}") for c in docs.columns if c in ("size", "source_size", "target", "copies")}
+    mixed = mix(docs.withColumnsRenamed(names), scratch, **options).where("copies > 0")
+    copy = unused(mixed, "_copy")
+    repeated = mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))

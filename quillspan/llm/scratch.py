@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return made.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 class Scratch:
     """A folder of one job's intermediate tables."""
 
