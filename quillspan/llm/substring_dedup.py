@@ -122,7 +122,7 @@ def first_runs(length: int, gram: int):
 
     def go(batches):
         seen = set()
-        for batch in batches:
+        for batch in words.sliced(batches, 2048):
             data, offsets = words.utf8(batch.column("text"))
             t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
             pieces = []
@@ -139,7 +139,7 @@ def next_runs(length: int, gram: int):
     """For mapInArrow over (t1, t2, text, part: the windows to look at): their runs."""
 
     def go(batches):
-        for batch in batches:
+        for batch in words.sliced(batches):
             data, offsets = words.utf8(batch.column("text"))
             pieces = [(i, int(offsets[i]) + x["s0"], int(offsets[i]) + x["s1"] + length) for i, part in enumerate(batch.column("part").to_pylist()) for x in part]
             yield from run_rows(data, pieces, batch.column("t1").to_numpy(), batch.column("t2").to_numpy(), offsets, length, gram)
@@ -245,7 +245,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over (doc_id, text, whole, spans): what is removed of each text, and what stays."""
-    for batch in batches:
+    for batch in words.sliced(batches):
         data, offsets = words.utf8(batch.column("text"))
         data = data.tobytes()
         n, removed, count, kept = [], [], [], []
