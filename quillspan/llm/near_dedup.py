@@ -129,17 +129,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
     heads = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "set_hi", "set_lo", F.col("n").alias("copies"))
     reps = sets.join(heads, ["doc_id", "n_shingles", "set_hi", "set_lo"]).dropDuplicates(["doc_id", "set_hi", "set_lo"])
     reps = scratch.keep(reps.select("doc_id", "n_shingles", "copies", "bands", "signature"), "reps")
+    found = scratch.keep(found.select("doc_id", "n_shingles", "set_hi", "set_lo"), "sets")
+    scratch.drop("features")
     rows_of = reps.select("doc_id", "n_shingles", "copies", F.posexplode("bands").alias("band", "key"))
     shared = rows_of.groupBy("band", "key").agg(F.max(F.struct("copies", -F.col("doc_id"))).alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = shared.select("band", "key", (-F.col("head.col2")).alias("head"))
     member = scratch.keep(rows_of.join(shared, ["band", "key"]).drop("copies"), "members")
 
-    near = scratch.keep(_links(member.where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), reps, docs, scratch, "near", k, percent, bands, rows), "near")
+    texts = _texts(docs, member.select("doc_id").distinct())
+    texts = scratch.keep(texts, "texts", compression="zstd")
+
+    near = scratch.keep(_links(member.where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), reps, texts, scratch, "near", k, percent, bands, rows), "near")
     tied = near.where("linked").select("u", "v")
     placed = scratch.keep(member.join(_labels(tied), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "placed")
     open_ = placed.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
     part = scratch.keep(placed.join(open_, ["band", "key"], "left_semi"), "open")
-    able = part.join(_shared_counts(part, docs, scratch, k), "doc_id").where(f"{100 + percent} * s >= {percent} * n_shingles + {percent} * ceil(n_shingles * {percent / 100})")
+    able = part.join(_shared_counts(part, texts, scratch, k), "doc_id").where(f"{100 + percent} * s >= {percent} * n_shingles + {percent} * ceil(n_shingles * {percent / 100})")
     to_head = near.select(F.col("u").alias("head"), F.col("v").alias("doc_id"), F.col("common").alias("r"), *LOST).dropDuplicates(["head", "doc_id"])
     able = able.join(to_head, ["head", "doc_id"], "left")
     # Shared shingles that the head has (r) and hasn't (x). Where the head wasn't compared, all may be of either sort.
@@ -154,10 +159,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
     possible = f"c < d and {100 + percent} * least(s, t, {of_head} + least(x, y)) >= {percent} * (n_shingles + m)"
     pairs = part.withColumnRenamed("doc_id", "u").join(other, ["band", "key"]).where(possible)
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = scratch.keep(_links(pairs, reps, docs, scratch, "rest", k, percent, bands, rows), "more").where("linked").select("u", "v")
-    scratch.drop("members", "placed", "open", "able", "shingles", "near-texts", "rest-texts")
+    more = scratch.keep(_links(pairs, reps, texts, scratch, "rest", k, percent, bands, rows), "more").where("linked").select("u", "v")
+    scratch.drop("members", "placed", "open", "able", "shingles", "texts")
 
     alike = components(tied.unionByName(more), scratch).select(F.col("u").alias("rep"), F.col("v").alias("c"))
+    scratch.drop("reps", "near", "more", "near-likely", "rest-likely")
     named = classes.join(alike, "rep", "left").select("n_shingles", "set_hi", "set_lo", F.coalesce("c", "rep").alias("c"))
     out = found.join(named, ["n_shingles", "set_hi", "set_lo"], "left")
     out = out.select("doc_id", F.col("n_shingles").cast("long"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
@@ -172,7 +178,7 @@ def _labels(tied: DataFrame) -> DataFrame:
     return both.join(one.select(F.col("u").alias("v"), "c"), "v").groupBy(F.col("u").alias("doc_id")).agg(F.min("c").alias("c"))
 
 
-def _shared_counts(part: DataFrame, docs: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+def _shared_counts(part: DataFrame, texts: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """(doc_id, s): at most so many shingles of a document are in any other document of ``part``.
     Shingles go by 32 bits of their hash, which can only raise the count."""
 
@@ -185,20 +191,24 @@ def _shared_counts(part: DataFrame, docs: DataFrame, scratch: Scratch, k: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first : first + len(sets)], [len(x) for x in sets])), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc_id", "g"])
                 first += len(sets)
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(part.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = scratch.keep(texts.mapInArrow(explode, "doc_id long, g int"), "shingles")
+    own = _texts(texts, part.select("doc_id").distinct())
+    rows = scratch.keep(own.mapInArrow(explode, "doc_id long, g int"), "shingles")
     common = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     return rows.join(common, "g").groupBy("doc_id").agg(F.count("*").alias("s"))
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of some documents. Both sides are always shuffled: how many ids there are
+    grows with the documents, so that a plan that broadcasts them is one for small tables only."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    return rows.join(ids.hint("merge"), "doc_id", "left_semi")
+
+
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, name: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
     """Of candidate pairs (u, v), (common, linked) for those that may reach the similarity by size and signature."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
     sized = pairs.join(side("u"), "u").join(side("v"), "v").where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
     likely = scratch.keep(sized.select("u", "v", "sig_u", "sig_v").mapInArrow(agreeing(bands, rows), "u long, v long"), f"{name}-likely")
-    wanted = likely.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    texts = scratch.keep(texts.join(wanted, "doc_id", "left_semi"), f"{name}-texts")
     with_u = likely.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     with_both = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     return with_both.mapInArrow(confirm(k, percent), f"u long, v long, common long, linked boolean, {' long, '.join(LOST)} long")
