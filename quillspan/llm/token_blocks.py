@@ -143,13 +143,15 @@ _loaded: dict[str, tuple] = {}
 
 
 class CachedEncoder:
-    """Encodes texts as the tokenizer does, each distinct unit once; holds about ``most`` units at most."""
+    """Encodes texts as the tokenizer does, each distinct unit once. Two generations of about
+    ``most`` units are held; units that go on being used move to the younger one."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         #: Ids of tokens that begin with a space.
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
@@ -175,8 +177,11 @@ class CachedEncoder:
         """The ids of each text as little-endian u32."""
         out, cut = [], [None if WHOLE.search(x) else UNIT.findall(x) for x in texts]
         if len(self.known) > self.most:
-            self.known = {}
-        self._learn(set().union(*filter(None, cut)).difference(self.known))
+            self.known, self.before = {}, self.known
+        new = set().union(*filter(None, cut)).difference(self.known)
+        kept = new & self.before.keys()
+        self.known.update((u, self.before[u]) for u in kept)
+        self._learn(new - kept)
         for text, units in zip(texts, cut, strict=True):
             out.append(self._ids([text])[0] if units is None else b"".join(map(self.known.__getitem__, units)))
         return out
