@@ -16,13 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digest(spark, table(spark, sf_dir, "documents"), "op1")
+    return token_digest(spark, table(spark, sf_dir, "documents"), "op1", units=700_000)
 
 
-def token_digest(spark: SparkSession, docs: DataFrame, job: str) -> DataFrame:
+def token_digest(spark: SparkSession, docs: DataFrame, job: str, **options) -> DataFrame:
     """Write ``docs`` as token blocks, read them back, and give each document's place and checksum."""
     path = Scratch(spark, job).path("tokens")
-    token_blocks.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_blocks.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), **options)
     return token_blocks.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAGIC, BLOCK, PERCENTILE, SHARD_IDS = b"PFB1", 128, 90, 1 << 20
+MAGIC, BLOCK, PERCENTILE, SHARD_IDS, UNITS = b"PFB1", 128, 90, 1 << 20, 300_000
 SHARDS = "part int, shard int, start_in_part long, n_ids long, n_docs int, payload binary"
 READ = "doc_id long, part int, start_in_part long, n_tokens long, ids binary"
 HEADER = struct.Struct("<4s4I")
@@ -139,14 +139,15 @@ class Shard:
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Where units may not be cut as the tokenizer would: separators that only Python takes as white space, and special tokens.
 WHOLE = re.compile("[\x1c-\x1f]|<\\|")
-_loaded: dict[str, tuple] = {}
+#: Encoders that a Python worker has made, by path and size.
+_loaded: dict[tuple[str, int], CachedEncoder] = {}
 
 
 class CachedEncoder:
     """Encodes texts as the tokenizer does, each distinct unit once. Two generations of about
     ``most`` units are held; units that go on being used move to the younger one."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = UNITS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -187,15 +188,15 @@ class CachedEncoder:
         return out
 
 
-def _encoder(path: str) -> CachedEncoder:
-    if path not in _loaded:
-        _loaded[path] = CachedEncoder(path)
-    return _loaded[path]
+def _encoder(path: str, most: int) -> CachedEncoder:
+    if (path, most) not in _loaded:
+        _loaded[path, most] = CachedEncoder(path, most)
+    return _loaded[path, most]
 
 
-def _writer(tokenizer: str, end_id: int, percentile: int):
+def _writer(tokenizer: str, end_id: int, percentile: int, units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoder(tokenizer, units), np.array([end_id], "<u4").tobytes()
         part, shard, start = TaskContext.get().partitionId(), 0, 0
         docs, lengths, parts, held = [], [], [], 0
 
@@ -225,15 +226,16 @@ def _writer(tokenizer: str, end_id: int, percentile: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, percentile: int = PERCENTILE) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, percentile: int = PERCENTILE, units: int = UNITS) -> None:
     """Encode every whole text of ``docs`` (doc_id, text, ...) and write shards under ``path``.
 
     Documents stand in ascending order of doc_id, null first; equal doc_ids in the order of
     a hash of their text. ``end_id`` follows each document; null or empty text is that id
-    alone. Other columns are ignored. Without documents no shard is written."""
+    alone. Other columns are ignored. Without documents no shard is written. A worker holds
+    about 400 bytes for each of ``units``."""
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.mapInArrow(_writer(tokenizer, end_id, percentile), SHARDS).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(_writer(tokenizer, end_id, percentile, units), SHARDS).write.option("compression", "none").parquet(path)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
