@@ -8,9 +8,10 @@ words never seen, so that every text has a probability.
 
 Learning. Word counts, class counts and counts of features with classes are of all training
 documents, summed up in tasks and then by Spark. The weights start as damped log ratios of
-those counts, and are then trained by distributed gradient updates: in each round tasks sum
-their gradient over a sample of ``FIT_DOCS`` documents at most, Spark adds the sums, and the
-driver, which holds ``FEATURES * BUCKETS * CLASSES`` weights whatever the input, takes a step.
+those counts, and are then trained by distributed gradient updates: a hash deals the training
+documents to ``ROUNDS`` slices, in each round tasks sum their gradient over the next slice,
+Spark adds the sums, and the driver, which holds ``FEATURES * BUCKETS * CLASSES`` weights
+whatever the input, takes a step. Every training document is in one round, at any size.
 
 Scoring reads each text once, in sparse numpy batches. The counts of the ``KNOWN`` most frequent
 words, a number fixed beforehand, go to the tasks; the other words' counts, however many, are
@@ -31,7 +32,7 @@ from quillspan.llm.scratch import Scratch
 
 SINGLE, ENDINGS, BUCKETS, FEATURES = 64, 64, 2048, 4
 CLASSES = SINGLE + ENDINGS
-KNOWN, FIT_DOCS, ROUNDS, STEP = 400_000, 4_000, 6, 0.5
+KNOWN, ROUNDS, STEP = 400_000, 6, 0.5
 END = np.int64(-0x61C8864680B583EB)
 LOG10 = np.log(10.0)
 
@@ -173,7 +174,6 @@ def texts_of(docs: DataFrame, folds: int, fold: int) -> DataFrame:
 
 def learn(train: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     """The model of (doc_id, text) rows, and (word, n) of all their words."""
-    spark = train.sparkSession
     counts = scratch.keep(train.select("text").mapInArrow(count_words, "word long, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     level = F.floor(F.log2("n") * 8)
@@ -200,7 +200,7 @@ def learn(train: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     bias = np.log((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)).astype(np.float32)
     model = Model(known, n, single, np.zeros((FEATURES * BUCKETS, CLASSES), np.float32), bias, within_n + within_v + 1, int(total or 0), int(distinct))
     start(model, train, scratch)
-    fit(model, train, scratch, spark)
+    fit(model, train)
     return model, counts.select("word", "n")
 
 
@@ -275,17 +275,16 @@ def gradients(spread):
     return run
 
 
-def fit(model: Model, train: DataFrame, scratch: Scratch, spark, docs: int = FIT_DOCS, rounds: int = ROUNDS, step: float = STEP) -> None:
-    """Gradient rounds over about ``docs`` documents, drawn by a hash; a step is divided by
-    how often a feature was seen, so that rare and frequent ones move alike."""
-    n = train.count()
-    if not n:
-        return
-    sample = train.where(F.pmod(F.xxhash64("text", F.lit(31)), F.lit(1 << 40)) < int(min(1.0, docs / n) * 2**40)) if n > docs else train
-    sample = scratch.keep(sample.select("text").repartition(8, F.xxhash64("text")), "fit")
-    for _ in range(rounds):
+def fit(model: Model, train: DataFrame, rounds: int = ROUNDS, step: float = STEP) -> None:
+    """Gradient rounds, each over its slice of the training documents; a step is divided by
+    how often a feature was seen, so that rare and frequent ones move alike. Copies of a text
+    under several ids are dealt to all slices, and count as often as they stand."""
+    spark, dealt = train.sparkSession, F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(rounds))
+    # A slice is a part of each task's rows: fewer tasks, so that fewer sums are shuffled.
+    tasks = max(train.rdd.getNumPartitions() // rounds, spark.sparkContext.defaultParallelism)
+    for i in range(rounds):
         spread = spark.sparkContext.broadcast(model)
-        rows = sample.mapInArrow(gradients(spread), "bucket int, sums binary")
+        rows = train.where(dealt == i).select("text").coalesce(tasks).mapInArrow(gradients(spread), "bucket int, sums binary")
         moved = {r.bucket: np.frombuffer(r.sums, np.float32) for r in summed(rows).collect()}
         spread.unpersist()
         for bucket, x in moved.items():
@@ -293,7 +292,6 @@ def fit(model: Model, train: DataFrame, scratch: Scratch, spark, docs: int = FIT
                 model.bias = model.bias - (step * x[:-1] / max(x[-1], 1)).astype(np.float32)
             else:
                 model.weights[bucket] -= step * x[:-1] / (x[-1] + 20)
-    scratch.drop("fit")
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:long,n:int>>"

@@ -82,3 +82,19 @@ def test_features_do_not_cross_documents():
     t = np.array([5, 6, 7, 5, 6, 7], np.int64)
     a = language_model.features_of(t, np.array([0, 3, 6]))
     assert (a[:3] == a[3:]).all()
+
+
+def test_every_training_document_is_in_one_gradient_round(spark, monkeypatch):
+    """The tokens of all rounds are those of all training documents, with copies of a text in every round."""
+    seen, summed = [], language_model.summed
+
+    def noted(rows):
+        out = summed(rows)
+        seen.extend(np.frombuffer(r.sums, np.float32)[-1] for r in out.where(f"bucket = {language_model.FEATURES * language_model.BUCKETS}").collect())
+        return out
+
+    monkeypatch.setattr(language_model, "summed", noted)
+    rows = [(i, "a common text" if i % 3 == 0 else f"w{i} x{i % 7} y") for i in range(6000)]
+    language_model.learn(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"))
+    assert len(seen) == language_model.ROUNDS and sum(seen) == 4 * len(rows)
+    assert all(0.8 < x * len(seen) / sum(seen) < 1.2 for x in seen)
