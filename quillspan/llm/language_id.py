@@ -81,14 +81,15 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def solve(rows: np.ndarray, labels: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on Nyström features, one language against the rest."""
+    """Kernel ridge regression on Nyström features, one language (1) against the rest (0): text
+    unlike every landmark has kernels near 0, and so a decision near 0 for each language."""
     marks = rows[:landmarks]
     sizes = np.sqrt(np.maximum(marks.sum(axis=1), 1))
     values, vectors = np.linalg.eigh(kernel(marks, marks, sizes).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = kernel(rows, marks, sizes) @ root
-    goal = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    goal = np.where(labels[:, None] == np.arange(len(languages)), 1.0, 0.0)
     beta = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ goal)
     return Model(languages, marks, sizes.astype(np.float32), (root @ beta).astype(np.float32))
 
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, scratch: Scratch, folds: int = 4, fold: int = 2, rows:
 
 
 def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score (0 to 1).
+    """``keep`` columns of ``docs`` with lang_pred and score (0 to 1, near 0 for text unlike any learned).
 
     Text that is null or has no letter is ``und`` with score 0; so is any text if there was
     nothing to learn from. Neither lang nor source nor doc_id is looked at."""
@@ -138,7 +139,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                     top = value.argmax(axis=1)
                     own = slice(first, first + len(rows))
                     best[own] = np.array(m.languages, object)[top]
-                    score[own] = np.clip((value[np.arange(len(top)), top] + 1) / 2, 0, 1)
+                    score[own] = np.clip(value[np.arange(len(top)), top], 0, 1)
                 best[~ok], score[~ok] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(best.tolist(), pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
 

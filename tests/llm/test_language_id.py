@@ -59,3 +59,12 @@ def test_nothing_to_learn_from_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "text", None)], DOCS)
     assert language_id.identify(docs, Scratch(spark, "t")).first().lang_pred == "und"
     assert language_id.identify(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_text_of_no_learned_language_is_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").where("length(text) > 200")
+    odd = [(-1, "съешь же ещё этих мягких французских булок да выпей чаю " * 20, None), (-2, "ξεσκεπάζω την ψυχοφθόρα βδελυγμία", None), (-3, "天地玄黃宇宙洪荒日月盈昃辰宿列張", None), (-4, "x9q zk7 qqx0 9jz kx3 " * 9, None)]
+    kept = {r.doc_id for r in language_id.keep_known(docs.unionByName(spark.createDataFrame(odd, DOCS)), Scratch(spark, "t")).collect()}
+    assert kept.isdisjoint({d for d, *_ in odd})
+    clean = {r.doc_id for r in docs.collect()}
+    assert len(kept & clean) > 0.97 * len(clean)
