@@ -4,13 +4,14 @@ Nyström landmarks and one-versus-rest kernel ridge regression.
 A text is the set of its distinct n-grams of one to three UTF-8 bytes (A-Z lower-cased),
 as bits of a hashed row; the kernel of two texts is the size of the common part over the
 root of both sizes. The model is fit on a bounded sample of the labelled documents,
-``FIT_ROWS``, drawn evenly over languages by a hash, of which the first are landmarks; the
+``FIT_ROWS``, drawn evenly over languages by a hash; landmarks are dealt to them in turn. The
 driver holds only their bits. Every document is scored over its whole text: a batch's rows
 times the landmarks times the regression's weights."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from quillspan.llm.scratch import Scratch
 
 BUCKETS, ORDER = 1 << 14, 3
 FIT_ROWS, LANDMARKS, RIDGE = 2_000, 256, 0.1
+#: Of each language about so many rows are learned from at least, or all it has, however many languages there are.
+LEAST_ROWS = 16
 #: A document whose best language has no more than this score is rejected by the pipeline's stage.
 REJECT = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -98,7 +101,7 @@ def fit(docs: DataFrame, scratch: Scratch, folds: int = 4, fold: int = 2, rows:
     """Fit on about ``rows`` labelled documents outside the held-out fold; None if there are none."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     counts = scratch.keep(known.groupBy("lang").agg(F.count("*").alias("n")), "langs")
-    quota = rows / max(1, counts.count())
+    quota = max(rows / max(1, counts.count()), LEAST_ROWS)
     place = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = known.join(counts, "lang").withColumn("place", place).where(F.col("place") * F.col("n") < quota).select("doc_id", "text", "lang", "place")
 
@@ -113,6 +116,10 @@ def fit(docs: DataFrame, scratch: Scratch, folds: int = 4, fold: int = 2, rows:
     got = sorted(chosen.mapInArrow(bits, "doc_id long, lang string, place double, bits binary").collect(), key=lambda r: (r.place, r.doc_id, r.bits))
     if not got:
         return None
+    # Landmarks are the first rows: languages take turns.
+    turn = Counter()
+    turns = [turn.update([r.lang]) or turn[r.lang] for r in got]
+    got = [r for _, r in sorted(zip(turns, got, strict=True), key=lambda x: x[0])]
     languages = sorted({r.lang for r in got})
     grid = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
     return solve(grid, np.array([languages.index(r.lang) for r in got]), languages, landmarks)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from quillspan.llm import language_id
 from quillspan.llm.queries import QUERIES
@@ -68,3 +69,15 @@ def test_text_of_no_learned_language_is_rejected(spark, sf_dir):
     assert kept.isdisjoint({d for d, *_ in odd})
     clean = {r.doc_id for r in docs.collect()}
     assert len(kept & clean) > 0.97 * len(clean)
+
+
+def test_rare_languages_have_landmarks_and_rows(spark):
+    rare = "съешь же ещё этих мягких французских булок "
+    rows = [(i, f"the quick brown fox {i} of the house", "en") for i in range(4000)] + [(5000 + i, rare * (i + 1), "ru") for i in range(6)]
+    model = language_id.fit(spark.createDataFrame(rows, DOCS), Scratch(spark, "t"), landmarks=16)
+    own = sum(zlib.crc32(str(5000 + i).encode()) % 4 != 2 for i in range(6))
+    bits = next(language_id.rows_of(pa.array([rare])))[1]
+    assert (language_id.kernel(bits, model.landmarks, model.sizes)[0] > 0.8).sum() == own
+    many = [(i, f"text{i} of{i}", f"l{i}") for i in range(300)]
+    learned = {f"l{i}" for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(language_id.fit(spark.createDataFrame(many, DOCS), Scratch(spark, "t"), rows=20).languages) == learned
