@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.llm import words
+
 MAGIC, BLOCK, PERCENTILE, SHARD_IDS, UNITS = b"PFB1", 128, 90, 1 << 20, 300_000
 SHARDS = "part int, shard int, start_in_part long, n_ids long, n_docs int, payload binary"
 READ = "doc_id long, part int, start_in_part long, n_tokens long, ids binary"
@@ -135,57 +137,221 @@ class Shard:
         return out.reshape(-1)[first - low * BLOCK : last - low * BLOCK].astype(np.uint32)
 
 
-#: A unit holds whole pre-tokens: a run of other characters with the space before it, or white space.
-UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Where units may not be cut as the tokenizer would: separators that only Python takes as white space, and special tokens.
-WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+#: White space of the tokenizer beyond ASCII, which may belong to a run of ASCII white space beside it.
+OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
+WINDOW, PIECE = 1 << 20, 4 << 20
+SPACE, LETTER, DIGIT, QUOTE, OTHER, HIGH = range(6)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[128:] = HIGH
+CLASS[words.SPACE] = SPACE
+CLASS[[*range(65, 91), *range(97, 123)]], CLASS[48:58], CLASS[39] = LETTER, DIGIT, QUOTE
+#: Whether a new unit begins between two bytes of these classes, neither being white space. A tokenizer's
+#: piece never goes on from a letter or digit to what is neither, nor from a sign to a letter unless
+#: the sign is a quote; what bytes beyond ASCII are isn't looked at.
+CUT = np.zeros((6, 6), bool)
+CUT[LETTER, [DIGIT, QUOTE, OTHER]] = CUT[DIGIT, [LETTER, QUOTE, OTHER]] = CUT[OTHER, [LETTER, DIGIT]] = True
 #: Encoders that a Python worker has made, by path and size.
 _loaded: dict[tuple[str, int], CachedEncoder] = {}
 
 
+def unit_starts(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where units begin: pieces of text that the tokenizer treats alike wherever they stand. A word has the
+    space before it; other white space is a unit but for its last character, which is one of its own."""
+    n = len(data)
+    kind = CLASS[data]
+    first = np.zeros(n + 1, bool)
+    first[begin[begin < n]], first[n] = True, True
+    before = np.empty(n, np.uint8)
+    before[0], before[1:] = OTHER, kind[:-1]
+    solid = kind != SPACE
+    after = np.zeros(n, bool)
+    after[:-1] = solid[1:]
+    start = np.where(solid, np.where(before == SPACE, np.append(np.uint8(0), data[:-1]) != 0x20, CUT[before, kind]), (before != SPACE) | (after & ~first[1:]))
+    return start | first[:-1]
+
+
+class Units:
+    """What is known of units: their bytes and their ids, found by a hash through an open-addressed table."""
+
+    def __init__(self):
+        self.n, self.slots = 0, np.full(1 << 16, -1, np.int32)
+        self.keys, self.at, self.size, self.first, self.count = (np.zeros(1 << 14, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+        self.text, self.ids, self.n_text, self.n_ids = np.zeros(1 << 17, np.uint8), np.zeros(1 << 15, np.uint32), 0, 0
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * words.BASE) >> np.uint64(64 - (len(self.slots).bit_length() - 1))).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's unit, -1 where there is none."""
+        spot = self._spot(keys)
+        out = self.slots[spot]
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(left):
+            spot[left] = (spot[left] + 1) & (len(self.slots) - 1)
+            out[left] = self.slots[spot[left]]
+            left = left[(out[left] >= 0) & (self.keys[out[left]] != keys[left])]
+        return out
+
+    def _place(self, number: np.ndarray) -> None:
+        spot = self._spot(self.keys[number])
+        while len(number):
+            free = self.slots[spot] < 0
+            self.slots[spot[free]] = number[free]
+            wait = self.slots[spot] != number
+            number, spot = number[wait], (spot[wait] + 1) & (len(self.slots) - 1)
+
+    def add(self, keys: np.ndarray, text: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Units that aren't known yet: their hashes, bytes and ids."""
+        n = self.n + len(keys)
+        for name, more, used in (*((c, len(keys), self.n) for c in ("keys", "at", "size", "first", "count")), ("text", len(text), self.n_text), ("ids", len(ids), self.n_ids)):
+            old = getattr(self, name)
+            if used + more > len(old):
+                setattr(self, name, np.concatenate([old[:used], np.zeros(max(more, used), old.dtype)]))
+        own = slice(self.n, n)
+        self.keys[own], self.size[own], self.count[own] = keys, size, count
+        self.at[own], self.first[own] = self.n_text + np.cumsum(size) - size, self.n_ids + np.cumsum(count) - count
+        self.text[self.n_text : self.n_text + len(text)], self.ids[self.n_ids : self.n_ids + len(ids)] = text, ids
+        first, self.n, self.n_text, self.n_ids = self.n, n, self.n_text + len(text), self.n_ids + len(ids)
+        if n * 2 > len(self.slots):
+            self.slots, first = np.full(1 << (4 * n - 1).bit_length(), -1, np.int32), 0
+        self._place(np.arange(first, n, dtype=np.int32))
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Every place of the given stretches, one stretch after another."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class CachedEncoder:
-    """Encodes texts as the tokenizer does, each distinct unit once. Two generations of about
-    ``most`` units are held; units that go on being used move to the younger one."""
+    """Encodes texts as the tokenizer does, each distinct unit once: units are told by a hash and compared
+    by their bytes, all in numpy, and only new ones go to the tokenizer. About ``most`` units, and 32 bytes of
+    text for each of so many, are held; then those seen since the half was reached are kept."""
 
     def __init__(self, path: str, most: int = UNITS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        #: Ids of tokens that begin with a space.
+        self.tokenizer, self.most, self.units = Tokenizer.from_file(path), most, Units()
+        self.seen = np.zeros(0, bool)
+        #: Ids of tokens that begin with a space, and of a line end.
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, units: set[str]) -> None:
-        """Units that begin with a space are encoded as one text, and cut where tokens do."""
-        spaced = [u for u in units if len(u) > 1 and u[0] == " " and not u.isspace()]
-        rest = list(units.difference(spaced))
-        self.known.update(zip(rest, self._ids(rest), strict=True))
-        for i in range(0, len(spaced), 8192):
-            part = spaced[i : i + 8192]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
-            raw = ids.tobytes()
-            if len(at) != len(part) + 1:
-                raise ValueError("this tokenizer doesn't begin words with a space alone")
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray) -> None:
+        """Add new units. Those that begin with a space are encoded as one text, and cut where tokens do; those without
+        white space as one with line ends between; others alone."""
+        raw = lambda a, n: data[a : a + n].tobytes().decode("utf-8", "replace")
+        space = CLASS[data[start]] == SPACE
+        alone = space & ((size == 1) | (CLASS[data[np.minimum(start + 1, len(data) - 1)]] == SPACE))
+        lead = np.cumsum(np.append(0, np.isin(data, (0xC2, 0xE1, 0xE2, 0xE3))))
+        for i in np.flatnonzero(lead[start + size] > lead[start]).tolist():
+            alone[i] = alone[i] or OTHER_SPACE.search(raw(start[i], size[i])) is not None
+        for own, gap in ((np.flatnonzero(space & ~alone), 0), (np.flatnonzero(~space & ~alone), 1)):
+            for i in range(0, len(own), 8192):
+                part = own[i : i + 8192]
+                a, n = start[part], size[part]
+                at = spans(a, n)
+                text = np.full(len(at) + gap * len(part), 10, np.uint8)
+                text[np.arange(len(at)) + gap * np.repeat(np.arange(len(part)), n)] = data[at]
+                ids = self._ids([text.tobytes().decode("utf-8", "replace")])[0]
+                mark = ids == self.line[0] if gap else self.opens[ids]
+                cut = np.append(np.flatnonzero(mark), [] if gap else len(ids)).astype(np.int64)
+                count = np.diff(cut, prepend=-1) - 1 if gap else np.diff(cut)
+                if len(count) != len(part) or not (gap or cut[0] == 0):
+                    raise ValueError("this tokenizer doesn't begin words with a space, or has no token for a line end")
+                self.units.add(keys[part], data[at], n, ids[~mark] if gap else ids, count)
+        if len(own := np.flatnonzero(alone)):
+            ids = self._ids([raw(a, n) for a, n in zip(start[own].tolist(), size[own].tolist(), strict=True)])
+            self.units.add(keys[own], data[spans(start[own], size[own])], size[own], np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def _forget(self) -> None:
+        """Keep the units seen lately."""
+        u, own = self.units, np.flatnonzero(self.seen[: self.units.n])
+        self.units, self.seen = Units(), np.zeros(0, bool)
+        if len(own) * 2 < self.most and u.size[own].sum() < 16 * self.most:
+            self.units.add(u.keys[own], u.text[spans(u.at[own], u.size[own])], u.size[own], u.ids[spans(u.first[own], u.count[own])], u.count[own])
+
+    def _window(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a window's units, how many each has, and which units' hash is another's (all, if their lengths differ)."""
+        size = np.diff(np.append(start, len(data)))
+        up, down = words.powers(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+        keys = words.mix((total[start + size] - total[start]) * down[start] + size.astype(np.uint64))
+        u = self.units
+        number = u.find(keys)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            own = new[np.unique(keys[new], return_index=True)[1]]
+            self._learn(data, start[own], size[own], keys[own])
+            number[new] = u.find(keys[new])
+        if len(self.seen) < u.n:
+            self.seen = np.concatenate([self.seen, np.zeros(max(u.n - len(self.seen), len(self.seen)), bool)])
+        if 2 * u.n > self.most or u.n_text > 16 * self.most:
+            self.seen[number] = True
+        bad = u.size[number] != size
+        bad[:] = bad.any()
+        if not bad.any():
+            bad[np.searchsorted(start, np.flatnonzero(u.text[spans(u.at[number], size)] != data), "right") - 1] = True
+        count = u.count[number]
+        return u.ids[spans(u.first[number], count)], count, bad
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> set[int]:
+        """Documents with a special token's text, or with other white space beside ASCII white space: units
+        may not be cut there as the tokenizer would, so these are encoded as a whole."""
+        places = [np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))]
+        near = words.SPACE[data]
+        for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+            at = np.flatnonzero(data == lead)
+            width = 2 if lead == 0xC2 else 3
+            at = at[at + width <= len(data)]
+            beside = near[np.maximum(at - 1, 0)] | near[np.minimum(at + width, len(data) - 1)]
+            places.append(np.array([i for i in at[beside].tolist() if OTHER_SPACE.match(data[i : i + width].tobytes().decode("utf-8", "replace"))], np.int64))
+        return set((np.searchsorted(offsets, np.concatenate(places), "right") - 1).tolist())
+
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has. What is held besides is bounded by the
+        window and the longest run without white space."""
+        n = len(data)
+        odd, parts, counts, a = (self._odd(data, offsets) if n > 1 else set()), [], np.zeros(len(offsets) - 1, np.int64), 0
+        size = WINDOW
+        while a < n:
+            if self.units.n > self.most or self.units.n_text > 32 * self.most:
+                self._forget()
+            b = min(a + size, n)
+            low = max(a - 1, 0)
+            start = np.flatnonzero(unit_starts(data[low : min(b + 1, n)], offsets[(offsets >= low) & (offsets <= b)] - low)) + low
+            start = start[(start >= a) & (start < b)]
+            if b < n:
+                # The last unit may go on beyond the window.
+                if len(start) < 2:
+                    size *= 2
+                    continue
+                b, start = int(start[-1]), start[:-1]
+            ids, count, bad = self._window(data[a:b], start - a)
+            doc = np.searchsorted(offsets, start, "right") - 1
+            counts += np.bincount(doc, count, len(counts)).astype(np.int64)
+            odd.update(doc[bad].tolist())
+            parts.append(ids)
+            a, size = b, WINDOW
+        ids = np.concatenate([np.zeros(0, np.uint32), *parts])
+        if odd:
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            out, last = [], 0
+            own = sorted(odd)
+            for i, x in zip(own, self._ids([data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in own]), strict=True):
+                out += (ids[edges[last] : edges[i]], x)
+                counts[i], last = len(x), i + 1
+            ids = np.concatenate([*out, ids[edges[last] :]])
+        return ids, counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
-        out, cut = [], [None if WHOLE.search(x) else UNIT.findall(x) for x in texts]
-        if len(self.known) > self.most:
-            self.known, self.before = {}, self.known
-        new = set().union(*filter(None, cut)).difference(self.known)
-        kept = new & self.before.keys()
-        self.known.update((u, self.before[u]) for u in kept)
-        self._learn(new - kept)
-        for text, units in zip(texts, cut, strict=True):
-            out.append(self._ids([text])[0] if units is None else b"".join(map(self.known.__getitem__, units)))
-        return out
+        ids, counts = self.encode_all(*words.utf8(pa.array(texts, pa.string())))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(texts) else []
 
 
 def _encoder(path: str, most: int) -> CachedEncoder:
@@ -196,13 +362,13 @@ def _encoder(path: str, most: int) -> CachedEncoder:
 
 def _writer(tokenizer: str, end_id: int, percentile: int, units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer, units), np.array([end_id], "<u4").tobytes()
+        encoder = _encoder(tokenizer, units)
         part, shard, start = TaskContext.get().partitionId(), 0, 0
         docs, lengths, parts, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, start, docs, lengths, parts, held
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             row = pa.RecordBatch.from_pydict(
                 {"part": [part], "shard": [shard], "start_in_part": [start], "n_ids": [len(ids)], "n_docs": [len(docs)], "payload": [encode_shard(ids, docs, lengths, percentile)]},
                 schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int32()), ("payload", pa.binary())]),
@@ -211,15 +377,20 @@ def _writer(tokenizer: str, end_id: int, percentile: int, units: int):
             return row
 
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                some = batch.slice(i, 64)
-                for d, x in zip(some.column("doc_id").to_pylist(), encoder.encode([t or "" for t in some.column("text").to_pylist()]), strict=True):
-                    docs.append(d)
-                    lengths.append(len(x) // 4 + 1)
-                    parts += (x, end)
-                    held += lengths[-1]
-                    if held >= SHARD_IDS:
-                        yield flush()
+            data, offsets = words.utf8(batch.column("text"))
+            names = batch.column("doc_id").to_pylist()
+            for a, b in words.chunks(offsets, PIECE):
+                own = offsets[a : b + 1]
+                ids, counts = encoder.encode_all(data[own[0] : own[-1]], own - own[0])
+                # Each document's ids are moved on by the ends before it.
+                ended = np.full(len(ids) + b - a, end_id, np.uint32)
+                ended[np.arange(len(ids)) + np.repeat(np.arange(b - a), counts)] = ids
+                docs += names[a:b]
+                lengths += (counts + 1).tolist()
+                parts.append(ended)
+                held += len(ended)
+                if held >= SHARD_IDS:
+                    yield flush()
         if docs:
             yield flush()
 
