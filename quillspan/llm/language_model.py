@@ -19,11 +19,13 @@ joined to the documents that hold them."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ from quillspan.llm.scratch import Scratch
 
 SINGLE, ENDINGS, BUCKETS, FEATURES = 64, 64, 2048, 4
 CLASSES = SINGLE + ENDINGS
-KNOWN, ROUNDS, STEP = 400_000, 6, 0.5
+KNOWN, ROUNDS, STEP, LIMIT = 400_000, 6, 0.5, 12.0
+#: Tokens whose probabilities are held at once, and buckets in a row of sums.
+STRIDE, SPAN, BLOCK = 1024, 8192, 64
 END = np.int64(-0x61C8864680B583EB)
 LOG10 = np.log(10.0)
 
@@ -141,13 +145,35 @@ class Model:
         return np.where(own >= 0, own, group + SINGLE).astype(np.int64)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = weights[features[:, 0]] + bias
-    for i in range(1, FEATURES):
-        logits += weights[features[:, i]]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+class Softmax:
+    """Class probabilities as products: e to a sum of weights is a product of rows of e to the weights.
+
+    Weights stay within ``LIMIT``, so that four of them and a bias neither overflow nor vanish."""
+
+    def __init__(self, model: Model):
+        self.rows = np.exp(np.clip(model.weights, -LIMIT, LIMIT))
+        # Each token has one feature of the first kind, so these rows can carry the bias.
+        self.rows[:BUCKETS] *= np.exp(np.maximum(model.bias, -30))
+        self.out, self.more = (np.empty((STRIDE, CLASSES), np.float32) for _ in range(2))
+
+    def products(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For at most STRIDE tokens: numbers in proportion to the probabilities of classes, and their sums.
+        The array is used again by the next call."""
+        n = len(features)
+        out, more = self.out[:n], self.more[:n]
+        np.take(self.rows, features[:, 0], axis=0, out=out, mode="clip")
+        for i in range(1, FEATURES):
+            np.take(self.rows, features[:, i], axis=0, out=more, mode="clip")
+            np.multiply(out, more, out=out)
+        return out, np.einsum("ij->i", out)
+
+    def log_of(self, features: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each token's class."""
+        said = np.empty(len(y))
+        for a in range(0, len(y), STRIDE):
+            out, total = self.products(features[a : a + STRIDE])
+            said[a : a + STRIDE] = np.log(out[np.arange(len(out)), y[a : a + STRIDE]].astype(float)) - np.log(total.astype(float))
+        return said
 
 
 def parts(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -199,78 +225,100 @@ def learn(train: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     class_n[single[alone]] = n[alone]
     bias = np.log((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)).astype(np.float32)
     model = Model(known, n, single, np.zeros((FEATURES * BUCKETS, CLASSES), np.float32), bias, within_n + within_v + 1, int(total or 0), int(distinct))
-    start(model, train, scratch)
+    start(model, train)
     fit(model, train)
     return model, counts.select("word", "n")
 
 
 def pair_counts(spread):
-    """For mapInArrow: (bucket, counts by class) of a task's documents, as packed rows."""
+    """For mapInArrow: counts of a task's buckets by class, as packed blocks."""
 
     def run(batches):
-        m, table, sums = spread.value, None, np.zeros(FEATURES * BUCKETS * CLASSES, np.int32)
+        m, table, sums = spread.value, None, np.zeros(FEATURES * BUCKETS * CLASSES, np.int64)
         for batch in batches:
             table = table or m.table()
-            for _, _, tokens, group, start_ in parts(batch):
+            for _, _, tokens, group, start_ in parts(batch, 1 << 20):
                 y = m.classes(table.find(tokens), group)
-                for column in features_of(tokens, start_).T:
-                    sums += np.bincount(column * np.int64(CLASSES) + y, minlength=len(sums)).astype(np.int32)
-        grid = sums.reshape(-1, CLASSES)
-        for i in range(0, len(grid) if table else 0, 1024):
-            own = np.flatnonzero(grid[i : i + 1024].any(axis=1)) + i
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([x.tobytes() for x in grid[own].astype(np.float32)], pa.binary())], names=["bucket", "sums"])
+                sums += np.bincount((features_of(tokens, start_) * np.int64(CLASSES) + y[:, None]).ravel(), minlength=len(sums))
+        if table:
+            yield from packed(sums.reshape(-1, CLASSES).astype(np.float32))
 
     return run
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    """Packed rows of floats added up by bucket."""
+PACKED = "block int, part int, sums binary"
+
+
+def packed(grid: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's sums in blocks of ``BLOCK`` buckets, so that a group of Spark's has few rows."""
+    part = TaskContext.get().partitionId()
+    for a in range(0, len(grid), 32 * BLOCK):
+        own = range(a // BLOCK, min(a // BLOCK + 32, -(-len(grid) // BLOCK)))
+        blocks = [np.ascontiguousarray(grid[i * BLOCK : (i + 1) * BLOCK]).tobytes() for i in own]
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "part", "sums"])
+
+
+def summed(rows: DataFrame, tasks: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, floats) of packed rows added up, in two levels: no task adds many more than the root of
+    ``tasks`` rows, however many tasks there were."""
 
     def add(key, table):
-        grid = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.float32).reshape(table.num_rows, -1)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([grid.sum(axis=0, dtype=np.float64).astype(np.float32).tobytes()], pa.binary())})
+        total = np.zeros(len(table.column("sums")[0].as_py()) // 4)
+        for x in table.column("sums"):
+            total += np.frombuffer(x.as_buffer(), np.float32)
+        return pa.table({"block": table.column("block").slice(0, 1), "part": table.column("part").slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(add, "bucket int, sums binary")
+    level = rows.withColumn("part", (F.col("part") / math.ceil(math.sqrt(max(tasks, 1)))).cast("int"))
+    for keys in (("block", "part"), ("block",)):
+        level = level.groupBy(*keys).applyInArrow(add, PACKED)
+    for r in level.collect():
+        yield r.block, np.frombuffer(r.sums, np.float32)
 
 
-def start(model: Model, train: DataFrame, scratch: Scratch) -> None:
+def start(model: Model, train: DataFrame) -> None:
     """Weights from the counts of features with classes over all training documents."""
     spread = train.sparkSession.sparkContext.broadcast(model)
     seen = np.zeros((FEATURES * BUCKETS, CLASSES), np.float32)
-    for r in summed(train.select("text").mapInArrow(pair_counts(spread), "bucket int, sums binary")).collect():
-        seen[r.bucket] = np.frombuffer(r.sums, np.float32)
+    for block, x in summed(train.select("text").mapInArrow(pair_counts(spread), PACKED), train.rdd.getNumPartitions()):
+        seen[block * BLOCK : (block + 1) * BLOCK] = x.reshape(-1, CLASSES)
     spread.unpersist()
     share = np.exp(model.bias)
     ratio = np.log((seen + 20 * share) / (seen.sum(axis=1, keepdims=True) + 20)) - model.bias
-    model.weights = (ratio * 0.4).astype(np.float32)
+    model.weights = np.clip(ratio * 0.4, -LIMIT, LIMIT).astype(np.float32)
 
 
 def gradients(spread):
-    """For mapInArrow: the gradient of a task's documents, by bucket; its last row is the bias."""
+    """For mapInArrow: the gradient of a task's documents by bucket, and how often each bucket was seen; the last row is the bias."""
 
     def run(batches):
         m, table = spread.value, None
-        grad, seen = np.zeros((FEATURES * BUCKETS + 1, CLASSES), np.float32), np.zeros(FEATURES * BUCKETS + 1, np.float32)
+        softmax, n = Softmax(m), FEATURES * BUCKETS
+        expected, observed = np.zeros((CLASSES, n)), np.zeros(n * CLASSES, np.int64)
+        expected_bias, observed_bias = np.zeros(CLASSES), np.zeros(CLASSES, np.int64)
+        by_class = np.empty((CLASSES, SPAN))
         for batch in batches:
             table = table or m.table()
-            for _, _, tokens, group, start_ in parts(batch, 1 << 16):
+            for _, _, tokens, group, start_ in parts(batch, 1 << 20):
                 y, features = m.classes(table.find(tokens), group), features_of(tokens, start_)
-                for a in range(0, len(tokens), 4096):
-                    f, goal = features[a : a + 4096], y[a : a + 4096]
-                    g = np.exp(log_softmax(m.weights, m.bias, f))
-                    g[np.arange(len(goal)), goal] -= 1
-                    flat = f.T.reshape(-1)
-                    order = np.argsort(flat, kind="stable")
-                    bucket, at = np.unique(flat[order], return_index=True)
-                    grad[bucket] += np.add.reduceat(g[order % len(goal)], at, axis=0)
-                    seen[bucket] += np.diff(np.append(at, len(flat)))
-                    grad[-1] += g.sum(axis=0)
-                    seen[-1] += len(goal)
-        own = np.flatnonzero(seen)
-        for i in range(0, len(own), 1024):
-            part = own[i : i + 1024]
-            packed = np.concatenate([grad[part], seen[part, None]], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], names=["bucket", "sums"])
+                observed += np.bincount((features * np.int64(CLASSES) + y[:, None]).ravel(), minlength=len(observed))
+                observed_bias += np.bincount(y, minlength=CLASSES)
+                for a in range(0, len(tokens), SPAN):
+                    f = features[a : a + SPAN]
+                    for b in range(0, len(f), STRIDE):
+                        out, total = softmax.products(f[b : b + STRIDE])
+                        np.divide(out.T, total, out=by_class[:, b : b + len(out)])
+                    own = [np.ascontiguousarray(f[:, i], np.int64) - i * BUCKETS for i in range(FEATURES)]
+                    for c in range(CLASSES):
+                        p = by_class[c, : len(f)]
+                        for i in range(FEATURES):
+                            expected[c, i * BUCKETS : (i + 1) * BUCKETS] += np.bincount(own[i], p, BUCKETS)
+                        expected_bias[c] += p.sum()
+        if table:
+            observed = observed.reshape(n, CLASSES)
+            grid = np.zeros((n + 1, CLASSES + 1), np.float32)
+            grid[:n, :-1], grid[:n, -1] = expected.T - observed, observed.sum(axis=1)
+            grid[n, :-1], grid[n, -1] = expected_bias - observed_bias, observed_bias.sum()
+            yield from packed(grid)
 
     return run
 
@@ -284,14 +332,15 @@ def fit(model: Model, train: DataFrame, rounds: int = ROUNDS, step: float = STEP
     tasks = max(train.rdd.getNumPartitions() // rounds, spark.sparkContext.defaultParallelism)
     for i in range(rounds):
         spread = spark.sparkContext.broadcast(model)
-        rows = train.where(dealt == i).select("text").coalesce(tasks).mapInArrow(gradients(spread), "bucket int, sums binary")
-        moved = {r.bucket: np.frombuffer(r.sums, np.float32) for r in summed(rows).collect()}
-        spread.unpersist()
-        for bucket, x in moved.items():
-            if bucket == len(model.weights):
-                model.bias = model.bias - (step * x[:-1] / max(x[-1], 1)).astype(np.float32)
+        rows = train.where(dealt == i).select("text").coalesce(tasks).mapInArrow(gradients(spread), PACKED)
+        for block, x in summed(rows, tasks):
+            x, a = x.reshape(-1, CLASSES + 1), block * BLOCK
+            if a == len(model.weights):
+                model.bias = model.bias - (step * x[0, :-1] / max(x[0, -1], 1)).astype(np.float32)
             else:
-                model.weights[bucket] -= step * x[:-1] / (x[-1] + 20)
+                own = model.weights[a : a + BLOCK]
+                model.weights[a : a + BLOCK] = np.clip(own - step * x[:, :-1] / (x[:, -1:] + 20), -LIMIT, LIMIT)
+        spread.unpersist()
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:long,n:int>>"
@@ -303,6 +352,7 @@ def scorer(spread):
 
     def run(batches):
         m, table = spread.value, None
+        softmax = Softmax(m)
         for batch in batches:
             table = table or m.table()
             base_log = np.log10((m.counts + 1) / 1.0)
@@ -313,10 +363,7 @@ def scorer(spread):
                 number = table.find(tokens)
                 y = m.classes(number, group)
                 features = features_of(tokens, start_)
-                said = np.empty(len(tokens))
-                for i in range(0, len(tokens), 4096):
-                    chunk = log_softmax(m.weights, m.bias, features[i : i + 4096])
-                    said[i : i + 4096] = chunk[np.arange(len(chunk)), y[i : i + 4096]]
+                said = softmax.log_of(features, y)
                 own = np.where(number >= 0, base_log[np.maximum(number, 0)], 0.0) if len(base_log) else np.zeros(len(tokens))
                 inside = np.where(y >= SINGLE, own - class_log[y], 0.0)
                 edges = start_[:-1]

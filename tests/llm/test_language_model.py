@@ -57,11 +57,84 @@ def test_empty_and_all_held_out(spark):
     assert (got.n_tokens, got.n_known, got.train_tokens) == (3, 0, 0)
 
 
-def test_classes_have_a_distribution():
-    rng = np.random.default_rng(0)
+def some_model(seed=0):
+    rng = np.random.default_rng(seed)
     weights = rng.normal(size=(language_model.FEATURES * language_model.BUCKETS, language_model.CLASSES)).astype(np.float32)
-    out = language_model.log_softmax(weights, rng.normal(size=language_model.CLASSES).astype(np.float32), rng.integers(0, len(weights), (50, language_model.FEATURES)))
-    assert np.allclose(np.exp(out).sum(axis=1), 1, atol=1e-4)
+    bias = rng.normal(size=language_model.CLASSES).astype(np.float32)
+    ones = np.ones(language_model.CLASSES)
+    return language_model.Model(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16), weights, bias, ones, 0, 0)
+
+
+def some_features(n, seed=1):
+    rng = np.random.default_rng(seed)
+    return (rng.integers(0, language_model.BUCKETS, (n, language_model.FEATURES)) + np.arange(language_model.FEATURES) * language_model.BUCKETS).astype(np.int32)
+
+
+def plain_softmax(m, features):
+    logits = m.bias.astype(float) + m.weights.astype(float)[features].sum(axis=1)
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def test_classes_have_a_distribution():
+    m, f = some_model(), some_features(2500)
+    want = plain_softmax(m, f)
+    for c in (0, 5, language_model.CLASSES - 1):
+        assert np.allclose(language_model.Softmax(m).log_of(f, np.full(len(f), c)), np.log(want[:, c]), atol=1e-4)
+
+
+def test_gradient_is_expected_less_observed(spark):
+    """The packed sums of all tasks are those of a plain loop over tokens."""
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(40 + i))) for i in range(40)] + [(99, ""), (100, None)]
+    train = language_model.texts_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 7, 2)
+    m = some_model(3)
+    spread = spark.sparkContext.broadcast(m)
+    got = np.zeros((language_model.FEATURES * language_model.BUCKETS + 1, language_model.CLASSES + 1))
+    for block, x in language_model.summed(train.select("text").mapInArrow(language_model.gradients(spread), language_model.PACKED), 5):
+        x = x.reshape(-1, language_model.CLASSES + 1)
+        got[block * language_model.BLOCK : block * language_model.BLOCK + len(x)] = x
+    want = np.zeros_like(got)
+    for _, text in rows:
+        data, offsets = words.utf8(pa.array([text], pa.string()))
+        tokens_, group, start = language_model.tokens_of(data, offsets)
+        y, features = m.classes(m.table().find(tokens_), group), language_model.features_of(tokens_, start)
+        for p, c, f in zip(plain_softmax(m, features), y, features, strict=True):
+            g = np.append(p, 1.0)
+            g[c] -= 1
+            for i in (*f, -1):
+                want[i] += g
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_score_is_the_models_probability(spark, monkeypatch):
+    """Each text's score by a loop over its tokens, from the model's weights and all counts."""
+    rows = [(i, " ".join(f"w{(i * j * j) % 23}{'ing' if j % 3 else 'ed'}" for j in range(5 + i % 9))) for i in range(80)] + [(200, None), (201, "unseen words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, learn = [], language_model.learn
+    monkeypatch.setattr(language_model, "learn", lambda *a: kept.append(learn(*a)) or kept[0])
+    monkeypatch.setattr(language_model, "KNOWN", 20)
+    got = {r.doc_id: r.score for r in language_model.score(docs, Scratch(spark, "t")).collect()}
+    m, counts = kept[0][0], {r.word: r.n for r in kept[0][1].collect()}
+    for d, text in rows:
+        data, offsets = words.utf8(pa.array([text], pa.string()))
+        tokens_, group, start = language_model.tokens_of(data, offsets)
+        y, features = m.classes(m.table().find(tokens_), group), language_model.features_of(tokens_, start)
+        want = 0.0
+        for p, c, w in zip(plain_softmax(m, features), y.tolist(), tokens_.tolist(), strict=True):
+            want += math.log10(p[c]) + (math.log10((counts.get(w, 0) + 1) / m.within[c]) if c >= language_model.SINGLE else 0)
+        assert abs(got[d] - want) < 1e-3 * max(1, abs(want))
+
+
+def test_rounds_raise_the_held_out_score(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sums = []
+    for rounds in (0, language_model.ROUNDS):
+        fit = language_model.fit
+        monkeypatch.setattr(language_model, "fit", lambda model, train, r=rounds, fit=fit: fit(model, train, r) if r else None)
+        sums.append(language_model.score(docs, Scratch(spark, "t")).where("held_out").agg({"score": "sum"}).first()[0])
+        monkeypatch.undo()
+    assert sums[1] > 0.99 * sums[0]
+    print("held-out sum of log10, start and trained:", sums)
 
 
 def test_words_of_one_class_share_its_probability(spark):
@@ -86,12 +159,13 @@ def test_features_do_not_cross_documents():
 
 def test_every_training_document_is_in_one_gradient_round(spark, monkeypatch):
     """The tokens of all rounds are those of all training documents, with copies of a text in every round."""
-    seen, summed = [], language_model.summed
+    seen, summed, last = [], language_model.summed, language_model.FEATURES * language_model.BUCKETS // language_model.BLOCK
 
-    def noted(rows):
-        out = summed(rows)
-        seen.extend(np.frombuffer(r.sums, np.float32)[-1] for r in out.where(f"bucket = {language_model.FEATURES * language_model.BUCKETS}").collect())
-        return out
+    def noted(rows, tasks):
+        for block, x in summed(rows, tasks):
+            if block == last:
+                seen.append(x[-1])
+            yield block, x
 
     monkeypatch.setattr(language_model, "summed", noted)
     rows = [(i, "a common text" if i % 3 == 0 else f"w{i} x{i % 7} y") for i in range(6000)]
