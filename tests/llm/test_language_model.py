@@ -133,7 +133,7 @@ def test_rounds_raise_the_held_out_score(spark, monkeypatch):
         monkeypatch.setattr(language_model, "fit", lambda model, train, r=rounds, fit=fit: fit(model, train, r) if r else None)
         sums.append(language_model.score(docs, Scratch(spark, "t")).where("held_out").agg({"score": "sum"}).first()[0])
         monkeypatch.undo()
-    assert sums[1] > 0.99 * sums[0]
+    assert sums[1] > sums[0]
     print("held-out sum of log10, start and trained:", sums)
 
 
