@@ -328,8 +328,8 @@ def fit(model: Model, train: DataFrame, rounds: int = ROUNDS, step: float = STEP
     how often a feature was seen, so that rare and frequent ones move alike. Copies of a text
     under several ids are dealt to all slices, and count as often as they stand."""
     spark, dealt = train.sparkSession, F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(rounds))
-    # A slice is a part of each task's rows: fewer tasks, so that fewer sums are shuffled.
-    tasks = max(train.rdd.getNumPartitions() // rounds, spark.sparkContext.defaultParallelism)
+    # A slice is a part of each task's rows: as many fewer tasks, so that what is shuffled follows the input.
+    tasks = max(train.rdd.getNumPartitions() // rounds, 1)
     for i in range(rounds):
         spread = spark.sparkContext.broadcast(model)
         rows = train.where(dealt == i).select("text").coalesce(tasks).mapInArrow(gradients(spread), PACKED)
