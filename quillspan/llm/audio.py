@@ -7,9 +7,11 @@ packed 32-bit integer a frame. Recordings align where runs of equal integers agr
 offset: a histogram of offsets gives the best one, and the bit errors of the overlap
 at it say how alike they are.
 
-Scale: equal fingerprints are one class and take part once. Keys are ``KEY`` consecutive
-integers, so chance meetings are few; histograms are summed up before the shuffle, and
-joins on keys stay divisible."""
+Scale: equal fingerprints are one class and take part once. A key is two integers whose stretches
+of frames don't overlap, ``WIDTH`` apart: two consecutive ones share all but one frame and say little
+more than one does, and meet by chance in numbers that grow with the square of the input. What is
+asked for is printed at ``PHASES`` places within a hop, as a recording seldom begins where
+another's frame does. Votes are summed up before the shuffle, and joins on keys stay divisible."""
 
 from __future__ import annotations
 
@@ -32,7 +34,7 @@ FILTERS = tuple((kind, first, height, width) for kind, first, height, width in (
     (2, 0, 4, 8), (2, 4, 4, 8), (2, 8, 4, 8), (2, 2, 2, 12), (3, 0, 12, 8), (3, 0, 6, 16), (3, 6, 6, 16), (3, 4, 4, 8),
 ))
 WIDTH = max(f[3] for f in FILTERS)
-LEVEL, KEY, VOTES, ERRORS = 0.12, 2, 3, 0.35
+LEVEL, VOTES, ERRORS, PHASES = 0.12, 3, 0.35, 4
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -100,69 +102,123 @@ def integers(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [integers(chroma(samples_of(x.as_py()))).astype("<u4").tobytes() for x in batch.column("audio")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["id", "print"])
+#: The integer of silence: it says nothing of a recording, so no key has it.
+SILENT = integers(np.zeros((WIDTH, 12), np.float32))[0]
+
+
+def _printer(phases: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, rows = [], [], []
+            for i, audio in zip(batch.column("id").to_pylist(), batch.column("audio"), strict=True):
+                x = samples_of(audio.as_py())
+                for phase in range(0, HOP, HOP // phases):
+                    ids.append(i)
+                    starts.append(phase)
+                    rows.append(integers(chroma(x[phase:])).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(rows, pa.binary())], names=["id", "phase", "print"])
+
+    return run
 
 
-def fingerprints(media: DataFrame) -> DataFrame:
-    """(id, print) for (id, audio): packed integers as little-endian u32. Null, broken or too
-    short recordings have an empty print."""
-    return media.select(F.col("id").cast("long"), F.col("audio").cast("binary")).mapInArrow(_print, "id long, print binary")
+def fingerprints(media: DataFrame, phases: int = 1) -> DataFrame:
+    """(id, phase, print) for (id, audio): packed integers as little-endian u32, from ``phases`` samples
+    on that divide a hop evenly. Null, broken or too short recordings have an empty print."""
+    return media.select(F.col("id").cast("long"), F.col("audio").cast("binary")).mapInArrow(_printer(phases), "id long, phase int, print binary")
+
+
+def keys_of(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a print, and the place of each."""
+    own = ints.astype(np.uint64)
+    first, second = own[: max(0, len(own) - WIDTH)], own[WIDTH:]
+    place = np.flatnonzero((first != SILENT) & (second != SILENT))
+    return ((first << np.uint64(32)) | second).view(np.int64)[place], place.astype(np.int32)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = ("id", "phase", "take")
     for batch in batches:
-        ids, keys, places = [], [], []
-        for i, x in zip(batch.column("rep").to_pylist(), batch.column("print").to_pylist(), strict=True):
-            own = np.frombuffer(x, "<u4").astype(np.uint64)
-            key = own[: max(0, len(own) - KEY + 1)].copy()
-            for j in range(1, KEY):
-                key = key * np.uint64(0x9E3779B97F4A7C15) + own[j : j + len(key)]
-            ids.append(np.full(len(key), i, np.int64))
-            keys.append(key.view(np.int64))
-            places.append(np.arange(len(key), dtype=np.int32))
-        flat = lambda x, t: pa.array(np.concatenate([np.zeros(0, t), *x]))
-        yield pa.RecordBatch.from_arrays([flat(ids, np.int64), flat(keys, np.int64), flat(places, np.int32)], names=["rep", "key", "at"])
+        found = [keys_of(np.frombuffer(x, "<u4")) for x in batch.column("print").to_pylist()]
+        n = [len(k) for k, _ in found]
+        flat = lambda j, t: pa.array(np.concatenate([np.zeros(0, t), *(x[j] for x in found)]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in kept), flat(0, np.int64), flat(1, np.int32)], names=[*kept, "key", "at"])
+
+
+def overlap_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
+    """Integers that both have where b begins at place ``offset`` of a, and the bits in which they differ."""
+    a, b = a[max(0, offset) :], b[max(0, -offset) :]
+    n = min(len(a), len(b))
+    return n, int(np.bitwise_count(a[:n] ^ b[:n]).sum())
 
 
 def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = ("id", "phase", "other", "offset", "votes")
     for batch in batches:
-        overlap, errors = [], []
-        for x, y, o in zip(*(batch.column(c).to_pylist() for c in ("print", "other_print", "offset")), strict=True):
-            a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            a, b = a[max(0, o) :], b[max(0, -o) :]
-            n = min(len(a), len(b))
-            overlap.append(n)
-            errors.append(int(np.bitwise_count(a[:n] ^ b[:n]).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "other", "offset", "votes")), pa.array(overlap, pa.int64()), pa.array(errors, pa.int64())], names=["rep", "other", "offset", "votes", "overlap", "bit_errors"])
-
-
-def align(prints: DataFrame, queries: DataFrame, scratch: Scratch, votes: int = VOTES, errors: float = ERRORS) -> tuple[DataFrame, DataFrame]:
-    """Members (id, rep) of the classes of equal prints, and the alignments (rep, other, offset,
-    votes, overlap, bit_errors) of classes that hold an id of ``queries`` with other classes.
-
-    ``prints`` is (id, print). A pair aligns at the offset on which most keys agree, the nearest
-    to 0 and then the least of equal ones, if at least ``votes`` do and at most ``errors`` of the
-    overlap's bits differ. ``offset`` is the place in rep's recording where other's begins.
-    Empty prints, null ids and repeated rows: in no class, in the class, in the class once."""
-    prints = scratch.keep(prints.where("length(print) > 0"), "prints")
-    hashed = prints.select("id", F.xxhash64("print").alias("h1"), F.xxhash64(F.lit(5), "print").alias("h2"))
-    classes = scratch.keep(hashed.where("id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    members = hashed.join(classes, ["h1", "h2"]).select("id", "rep")
-    own = prints.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "print")
-    own = scratch.keep(own, "own")
-    asked = members.join(queries.select("id"), "id", "left_semi").select("rep").distinct()
-    keys = scratch.keep(own.mapInArrow(_keys, "rep long, key long, at int"), "keys")
-    other = keys.select(F.col("rep").alias("other"), "key", F.col("at").alias("other_at"))
-    met = keys.join(asked, "rep", "left_semi").join(other, "key").where("rep != other")
-    counts = met.groupBy("rep", "other", (F.col("at") - F.col("other_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
-    best = Window.partitionBy("rep", "other").orderBy(F.desc("votes"), F.abs("offset"), "offset")
-    found = counts.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
-    both = found.join(own, "rep").join(own.select(F.col("rep").alias("other"), F.col("print").alias("other_print")), "other")
-    matched = both.mapInArrow(_errors, "rep long, other long, offset int, votes long, overlap long, bit_errors long")
-    return members, matched.where(F.col("bit_errors") <= errors * 32 * F.col("overlap"))
+        found = [overlap_errors(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o) for x, y, o in zip(*(batch.column(c).to_pylist() for c in ("print", "other_print", "offset")), strict=True)]
+        sums = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *sums], names=[*kept, "overlap", "bit_errors"])
+
+
+def align(prints: DataFrame, asked: DataFrame, scratch: Scratch, votes: int = VOTES, errors: float = ERRORS) -> tuple[DataFrame, DataFrame]:
+    """Members (id, rep) of the classes of equal prints, and the alignments (id, other, phase, offset,
+    votes, overlap, bit_errors) of what is asked for with classes.
+
+    ``prints`` is (id, print, ...), ``asked`` (id, phase, print), which need not be among them: an id
+    that is stands for its class and isn't aligned with it. A pair aligns at the phase and offset of the
+    fewest bit errors for its overlap, the most votes, the nearest to 0 and then the least of equal ones, among
+    those on which ``votes`` keys agree at least and ``errors`` of the overlap's bits differ at most.
+    ``offset`` is the place in the asked print where other's begins.
+    Empty prints, null ids and repeated rows: in no class, in the class, in the class once. Other columns
+    are ignored; empty tables give empty tables."""
+    hashes = {"take": F.xxhash64("print"), "take2": F.xxhash64(F.lit(5), "print")}
+    prints = scratch.keep(prints.where("length(print) > 0").select("id", "print").withColumns(hashes), "prints")
+    hashed = prints.select("id", "take", "take2")
+    classes = scratch.keep(hashed.where("id is not null").groupBy("take", "take2").agg(F.min("id").alias("rep")), "classes")
+    members = hashed.join(classes, ["take", "take2"]).select("id", "rep")
+    own = prints.join(classes.withColumnRenamed("rep", "id"), ["id", "take", "take2"], "left_semi").dropDuplicates(["id", "take", "take2"])
+    own = scratch.keep(own.select("id", F.lit(0).alias("phase"), "take", "print"), "own")
+    named = asked.where("length(print) > 0 and id is not null").select("id", "phase", "print").withColumns(hashes).join(members.distinct(), "id", "left")
+    asked = scratch.keep(named.select(F.coalesce("rep", "id").alias("id"), "phase", "print", "take", "take2").dropDuplicates(["id", "phase", "take", "take2"]), "asked")
+    keyed = "id long, phase int, take long, key long, at int"
+    other = own.mapInArrow(_keys, keyed).select(F.col("id").alias("other"), F.col("take").alias("other_take"), "key", F.col("at").alias("other_at"))
+    met = asked.mapInArrow(_keys, keyed).join(other, "key").where("id != other")
+    counts = met.groupBy("id", "phase", "take", "other", "other_take", (F.col("at") - F.col("other_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+    both = counts.join(asked.drop("take2"), ["id", "phase", "take"]).join(own.select(F.col("id").alias("other"), F.col("take").alias("other_take"), F.col("print").alias("other_print")), ["other", "other_take"])
+    matched = both.mapInArrow(_errors, "id long, phase int, other long, offset int, votes long, overlap long, bit_errors long")
+    order = Window.partitionBy("id", "other").orderBy(F.col("bit_errors") / F.col("overlap"), F.desc("votes"), F.abs("offset"), "offset", "phase")
+    passing = matched.where(F.col("bit_errors") <= errors * 32 * F.col("overlap"))
+    return members, passing.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+
+def wav_of(samples: np.ndarray) -> bytes:
+    """A recording of 16-bit samples at RATE."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(RATE)
+        f.writeframes(samples.astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def _hearer(noise: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch.column("id").to_pylist(), []
+            for i, audio in zip(ids, batch.column("audio"), strict=True):
+                rng, x = np.random.default_rng([7, abs(i or 0)]), samples_of(audio.as_py())
+                x = x[int(rng.integers(0, len(x) // 3 + 1)) :]
+                x = np.clip(x + rng.normal(0, noise, len(x)), -1, 1)
+                rows.append(wav_of(x * 32767) if len(x) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["id", "audio"])
+
+    return run
+
+
+def heard(media: DataFrame, noise: float = 0.01) -> DataFrame:
+    """(id, audio): each recording as another device may have taken it, from a place in its first third
+    on that its id gives, with white noise of amplitude ``noise``. No recording stays none."""
+    return media.select(F.col("id").cast("long"), F.col("audio").cast("binary")).mapInArrow(_hearer(noise), "id long, audio binary")
 
 
 def _tones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +234,7 @@ def _tones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for v in vectors[i : i + 64]:
                 x = np.array([np.nan if y is None else y for y in v or []], float)
                 note = np.where(np.isfinite(x), np.clip(np.nan_to_num(x) * max(1, len(x)) ** 0.5 * 8 + 24, 0, 47), 48).astype(int)
-                out = io.BytesIO()
-                with wave.open(out, "wb") as f:
-                    f.setnchannels(1)
-                    f.setsampwidth(2)
-                    f.setframerate(RATE)
-                    f.writeframes(notes[note].tobytes())
-                rows.append(out.getvalue() if len(x) else None)
+                rows.append(wav_of(notes[note].ravel()) if len(x) else None)
             yield pa.RecordBatch.from_arrays([ids.slice(i, len(rows)), pa.array(rows, pa.binary())], names=["id", "audio"])
 
 

@@ -37,13 +37,17 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings that play the vectors of ``embeddings``: every row's class, and the alignments
-    of the classes that hold an id divisible by 20 with all others."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"))
-    members, found = audio.align(audio.fingerprints(audio.sonified(rows)), rows.where("id % 20 = 0"), Scratch(spark, "op5"))
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("offset", "int"), ("votes", "long"), ("overlap", "long"), ("bit_errors", "long"))]
+    """Recordings that play the vectors of ``embeddings``: every row's class (``member``), and of the ids
+    divisible by 20 the alignments with all classes, of the recording itself with others (``aligned``)
+    and of an excerpt of it, begun anywhere and with noise, also with its own (``heard``)."""
+    media = audio.sonified(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values")))
+    asked = media.where("id % 20 = 0")
+    excerpts = audio.heard(asked).withColumn("id", -1 - F.col("id"))
+    members, found = audio.align(audio.fingerprints(media), audio.fingerprints(asked.unionByName(excerpts), audio.PHASES), Scratch(spark, "op5"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("phase", "int"), ("offset", "int"), ("votes", "long"), ("overlap", "long"), ("bit_errors", "long"))]
     members = members.select(F.lit("member").alias("kind"), F.col("rep").alias("vec_id"), F.col("id").alias("other_id"), *none)
-    return members.unionByName(found.select(F.lit("aligned").alias("kind"), F.col("rep").alias("vec_id"), F.col("other").alias("other_id"), "offset", "votes", "overlap", "bit_errors"))
+    kind, own = F.when(F.col("id") < 0, "heard").otherwise("aligned"), F.when(F.col("id") < 0, -1 - F.col("id")).otherwise(F.col("id"))
+    return members.unionByName(found.select(kind.alias("kind"), own.alias("vec_id"), F.col("other").alias("other_id"), "phase", "offset", "votes", "overlap", "bit_errors"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
