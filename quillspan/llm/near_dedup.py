@@ -2,7 +2,7 @@
 signatures, confirmation on the full shingle sets, and connected components.
 
 Scale: equal shingle sets are one class before anything is compared, and a class takes
-part through its smallest document. Each bucket of a band first links its members to the
+part as one node, whose number follows the order of the classes' smallest documents. Each bucket of a band first links its members to the
 member with the most copies, which is linear in the bucket. What is left are buckets whose
 members are not all linked yet. Of each member of those, the shingles are counted that any
 other such member has: two sets with n and m shingles of which at most s and t are shared
@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import words
 from quillspan.llm.components import components
-from quillspan.llm.scratch import Scratch
+from quillspan.llm.scratch import Scratch, unused
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 28, 4
 #: Minima that must agree for a pair to be confirmed on its full sets. With 112 minima and a true
 #: similarity of 0.75 fewer than 56 agree with a chance below 1e-8.
 AGREE = 0.5
 LOST = ("lost0", "lost1", "lost2", "lost3")
-FEATURES = "doc_id long, n_shingles int, set_hi long, set_lo long, bands array<long>, signature binary"
+FEATURES = "doc_id long, text_key long, n_shingles int, set_hi long, set_lo long, bands array<long>, signature binary"
+SET = ["n_shingles", "set_hi", "set_lo"]
 
 
 def signatures(k: int, bands: int, rows: int, seed: int):
@@ -50,7 +51,7 @@ def signatures(k: int, bands: int, rows: int, seed: int):
 
     def run(batches):
         for batch in batches:
-            ids, sizes, hi, lo, keys, signs = batch.column("doc_id"), [], [], [], [], []
+            sizes, hi, lo, keys, signs = [], [], [], [], []
             for x in words.shingle_sets(batch.column("text"), k):
                 sizes.append(len(x))
                 p, q = struct.unpack("<qq", hashlib.blake2b(x.tobytes(), digest_size=16).digest())
@@ -66,8 +67,8 @@ def signatures(k: int, bands: int, rows: int, seed: int):
             at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(signs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_hi", "set_lo", "bands", "signature"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(signs, pa.binary())],
+                names=["doc_id", "text_key", *SET, "bands", "signature"],
             )
 
     return run
@@ -123,20 +124,36 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
 
     The minima find a pair of similarity 0.75 with a chance of 1 - (1 - 0.75**rows)**bands,
     0.99998 here, and nearly surely the more similar ones and those that others link."""
-    found = scratch.keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signatures(k, bands, rows, seed), FEATURES), "features")
+    out = placed(docs, scratch, k, percent, bands, rows, seed)
+    out = out.select("doc_id", F.col("n_shingles").cast("long"), F.when(F.col("doc_id").isNotNull(), F.coalesce("first_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells rows of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+
+
+def placed(docs: DataFrame, scratch: Scratch, k: int, percent: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, first_id, first_key): the row that comes first, by doc_id and then
+    text_key, of those that links lead to; null for empty sets and null ids."""
+    found = scratch.keep(keyed(docs).mapInArrow(signatures(k, bands, rows, seed), FEATURES), "features")
     sets = found.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.keep(sets.groupBy("n_shingles", "set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    heads = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "set_hi", "set_lo", F.col("n").alias("copies"))
-    reps = sets.join(heads, ["doc_id", "n_shingles", "set_hi", "set_lo"]).dropDuplicates(["doc_id", "set_hi", "set_lo"])
-    reps = scratch.keep(reps.select("doc_id", "n_shingles", "copies", "bands", "signature"), "reps")
-    found = scratch.keep(found.select("doc_id", "n_shingles", "set_hi", "set_lo"), "sets")
+    firsts = sets.groupBy(*SET).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("copies")).select("first.*", *SET, "copies")
+    # Numbers of classes grow with their first rows.
+    classes = scratch.keep(firsts.repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key").withColumn("node", F.monotonically_increasing_id()), "classes")
+    heads = classes.select("doc_id", "text_key", "node", "copies")
+    reps = sets.select("doc_id", "text_key", "n_shingles", "bands", "signature").join(heads, ["doc_id", "text_key"]).dropDuplicates(["node"])
+    reps = scratch.keep(reps.select(F.col("node").alias("doc_id"), "n_shingles", "copies", "bands", "signature"), "reps")
+    found = scratch.keep(found.select("doc_id", "text_key", *SET), "sets")
     scratch.drop("features")
     rows_of = reps.select("doc_id", "n_shingles", "copies", F.posexplode("bands").alias("band", "key"))
     shared = rows_of.groupBy("band", "key").agg(F.max(F.struct("copies", -F.col("doc_id"))).alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = shared.select("band", "key", (-F.col("head.col2")).alias("head"))
     member = scratch.keep(rows_of.join(shared, ["band", "key"]).drop("copies"), "members")
 
-    texts = _texts(docs, member.select("doc_id").distinct())
+    wanted = classes.select("doc_id", "text_key", "node").join(member.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
+    texts = keyed(docs).join(wanted.hint("merge"), ["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text")
     texts = scratch.keep(texts, "texts", compression="zstd")
 
     near = scratch.keep(_links(member.where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct(), reps, texts, scratch, "near", k, percent, bands, rows), "near")
@@ -162,12 +179,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent
     more = scratch.keep(_links(pairs, reps, texts, scratch, "rest", k, percent, bands, rows), "more").where("linked").select("u", "v")
     scratch.drop("members", "placed", "open", "able", "shingles", "texts")
 
-    alike = components(tied.unionByName(more), scratch).select(F.col("u").alias("rep"), F.col("v").alias("c"))
+    alike = components(tied.unionByName(more), scratch).select(F.col("u").alias("node"), F.col("v").alias("c"))
     scratch.drop("reps", "near", "more", "near-likely", "rest-likely")
-    named = classes.join(alike, "rep", "left").select("n_shingles", "set_hi", "set_lo", F.coalesce("c", "rep").alias("c"))
-    out = found.join(named, ["n_shingles", "set_hi", "set_lo"], "left")
-    out = out.select("doc_id", F.col("n_shingles").cast("long"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = classes.select(*SET, "node").join(alike, "node", "left").select(*SET, F.coalesce("c", "node").alias("c"))
+    named = named.join(classes.select(F.col("node").alias("c"), F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key")), "c").drop("c")
+    known = F.col("doc_id").isNotNull()
+    return found.join(named, SET, "left").select("doc_id", "text_key", "n_shingles", *(F.when(known, F.col(c)).alias(c) for c in ("first_id", "first_key")))
 
 
 def _labels(tied: DataFrame) -> DataFrame:
@@ -197,11 +214,10 @@ def _shared_counts(part: DataFrame, texts: DataFrame, scratch: Scratch, k: int)
     return rows.join(common, "g").groupBy("doc_id").agg(F.count("*").alias("s"))
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of some documents. Both sides are always shuffled: how many ids there are
     grows with the documents, so that a plan that broadcasts them is one for small tables only."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    return rows.join(ids.hint("merge"), "doc_id", "left_semi")
+    return texts.join(ids.hint("merge"), "doc_id", "left_semi")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, name: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
@@ -214,9 +230,14 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch
     return with_both.mapInArrow(confirm(k, percent), f"u long, v long, common long, linked boolean, {' long, '.join(LOST)} long")
 
 
-def drop_near_duplicates(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """``docs`` without the rows whose document isn't its component's smallest; all columns
-    stay. Rows with a null doc_id stay; of rows that repeat a doc_id one stays."""
-    gone = near_duplicates(docs, scratch, **options).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, seed: int = 11) -> DataFrame:
+    """``docs`` with one row of each component, the first by doc_id and then a hash of its text; all columns stay.
+
+    Rows are told apart by doc_id and text: of those that repeat both one stays, and rows that
+    repeat a doc_id with other texts are judged each by its own. Rows with a null doc_id stay, and so do empty texts."""
+    found = placed(docs, scratch, k, percent, bands, rows, seed)
+    d, t = unused(docs, "_d"), unused(docs, "_t")
+    gone = found.where("not (doc_id = first_id and text_key = first_key)").select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct()
+    named = docs.where("doc_id is not null").withColumns({d: F.col("doc_id").cast("long"), t: F.xxhash64(F.col("text").cast("string"))})
+    kept = named.join(gone.hint("merge"), [d, t], "left_anti").dropDuplicates([d, t])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -74,6 +74,20 @@ def test_one_of_each_group_stays(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c", "t"), (None, "a b c", "u"), (2, "other", None)], key=str)
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    """Rows that repeat an id with other texts stay, unless they are like a row that comes before them."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "zz")
+    stage = lambda rows: sorted(map(tuple, near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()))
+    assert stage([(1, a), (1, b), (2, a), (3, c)]) == sorted([(1, a), (1, b), (3, c)])
+    got = stage([(1, a), (4, near), (4, c), (4, c), (5, b), (5, b.upper())])
+    assert len(got) == 3 and got[:2] == [(1, a), (4, c)] and got[2] in ((5, b), (5, b.upper()))
+    assert len(stage([(7, a), (7, near)])) == 1
+    clashing = spark.createDataFrame([(1, a, "x", 5), (2, a, "y", 6)], "doc_id long, text string, _d string, text_key int")
+    got = near_dedup.drop_near_duplicates(clashing, Scratch(spark, "t"))
+    assert got.columns == clashing.columns and [tuple(r) for r in got.collect()] == [(1, a, "x", 5)]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
