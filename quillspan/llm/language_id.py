@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import words
-from quillspan.llm.scratch import Scratch
+from quillspan.llm.scratch import Scratch, unused
 
 BUCKETS, ORDER = 1 << 14, 3
 FIT_ROWS, LANDMARKS, RIDGE = 2_000, 256, 0.1
@@ -125,19 +125,20 @@ def fit(docs: DataFrame, scratch: Scratch, folds: int = 4, fold: int = 2, rows:
     return solve(grid, np.array([languages.index(r.lang) for r in got]), languages, landmarks)
 
 
-def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score (0 to 1, near 0 for text unlike any learned).
+def predict(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred and score (0 to 1, near 0 for text unlike any learned),
+    called ``names``, which aren't among them.
 
     Text that is null or has no letter is ``und`` with score 0; so is any text if there was
     nothing to learn from. Neither lang nor source nor doc_id is looked at."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [*keep]
+    columns, source = [*keep], unused(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread.value
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(source)
             ok = np.array([has_letter(t) for t in texts.to_pylist()], bool)
             best, score = np.full(len(ok), UNKNOWN, object), np.zeros(len(ok))
             if m is not None:
@@ -148,10 +149,10 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                     best[own] = np.array(m.languages, object)[top]
                     score[own] = np.clip(value[np.arange(len(top)), top], 0, 1)
                 best[~ok], score[~ok] = UNKNOWN, 0.0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(best.tolist(), pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(best.tolist(), pa.string()), pa.array(score)], names=[*columns, *names])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "lang_pred string", "score double"])
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), f"`{names[0]}` string", f"`{names[1]}` double"])
+    return docs.select(*columns, F.col("text").cast("string").alias(source)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, scratch: Scratch, folds: int = 4, fold: int = 2, **options) -> DataFrame:
@@ -164,8 +165,7 @@ def identify(docs: DataFrame, scratch: Scratch, folds: int = 4, fold: int = 2, *
 
 
 def keep_known(docs: DataFrame, scratch: Scratch, reject: float = REJECT, **options) -> DataFrame:
-    """``docs`` without the rows that get no language, or one with a score up to ``reject``.
-    All columns stay, but those named lang_pred or score."""
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    judged = predict(docs, fit(docs, scratch, **options), *columns)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > reject)).select(*columns)
+    """``docs`` without the rows that get no language, or one with a score up to ``reject``. All columns stay."""
+    names = unused(docs, "lang_pred"), unused(docs, "score")
+    judged = predict(docs, fit(docs, scratch, **options), *docs.columns, names=names)
+    return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) > reject)).select(*docs.columns)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillspan.llm import language_id
 from quillspan.llm.queries import QUERIES
@@ -52,8 +53,12 @@ def test_nulls_odd_texts_and_clashing_columns(spark):
     by = {r.doc_id: r for r in got}
     assert all(by[d].lang_pred == "und" and by[d].score == 0 for d in (100, 101, 102))
     assert by[103].lang_pred == "de" and by[None].lang_pred == "en" and by[None].held_out is False
-    kept = language_id.keep_known(docs.drop("lang_pred", "score"), Scratch(spark, "t"))
-    assert kept.columns == ["doc_id", "text", "lang"] and {100, 101, 102}.isdisjoint({r.doc_id for r in kept.collect()})
+    odd = docs.withColumns({"_text": F.lit(7), "Score_": F.lit("y")})
+    kept = language_id.keep_known(odd, Scratch(spark, "t"))
+    assert kept.columns == odd.columns
+    left = kept.collect()
+    assert {100, 101, 102}.isdisjoint({r.doc_id for r in left})
+    assert {(r.lang_pred, r.score, r["_text"], r["Score_"]) for r in left} == {("x", 0.5, 7, "y")}
 
 
 def test_nothing_to_learn_from_and_empty_tables(spark):
