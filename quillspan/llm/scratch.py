@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; one is made only where the session has none."""
+    """The cluster's ``spark.checkpoint.dir``; a local session that has none is given one. On a cluster
+    there must be one, as executors don't see a folder of the driver's machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
