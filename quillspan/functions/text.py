@@ -9,6 +9,8 @@ TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 #: Where a heading's or paragraph's text ends, closed or not; a mark is put there before matching.
 PART_END = r"(?i)(<h[1-6]\b|<p\b|</h[1-6]>|</p>|</article>|</body>)"
 PART, PARAGRAPH = r"(?i)<(h[1-6]|p)\b[^>]*>([^\x01]*)", r"(?i)<p\b[^>]*>([^\x01]*)"
+#: An anchor's address, in double quotes, single quotes or none.
+HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 RISKY = ("login", "signup", "account", "captcha", "auth", "cookie")  # fixed values
 
 
@@ -48,10 +50,10 @@ def page_key(url: Column) -> Column:
 
 
 def real_url(url: Column) -> Column:
-    """The target of a search engine's redirect: the decoded ``uddg`` parameter, else the URL itself."""
+    """The target of a search engine's redirect: the decoded ``uddg`` parameter, else (also where it can't be decoded) the URL itself."""
     whole = F.when(F.startswith(url, F.lit("//")), F.concat(F.lit("https:"), url)).otherwise(url)
     asked = F.regexp_extract(whole, r"[?&]uddg=([^&#]*)", 1)
-    return F.when(asked != "", F.try_url_decode(asked)).otherwise(whole)
+    return F.when(asked != "", F.coalesce(F.try_url_decode(asked), whole)).otherwise(whole)
 
 
 def risky(url: Column) -> Column:
@@ -59,16 +61,31 @@ def risky(url: Column) -> Column:
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """``href`` seen from ``base``: absolute, scheme-relative, root-relative, or beside the page."""
+    """``href`` seen from ``base`` as a browser resolves it: absolute, scheme-relative, root-relative, a query or
+    fragment of the page itself, or beside the page; ``.`` and ``..`` are taken out of the path. White space around it goes."""
+    href = F.trim(href)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     folder = F.regexp_replace(url_path(base), r"[^/]*$", "")
-    root = F.concat(scheme, F.lit("://"), authority(base))
-    return (
+    root, page = F.concat(scheme, F.lit("://"), authority(base)), F.regexp_extract(base, r"^([^?#]*)", 1)
+    whole = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
         .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(href == "", base)
+        .when(F.startswith(href, F.lit("?")), F.concat(page, href))
+        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
     )
+    return F.when(url_path(whole).rlike(r"/\.\.?(/|$)"), without_dots(whole)).otherwise(whole)
+
+
+def without_dots(url: Column) -> Column:
+    """``url`` with ``.`` and ``..`` taken out of its path; ``..`` at the root goes."""
+    parts = F.slice(F.split(url_path(url), "/"), 2, 1_000_000)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    # A path that ends in . or .. names a folder.
+    tail = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.lit("/"), F.array_join(kept, "/"), tail, F.regexp_extract(url, r"^[^?#]*(.*)$", 1))
 
 
 def without_code(html: Column) -> Column:

@@ -11,6 +11,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PAGE = ["doc_id", "page_number"]
 
@@ -68,13 +69,13 @@ def clean_regions(regions: DataFrame, far: int = 2, share: float = 0.7) -> DataF
     return _grouped(regions, PAGE, fold)
 
 
-def _merged(rows: list[dict], joins, glue: str, widen) -> list[dict]:
+def _merged(rows: list[dict], joins, glue, widen) -> list[dict]:
     """Fold ``rows``: the next row is put on the last while ``joins`` says so."""
     out: list[dict] = []
     for r in rows:
         if out and joins(out[-1], r):
             last = out[-1]
-            last["text"] = (last["text"] or "") + glue + (r["text"] or "")
+            last["text"] = glue(last["text"] or "", r["text"] or "")
             widen(last, r)
         else:
             out.append(dict(r))
@@ -86,45 +87,68 @@ def _widen(last: dict, r: dict) -> None:
     last["top"], last["bottom"] = min(last["top"], r["top"]), max(last["bottom"], r["bottom"])
 
 
-def _average(last: dict, r: dict) -> None:
-    last["x1"] = max(last["x1"], r["x1"])
-    last["top"], last["bottom"] = (last["top"] + r["top"]) / 2, (last["bottom"] + r["bottom"]) / 2
+# Box types that lines aren't merged in; signs at the end of a text, or before its last character, and at
+# the beginning of the next that go on with a paragraph; signs that end one, and those that do so in English text.
+APART = ("table", "figure", "equation")
+GOES_ON, GOES_ON_BEFORE_LAST, CONTINUES = ",;:'\"，、‘“；：-", ",;:'\"，‘“、；：", "。；？！?”）),，、："
+ENDS, ENDS_ENGLISH = "。？！?", ".!?"
 
 
-def _height(b: pd.DataFrame) -> float:
-    return float((b["bottom"] - b["top"]).median()) if len(b) else 0.0
+def _by_column(boxes: DataFrame, heights: DataFrame | None, merge) -> DataFrame:
+    """``merge(rows, height)`` of the boxes of each column of a page, from the top. Where boxes have no ``col_id``
+    yet, columns are found first. ``heights`` (doc_id, page_number, mean_height) are the pages' median
+    character heights; a page without one has the median of its boxes."""
+    found = "col_id" in boxes.columns
+    schema = ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ("" if found else ", col_id int")
+    rows = boxes if heights is None else boxes.join(heights.select(*PAGE, F.col("mean_height").alias("_height")), PAGE, "left")
 
+    def fold(b: pd.DataFrame) -> pd.DataFrame:
+        height = float(b["_height"].iloc[0] or 0) if "_height" in b else 0.0
+        if not height > 0:
+            height = float((b["bottom"] - b["top"]).median())
+        b = b.drop(columns="_height", errors="ignore")
+        b = b if found else _with_columns(b)
+        out = [r for _, own in b.groupby("col_id", dropna=False, sort=True) for r in merge(own.sort_values(["top", "x0", "box_no"]).to_dict("records"), height)]
+        return pd.DataFrame(out, columns=b.columns)
 
-def merge_lines(boxes: DataFrame) -> DataFrame:
-    """Neighbours of one line and layout, but tables, figures and equations, become one box."""
+    return _grouped(rows, PAGE, fold, schema)
 
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        near = _height(b) / 3
-        rows = b.sort_values(["top", "x0", "box_no"]).to_dict("records")
-        apart = ("table", "figure", "equation")
-        joins = lambda a, r: a["layoutno"] == r["layoutno"] and a["layout_type"] not in apart and r["layout_type"] not in apart and abs(a["top"] + a["bottom"] - r["top"] - r["bottom"]) / 2 < near
-        return pd.DataFrame(_merged(rows, joins, "", _average), columns=b.columns)
 
-    return _grouped(boxes, PAGE, fold)
+def merge_lines(boxes: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """Neighbours in a column of one layout, but tables, figures and equations, whose middles are less than a third of the
+    page's character height apart become one box: texts are joined without a space, the right edge
+    is the last one's, top and bottom are averaged. Boxes without a layout number stay alone."""
 
+    def widen(last: dict, r: dict) -> None:
+        last["x1"], last["top"], last["bottom"] = r["x1"], (last["top"] + r["top"]) / 2, (last["bottom"] + r["bottom"]) / 2
 
-def merge_paragraphs(boxes: DataFrame) -> DataFrame:
-    """Boxes of one layout down a page become one where they are close, overlap in width, and the
-    upper doesn't end a sentence or the lower continues one."""
+    def merge(rows: list[dict], height: float) -> list[dict]:
+        joins = lambda a, r: bool(a["layoutno"]) and a["layoutno"] == r["layoutno"] and a["layout_type"] not in APART and abs(a["top"] + a["bottom"] - r["top"] - r["bottom"]) / 2 < height / 3
+        return _merged(rows, joins, lambda a, b: a + b, widen)
+
+    return _by_column(boxes, heights, merge)
 
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        near = 1.5 * _height(b)
 
-        def joins(a: dict, r: dict) -> bool:
-            over = min(a["x1"], r["x1"]) - max(a["x0"], r["x0"])
-            width = max(1e-9, min(a["x1"] - a["x0"], r["x1"] - r["x0"]))
-            above, below = (a["text"] or "").strip(), (r["text"] or "").strip()
-            goes_on = bool(re.search(r"[,;:'\"，、‘“；：-]$", above)) or bool(re.match(r"[。；？！?”）),，、：]", below))
-            return a["layoutno"] == r["layoutno"] and r["top"] - a["bottom"] <= near and over / width >= 0.3 and (goes_on or not re.search(r"[。？！?.]$", above))
+def merge_paragraphs(boxes: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """Boxes of one layout down a column become one, with a space between, where they are at most 1.5 character heights
+    apart, share 0.3 of the narrower's width, and the upper doesn't end a sentence or signs say that it goes on.
+    Blank boxes go. A column ``is_english``, where there is one, says whether ``.`` and ``!`` end a sentence too."""
 
-        return pd.DataFrame(_merged(b.sort_values(["top", "x0", "box_no"]).to_dict("records"), joins, " ", _widen), columns=b.columns)
+    def joins(a: dict, r: dict, height: float) -> bool:
+        over, width = max(0, min(a["x1"], r["x1"]) - max(a["x0"], r["x0"])), max(1, min(a["x1"] - a["x0"], r["x1"] - r["x0"]))
+        above, below = a["text"].strip(), r["text"].strip()
+        goes_on = above[-1] in GOES_ON or above[-2:-1] != "" and above[-2] in GOES_ON_BEFORE_LAST or below[0] in CONTINUES
+        ends = above[-1] in ENDS or (a.get("is_english") is True and above[-1] in ENDS_ENGLISH)
+        return a["layoutno"] == r["layoutno"] and r["top"] - a["bottom"] <= 1.5 * height and over / width >= 0.3 and (goes_on or not ends)
 
-    return _grouped(boxes, PAGE, fold)
+    def widen(last: dict, r: dict) -> None:
+        last["x0"], last["x1"], last["bottom"] = min(last["x0"], r["x0"]), max(last["x1"], r["x1"]), r["bottom"]
+
+    def merge(rows: list[dict], height: float) -> list[dict]:
+        solid = [r | {"text": r["text"].strip()} for r in rows if (r["text"] or "").strip()]
+        return _merged(solid, lambda a, r: joins(a, r, height), lambda a, b: f"{a} {b}", widen)
+
+    return _by_column(boxes, heights, merge)
 
 
 def merge_bullets(boxes: DataFrame) -> DataFrame:
@@ -134,31 +158,37 @@ def merge_bullets(boxes: DataFrame) -> DataFrame:
         b = b[b["text"].fillna("").str.strip() != ""].sort_values(["page_number", "top", "x0", "box_no"])
         first = lambda x: x["text"].strip()[0]
         joins = lambda a, r: first(a) == first(r) and not re.match("[A-Za-z一-鿿]", first(r)) and a["page_number"] == r["page_number"] and a["top"] <= r["bottom"]
-        return pd.DataFrame(_merged(b.to_dict("records"), joins, "\n", _widen), columns=b.columns)
+        return pd.DataFrame(_merged(b.to_dict("records"), joins, lambda x, y: f"{x}\n{y}", _widen), columns=b.columns)
 
     return _grouped(boxes, ["doc_id"], fold)
 
 
+# Headings, without their spaces, and what a heading in Latin letters is made of.
+CONTENTS, LATIN = ("contents", "目录", "目次", "致谢", "acknowledge"), r"[0-9a-zA-Z :'.-]{5,}"
+
+
 def drop_contents(boxes: DataFrame, reach: int = 128) -> DataFrame:
-    """Without a contents or acknowledgement heading and the entries after it, up to the next box
-    that begins as the first entry does."""
+    """Without a contents or acknowledgement heading, its first entry, and what follows up to the next of ``reach``
+    boxes that begins as that entry does: with its first three characters, or its first two words
+    where the heading is in Latin letters. Blank boxes before the entry go too."""
 
     def fold(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["page_number", "top", "x0", "box_no"])
-        texts = [(t or "").strip() for t in b["text"]]
+        texts = [t or "" for t in b["text"]]
         gone, i = set(), 0
         while i < len(texts):
-            if re.fullmatch(r"(contents|目录|目次|table of contents|致谢|acknowledge)", re.sub(r"[ 　]+", "", texts[i].lower()) if not texts[i].lower().startswith("table") else texts[i].lower()):
-                gone.add(i)
-                start = next((j for j in range(i + 1, len(texts)) if texts[j]), None)
-                if start is None:
-                    break
-                head = texts[start][:3]
-                end = next((j for j in range(start + 1, min(start + reach, len(texts))) if texts[j].startswith(head)), start + 1)
-                gone.update(range(i, end))
-                i = end
-            else:
+            if re.sub("[ \u3000]+", "", texts[i].lower()) not in CONTENTS:
                 i += 1
+                continue
+            latin = re.match(LATIN, texts[i].strip())
+            start = next((j for j in range(i + 1, len(texts)) if texts[j].strip()), len(texts))
+            gone.update(range(i, start + 1))
+            if start == len(texts):
+                break
+            entry = texts[start].strip()
+            head = " ".join(entry.split()[:2]) if latin else entry[:3]
+            i = next((j for j in range(start + 1, min(start + 1 + reach, len(texts))) if texts[j].startswith(head)), start + 1)
+            gone.update(range(start, i))
         return b.iloc[[j for j in range(len(b)) if j not in gone]]
 
     return _grouped(boxes, ["doc_id"], fold)
@@ -191,20 +221,20 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     return float(value.mean())
 
 
+def _with_columns(b: pd.DataFrame, most: int = 4) -> pd.DataFrame:
+    b = b.sort_values("box_no")
+    x = b["x0"].to_numpy(float)
+    width = float(b["x1"].max() - x.min()) or 1.0
+    snapped = np.where(x - x.min() < 0.12 * width, x.min(), x)
+    fits = {k: silhouette(snapped, kmeans(snapped, k)) for k in range(2, min(most, len(np.unique(snapped))) + 1)}
+    k = max(fits, key=lambda n: (fits[n], -n)) if fits and max(fits.values()) > 0 else 1
+    return b.assign(col_id=kmeans(x, k).astype("int32"))
+
+
 def assign_columns(boxes: DataFrame, most: int = 4) -> DataFrame:
     """``col_id`` of each box in its page, from left to right: left edges within 12 % of the page's width
     count as its least; as many columns as part those edges best."""
-
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("box_no")
-        x = b["x0"].to_numpy(float)
-        width = float(b["x1"].max() - x.min()) or 1.0
-        snapped = np.where(x - x.min() < 0.12 * width, x.min(), x)
-        fits = {k: silhouette(snapped, kmeans(snapped, k)) for k in range(2, min(most, len(np.unique(snapped))) + 1)}
-        k = max(fits, key=lambda n: (fits[n], -n)) if fits and max(fits.values()) > 0 else 1
-        return b.assign(col_id=kmeans(x, k).astype("int32"))
-
-    return _grouped(boxes, PAGE, fold, ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ", col_id int")
+    return _grouped(boxes, PAGE, lambda b: _with_columns(b, most), ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ", col_id int")
 
 
 def table_grid(cells: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators import retrieval as R
+
 PAYLOAD = "session_id string, chat_type string, message struct<user:string,system:string>"
 
 
@@ -55,6 +57,26 @@ def recent_messages(sessions: DataFrame, messages: DataFrame, limit: int = 10, l
     return sessions.select("session_id").join(lists, "session_id", "left").select("session_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))
 
 
+def similar_messages(requests: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, id, role, score, rank): for each request (query_id, vector) the ``k`` nearest message vectors (id,
+    role, vector, ...) of all sessions, among those of the same dimension. None where there are none."""
+    found = R.knn_join(requests, vectors, k)
+    return found.join(vectors.select("id", "role"), "id").select("query_id", "id", "role", "score", "rank")
+
+
+def load_memory(requests: DataFrame, sessions: DataFrame, messages: DataFrame, vectors: DataFrame, limit: int = 10, k: int = 5) -> DataFrame:
+    """(query_id, session_id, recent, related, summary) for each request (query_id, session_id, vector): the first ``limit``
+    messages after the session's checkpoint, the ``k`` similar ones of (id, role, content, vector) and the
+    session's summary; empty for an unknown session, a null vector or where nothing is near."""
+    near = R.knn_join(requests, vectors, k).join(vectors.select("id", "role", "content"), "id")
+    line = F.concat("role", F.lit(": "), "content").alias("line")
+    related = near.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", line))), lambda x: x["line"]).alias("related"))
+    recent = recent_messages(sessions, messages, limit).select("session_id", F.col("messages").alias("recent"))
+    out = requests.select("query_id", "session_id").join(recent, "session_id", "left").join(sessions.select("session_id", "summary"), "session_id", "left").join(related, "query_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select("query_id", "session_id", F.coalesce("recent", none).alias("recent"), F.coalesce("related", none).alias("related"), F.coalesce("summary", F.lit("")).alias("summary"))
+
+
 def session_info(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """(session_id, brief, n_after, last_ts): the title and what came after the checkpoint."""
     counts = since_checkpoint(sessions, messages).groupBy("session_id").agg(F.count("*").alias("n_after"), F.max("ts").alias("last_ts"))
@@ -92,12 +114,22 @@ def session_brief(brief: Column, user: Column) -> Column:
 
 
 def normalize_history(rows: DataFrame) -> DataFrame:
-    """(…, role, text) of strings with a ``system:`` or ``user:`` prefix; others are dropped."""
+    """(..., role, text) of history items: strings with a ``system:`` or ``user:`` prefix in ``item``, or structs or maps
+    {system}, {user} where ``item`` is one. A struct with both gives its system text. Others are dropped."""
     item = F.col("item")
-    role = F.when(item.startswith("system:"), "system").when(item.startswith("user:"), "user")
-    return rows.withColumn("role", role).where("role is not null").withColumn("text", F.trim(F.substring(item, F.length("role") + 2, F.length(item))))
+    kind = rows.schema["item"].dataType
+    if kind.typeName() == "string":
+        role = F.when(item.startswith("system:"), "system").when(item.startswith("user:"), "user")
+        return rows.withColumn("role", role).where("role is not null").withColumn("text", F.trim(F.substring(item, F.length("role") + 2, F.length(item))))
+    names = [f.name for f in kind] if kind.typeName() == "struct" else ("system", "user")
+    text = {r: item[r].cast("string") if r in names else F.lit(None).cast("string") for r in ("system", "user")}
+    role = F.when(text["system"].isNotNull(), "system").when(text["user"].isNotNull(), "user")
+    return rows.withColumn("role", role).where("role is not null").withColumn("text", F.trim(F.coalesce(text["system"], text["user"])))
 
 
 def render_history(summary: Column, similar: Column, recent: Column) -> Column:
-    """One prompt text: summary on one line, similar messages, and recent ones in brackets."""
-    return F.concat(F.lit("【"), F.regexp_replace(F.coalesce(summary, F.lit("")), "\n", " "), F.lit("】"), F.array_join(similar, ", "), F.lit("【"), F.array_join(recent, ", "), F.lit("】"))
+    """One prompt text: the summary on one line in brackets, or nothing without one; similar
+    messages; recent ones in brackets. Null lists are empty."""
+    line = F.when(F.coalesce(summary, F.lit("")) != "", F.concat(F.lit("【"), F.regexp_replace(summary, "\n", " "), F.lit("】"))).otherwise("")
+    listed = lambda x: F.coalesce(F.array_join(x, ", "), F.lit(""))
+    return F.concat(line, listed(similar), F.lit("【"), listed(recent), F.lit("】"))

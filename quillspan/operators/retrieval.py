@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,62 +10,102 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import vectors as V
+from quillspan.operators import blocks as B
+from quillspan.operators import chunks as C
 
 NO_CONTEXT, APOLOGY = "no context", "sorry, no answer"
+#: Scores are compared to so many places, so that equal vectors tie whichever way they were multiplied; six are shown.
+PLACES = 12
+#: Rows of the base in a cell of a search with many queries.
+CELL = 20_000
 
 
 def top_k(base: DataFrame, query: list[float], k: int, metric: str = "cosine") -> DataFrame:
     """The ``k`` nearest rows of (id, vector) to one query vector, ties by id. No full sort."""
     q = F.array(*map(F.lit, query))
     if metric == "cosine":
-        return base.withColumn("score", F.round(V.cosine(F.col("vector"), q), 6)).orderBy(F.desc("score"), "id").limit(k).drop("vector")
-    return base.withColumn("score", F.round(V.squared_distance(F.col("vector"), q), 6)).orderBy("score", "id").limit(k).drop("vector")
+        found = base.withColumn("score", F.round(V.cosine(F.col("vector"), q), PLACES)).orderBy(F.desc("score"), "id")
+    else:
+        found = base.withColumn("score", F.round(V.squared_distance(F.col("vector"), q), PLACES)).orderBy("score", "id")
+    return found.limit(k).drop("vector").withColumn("score", F.round("score", 6))
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, block: int = 4096, by: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): for every query (query_id, vector) the ``k`` nearest rows of
     (id, vector) by cosine, ties by id; with ``by``, among the rows of the query's own group.
 
-    Queries go to the tasks in blocks of at most ``block``, so memory is bounded; each task
-    multiplies its rows with a block and keeps k for each query, and only those are shuffled."""
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    out = None
-    for i in range(parts):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else queries
-        rows = own.select("query_id", "vector", *([by] if by else [])).collect()
-        found = _nearest(rows, base, k, by)
-        out = found if out is None else out.unionByName(found)
+    Null vectors and ids take no part, and vectors meet those of their own length only. Up to ``block``
+    queries go to the tasks, each of which multiplies its rows with those of their group and keeps ``k``
+    for each query; only these are shuffled. More queries than that are never in one place: they and the base are dealt to
+    cells of about ``block`` queries and ``CELL`` rows of one group and length."""
+    keys = [by] if by else []
+    asked = queries.where("query_id is not null and vector is not null").select("query_id", "vector", *keys)
+    rows = base.where("id is not null and vector is not null").select("id", "vector", *keys)
+    if by:
+        asked = asked.where(F.col(by).isNotNull())
+    few = asked.limit(block + 1).collect()
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(base.dtypes)['id']}, score double"
+    found = _broadcast_search(few, rows, k, by, schema) if len(few) <= block else _cell_search(asked, rows, k, by, block, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 
 
-def _nearest(rows: list, base: DataFrame, k: int, by: str | None) -> DataFrame:
-    ids = np.array([r.query_id for r in rows])
-    matrix = _unit(np.array([r.vector for r in rows], float).reshape(len(rows), -1))
-    groups = np.array([r[by] for r in rows], object) if by else None
-    spread = base.sparkSession.sparkContext.broadcast((ids, matrix, groups))
+def _broadcast_search(few: list, rows: DataFrame, k: int, by: str | None, schema: str) -> DataFrame:
+    tables: dict[tuple, list] = {}
+    for r in few:
+        tables.setdefault((len(r.vector), r[by] if by else None), []).append(r)
+    made = {key: (np.array([r.query_id for r in own], object), _unit(np.array([r.vector for r in own], float).reshape(len(own), -1))) for key, own in tables.items()}
+    groups = {g for _, g in made}
+    if by and len(groups) <= 1000:  # reaches the scan, so that a store's other folders aren't read
+        rows = rows.where(F.col(by).isin(*groups)) if groups else rows.limit(0)
+    spread = rows.sparkSession.sparkContext.broadcast(made)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix, groups = spread.value
         best: list[pd.DataFrame] = []
         for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            score = np.round(_unit(np.stack(frame["vector"].to_numpy()).astype(float)) @ matrix.T, 6)
-            if groups is not None:
-                score = np.where(frame[by].to_numpy(object)[:, None] == groups[None, :], score, -np.inf)
-            own = frame["id"].to_numpy()
-            place = np.argsort(np.argsort(own, kind="stable"), kind="stable")
-            order = np.lexsort((np.broadcast_to(place[:, None], score.shape), -score), axis=0)[:k]
-            best.append(pd.DataFrame({"query_id": np.repeat(ids[None, :], len(order), 0).ravel(), "id": own[order].ravel(), "score": np.take_along_axis(score, order, 0).ravel()}))
+            for key, own in frame.groupby([frame["vector"].map(len), *([frame[by]] if by else [])], sort=False):
+                found = spread.value.get((key[0], key[1] if by else None))
+                if found is not None:
+                    best.append(_nearest(*found, own, k))
             if len(best) > 8:
                 best = [_kept(best, k)]
         if best:
             yield _kept(best, k)
 
-    kind = dict(base.dtypes)["id"]
-    return base.select("id", "vector", *([by] if by else [])).mapInPandas(run, f"query_id {'string' if len(ids) and isinstance(ids[0], str) else 'long'}, id {kind}, score double")
+    return rows.mapInPandas(run, schema)
+
+
+def _cell_search(asked: DataFrame, rows: DataFrame, k: int, by: str | None, block: int, schema: str) -> DataFrame:
+    group = F.col(by).cast("string") if by else F.lit("")
+    sides = {}
+    for name, df, id_, size in (("q", asked, "query_id", block), ("b", rows, "id", CELL)):
+        own = df.select(F.size("vector").alias("dim"), group.alias("g"), F.col(id_).alias(f"{name}_id"), F.col("vector").alias(f"{name}_vector"))
+        parts = own.groupBy("dim", "g").agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}_parts"))
+        sides[name] = own, parts
+    parts = sides["q"][1].join(sides["b"][1], ["dim", "g"])
+    q = sides["q"][0].join(parts, ["dim", "g"]).withColumn("q_part", F.pmod(F.xxhash64("q_id"), F.col("q_parts")).cast("int"))
+    b = sides["b"][0].join(parts, ["dim", "g"]).withColumn("b_part", F.pmod(F.xxhash64("b_id"), F.col("b_parts")).cast("int"))
+    q = q.withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("b_parts") - 1))).drop("q_parts", "b_parts")
+    b = b.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).drop("q_parts", "b_parts")
+    cell = ["dim", "g", "q_part", "b_part"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        ids, matrix = left["q_id"].to_numpy(object), _unit(np.stack(left["q_vector"].to_numpy()).astype(float))
+        right = right[["b_id", "b_vector"]].set_axis(["id", "vector"], axis=1)
+        return _kept([_nearest(ids, matrix, right.iloc[i : i + 2048], k) for i in range(0, len(right), 2048)], k)
+
+    return q.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(run, schema)
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, frame: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best rows of a frame for each query."""
+    score = np.round(_unit(np.stack(frame["vector"].to_numpy()).astype(float)) @ matrix.T, PLACES)
+    own = frame["id"].to_numpy()
+    place = np.argsort(np.argsort(own, kind="stable"), kind="stable")
+    order = np.lexsort((np.broadcast_to(place[:, None], score.shape), -score), axis=0)[:k]
+    return pd.DataFrame({"query_id": np.repeat(ids[None, :], len(order), 0).ravel(), "id": own[order].ravel(), "score": np.take_along_axis(score, order, 0).ravel()})
 
 
 def _kept(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
@@ -82,12 +122,25 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def route_query(queries: DataFrame, registry: DataFrame, least: float = 0.5) -> DataFrame:
     """(query_id, table_id, sim): the collection whose description is nearest, if at least ``least``; else null.
 
-    The queries go to the registry's tasks in blocks, as in :func:`knn_join`; ties by id."""
+    As :func:`knn_join`, so that no queries or an empty registry give no route; ties by id."""
     near = knn_join(queries, registry.withColumnRenamed("table_id", "id"), 1).where(F.col("score") >= least)
     best = near.select("query_id", F.col("id").alias("table_id"), F.col("score").alias("sim"))
     return queries.select("query_id").join(best, "query_id", "left")
 
 
+def gate_long_text(docs: DataFrame, query: str, k: int = 3, longest: int = 6000, least: int = 60, most: int = 200, embed: Callable[[pd.Series], np.ndarray] = V.hash_embed) -> DataFrame:
+    """(doc_id, chunk_no, content) of (doc_id, text), without ``----``: texts of up to ``longest`` characters whole,
+    of others the ``k`` chunks nearest to ``query``, ties by chunk_no. A null text isn't passed on."""
+    docs = docs.where("text is not null").select("doc_id", F.replace("text", F.lit("----"), F.lit("")).alias("text"))
+    short = docs.where(F.length("text") <= longest).select("doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("content"))
+    q = F.array(*map(F.lit, embed(pd.Series([query]))[0].tolist()))
+    chunks = C.build_chunks(B.line_blocks(docs.where(F.length("text") > longest)), least=least, most=most)
+    score = F.round(F.coalesce(V.cosine(V.embed(F.col("content"), embed), q), F.lit(0.0)), PLACES)
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_no")
+    near = chunks.withColumn("score", score).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return short.unionByName(near.select("doc_id", "chunk_no", "content"))
+
+
 def format_hits(hits: DataFrame) -> DataFrame:
     """(query_id, context) from (query_id, rank, file_name, title_path, content): headers are left out where empty."""
     head = F.when(F.coalesce("file_name", F.lit("")) != "", F.concat(F.lit("以下内容来自文档《"), "file_name", F.lit("》：\n\n"))).otherwise("")

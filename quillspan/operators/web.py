@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as T
 
 
-def leaf_flags(pages: DataFrame, least: int = 800, many: int = 10) -> DataFrame:
-    """(page_id, n_paragraphs, n_chars, is_leaf): enough text in paragraphs, and an article or many paragraphs."""
+def leaf_flags(pages: DataFrame, *keep: str, least: int = 800, many: int = 10) -> DataFrame:
+    """(page_id, ``keep``, n_paragraphs, n_chars, is_leaf): enough text in paragraphs, and an article or many paragraphs."""
     html = T.marked(F.col("html"))
     parts = F.regexp_extract_all(html, F.lit(T.PARAGRAPH), F.lit(1))
-    rows = pages.select("page_id", parts.alias("p"), html.rlike("(?i)<article\\b").alias("article"))
+    rows = pages.select("page_id", *keep, parts.alias("p"), html.rlike("(?i)<article\\b").alias("article"))
     chars = F.aggregate("p", F.lit(0), lambda s, x: s + F.length(T.plain(x)))
     leaf = (F.col("n_chars") >= least) & (F.col("article") | (F.col("n_paragraphs") > many))
-    return rows.select("page_id", F.size("p").alias("n_paragraphs"), chars.alias("n_chars"), "article").select("page_id", "n_paragraphs", "n_chars", leaf.alias("is_leaf"))
+    return rows.select("page_id", *keep, F.size("p").alias("n_paragraphs"), chars.alias("n_chars"), "article").select("page_id", *keep, "n_paragraphs", "n_chars", leaf.alias("is_leaf"))
 
 
 def extract_links(pages: DataFrame, limit: int = 20) -> DataFrame:
     """(page_id, link_no, url): the first ``limit`` http links of each page, resolved; no shuffle."""
-    hrefs = F.regexp_extract_all(T.without_code(F.col("html")), F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1))
+    found = F.regexp_extract_all(T.without_code(F.col("html")), F.lit(T.HREF), F.lit(1))
+    hrefs = F.transform(found, lambda h: T.unescape(F.when(h.rlike("^[\"']"), F.substring(h, F.lit(2), F.length(h) - 2)).otherwise(h)))
     links = F.transform(F.filter(hrefs, lambda h: ~F.startswith(h, F.lit("#"))), lambda h: T.resolve(h, F.col("url")))
     kept = F.slice(F.filter(links, lambda u: u.rlike("^https?://")), 1, limit)
     return pages.select("page_id", F.posexplode(kept).alias("link_no", "url"))
@@ -53,7 +54,7 @@ def prefer_source(first: DataFrame, second: DataFrame) -> DataFrame:
 def expand_links(cands: DataFrame, pages: DataFrame, per_page: int = 3) -> DataFrame:
     """Content pages of each query: candidates that are leaves, and leaves among up to
     ``per_page`` same-host links, not yet candidates, of those that aren't. (query_id, rank, sub, url)"""
-    known = pages.select("page_id", "url").join(leaf_flags(pages).select("page_id", "is_leaf"), "page_id")
+    known = leaf_flags(pages, "url").select("page_id", "url", "is_leaf")
     found = cands.join(known, "url")
     direct = found.where("is_leaf").select("query_id", "rank", F.lit(0).alias("sub"), "url")
     links = extract_links(pages).withColumnRenamed("url", "link")

@@ -111,10 +111,10 @@ RUNS = """runs AS (SELECT o_orderkey::BIGINT AS run_id, (o_orderkey % 4 - 1)::IN
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, rank, file_name, title_path, content, grade): documents as hits of twenty queries, graded by labels."""
+    """(query_id, rank, file_name, title_path, content, grade): documents as hits of queries, twenty of each at most, graded by labels."""
     d, g = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     rows = d.join(g, "doc_id", "left")
-    return rows.select((F.col("doc_id") % 20).alias("query_id"), F.col("doc_id").alias("rank"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("source", "lang")).alias("title_path"), F.col("text").alias("content"), F.when(F.col("quality") == 1, "yes").otherwise("no").alias("grade"))
+    return rows.select(F.floor(F.col("doc_id") / 20).alias("query_id"), F.col("doc_id").alias("rank"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("source", "lang")).alias("title_path"), F.col("text").alias("content"), F.when(F.col("quality") == 1, "yes").otherwise("no").alias("grade"))
 
 
-HITS = """hits AS (SELECT d.doc_id % 20 AS query_id, d.doc_id AS rank, 'doc_' || d.doc_id || '.txt' AS file_name, CASE WHEN d.doc_id % 3 = 0 THEN []::VARCHAR[] ELSE [source, lang] END AS title_path, text AS content, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS grade FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+HITS = """hits AS (SELECT d.doc_id // 20 AS query_id, d.doc_id AS rank, 'doc_' || d.doc_id || '.txt' AS file_name, CASE WHEN d.doc_id % 3 = 0 THEN []::VARCHAR[] ELSE [source, lang] END AS title_path, text AS content, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS grade FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""

@@ -69,10 +69,11 @@ def document_y(spark, sf_dir):
     return L.to_document_y(boxes(spark, sf_dir), stats(spark, sf_dir)).select("doc_id", "page_number", "box_no", "top", "bottom")
 
 
-@query(with_(BOXES) + r""", t AS (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY box_no) AS text FROM boxes GROUP BY ALL)
-SELECT doc_id, avg(regexp_matches(text, '[ a-zA-Z0-9,/¸;:''\[\]()!@#$%^&*?.-]{30,}')::INTEGER) > 0.5 AS is_english FROM t GROUP BY doc_id""")
+@query(with_(BOXES) + r""", t AS (SELECT doc_id, page_number, string_agg(CASE WHEN doc_id % 2 = 0 THEN replace(text, ' ', '') ELSE text END, chr(10) ORDER BY box_no) AS text FROM boxes GROUP BY ALL)
+SELECT doc_id, avg(regexp_matches(text, '[a-zA-Z0-9,/¸;:''\[\]()!@#$%^&*"?<>._-]{30,}')::INTEGER) > 0.5 AS is_english FROM t GROUP BY doc_id""")
 def english_docs(spark, sf_dir):
-    pages = boxes(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("box_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    rows = boxes(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(" "), F.lit(""))).otherwise(F.col("text")))
+    pages = rows.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("box_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return L.english_docs(pages)
 
 
@@ -141,15 +142,27 @@ def attach_captions(spark, sf_dir):
     return L.attach_captions(b.where("layout_type = 'header'"), own)
 
 
-PATTERNS = "\n".join(f"WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in L.CELL_PATTERNS)
-KIND = rf"""CASE {PATTERNS} WHEN length(text) > 0 AND len(regexp_extract_all(text, '[0-9]')) >= 0.8 * length(text) THEN 'Nr' WHEN n >= 12 THEN 'Lx' WHEN n > 3 THEN 'Tx' ELSE 'Ot' END"""
-CELLTEXTS = r"""texts AS (SELECT l_orderkey AS k, c, text, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS n FROM (SELECT l_orderkey, unnest([0, 1, 2]) AS c, unnest([l_shipdate::DATE::VARCHAR, l_linenumber::VARCHAR, l_returnflag || ' ' || l_linestatus || l_linenumber]) AS text FROM lineitem))"""
+KIND = r"""CASE WHEN regexp_matches(t, '^(19|20)\d\d[年/-]\d\d?[月/-]\d\d?日*$') OR regexp_matches(t, '^(19|20)\d\d(年|[年-]\d\d?月*|年*[一二三四1-4]季度|[A-E])$') OR regexp_matches(t, '^\d\d?[月-]\d\d?日*$') OR regexp_matches(t, '^第*[一二三四1-4]季度$') THEN 'Dt'
+  WHEN regexp_matches(t, '^[0-9.,+%/ -]+$') THEN 'Nu' WHEN regexp_matches(t, '^[0-9A-Z/._~-]+$') THEN 'Ca' WHEN regexp_matches(t, '^[A-Z]*[a-z'' -]+$') THEN 'En'
+  WHEN regexp_matches(t, '^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()'' -]+$') THEN 'NE' WHEN length(t) = 1 THEN 'Sg'
+  WHEN length(replace(t, ' ', '')) > 0 AND len(regexp_extract_all(t, '[0-9.,+-]')) >= 0.8 * length(replace(t, ' ', '')) THEN 'Nr' WHEN n >= 12 THEN 'Lx' WHEN n > 3 THEN 'Tx' ELSE 'Ot' END"""
+CELLTEXTS = r"""texts AS (SELECT l_orderkey AS k, c, trim(text) AS t, len(regexp_extract_all(regexp_replace(text, '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS n FROM (SELECT l_orderkey, unnest(range(7)) AS c, unnest([
+  l_shipdate::DATE::VARCHAR, l_linenumber::VARCHAR, l_returnflag || ' ' || l_linestatus || l_linenumber, ' ' || year(l_shipdate) || CASE l_linenumber % 4 WHEN 0 THEN '年' WHEN 1 THEN '' WHEN 2 THEN '年' || (l_linenumber % 5) || '季度' ELSE 'ABCDEFG'[l_linenumber] END || ' ',
+  l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN '/' ELSE '-' END || (l_orderkey % 12 + 1), '$' || (l_orderkey % 900 + 100) || '.' || (l_linenumber + 10), CASE WHEN l_linenumber % 2 = 0 THEN 'Part ' || l_partkey || ' of ' || l_suppkey || '!' ELSE 'Part ' || l_partkey || ', supplier ' || l_suppkey || ': ship by ' || l_shipdate::DATE || ', return ' || l_returnflag END]) AS text FROM lineitem))"""
 
 
 def cell_texts(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    three = F.array(F.col("l_shipdate").cast("date").cast("string"), F.col("l_linenumber").cast("string"), F.concat("l_returnflag", F.lit(" "), "l_linestatus", F.col("l_linenumber").cast("string")))
-    return li.select(F.col("l_orderkey").alias("k"), F.posexplode(three).alias("c", "text"))
+    """Seven cells of each line: dates, quarters, codes, amounts and sentences, some with white space around."""
+    li, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    number, year, letter = n.cast("string"), F.year("l_shipdate").cast("string"), F.substring(F.lit("ABCDEFG"), n.cast("int"), F.lit(1))
+    ending = F.when(n % 4 == 0, "年").when(n % 4 == 1, "").when(n % 4 == 2, F.concat(F.lit("年"), (n % 5).cast("string"), F.lit("季度"))).otherwise(letter)
+    order = F.col("l_orderkey")
+    texts = (
+        F.col("l_shipdate").cast("date").cast("string"), number, F.concat("l_returnflag", F.lit(" "), "l_linestatus", number), F.concat(F.lit(" "), year, ending, F.lit(" ")),
+        F.concat(number, F.when(n % 2 == 0, "/").otherwise("-"), (order % 12 + 1).cast("string")), F.concat(F.lit("$"), (order % 900 + 100).cast("string"), F.lit("."), (n + 10).cast("string")),
+        F.when(n % 2 == 0, F.format_string("Part %d of %d!", "l_partkey", "l_suppkey")).otherwise(F.format_string("Part %d, supplier %d: ship by %s, return %s", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").cast("string"), "l_returnflag")),
+    )
+    return li.select(order.alias("k"), F.posexplode(F.array(*texts)).alias("c", "text"))
 
 
 @query(with_(CELLTEXTS) + f" SELECT c, kind, count(*) AS n FROM (SELECT c, {KIND} AS kind FROM texts) GROUP BY ALL")
@@ -215,9 +228,29 @@ def suppress_boxes(spark, sf_dir):
     return D.suppress(regions(spark, sf_dir).withColumn("type", F.lit("all")), 0.2)
 
 
-@query()
+def columns(spark, sf_dir):
+    """Boxes on pages of two columns: each line is cut in two boxes side by side in its column, and every
+    twentieth line's second one is blank."""
+    b, half = boxes(spark, sf_dir).drop("x0", "x1"), F.floor(F.length("text") / 2).cast("int")
+    two = F.array(F.substring("text", F.lit(1), half), F.when(F.col("box_no") % 20 == 19, " ").otherwise(F.substring("text", half + 1, F.length("text"))))
+    rows = b.select("doc_id", "page_number", "box_no", "top", "bottom", "layout_type", "layoutno", F.posexplode(two).alias("k", "text"))
+    x0 = 50.0 + 300 * (F.col("box_no") % 2) + 60 * F.col("k")
+    return rows.select("doc_id", "page_number", (2 * F.col("box_no") + F.col("k")).alias("box_no"), x0.alias("x0"), (x0 + 100).alias("x1"), "top", "bottom", "text", "layout_type", F.when(F.col("layoutno") == "text-0", "text-0").otherwise(F.col("layoutno")).alias("layoutno"))
+
+
+def column_heights(spark, sf_dir):
+    return boxes(spark, sf_dir).select("doc_id", "page_number").distinct().withColumn("mean_height", F.lit(12.0))
+
+
+COLUMNS = """cols AS (SELECT doc_id, page_number, 2 * box_no + k AS box_no, box_no % 2 AS col_id, 50 + 300 * (box_no % 2) + 60 * k::DOUBLE AS x0, 150 + 300 * (box_no % 2) + 60 * k::DOUBLE AS x1, top, bottom, layout_type, layout_type || '-0' AS layoutno,
+  CASE k WHEN 0 THEN substr(text, 1, length(text) // 2) WHEN 1 THEN CASE WHEN box_no % 20 = 19 THEN ' ' ELSE substr(text, length(text) // 2 + 1) END END AS text FROM boxes, (SELECT unnest([0, 1]) AS k))"""
+
+
+@query(with_(BOXES, COLUMNS) + """ SELECT doc_id, page_number, min(box_no) AS box_no, min(x0) AS x0, CASE WHEN layout_type = 'table' THEN max(x1) ELSE max_by(x1, box_no) END AS x1, min(top) AS top, max(bottom) AS bottom, string_agg(text, '' ORDER BY box_no) AS text, layout_type, layoutno, col_id::INTEGER AS col_id
+ FROM (SELECT *, CASE WHEN layout_type = 'table' THEN box_no ELSE box_no // 2 END AS line FROM cols) GROUP BY doc_id, page_number, col_id, layout_type, layoutno, line""")
 def merge_lines(spark, sf_dir):
-    return D.merge_lines(boxes(spark, sf_dir))
+    c = columns(spark, sf_dir)
+    return D.merge_lines(c.withColumn("col_id", (F.floor(F.col("box_no") / 2) % 2).cast("int")), column_heights(spark, sf_dir))
 
 
 @query()
@@ -225,9 +258,17 @@ def assign_columns(spark, sf_dir):
     return D.assign_columns(boxes(spark, sf_dir))
 
 
-@query()
+@query("WITH RECURSIVE " + ",\n".join((BOXES, COLUMNS)) + r""", s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, col_id ORDER BY top, x0, box_no) AS n FROM cols WHERE trim(text) <> '' AND box_no % 2 = 0),
+m AS (SELECT doc_id, page_number, col_id, n, box_no, x0, x1, top, bottom, trim(text) AS text, layout_type, layoutno, 1 AS grp FROM s WHERE n = 1
+ UNION ALL SELECT doc_id, page_number, col_id, n, CASE WHEN j THEN box_no ELSE b_no END, CASE WHEN j THEN least(x0, b_x0) ELSE b_x0 END, CASE WHEN j THEN greatest(x1, b_x1) ELSE b_x1 END, CASE WHEN j THEN top ELSE b_top END, b_bottom, CASE WHEN j THEN text || ' ' || b_text ELSE b_text END, b_type, b_layout, CASE WHEN j THEN grp ELSE grp + 1 END
+ FROM (SELECT m.* EXCLUDE n, s.n, s.box_no AS b_no, s.x0 AS b_x0, s.x1 AS b_x1, s.top AS b_top, s.bottom AS b_bottom, trim(s.text) AS b_text, s.layout_type AS b_type, s.layoutno AS b_layout,
+   m.layoutno = s.layoutno AND s.top - m.bottom <= 18 AND greatest(0, least(m.x1, s.x1) - greatest(m.x0, s.x0)) / greatest(1, least(m.x1 - m.x0, s.x1 - s.x0)) >= 0.3
+   AND (NOT regexp_matches(m.text, '[。？！?]$') OR regexp_matches(m.text, '[,;:''"，、‘“；：-]$') OR regexp_matches(m.text, '[,;:''"，‘“、；：].$') OR regexp_matches(s.text, '^\s*[。；？！?”）),，、：]')) AS j
+   FROM m JOIN s ON s.doc_id = m.doc_id AND s.page_number = m.page_number AND s.col_id = m.col_id AND s.n = m.n + 1))
+SELECT doc_id, page_number, col_id::INTEGER AS col_id, box_no, x0, x1, top, bottom, text, layout_type, layoutno FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, col_id, grp ORDER BY n DESC) AS last FROM m) WHERE last = 1""")
 def merge_paragraphs(spark, sf_dir):
-    return D.merge_paragraphs(boxes(spark, sf_dir))
+    c = columns(spark, sf_dir).where("box_no % 2 = 0")
+    return D.merge_paragraphs(c.withColumn("col_id", (F.floor(F.col("box_no") / 2) % 2).cast("int")), column_heights(spark, sf_dir))
 
 
 @query()

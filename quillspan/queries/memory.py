@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import vectors as V
 from quillspan.operators import memory as M
-from quillspan.operators import retrieval as R
 from quillspan.queries.core import EPOCH, MESSAGES, PAIRS, VECTORS, messages, pairs, query, sessions, table, vectors, with_
 
 
@@ -116,28 +115,30 @@ def session_brief(spark, sf_dir):
     return pairs(spark, sf_dir).where("pair_no = 0").select("session_id", M.session_brief(F.when(F.col("session_id") % 4 == 0, "given"), F.col("user")).alias("brief"))
 
 
-COS = "round(list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 6)"
+COS = "round(list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector))), 12)"
 SIMILAR = f"""sim AS (SELECT query_id, id, role, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.id AS query_id, b.id, CASE WHEN b.id % 2 = 0 THEN 'user' ELSE 'system' END AS role, {COS} AS score FROM vectors a JOIN vectors b ON len(a.vector) = len(b.vector) AND a.id % 20 = 0)) WHERE rank <= 5)"""
 
 
-def similar(spark, sf_dir):
-    v = vectors(spark, sf_dir).withColumn("dim", F.size("vector").cast("string"))
-    found = R.knn_join(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", "dim"), v, 5, by="dim")
-    return found.select("query_id", "id", F.when(F.col("id") % 2 == 0, "user").otherwise("system").alias("role"), "score", "rank")
+def remembered(spark, sf_dir):
+    """Message vectors: the rows of ``embeddings``, and their ids as texts."""
+    return vectors(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, "user").otherwise("system").alias("role"), F.col("id").cast("string").alias("content"), "vector")
 
 
-@query(with_(VECTORS, SIMILAR) + " SELECT query_id, id, role, score, rank::INTEGER AS rank FROM sim")
+@query(with_(VECTORS, SIMILAR) + " SELECT query_id, id, role, round(score, 6) AS score, rank::INTEGER AS rank FROM sim")
 def similar_messages(spark, sf_dir):
-    return similar(spark, sf_dir)
+    v = remembered(spark, sf_dir)
+    return M.similar_messages(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), v)
 
 
-LOADED = "loaded AS (SELECT r.session_id, r.messages AS recent, coalesce(s.l, []::VARCHAR[]) AS related FROM recent r LEFT JOIN (SELECT query_id, list(role || ': ' || id ORDER BY rank) AS l FROM sim GROUP BY query_id) s ON s.query_id = r.session_id)"
+LOADED = "loaded AS (SELECT r.session_id, r.messages AS recent, coalesce(s.l, []::VARCHAR[]) AS related, CASE WHEN r.session_id % 3 = 0 THEN '' ELSE 'a' || chr(10) || r.session_id END AS summary FROM recent r LEFT JOIN (SELECT query_id, list(role || ': ' || id ORDER BY rank) AS l FROM sim GROUP BY query_id) s ON s.query_id = r.session_id)"
 
 
 def loaded(spark, sf_dir):
-    near = similar(spark, sf_dir).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat("role", F.lit(": "), F.col("id").cast("string")).alias("t")))), lambda x: x["t"]).alias("related"))
-    recent = M.recent_messages(sessions(spark, sf_dir), messages(spark, sf_dir))
-    return recent.join(near, F.col("session_id") == F.col("query_id"), "left").select("session_id", F.col("messages").alias("recent"), F.coalesce("related", F.array().cast("array<string>")).alias("related"))
+    """One request for each session; every twentieth has a vector."""
+    v, own = remembered(spark, sf_dir), sessions(spark, sf_dir)
+    own = own.withColumn("summary", F.when(F.col("session_id") % 3 != 0, F.concat(F.lit("a\n"), F.col("session_id").cast("string"))))
+    asked = own.select("session_id").join(v.where("id % 20 = 0").select(F.col("id").alias("session_id"), "vector"), "session_id", "left")
+    return M.load_memory(asked.withColumn("query_id", F.col("session_id")), own, messages(spark, sf_dir), v).drop("query_id")
 
 
 @query(with_(MESSAGES, AFTER, RECENT, VECTORS, SIMILAR, LOADED) + " SELECT * FROM loaded")
@@ -145,9 +146,9 @@ def load_memory(spark, sf_dir):
     return loaded(spark, sf_dir)
 
 
-@query(with_(MESSAGES, AFTER, RECENT, VECTORS, SIMILAR, LOADED) + " SELECT session_id, '【' || replace('a' || chr(10) || session_id, chr(10), ' ') || '】' || array_to_string(related, ', ') || '【' || array_to_string(recent, ', ') || '】' AS prompt FROM loaded")
+@query(with_(MESSAGES, AFTER, RECENT, VECTORS, SIMILAR, LOADED) + " SELECT session_id, CASE WHEN summary <> '' THEN '【' || replace(summary, chr(10), ' ') || '】' ELSE '' END || array_to_string(related, ', ') || '【' || array_to_string(recent, ', ') || '】' AS prompt FROM loaded")
 def render_history(spark, sf_dir):
-    return loaded(spark, sf_dir).select("session_id", M.render_history(F.concat(F.lit("a\n"), F.col("session_id").cast("string")), F.col("related"), F.col("recent")).alias("prompt"))
+    return loaded(spark, sf_dir).select("session_id", M.render_history(F.col("summary"), F.col("related"), F.col("recent")).alias("prompt"))
 
 
 @query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'user' ELSE 'system' END AS role, trim(text) AS text FROM conversations WHERE turn % 4 < 2""")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import vectors as V
-from quillspan.operators import blocks as B
-from quillspan.operators import chunks as C
 from quillspan.operators import registry as G
 from quillspan.operators import retrieval as R
 from quillspan.queries.core import HITS, REGISTRY, RUNS, VECTORS, hits, query, registry, runs, table, vectors, with_
@@ -29,28 +27,28 @@ def first_vector(spark, sf_dir):
 Q0 = "q AS (SELECT vector AS q FROM vectors ORDER BY id LIMIT 1)"
 
 
-@query(with_(VECTORS, Q0) + f" SELECT id, table_id, round({COS.format('vector', 'q')}, 6) AS score FROM vectors, q ORDER BY score DESC, id LIMIT 10")
+@query(with_(VECTORS, Q0) + f" SELECT id, table_id, round(s, 6) AS score FROM (SELECT id, table_id, round({COS.format('vector', 'q')}, 12) AS s FROM vectors, q ORDER BY s DESC, id LIMIT 10)")
 def cosine_top_k(spark, sf_dir):
     return R.top_k(vectors(spark, sf_dir), first_vector(spark, sf_dir), 10)
 
 
-@query(with_(VECTORS, Q0) + " SELECT id, table_id, round(list_sum(list_transform(list_zip(vector, q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS score FROM vectors, q ORDER BY score, id LIMIT 5")
+@query(with_(VECTORS, Q0) + " SELECT id, table_id, round(s, 6) AS score FROM (SELECT id, table_id, round(list_sum(list_transform(list_zip(vector, q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 12) AS s FROM vectors, q ORDER BY s, id LIMIT 5)")
 def l2_top_k(spark, sf_dir):
     return R.top_k(vectors(spark, sf_dir), first_vector(spark, sf_dir), 5, "l2")
 
 
-KNN = f"""s AS (SELECT a.id AS query_id, a.table_id AS own, b.id, b.table_id, round({COS.format('a.vector', 'b.vector')}, 6) AS score FROM vectors a JOIN vectors b ON a.id % 20 = 0)"""
+KNN = f"""s AS (SELECT a.id AS query_id, a.table_id AS own, b.id, b.table_id, round({COS.format('a.vector', 'b.vector')}, 12) AS score FROM vectors a JOIN vectors b ON a.id % 20 = 0)"""
 
 
-@query(with_(VECTORS, KNN) + " SELECT query_id, id, score, rank::INTEGER AS rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
+@query(with_(VECTORS, KNN) + " SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5")
 def knn_join(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return R.knn_join(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), v, 5)
 
 
 COLLECTIONS = "coll AS (SELECT table_id, arg_min(vector, id) AS vector FROM vectors GROUP BY table_id)"
-ROUTED = f"""sims AS (SELECT v.id AS query_id, c.table_id, round({COS.format('v.vector', 'c.vector')}, 6) AS sim FROM vectors v, coll c WHERE v.id % 20 = 0),
-best AS (SELECT query_id, table_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, table_id) AS n FROM sims WHERE sim >= 0.1) WHERE n = 1),
+ROUTED = f"""sims AS (SELECT v.id AS query_id, c.table_id, round({COS.format('v.vector', 'c.vector')}, 12) AS sim FROM vectors v, coll c WHERE v.id % 20 = 0),
+best AS (SELECT query_id, table_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, table_id) AS n FROM sims WHERE round(sim, 6) >= 0.1) WHERE n = 1),
 routed AS (SELECT v.id AS query_id, b.table_id, b.sim FROM vectors v LEFT JOIN best b ON b.query_id = v.id WHERE v.id % 20 = 0)"""
 
 
@@ -64,8 +62,8 @@ def route_query(spark, sf_dir):
     return routed(spark, sf_dir)
 
 
-@query(with_(VECTORS, COLLECTIONS, ROUTED) + f""", s AS (SELECT r.query_id, v.id, round({COS.format('q.vector', 'v.vector')}, 6) AS score FROM routed r JOIN vectors q ON q.id = r.query_id JOIN vectors v ON v.table_id = r.table_id)
-SELECT query_id, id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+@query(with_(VECTORS, COLLECTIONS, ROUTED) + f""", s AS (SELECT r.query_id, v.id, round({COS.format('q.vector', 'v.vector')}, 12) AS score FROM routed r JOIN vectors q ON q.id = r.query_id JOIN vectors v ON v.table_id = r.table_id)
+SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def search_collections(spark, sf_dir):
     v = vectors(spark, sf_dir)
     asked = routed(spark, sf_dir).where("table_id is not null").join(v.select(F.col("id").alias("query_id"), "vector"), "query_id")
@@ -75,15 +73,8 @@ def search_collections(spark, sf_dir):
 @query()
 def length_gate(spark, sf_dir):
     """Documents of at most 6000 characters whole; of longer ones the three chunks nearest to the first benchmark item."""
-    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("----"), F.lit("")))
-    short = docs.where(F.length("text") <= 6000).select("doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("content"))
-    q = list(table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(V.embed(F.col("text")).alias("v")).first().v)
-    chunks = C.build_chunks(B.line_blocks(docs.where(F.length("text") > 6000)), least=60, most=200).withColumn("vector", V.embed(F.col("content")))
-    from pyspark.sql import Window
-
-    score = F.round(V.cosine(F.col("vector"), F.array(*map(F.lit, q))), 6)
-    near = chunks.withColumn("score", score).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_no"))).where("n <= 3")
-    return short.unionByName(near.select("doc_id", "chunk_no", "content"))
+    first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).first()
+    return R.gate_long_text(table(spark, sf_dir, "documents"), first.text if first else "")
 
 
 @query(with_(HITS) + """ SELECT query_id, string_agg(CASE WHEN file_name <> '' THEN '以下内容来自文档《' || file_name || '》：' || chr(10) || chr(10) ELSE '' END || CASE WHEN len(title_path) > 0 THEN '章节路径：' || array_to_string(title_path, ' > ') || chr(10) || chr(10) ELSE '' END || '正文内容：' || content, chr(10) || '----' || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id""")

@@ -13,18 +13,18 @@ HOST = r"regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
 PATH = r"regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 LEAF = rf"""parts AS (SELECT page_id, url, html, regexp_extract_all({sql_marked("html")}, '(?i)<p\b[^>]*>([^\x01]*)', 1) AS p, regexp_matches({sql_marked("html")}, '(?i)<article\b') AS article FROM pages),
 leaf AS (SELECT page_id, url, len(p)::INTEGER AS n_paragraphs, coalesce(list_sum(list_transform(p, lambda x: length({sql_plain("x")}))), 0)::INTEGER AS n_chars, coalesce(list_sum(list_transform(p, lambda x: length({sql_plain("x")}))), 0) >= 800 AND (article OR len(p) > 10) AS is_leaf FROM parts)"""
-LINKS = rf"""hrefs AS (SELECT page_id, url, list_filter(regexp_extract_all({sql_code("html")}, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1), lambda h: NOT starts_with(h, '#')) AS l FROM pages),
+LINKS = rf"""hrefs AS (SELECT page_id, url, list_filter(list_transform(regexp_extract_all({sql_code("html")}, '(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda h: replace(CASE WHEN h[1] IN ('"', '''') THEN h[2:-2] ELSE h END, '&amp;', '&')), lambda h: NOT starts_with(h, '#')) AS l FROM pages),
 full_ AS (SELECT page_id, url, list_filter(list_transform(l, lambda h: CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || h
   WHEN starts_with(h, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || '://' || {HOST.format('url')} || h
   ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || '://' || {HOST.format('url')} || coalesce(nullif(regexp_replace({PATH.format('url')}, '[^/]*$', ''), ''), '/') || h END), lambda u: regexp_matches(u, '^https?://'))[1:20] AS l FROM hrefs),
 links AS (SELECT page_id, url AS page_url, (generate_subscripts(l, 1) - 1)::INTEGER AS link_no, unnest(l) AS url FROM full_)"""
-CANDS = "cands AS (SELECT page_id % 20 AS query_id, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS rank, url FROM pages)"
+CANDS = "cands AS (SELECT page_id // 20 AS query_id, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) AS rank, url FROM pages)"
 
 
 def candidates(spark, sf_dir):
-    """Pages as search results of twenty queries."""
-    p = table(spark, sf_dir, "pages")
-    return p.select((F.col("page_id") % 20).alias("query_id"), F.row_number().over(Window.partitionBy(F.col("page_id") % 20).orderBy("page_id")).cast("long").alias("rank"), "url")
+    """Pages as search results of queries, twenty of each at most."""
+    p = table(spark, sf_dir, "pages").withColumn("query_id", F.floor(F.col("page_id") / 20))
+    return p.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id")).cast("long").alias("rank"), "url")
 
 
 @query(with_(LEAF) + " SELECT page_id, n_paragraphs, n_chars, is_leaf FROM leaf")
@@ -66,9 +66,9 @@ body AS (SELECT page_id, CASE WHEN regexp_extract(h, '(?is)<article\b[^>]*>(.*)<
 texts AS (SELECT page_id, {sql_plain("h")} AS text FROM body)"""
 
 
-@query(with_(TEXT) + " SELECT page_id % 20 AS query_id, string_agg(text, '----' ORDER BY page_id) AS text FROM texts GROUP BY ALL")
+@query(with_(TEXT) + " SELECT page_id // 20 AS query_id, string_agg(text, '----' ORDER BY page_id) AS text FROM texts GROUP BY ALL")
 def page_text(spark, sf_dir):
-    rows = W.page_text(table(spark, sf_dir, "pages")).select((F.col("page_id") % 20).alias("query_id"), F.col("page_id").alias("rank"), "text")
+    rows = W.page_text(table(spark, sf_dir, "pages")).select(F.floor(F.col("page_id") / 20).alias("query_id"), F.col("page_id").alias("rank"), "text")
     return W.join_texts(rows, "query_id")
 
 

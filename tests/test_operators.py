@@ -99,6 +99,57 @@ def test_knn_join_is_brute_force_in_blocks(spark):
         assert {(r.query_id, r.id) for r in R.knn_join(q, base, 4, block=block).collect()} == want
 
 
+def test_knn_join_takes_odd_input(spark):
+    schema = "id long, vector array<double>, g string"
+    base = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b"), (3, [1.0, 0.0, 0.0], "a"), (4, None, "a"), (5, [0.0, 0.0], "a"), (None, [1.0, 0.0], "a"), (6, [1.0, 0.0], None)], schema)
+    q = spark.createDataFrame([(7, [1.0, 0.1], "a"), (8, [0.0, 0.0, 1.0], "b"), (9, None, "a"), (10, [1.0, 0.0, 0.0], "a"), (11, [1.0, 0.0], "none")], "query_id long, vector array<double>, g string")
+    for block in (100, 2):
+        assert sorted((r.query_id, r.id, r["rank"]) for r in R.knn_join(q, base, 2, block=block).collect()) == [(7, 1, 1), (7, 6, 2), (8, 3, 1), (10, 3, 1), (11, 1, 1), (11, 6, 2)]
+        assert sorted((r.query_id, r.id) for r in R.knn_join(q, base, 2, block=block, by="g").collect()) == [(7, 1), (7, 5), (10, 3)]
+    assert R.knn_join(q.limit(0), base, 2).count() == 0 and R.knn_join(q, base.limit(0), 2).count() == 0
+    named = R.knn_join(q.withColumn("query_id", F.col("query_id").cast("string")), base.withColumn("id", F.lit("x")), 1, by="g")
+    assert named.schema["query_id"].dataType.typeName() == "string" and named.count() == 2
+    reg = spark.createDataFrame([], "table_id string, vector array<double>")
+    assert {r.table_id for r in R.route_query(q, reg).collect()} == {None}
+
+
+def test_history_items_and_prompts(spark):
+    rows = spark.createDataFrame([(1, (" a ", None)), (2, (None, "b")), (3, (None, None)), (4, None)], "i int, item struct<system:string,user:string>")
+    assert [(r.i, r.role, r.text) for r in M.normalize_history(rows).orderBy("i").collect()] == [(1, "system", "a"), (2, "user", "b")]
+    maps = spark.createDataFrame([(1, {"user": "x"}), (2, {"other": "y"})], "i int, item map<string,string>")
+    assert [(r.i, r.role, r.text) for r in M.normalize_history(maps).collect()] == [(1, "user", "x")]
+    prompts = spark.createDataFrame([("a\nb", ["s"], ["r", "t"]), ("", None, []), (None, ["s"], None)], "s string, l array<string>, r array<string>")
+    assert [r.p for r in prompts.select(M.render_history(F.col("s"), F.col("l"), F.col("r")).alias("p")).collect()] == ["【a b】s【r, t】", "【】", "s【】"]
+
+
+def test_memory_of_requests(spark):
+    t = dt.datetime(2024, 1, 1)
+    s = spark.createDataFrame([(1, t, "sum")], "session_id long, create_time timestamp, summary string")
+    m = spark.createDataFrame([(1, 1, t + dt.timedelta(1), "user", "q")], "session_id long, seq long, ts timestamp, role string, content string")
+    v = spark.createDataFrame([(1, "user", "near", [1.0, 0.0]), (2, "system", "far", [0.0, 1.0]), (3, "user", "other", [1.0])], "id long, role string, content string, vector array<double>")
+    asked = spark.createDataFrame([(7, 1, [1.0, 0.1]), (8, 5, None)], "query_id long, session_id long, vector array<double>")
+    got = {r.query_id: (r.recent, r.related, r.summary) for r in M.load_memory(asked, s, m, v, k=1).collect()}
+    assert got == {7: (["user: q"], ["user: near"], "sum"), 8: ([], [], "")}
+
+
+def test_long_texts_are_cut_to_the_nearest_chunks(spark):
+    text = "\n".join([f"line{i} about cats " + "word " * 60 for i in range(12)] + ["the moon and the tide " * 40])
+    docs = spark.createDataFrame([(1, "short ---- text"), (2, text), (3, None), (4, "")], "doc_id long, text string")
+    got = R.gate_long_text(docs, "moon tide", k=1, longest=500).collect()
+    assert sorted((r.doc_id, r.content) for r in got if r.doc_id != 2) == [(1, "short  text"), (4, "")]
+    assert [("moon" in r.content, len(r.content) < len(text)) for r in got if r.doc_id == 2] == [(True, True)]
+
+
+def test_links_are_resolved_as_browsers_do(spark):
+    base = "http://h/a/b/c.html?x=1#y"
+    cases = {"../x": "http://h/a/x", "./d": "http://h/a/b/d", "?q=1": "http://h/a/b/c.html?q=1", "../../../z": "http://h/z", "/p/./q/..": "http://h/p/", "//o/k": "http://o/k", "m.html": "http://h/a/b/m.html", "": base, "http://o/../a?b=../c": "http://o/a?b=../c", " e ": "http://h/a/b/e"}
+    rows = spark.createDataFrame([(k, base) for k in cases], "h string, u string")
+    assert {r.h: r.r for r in rows.select("h", T.resolve(F.col("h"), F.col("u")).alias("r")).collect()} == cases
+    pages = spark.createDataFrame([(1, "http://h/a", "<a href='/s?a=1&amp;b=2'>x</a><A class=k HREF = /t>y</A><a href=\"/u\">z</a>")], "page_id long, url string, html string")
+    assert [r.url for r in W.extract_links(pages).orderBy("link_no").collect()] == ["http://h/s?a=1&b=2", "http://h/t", "http://h/u"]
+    assert one(spark, T.real_url, "//s.example/l/?uddg=%ZZ") == "https://s.example/l/?uddg=%ZZ"
+
+
 def test_equal_times_hide_the_checkpoints_own_pair(spark):
     t = dt.datetime(2024, 1, 1)
     s = spark.createDataFrame([(1, t, "b"), (2, t, None)], "session_id long, create_time timestamp, brief string")
@@ -181,10 +232,17 @@ def box(n, x0, x1, top, text, page=1, no="text-0", kind="text"):
 
 
 def test_lines_paragraphs_and_bullets_merge(spark):
-    rows = spark.createDataFrame([box(0, 0, 10, 0, "a"), box(1, 10, 20, 1, "b"), box(2, 0, 20, 14, "c."), box(3, 0, 20, 28, "D")], BOX)
+    rows = spark.createDataFrame([box(0, 0, 10, 0, "a"), box(1, 10, 20, 1, "b"), box(2, 0, 200, 14, "c."), box(3, 0, 200, 28, "D")], BOX)
     lines = D.merge_lines(rows)
     assert [r.text for r in lines.orderBy("top").collect()] == ["ab", "c.", "D"]
-    assert [r.text for r in D.merge_paragraphs(lines).orderBy("top").collect()] == ["ab c.", "D"]
+    assert [r.text for r in D.merge_paragraphs(lines.withColumn("is_english", F.lit(True))).orderBy("top").collect()] == ["ab c.", "D"]
+    assert [r.text for r in D.merge_paragraphs(lines).orderBy("top").collect()] == ["ab c. D"]
+    two = [box(2 * i + k, 50 + 300 * k, 250 + 300 * k, 14 * i, f"{'left' if k == 0 else 'RIGHT'} {i},") for i in range(4) for k in range(2)]
+    pages = spark.createDataFrame(two, BOX)
+    assert sorted(r.text for r in D.merge_paragraphs(pages).collect()) == ["RIGHT 0, RIGHT 1, RIGHT 2, RIGHT 3,", "left 0, left 1, left 2, left 3,"]
+    assert D.merge_lines(pages).count() == 8 and D.merge_lines(spark.createDataFrame([box(0, 0, 10, 0, "a", no=""), box(1, 10, 20, 1, "b", no="")], BOX)).count() == 2
+    ended = spark.createDataFrame([(*box(0, 0, 20, 0, "Ends."), True), (*box(1, 0, 20, 12, "Next"), True), (*box(2, 0, 20, 24, None), True)], BOX + ", is_english boolean")
+    assert D.merge_paragraphs(ended).count() == 2
     bullets = spark.createDataFrame([box(0, 0, 9, 0, "• a"), box(1, 0, 9, 12, "• b"), box(2, 0, 9, 24, "x"), box(3, 0, 9, 36, " ")], BOX)
     assert [r.text for r in D.merge_bullets(bullets).orderBy("top").collect()] == ["• a\n• b", "x"]
 
@@ -195,6 +253,12 @@ def test_columns_of_a_two_column_page(spark):
 
 
 def test_contents_go(spark):
+    texts = ["Intro", "Contents", " ", "1 One two", "2 Two", "1 One and so on", "text"]
+    rows = spark.createDataFrame([box(i, 0, 10, 20 * i, t) for i, t in enumerate(texts)], BOX)
+    assert [r.text for r in D.drop_contents(rows).orderBy("top").collect()] == ["Intro", "1 One and so on", "text"]
+    texts = ["目 录", "第一章 甲", "2 Two", "第一章", "text"]
+    rows = spark.createDataFrame([box(i, 0, 10, 20 * i, t) for i, t in enumerate(texts)], BOX)
+    assert [r.text for r in D.drop_contents(rows).orderBy("top").collect()] == ["第一章", "text"]
     texts = ["Intro", "Contents", "1 One", "2 Two", "1 One", "text"]
     rows = spark.createDataFrame([box(i, 0, 10, 20 * i, t) for i, t in enumerate(texts)], BOX)
     assert [r.text for r in D.drop_contents(rows).orderBy("top").collect()] == ["Intro", "1 One", "text"]
@@ -208,7 +272,7 @@ def test_a_grid_from_cells(spark):
 
 
 def test_cell_types(spark):
-    cases = {"2024年3月": "Dt", "2024-01-05": "Dt", "3,000.5": "Nu", "ABC-1": "Ca", "abc def": "En", "12kg": "NE", "中": "Sg", "第1234567890": "Nr", "": "Ot", "One, two, three and four!": "Tx"}
+    cases = {"2024年3月": "Dt", "2024-01-05": "Dt", "3,000.5": "Nu", "ABC-1": "Ca", "abc def": "En", "12kg": "NE", "中": "Sg", "第1234567890": "Nr", "": "Ot", "2020": "Nu", "2020-05": "Dt", "1/2": "Nu", "2024A": "Dt", "2024年1季度": "Dt", " 2020年 ": "Dt", "$1,234.56": "Nr", "第2季度": "Dt", "3月5日": "Dt", "One, two, three and four!": "Tx"}
     rows = spark.createDataFrame([(k,) for k in cases], "text string").withColumn("kind", L.cell_type(F.col("text")))
     assert {r.text: r.kind for r in rows.collect()} == cases
 
