@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 256
@@ -44,15 +44,26 @@ def bucket(word: str, dim: int = DIM) -> int:
 
 
 def hash_embed(texts: pd.Series, dim: int = DIM) -> np.ndarray:
-    """Rows of unit length: counts of lower-cased words by a hash."""
+    """Rows of unit length: counts of lower-cased words by a hash, each distinct word of a batch hashed once."""
     out = np.zeros((len(texts), dim))
-    for i, text in enumerate(texts):
-        for word in _WORD.findall((text or "").lower()):
-            out[i, bucket(word, dim)] += 1
+    found = [_WORD.findall((text or "").lower()) for text in texts]
+    codes, distinct = pd.factorize(np.array([w for own in found for w in own], object))
+    if len(distinct):
+        place = np.array([bucket(w, dim) for w in distinct])[codes]
+        np.add.at(out, (np.repeat(np.arange(len(found)), [len(own) for own in found]), place), 1)
     size = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(size > 0, size, 1)
 
 
+def word_weights(rows: DataFrame, text: str, *keys: str, dim: int = DIM) -> DataFrame:
+    """(keys, bucket, weight): the places of :func:`hash_embed`'s vectors that aren't 0, all in the JVM. Keys name a row."""
+    found = rows.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("_w"))
+    place = (F.conv(F.substring(F.md5("_w"), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    counts = found.groupBy(*keys, place.alias("bucket")).agg(F.count("*").alias("_n"))
+    whole = F.sqrt(F.sum((F.col("_n") * F.col("_n")).cast("double")).over(Window.partitionBy(*keys)))
+    return counts.select(*keys, "bucket", (F.col("_n") / whole).alias("weight"))
+
+
 def embed(text: Column, fn: Callable[[pd.Series], np.ndarray] = hash_embed) -> Column:
     """Vectors of a text column by any function of a batch of texts; a null text is empty."""
 

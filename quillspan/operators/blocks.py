@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
@@ -19,12 +19,20 @@ def route_files(files: DataFrame) -> DataFrame:
     return files.withColumn("parser", parser).withColumn("ok", parser.isNotNull())
 
 
+def line_block_lists(docs: DataFrame) -> DataFrame:
+    """(doc_id, blocks): the non-empty lines of ``text`` in order, the first and every seventh as titles. A document stays one row."""
+
+    def block(text: Column, i: Column) -> Column:
+        title = i % 7 == 0
+        level = F.when(i == 0, 1).when(title, 1 + F.floor(i / 7).cast("int") % 3)
+        return F.struct(i.alias("block_no"), F.when(title, "title").otherwise("paragraph").alias("type"), level.cast("int").alias("level"), text.alias("text"))
+
+    return docs.select("doc_id", F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), block).alias("blocks"))
+
+
 def line_blocks(docs: DataFrame) -> DataFrame:
-    """Non-empty lines of ``text`` in order: the first and every seventh are titles. No shuffle."""
-    lines = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("block_no", "text"))
-    title = F.col("block_no") % 7 == 0
-    level = F.when(F.col("block_no") == 0, 1).when(title, 1 + F.floor(F.col("block_no") / 7).cast("int") % 3)
-    return lines.select("doc_id", "block_no", F.when(title, "title").otherwise("paragraph").alias("type"), level.cast("int").alias("level"), "text")
+    """(doc_id, block_no, type, level, text) of :func:`line_block_lists`. No shuffle."""
+    return line_block_lists(docs).select("doc_id", F.inline("blocks"))
 
 
 def blocks_from_paragraphs(rows: DataFrame) -> DataFrame:
@@ -54,10 +62,10 @@ def sheets_to_blocks(cells: DataFrame) -> DataFrame:
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """Headings and paragraphs of (page_id, html) in order, empty ones dropped."""
-    html = T.marked(F.col("html"))
-    tags, parts = (F.regexp_extract_all(html, F.lit(T.PART), F.lit(i)) for i in (1, 2))
-    rows = pages.select("page_id", F.posexplode(F.arrays_zip(tags.alias("tag"), parts.alias("part"))).alias("block_no", "x"))
-    tag, text = F.lower("x.tag"), T.plain(F.col("x.part"))
-    out = rows.select("page_id", "block_no", F.when(tag == "p", "paragraph").otherwise("title").alias("type"), F.when(tag != "p", F.substring(tag, 2, 1).cast("int")).alias("level"), text.alias("text"))
-    return out.where("text <> ''")
+    """Headings and paragraphs of (page_id, html) in order, empty ones dropped. Pages are scanned for tags once; each
+    match gives its tag and its text."""
+    found = F.regexp_extract_all(T.marked(F.col("html")), F.lit(T.PART), F.lit(0))
+    rows = pages.select("page_id", F.posexplode(found).alias("block_no", "x"))
+    tag = F.lower(F.regexp_extract("x", "^<(?i)(h[1-6]|p)", 1))
+    rows = rows.select("page_id", "block_no", tag.alias("tag"), T.plain(F.regexp_replace("x", "^<[^>]*>", "")).alias("text")).where("text <> ''")
+    return rows.select("page_id", "block_no", F.when(F.col("tag") == "p", "paragraph").otherwise("title").alias("type"), F.when(F.col("tag") != "p", F.substring("tag", 2, 1).cast("int")).alias("level"), "text")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
@@ -25,45 +25,75 @@ def effective_min(blocks: DataFrame, least: int = 500) -> DataFrame:
     return sums.withColumn("min_tokens", F.when(F.col("n_blocks") < 30, F.least(F.lit(least).cast("long"), "n_chars")).otherwise(F.lit(least).cast("long")))
 
 
+def block_lists(blocks: DataFrame) -> DataFrame:
+    """(doc_id, blocks) of rows that are blocks, or as it is where a row is a document already: only the first needs a shuffle."""
+    if "blocks" in blocks.columns:
+        return blocks.select("doc_id", "blocks")
+    return blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "type", "level", "text"))).alias("blocks"))
+
+
 def title_paths(blocks: DataFrame) -> DataFrame:
-    """Text blocks with the headings above them: a title of level L cuts the stack to L - 1 entries and is put on it."""
-    order = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list(F.when(F.col("type") == "title", F.struct(F.coalesce("level", F.lit(1)).alias("level"), "text"))).over(order)
-    stack = F.aggregate("seen", F.array().cast("array<string>"), lambda s, t: F.concat(F.slice(s, F.lit(1), F.greatest(t["level"] - 1, F.lit(0))), F.array(t["text"])))
-    return blocks.withColumn("seen", seen).where("type <> 'title'").select("doc_id", "block_no", stack.alias("title_path"), "text")
+    """Text blocks with the headings above them: a title of level L (1 without one) cuts the stack to L - 1 entries and is
+    put on it. ``blocks`` are rows of blocks or of documents (:func:`block_lists`); one fold a document."""
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<block_no:int,title_path:array<string>,text:string>>").alias("out"))
+
+    def step(s: Column, b: Column) -> Column:
+        title = b["type"] == "title"
+        path = F.when(title, F.concat(F.slice(s["path"], F.lit(1), F.greatest(F.coalesce(b["level"], F.lit(1)) - 1, F.lit(0))), F.array(b["text"]))).otherwise(s["path"])
+        row = F.struct(b["block_no"].cast("int").alias("block_no"), s["path"].alias("title_path"), b["text"].alias("text"))
+        return F.struct(path.alias("path"), F.when(title, s["out"]).otherwise(F.concat(s["out"], F.array(row))).alias("out"))
 
+    return block_lists(blocks).select("doc_id", F.inline(F.aggregate("blocks", start, step, lambda s: s["out"])))
 
-def build_chunks(blocks: DataFrame, least: int = 500, most: int = 2000, split: bool = False, keep_tail: bool = False) -> DataFrame:
+
+def build_chunks(
+    blocks: DataFrame, least: int = 500, most: int = 2000, split: bool = False, keep_tail: bool = False,
+    tokens: Callable[[str], int] | None = None, embed: Callable[[pd.Series], np.ndarray] = hash_embed, percentile: float | None = None,
+) -> DataFrame:
     """Greedy packing of each document's blocks, in order.
 
     A heading, a text that would go beyond ``most`` tokens, and a text of at least ``most``
     end a chunk; one below the document's minimum isn't given out but carried on, and is
     lost at the end of the document unless ``keep_tail``. Token counts of a chunk are those
-    of its joined text. ``split`` cuts chunks beyond ``most`` where neighbouring sentences
-    are least alike. A document's blocks are brought together once; the fold is linear."""
-    counted = blocks.withColumn("n", T.words(F.col("text")))
-    one = F.struct("block_no", "type", F.coalesce("level", F.lit(1)).alias("level"), "text", "n")
-    docs = counted.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("blocks"), F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
+    of its joined text: by the library's rule, or by ``tokens``, a tokenizer's count of one text with its special tokens.
+    ``split`` cuts chunks beyond ``most`` where neighbouring sentences are least alike by ``embed`` (see :func:`cut`).
+    Rows of ``blocks`` are blocks, which are brought together once, or whole documents (:func:`block_lists`), which
+    stay where they are. The fold is linear."""
+    lists = block_lists(blocks)
+    count = (lambda t: T.words(t)) if tokens is None else (lambda t: F.lit(0))
+    one = lambda b: F.struct(b["type"].alias("type"), F.coalesce(b["level"], F.lit(1)).alias("level"), b["text"].alias("text"), count(b["text"]).alias("n"))
+    chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + F.coalesce(F.length(b["text"]), F.lit(0)))
+    docs = lists.select("doc_id", F.transform("blocks", one).alias("b"), F.size("blocks").alias("n_blocks"), chars.alias("n_chars"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, i, *c) for d, blocks_, n, chars in frame.itertuples(index=False) for i, c in enumerate(pack(blocks_, min(least, chars) if n < 30 else least, most, split, keep_tail))]
+            rows = [
+                (d, i, *c)
+                for d, blocks_, n, chars in frame.itertuples(index=False)
+                if blocks_ is not None
+                for i, c in enumerate(pack(blocks_, min(least, chars) if n < 30 else least, most, split, keep_tail, tokens, embed, percentile))
+            ]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title_path", "content", "n_tokens"])
 
     return docs.mapInPandas(run, CHUNKS)
 
 
-def pack(blocks, least: int, most: int, split: bool, keep_tail: bool) -> Iterator[tuple[list[str], str, int]]:
+def pack(blocks, least: int, most: int, split: bool, keep_tail: bool, tokens=None, embed=hash_embed, percentile: float | None = None) -> Iterator[tuple[list[str], str, int]]:
     """(title path, content, tokens) of one document's chunks."""
     path, content, body, current = [], [], 0, 0
+    length = tokens or (lambda text: words(text) + 2)
 
     def flush(anyway: bool = False) -> list[tuple[list[str], str, int]]:
         nonlocal content, body, current
-        if not content or (body + 2 < least and not anyway):
+        if not content:
+            return []
+        text = "\n".join(content)
+        size = tokens(text) if tokens else body + 2
+        if size < least and not anyway:
             return []
-        out = [(path, "\n".join(content), body + 2)]
-        if split and body + 2 > most:
-            out = [(path, x, words(x) + 2) for x in cut(out[0][1], least, most)]
+        out = [(path, text, size)]
+        if split and size > most:
+            out = [(path, x, length(x)) for x in cut(text, least, most, embed, length, percentile)]
         content, body, current = [], 0, 0
         return out
 
@@ -72,7 +102,7 @@ def pack(blocks, least: int, most: int, split: bool, keep_tail: bool) -> Iterato
             yield from flush()
             path = [*path[: max(0, b["level"] - 1)], b["text"]]
             continue
-        t = b["n"] + 2
+        t = tokens(b["text"]) if tokens else b["n"] + 2
         if t < most and current + t > most:
             yield from flush()
         content.append(b["text"])
@@ -86,20 +116,21 @@ def words(text: str) -> int:
     return len(_TOKEN.findall(_CJK.sub(r" \1 ", text)))
 
 
-def cut(text: str, least: int, most: int, embed=hash_embed) -> list[str]:
-    """Pieces of an oversize text: cut at the greatest distances of neighbouring sentences,
-    pieces below ``least`` tokens joined to the next."""
+def cut(text: str, least: int, most: int, embed=hash_embed, length=lambda text: words(text) + 2, percentile: float | None = None) -> list[str]:
+    """Pieces of an oversize text: cut at the greatest distances of neighbouring sentences, so that there are about as
+    many pieces as ``most`` asks for, or, with ``percentile``, wherever the distance is above that of the distances.
+    Pieces below ``least`` tokens are joined to the next."""
     parts = [s for s in _SENTENCE.split(text) if s.strip()]
     if len(parts) < 2:
         return [text]
     vectors = embed(pd.Series(parts))
     far = np.round(1 - (vectors[1:] * vectors[:-1]).sum(axis=1), 9)
-    n = min(len(far), int((words(text) + 2) / most))
+    n = min(len(far), int(length(text) / most)) if percentile is None else int((far > np.percentile(far, percentile)).sum())
     at = sorted(np.argsort(-far, kind="stable")[:n] + 1)
     out, held = [], []
     for a, b in zip([0, *at], [*at, len(parts)], strict=True):
         held += parts[a:b]
-        if words("\n".join(held)) + 2 >= least:
+        if length("\n".join(held)) >= least:
             out.append("\n".join(held))
             held = []
     if held:

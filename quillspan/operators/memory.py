@@ -35,11 +35,12 @@ def fill_defaults(rows: DataFrame, now: Column) -> DataFrame:
     return rows.withColumns({"id": F.coalesce("id", made), "create_time": F.coalesce("create_time", now), "create_by": F.coalesce("create_by", F.lit("system"))})
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """``target`` with the rows of ``batch`` added, or put in the place of those with the same key."""
-    columns = [c for c in target.columns if c != key]
-    both = target.alias("t").join(batch.withColumn("_new", F.lit(True)).alias("b"), key, "full_outer")
-    return both.select(key, *(F.when(F.col("_new"), F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns))
+def upsert(target: DataFrame, batch: DataFrame, *key: str) -> DataFrame:
+    """``target`` with the rows of ``batch`` added, or put in the place of those with the same key (``id`` by default)."""
+    key = key or ("id",)
+    columns = [c for c in target.columns if c not in key]
+    both = target.alias("t").join(batch.withColumn("_new", F.lit(True)).alias("b"), list(key), "full_outer")
+    return both.select(*key, *(F.when(F.col("_new"), F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns))
 
 
 def since_checkpoint(sessions: DataFrame, messages: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def gate_long_text(docs: DataFrame, query: str, k: int = 3, longest: int = 6000,
     docs = docs.where("text is not null").select("doc_id", F.replace("text", F.lit("----"), F.lit("")).alias("text"))
     short = docs.where(F.length("text") <= longest).select("doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("content"))
     q = F.array(*map(F.lit, embed(pd.Series([query]))[0].tolist()))
-    chunks = C.build_chunks(B.line_blocks(docs.where(F.length("text") > longest)), least=least, most=most)
+    chunks = C.build_chunks(B.line_block_lists(docs.where(F.length("text") > longest)), least=least, most=most)
     score = F.round(F.coalesce(V.cosine(V.embed(F.col("content"), embed), q), F.lit(0.0)), PLACES)
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_no")
     near = chunks.withColumn("score", score).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)

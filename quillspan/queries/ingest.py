@@ -35,7 +35,7 @@ def text_blocks(spark, sf_dir):
 @query()
 def chunk_store(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    chunks = C.build_chunks(B.line_blocks(docs)).join(docs.select("doc_id", F.col("source").alias("table_id")), "doc_id")
+    chunks = C.build_chunks(B.line_block_lists(docs)).join(docs.select("doc_id", F.col("source").alias("table_id")), "doc_id")
     path = stores.fresh(spark, "chunks")
     stores.write_chunks(chunks.withColumn("create_time", F.timestamp_seconds(F.lit(EPOCH))), path)
     return spark.read.parquet(path).groupBy("table_id").agg(F.count("*").alias("n_chunks"))
@@ -107,7 +107,7 @@ def effective_min(spark, sf_dir):
  UNION ALL SELECT b.doc_id, b.block_no, b.type, b.level, b.text, CASE b.type WHEN 'title' THEN list_concat(f.path[1:b.level - 1], [b.text]) ELSE f.path END FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.block_no = f.block_no + 1)
 SELECT doc_id, block_no, path AS title_path, text FROM f WHERE type <> 'title'""")
 def title_paths(spark, sf_dir):
-    return C.title_paths(B.line_blocks(table(spark, sf_dir, "documents")))
+    return C.title_paths(B.line_block_lists(table(spark, sf_dir, "documents")))
 
 
 @query("WITH RECURSIVE " + BLOCKS + f""", b AS (SELECT *, {sql_words('text')} AS n FROM blocks),
@@ -127,7 +127,7 @@ s AS (
    FROM s JOIN m ON m.doc_id = s.doc_id AND s.i <= m.k LEFT JOIN b ON b.doc_id = s.doc_id AND b.block_no = s.i))
 SELECT doc_id, (chunks - 1)::INTEGER AS chunk_no, out_path AS title_path, out_text AS content, out_n::INTEGER AS n_tokens FROM s WHERE out_text IS NOT NULL""")
 def build_chunks(spark, sf_dir):
-    return C.build_chunks(B.line_blocks(table(spark, sf_dir, "documents")), least=60, most=200)
+    return C.build_chunks(B.line_block_lists(table(spark, sf_dir, "documents")), least=60, most=200)
 
 
 @query(r"""SELECT doc_id, len(string_split_regex(regexp_replace(text, '([。.?!])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), '\x01|\n\n|\n'))::INTEGER AS n_sentences, md5(array_to_string(string_split_regex(regexp_replace(text, '([。.?!])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), '\x01|\n\n|\n'), chr(2))) AS digest FROM documents""")
@@ -137,7 +137,7 @@ def sentences(spark, sf_dir):
 
 @query()
 def split_oversize(spark, sf_dir):
-    return C.build_chunks(B.line_blocks(table(spark, sf_dir, "documents")), least=60, most=200, split=True)
+    return C.build_chunks(B.line_block_lists(table(spark, sf_dir, "documents")), least=60, most=200, split=True)
 
 
 @query("""WITH r AS (SELECT source AS table_id, text, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id || ':0'), doc_id) AS n FROM documents)
@@ -150,8 +150,7 @@ def sample_chunks(spark, sf_dir):
 b AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 256)::INTEGER AS bucket, count(*) AS n FROM w GROUP BY ALL)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""")
 def embed_chunks(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", V.embed(F.col("text")).alias("v"))
-    return rows.select("doc_id", F.posexplode("v").alias("bucket", "weight")).where("weight <> 0").withColumn("weight", F.round("weight", 6))
+    return V.word_weights(table(spark, sf_dir, "documents"), "text", "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 @query("""WITH s AS (SELECT doc_id, text, unnest(range(0, ((length(text) - 1) // 80 + 1)::BIGINT)) AS frame_no FROM documents WHERE length(text) > 0)

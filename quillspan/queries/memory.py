@@ -30,8 +30,7 @@ def message_rows(spark, sf_dir):
 b AS (SELECT session_id, seq, role, (('0x' || substr(md5(w), 1, 8))::BIGINT % 256)::INTEGER AS bucket, count(*) AS n FROM w GROUP BY ALL)
 SELECT session_id, seq, role, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY session_id, seq)), 6) AS weight FROM b""")
 def vector_rows(spark, sf_dir):
-    rows = M.explode_pairs(pairs(spark, sf_dir)).select("session_id", "seq", "role", V.embed(F.col("content")).alias("v"))
-    return rows.select("session_id", "seq", "role", F.posexplode("v").alias("bucket", "weight")).where("weight <> 0").withColumn("weight", F.round("weight", 6))
+    return V.word_weights(M.explode_pairs(pairs(spark, sf_dir)), "content", "session_id", "seq", "role").withColumn("weight", F.round("weight", 6))
 
 
 BATCH = "batch AS (SELECT event_id AS seq, CASE WHEN event_id % 11 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 13 <> 0 THEN (user_id % 10)::VARCHAR END AS id FROM events)"

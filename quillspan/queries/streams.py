@@ -24,10 +24,10 @@ def stream_session_state(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
-@query()
+@query("SELECT seq, kind, id, create_time, 'system' AS create_by FROM (SELECT event_id AS seq, event_type AS kind, user_id::VARCHAR AS id, ts AS create_time, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS n FROM events WHERE event_type IS NOT NULL) WHERE n = 1")
 def stream_save(spark, sf_dir):
     path = stores.fresh(spark, "save")
     rows = stream(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("id"), F.col("ts").alias("create_time"), F.lit(None).cast("string").alias("create_by"))
-    saved = rows.writeStream.foreachBatch(sessions.save_batch(f"{path}/out")).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    saved.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("seq", "kind", "id", "create_time", "create_by")
+    found = rows.writeStream.foreachBatch(sessions.save_batch(f"{path}/out")).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    found.awaitTermination()
+    return sessions.saved(spark, f"{path}/out", rows.schema).select("seq", "kind", "id", "create_time", "create_by")

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: ``spark.checkpoint.dir`` where it is set."""
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, which only a local session may lack."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/quillspan-{name}-{uuid.uuid4().hex}"
@@ -44,8 +46,9 @@ def text_blocks(files: DataFrame) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Append chunks, a folder for each collection; rows of one collection are brought to few files."""
-    chunks.repartition("table_id", F.pmod(F.xxhash64("doc_id"), F.lit(4))).write.mode("append").partitionBy("table_id").parquet(path)
+    """Append chunks, a folder for each collection. Rows of a collection are brought together, in tasks of about
+    Spark's advisory partition size: a large collection is written by many, small ones share one."""
+    chunks.hint("rebalance", F.col("table_id")).write.mode("append").partitionBy("table_id").parquet(path)
 
 
 def write_vectors(rows: DataFrame, path: str) -> None:

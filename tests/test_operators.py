@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.functions import vectors as V
 from quillspan.operators import blocks as B
 from quillspan.operators import chunks as C
 from quillspan.operators import folds as D
@@ -18,6 +19,7 @@ from quillspan.operators import registry as G
 from quillspan.operators import retrieval as R
 from quillspan.operators import web as W
 from quillspan.sources import stores
+from quillspan.streaming import sessions
 
 BLOCK = "doc_id long, block_no int, type string, level int, text string"
 
@@ -66,6 +68,49 @@ def test_chunks_cover_the_text_in_order(parts, least, most):
     assert all(n >= least for _, _, n in out[:-1])
 
 
+def test_whole_documents_are_chunked_where_they_are(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    narrow = C.build_chunks(B.line_block_lists(docs), 60, 200)
+    assert "Exchange" not in narrow._jdf.queryExecution().executedPlan().toString()
+    wide = C.build_chunks(B.line_blocks(docs), 60, 200)
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
+
+
+def test_a_callers_tokenizer_counts(spark):
+    blocks = spark.createDataFrame([(1, i, "paragraph", None, "x" * 10) for i in range(8)], BLOCK)
+    got = C.build_chunks(blocks, 5, 25, tokens=len).orderBy("chunk_no").collect()
+    assert [(r.content, r.n_tokens) for r in got] == [("\n".join(["x" * 10] * 2), 21)] * 4
+    far = lambda s: np.array([[1.0, 0.0] if "a" in x else [0.0, 1.0] for x in s])
+    assert C.cut("a a\na a\nb b\nb b\nb b", 1, 1000, far, percentile=75) == ["a a\na a", "b b\nb b\nb b"]
+
+
+def test_words_weigh_as_in_the_vectors(spark):
+    rows = spark.createDataFrame([(1, "A a b c_d É"), (2, ""), (3, None)], "i long, text string")
+    want = {(1, j): w for j, w in enumerate(V.hash_embed(pd.Series(["A a b c_d É"]))[0]) if w}
+    got = {(r.i, r.bucket): r.weight for r in V.word_weights(rows, "text", "i").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_a_batch_is_saved_once(spark, tmp_path):
+    schema = "kind string, id string, seq long, create_time timestamp, create_by string, content string"
+    t = dt.datetime(2024, 1, 1)
+    first = spark.createDataFrame([("m", "1", 1, t, None, "a"), ("m", "1", 2, t, None, "again"), ("m", "2", 3, t, "u", "b"), ("s", "1", 4, None, None, "c"), (None, "9", 5, t, None, "x"), ("m", None, 6, t, None, "d")], schema)
+    second = spark.createDataFrame([("m", "2", 7, t, None, "new"), ("m", "3", 8, t, None, "e")], schema)
+    save, path = sessions.save_batch(str(tmp_path), embed=V.hash_embed), str(tmp_path)
+    read = lambda: sorted((r.kind, r.content, r.create_by, len(r.vector)) for r in sessions.saved(spark, path, schema + ", vector array<double>").collect())
+    assert read() == []
+    save(first, 0)
+    one = read()
+    assert one == [("m", "a", "system", 256), ("m", "b", "u", 256), ("m", "d", "system", 256), ("s", "c", "system", 256)]
+    save(first, 0)
+    assert read() == one
+    for _ in range(2):
+        save(second, 1)
+        assert read() == [("m", "a", "system", 256), ("m", "d", "system", 256), ("m", "e", "system", 256), ("m", "new", "system", 256), ("s", "c", "system", 256)]
+    save(second.limit(0), 2)
+    assert len(read()) == 5
+
+
 def test_split_joins_small_pieces():
     text = "\n".join(f"{w} " * 12 for w in "a b c d e f".split())
     out = C.cut(text, 20, 30)
