@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.chunks import words
+from quillspan.operators.layout import CELL_PATTERNS
+
 PAGE = ["doc_id", "page_number"]
 
 
@@ -49,24 +52,33 @@ def suppress(regions: DataFrame, iou: float = 0.45) -> DataFrame:
     return _grouped(regions, [*PAGE, "type"], fold)
 
 
-def clean_regions(regions: DataFrame, far: int = 2, share: float = 0.7) -> DataFrame:
-    """Of regions of one type that follow each other within ``far`` places and cover ``share`` of
-    either, the higher-scored stays."""
+def clean_regions(regions: DataFrame, boxes: DataFrame | None = None, far: int = 2, share: float = 0.7) -> DataFrame:
+    """Of regions of one type that follow each other within ``far`` places and cover ``share`` of either, the
+    higher-scored stays (the later one on a tie). Where one has no score, the one that covers more of the page's ``boxes``
+    stays, likewise; without boxes that is the later one."""
 
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
+    def fold(b: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["top", "x0", "region_no"]).reset_index(drop=True)
         i = 0
         while i < len(b):
             area, both, dropped = areas(b), overlaps(b, i), False
             for j in range(i + 1, min(i + far, len(b))):
-                if b["type"].iloc[i] == b["type"].iloc[j] and both[j] >= share * min(area[i], area[j]) and both[j] > 0:
-                    worse = j if b["score"].iloc[i] >= b["score"].iloc[j] else i
-                    b, dropped = b.drop(index=b.index[worse]).reset_index(drop=True), True
-                    break
+                if b["type"].iloc[i] != b["type"].iloc[j] or both[j] <= 0:
+                    continue
+                if both[j] >= share * min(area[i], area[j]):
+                    first, second = b["score"].iloc[i], b["score"].iloc[j]
+                    if not (first > 0 and second > 0):
+                        first, second = (sum(overlaps(pd.concat([b.iloc[[k]], text]), 0)[1:]) for k in (i, j))
+                    b, dropped = b.drop(index=b.index[j if first > second else i]).reset_index(drop=True), True
+                break
             i += not dropped
         return b
 
-    return _grouped(regions, PAGE, fold)
+    schema = ", ".join(f"{n} {t}" for n, t in regions.dtypes)
+    edges = ["x0", "x1", "top", "bottom"]
+    if boxes is None:
+        return _grouped(regions, PAGE, lambda b: fold(b, b[edges].iloc[:0]), schema)
+    return regions.groupBy(*PAGE).cogroup(boxes.select(*PAGE, *edges).groupBy(*PAGE)).applyInPandas(lambda b, t: fold(b, t[edges]), schema)
 
 
 def _merged(rows: list[dict], joins, glue, widen) -> list[dict]:
@@ -237,40 +249,80 @@ def assign_columns(boxes: DataFrame, most: int = 4) -> DataFrame:
     return _grouped(boxes, PAGE, lambda b: _with_columns(b, most), ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ", col_id int")
 
 
-def table_grid(cells: DataFrame) -> DataFrame:
-    """(doc_id, table_no, box_no, row_no, col_no, is_header, text): rows and columns by running bottom and right edges.
+def _kind(text: str | None) -> str:
+    """:func:`quillspan.operators.layout.cell_type` of one text."""
+    text = (text or "").strip()
+    for pattern, kind in CELL_PATTERNS:
+        if re.search(pattern, text):
+            return kind
+    solid, n = re.sub(r"\s+", "", text), words(text)
+    if solid and len(re.findall("[0-9.,+-]", solid)) >= 0.8 * len(solid):
+        return "Nr"
+    return "Lx" if n >= 12 else "Tx" if n > 3 else "Ot"
+
+
+def _bands(low: np.ndarray, high: np.ndarray, slack: float) -> np.ndarray:
+    """Numbers of bands: one ends where the next begins beyond the running average of its high edges, less ``slack``."""
+    out, edge, band = np.zeros(len(low), int), None, -1
+    for i in np.argsort(low, kind="stable"):
+        if edge is None or low[i] >= edge - slack:
+            band, edge = band + 1, high[i]
+        else:
+            edge = (edge + high[i]) / 2
+        out[i] = band
+    return out
 
-    A cell alone in its column (of at least four rows) moves to the nearer neighbour. A row is a header if
-    most of its cells are flagged, or none is a number in a table of numbers."""
 
-    def bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        out, edge, n, band = np.zeros(len(low), int), None, 0, -1
-        for i in np.argsort(low, kind="stable"):
-            if edge is None or low[i] >= edge:
-                band, edge, n = band + 1, high[i], 1
-            else:
-                edge, n = (edge * n + high[i]) / (n + 1), n + 1
-            out[i] = band
-        return out
+def _place_lone(line: np.ndarray, across: np.ndarray, low: np.ndarray, high: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Cells alone in their ``line`` go to the nearer neighbouring line that has no text across from them, if there is one;
+    their line is gone then, and the later ones move up."""
+    i = 0
+    while i <= line.max():
+        own = np.flatnonzero(line == i)
+        if len(own) == 1:
+            gaps = {}
+            for step in (-1, 1):
+                near = np.flatnonzero(line == i + step)
+                if len(near) and not filled[near[across[near] == across[own[0]]]].any():
+                    gaps[step] = (low[own[0]] - high[near]).min() if step < 0 else (low[near] - high[own[0]]).min()
+            if gaps:
+                step = -1 if gaps.get(-1, np.inf) < gaps.get(1, np.inf) else 1
+                line = line.copy()
+                line[own] += step
+                line[line > i] -= 1
+                continue
+        i += 1
+    return line
+
+
+def table_grid(cells: DataFrame) -> DataFrame:
+    """(doc_id, table_no, box_no, row_no, col_no, is_header, text): rows and columns by running averages of bottom and right edges.
+
+    A cell alone in its column, of a table of four rows or more, goes to the nearer neighbouring column without text beside it;
+    then likewise one alone in its row, if there are four columns or more. A row is a header if more than half of its cells
+    are flagged or, in a table that is mostly numbers, aren't numbers."""
 
     def fold(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["top", "x0", "box_no"])
         x0, x1, top, bottom = (b[c].to_numpy(float) for c in ("x0", "x1", "top", "bottom"))
-        row, col = bands(top, bottom), bands(x0, x1)
+        filled = (b["text"].fillna("") != "").to_numpy(bool)
+        row, col = _bands(top, bottom, 3.0), _bands(x0, x1, 0.0)
         if row.max() >= 3:
-            for c in np.unique(col):
-                own = np.flatnonzero(col == c)
-                rest = np.setdiff1d(np.unique(col), [c])
-                if len(own) == 1 and len(rest):
-                    mid = [abs((x0[col == r].mean() + x1[col == r].mean()) - x0[own[0]] - x1[own[0]]) for r in rest]
-                    if any(((col == r) & (row == row[own[0]])).sum() == 0 for r in rest):
-                        free = [j for j, r in enumerate(rest) if not ((col == r) & (row == row[own[0]])).any()]
-                        col[own[0]] = rest[min(free, key=lambda j: mid[j])]
-            col = np.searchsorted(np.unique(col), col)
-        number = b["text"].fillna("").str.fullmatch(r"[0-9.,+%/ -]+").to_numpy(bool)
+            col = _place_lone(col, row, x0, x1, filled)
+        if col.max() >= 3:
+            row = _place_lone(row, col, top, bottom, filled)
+        kinds = [_kind(t) for t in b["text"]]
+        numbers = max(dict.fromkeys(kinds), key=kinds.count) == "Nu"
         flagged = b["is_header"].fillna(False).to_numpy(bool)
-        most = number.mean() > 0.5
-        head = np.array([flagged[row == r].mean() > 0.5 or (most and not number[row == r].any()) for r in range(row.max() + 1)])
+        number = np.array([k == "Nu" for k in kinds])
+        head = np.zeros(row.max() + 1, bool)
+        for r in range(row.max() + 1):
+            cells_, heads = {}, 0
+            for i in np.flatnonzero(row == r):
+                cells_.setdefault(col[i], []).append(i)
+            for own in cells_.values():
+                heads += not number[own[0]] if numbers else bool(flagged[own].any())
+            head[r] = bool(cells_) and heads / len(cells_) > 0.5
         return pd.DataFrame({"doc_id": b["doc_id"], "table_no": b["table_no"], "box_no": b["box_no"], "row_no": row.astype("int32"), "col_no": col.astype("int32"), "is_header": head[row], "text": b["text"]})
 
     return _grouped(cells, ["doc_id", "table_no"], fold, "doc_id long, table_no int, box_no long, row_no int, col_no int, is_header boolean, text string")

@@ -48,12 +48,17 @@ def space_chars(chars: DataFrame) -> DataFrame:
     return chars.withColumn("text", F.when(gap & like, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
 
 
-def page_stats(chars: DataFrame, pages: DataFrame) -> DataFrame:
-    """Median character height and width (0 and 8 without any), and the height of all pages before."""
+def page_stats(chars: DataFrame, pages: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """Median character height and width (8 without any), and the height of all pages before. A page without
+    characters has the median height of its ``boxes`` that hold text, else 0."""
     med = chars.groupBy(*PAGE).agg(F.percentile(F.when(F.col("height") > 0, F.col("height")), F.lit(0.5)).alias("h"), F.percentile(F.when(F.col("width") > 0, F.col("width")), F.lit(0.5)).alias("w"))
     before = F.sum("page_height").over(Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1))
     rows = pages.select(*PAGE, "page_height", F.coalesce(before, F.lit(0.0)).alias("cum")).join(med, [*PAGE], "left")
-    return rows.select(*PAGE, F.coalesce("h", F.lit(0.0)).alias("mean_height"), F.coalesce("w", F.lit(8.0)).alias("mean_width"), "cum")
+    own = F.lit(None).cast("double")
+    if boxes is not None:
+        tall = F.when((F.trim("text") != "") & (F.col("bottom") > F.col("top")), F.col("bottom") - F.col("top"))
+        rows, own = rows.join(boxes.groupBy(*PAGE).agg(F.percentile(tall, F.lit(0.5)).alias("b")), [*PAGE], "left"), F.col("b")
+    return rows.select(*PAGE, F.coalesce("h", own, F.lit(0.0)).alias("mean_height"), F.coalesce("w", F.lit(8.0)).alias("mean_width"), "cum")
 
 
 def to_document_y(boxes: DataFrame, stats: DataFrame) -> DataFrame:
@@ -139,35 +144,48 @@ def dotted_pages(boxes: DataFrame, most: int = 3) -> DataFrame:
     return boxes.join(dotted, [*PAGE], "left_anti")
 
 
+PARTING = ("table caption", "title", "figure caption", "reference")  # fixed values
+
+
 def stitch_tables(boxes: DataFrame, stats: DataFrame, most: float = 23.0) -> DataFrame:
     """(doc_id, page_number, layoutno, table_id): tables that go on from the page before share an
-    id. Boxes that only name a source are left out; a caption between two tables parts them."""
-    own = boxes.where((F.col("layout_type") == "table") & ~F.trim("text").rlike("^(数据|资料|图表)*来源[:： ]"))
-    tables = own.groupBy(*PAGE, "layoutno").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("x0").alias("x0"))
-    captions = boxes.where(is_caption(F.col("text"), F.col("layout_type"))).select(*PAGE, F.lit(True).alias("caption"), "top")
-    rows = tables.select(*PAGE, "layoutno", "top", "bottom", "x0", F.lit(False).alias("caption")).unionByName(captions, allowMissingColumns=True)
-    w = Window.partitionBy("doc_id").orderBy("page_number", "top", F.desc("caption"), "x0", "layoutno")
-    height = stats.select(*PAGE, "mean_height")
-    seen = rows.withColumns({"_page": F.lag("page_number").over(w), "_bottom": F.lag("bottom").over(w), "_caption": F.lag("caption").over(w)}).where("not caption").join(height, [*PAGE])
-    near = (F.col("page_number") == F.col("_page") + 1) & (~F.col("_caption")) & (F.col("top") - F.col("_bottom") <= most * F.col("mean_height"))
-    starts = seen.withColumn("_start", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
-    return starts.withColumn("table_id", F.sum("_start").over(Window.partitionBy("doc_id").orderBy("page_number", "top", "x0", "layoutno")).cast("int")).select(*PAGE, "layoutno", "table_id")
+    id: where the middles of the last box of one and the first of the next are at most ``most`` character heights apart, down
+    the whole document, and no caption, title or reference came after the first before any other table or
+    figure. Boxes that only name a source are left out."""
+    source = F.trim("text").rlike("^(数据|资料|图表)*来源[:： ]")
+    key = F.concat(F.col("page_number").cast("string"), F.lit("-"), "layoutno")
+    rows = to_document_y(boxes.where("coalesce(layoutno, '') <> ''"), stats).withColumns({"_key": key, "_mid": (F.col("top") + F.col("bottom")) / 2})
+    shown = F.col("layout_type").isin("table", "figure") & ~F.coalesce(source, F.lit(False))
+    before = Window.partitionBy("doc_id").orderBy("page_number", "top", "x0", "box_no").rowsBetween(Window.unboundedPreceding, -1)
+    parting = is_caption(F.col("text"), F.col("layout_type")) | F.col("layout_type").isin(*PARTING)
+    closed = rows.withColumn("_key", F.last(F.when(shown, F.col("_key")), ignorenulls=True).over(before)).where(parting).select("doc_id", "_key", F.lit(True).alias("_closed")).distinct()
+    place = F.struct("top", "x0", "box_no")
+    tables = rows.where(shown & (F.col("layout_type") == "table")).groupBy(*PAGE, "layoutno", "_key").agg(F.min(place).alias("first"), F.min_by("_mid", place).alias("begin"), F.max_by("_mid", place).alias("end"))
+    tables = tables.join(closed, ["doc_id", "_key"], "left").join(stats.select(*PAGE, "mean_height"), [*PAGE])
+    w = Window.partitionBy("doc_id").orderBy("first.top", "first.x0", "layoutno")
+    near = (F.col("page_number") == F.lag("page_number").over(w) + 1) & F.lag("_closed").over(w).isNull() & (F.col("begin") - F.lag("end").over(w) <= most * F.col("mean_height"))
+    starts = tables.withColumn("_start", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
+    return starts.withColumn("table_id", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).select(*PAGE, "layoutno", "table_id")
 
 
 def is_caption(text: Column, layout: Column) -> Column:
     return F.coalesce(F.trim(text).rlike("^[图表]+[ 0-9:：]{2,}"), F.lit(False)) | F.coalesce(layout.contains("caption"), F.lit(False))
 
 
-def attach_captions(captions: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(doc_id, cap_no, kind, box_no): the nearest table or figure of each caption by squared distance; a
-    table only if strictly nearer. Where the widths overlap only heights count. Boxes are of one document's page order."""
-    met = captions.alias("c").join(boxes.alias("b"), (F.col("c.doc_id") == F.col("b.doc_id")) & (F.col("c.page_number") == F.col("b.page_number")))
+def attach_captions(captions: DataFrame, boxes: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_number, cap_no, kind, box_page, box_no): the nearest table or figure box of the document for each caption by
+    squared distance, a table only if strictly nearer; captions among ``boxes`` don't count. Where the widths overlap only
+    heights count. With ``stats`` tops are in their pages, and are moved down the document first; without, they are already."""
+    captions, boxes = (df if stats is None else to_document_y(df, stats) for df in (captions, boxes))
+    met = captions.alias("c").join(boxes.where("not layout_type like '%caption%'").alias("b"), F.col("c.doc_id") == F.col("b.doc_id"))
     apart = (F.col("b.x1") < F.col("c.x0")) | (F.col("b.x0") > F.col("c.x1"))
     dx = F.when(apart, (F.col("b.x0") + F.col("b.x1") - F.col("c.x0") - F.col("c.x1")) / 2).otherwise(0.0)
     dy = (F.col("b.top") + F.col("b.bottom") - F.col("c.top") - F.col("c.bottom")) / 2
-    rows = met.select("c.doc_id", "c.page_number", F.col("c.box_no").alias("cap_no"), F.col("b.layout_type").alias("kind"), "b.box_no", F.round(dx * dx + dy * dy, 4).alias("d"))
-    order = Window.partitionBy(*PAGE, "cap_no").orderBy("d", F.when(F.col("kind") == "figure", 0).otherwise(1), "box_no")
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "d")
+    d = F.round(dx * dx + dy * dy, 4)
+    # The least of each caption is found while rows are summed up, before the shuffle.
+    best = F.min(F.struct(d.alias("d"), F.when(F.col("b.layout_type") == "figure", 0).otherwise(1).alias("o"), F.col("b.page_number").alias("box_page"), F.col("b.box_no").alias("box_no"), F.col("b.layout_type").alias("kind"))).alias("x")
+    rows = met.groupBy("c.doc_id", "c.page_number", F.col("c.box_no").alias("cap_no")).agg(best)
+    return rows.select("doc_id", "page_number", "cap_no", "x.kind", "x.box_page", "x.box_no")
 
 
 def cell_type(text: Column) -> Column:

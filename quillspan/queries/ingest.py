@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
@@ -56,8 +57,8 @@ def paragraph_blocks(spark, sf_dir):
     return B.blocks_from_paragraphs(B.line_blocks(table(spark, sf_dir, "documents")).select("doc_id", n.alias("para_no"), style.alias("style"), "text"))
 
 
-CELLS = """cells AS (SELECT n_regionkey AS table_no, row_no, col_no, CASE col_no WHEN 0 THEN n_name WHEN 1 THEN r_name || chr(10) || n_nationkey || ' ' ELSE r_name || '|x' END AS text FROM
-  (SELECT n.*, r.r_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row_no FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey) t, (SELECT unnest([0, 1, 2]) AS col_no) c WHERE NOT (n_nationkey % 5 = 0 AND col_no = 2)),
+CELLS = """cells AS (SELECT l_orderkey AS table_no, row_no, col_no, CASE col_no WHEN 0 THEN l_returnflag WHEN 1 THEN l_linestatus || chr(10) || l_partkey || ' ' ELSE l_suppkey || '|x' END AS text FROM
+  (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS row_no FROM lineitem) t, (SELECT unnest([0, 1, 2]) AS col_no) c WHERE NOT (l_partkey % 5 = 0 AND col_no = 2)),
 clean AS (SELECT table_no, row_no, list(replace(replace(trim(text), chr(10), ' '), '|', '\\|') ORDER BY col_no) AS c FROM cells GROUP BY ALL),
 wide AS (SELECT table_no, max(len(c)) AS n FROM clean GROUP BY table_no),
 bars AS (SELECT table_no, row_no, n, '| ' || array_to_string(list_resize(c, n, ''), ' | ') || ' |' AS bar FROM clean JOIN wide USING (table_no)),
@@ -65,12 +66,11 @@ md AS (SELECT table_no, string_agg(CASE WHEN row_no = 0 THEN bar || chr(10) || '
 
 
 def cells(spark, sf_dir):
-    from pyspark.sql import Window
-
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    rows = n.join(r, n.n_regionkey == r.r_regionkey).withColumn("row_no", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
-    three = F.array("n_name", F.concat("r_name", F.lit("\n"), F.col("n_nationkey").cast("string"), F.lit(" ")), F.concat("r_name", F.lit("|x")))
-    return rows.select(F.col("n_regionkey").alias("table_no"), "n_nationkey", "row_no", "r_name", F.posexplode(three).alias("col_no", "text")).where(~((F.col("n_nationkey") % 5 == 0) & (F.col("col_no") == 2)))
+    """A table for each order, a row for each of its lines; some rows lack the last cell."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    rows = table(spark, sf_dir, "lineitem").withColumn("row_no", F.row_number().over(w) - 1)
+    three = F.array("l_returnflag", F.concat("l_linestatus", F.lit("\n"), F.col("l_partkey").cast("string"), F.lit(" ")), F.concat(F.col("l_suppkey").cast("string"), F.lit("|x")))
+    return rows.select(F.col("l_orderkey").alias("table_no"), "l_partkey", "row_no", F.posexplode(three).alias("col_no", "text")).where(~((F.col("l_partkey") % 5 == 0) & (F.col("col_no") == 2)))
 
 
 @query(with_(CELLS) + " SELECT table_no, markdown FROM md")
@@ -78,10 +78,11 @@ def table_markdown(spark, sf_dir):
     return B.cells_to_markdown(cells(spark, sf_dir), "table_no")
 
 
-@query(with_(CELLS) + """ SELECT 0::BIGINT AS doc_id, (2 * table_no + k)::INTEGER AS block_no, CASE k WHEN 0 THEN 'title' ELSE 'table' END AS type, CASE k WHEN 0 THEN 1 END AS level, CASE k WHEN 0 THEN r_name ELSE markdown END AS text
-FROM md JOIN region ON r_regionkey = table_no, (SELECT unnest([0, 1]) AS k)""")
+@query(with_(CELLS) + """ SELECT table_no // 10 AS doc_id, (2 * (table_no % 10) + k)::INTEGER AS block_no, CASE k WHEN 0 THEN 'title' ELSE 'table' END AS type, CASE k WHEN 0 THEN 1 END AS level, CASE k WHEN 0 THEN 'sheet ' || table_no ELSE markdown END AS text
+FROM md, (SELECT unnest([0, 1]) AS k)""")
 def sheet_blocks(spark, sf_dir):
-    return B.sheets_to_blocks(cells(spark, sf_dir).select(F.lit(0).cast("long").alias("doc_id"), F.col("table_no").alias("sheet_no"), F.col("r_name").alias("sheet"), "row_no", "col_no", "text"))
+    n = F.col("table_no")
+    return B.sheets_to_blocks(cells(spark, sf_dir).select(F.floor(n / 10).alias("doc_id"), (n % 10).alias("sheet_no"), F.concat(F.lit("sheet "), n.cast("string")).alias("sheet"), "row_no", "col_no", "text"))
 
 
 @query(rf"""WITH h AS (SELECT page_id, {sql_marked("html")} AS h FROM pages),

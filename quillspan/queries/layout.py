@@ -125,21 +125,27 @@ def dotted_pages(spark, sf_dir):
     return L.dotted_pages(b.withColumn("text", F.when(F.col("box_no") % 9 == 0, F.concat("text", F.lit("····"))).otherwise(F.col("text")))).select("doc_id", "page_number", "box_no")
 
 
-@query(with_(BOXES) + """, t AS (SELECT doc_id, page_number, 'table-' || (box_no % 2) AS layoutno, min(top) AS top, max(bottom) AS bottom, min(x0) AS x0 FROM boxes WHERE layout_type = 'table' GROUP BY ALL),
-s AS (SELECT *, CASE WHEN page_number = lag(page_number) OVER w + 1 AND top - lag(bottom) OVER w <= 23 * 12 THEN 0 ELSE 1 END AS start FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, top, x0, layoutno))
-SELECT doc_id, page_number, layoutno, sum(start) OVER (PARTITION BY doc_id ORDER BY page_number, top, x0, layoutno ROWS UNBOUNDED PRECEDING)::INTEGER AS table_id FROM s""")
+@query(with_(BOXES) + """, b AS (SELECT *, page_number || '-table-' || (box_no % 2) AS k, (top + bottom) / 2 + 600 * (page_number - 1) AS mid FROM boxes),
+l AS (SELECT *, last_value(CASE WHEN layout_type = 'table' THEN k END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number, top, x0, box_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b),
+closed AS (SELECT DISTINCT doc_id, before FROM l WHERE layout_type = 'title' AND doc_id % 2 = 0),
+t AS (SELECT doc_id, page_number, 'table-' || (box_no % 2) AS layoutno, k, min(mid) AS first, max(mid) AS last FROM b WHERE layout_type = 'table' GROUP BY ALL),
+s AS (SELECT t.*, CASE WHEN page_number = lag(page_number) OVER w + 1 AND first - lag(last) OVER w <= 40 * 12 AND lag(c.before) OVER w IS NULL THEN 0 ELSE 1 END AS start FROM t LEFT JOIN closed c ON c.doc_id = t.doc_id AND c.before = t.k WINDOW w AS (PARTITION BY t.doc_id ORDER BY first))
+SELECT doc_id, page_number, layoutno, sum(start) OVER (PARTITION BY doc_id ORDER BY first ROWS UNBOUNDED PRECEDING)::INTEGER AS table_id FROM s""")
 def stitch_tables(spark, sf_dir):
+    """Titles part the tables of every other document only."""
     b = boxes(spark, sf_dir).withColumn("layoutno", F.concat(F.lit("table-"), (F.col("box_no") % 2).cast("string")))
-    return L.stitch_tables(b, stats(spark, sf_dir))
+    b = b.withColumn("layout_type", F.when((F.col("layout_type") == "title") & (F.col("doc_id") % 2 != 0), "text").otherwise(F.col("layout_type")))
+    return L.stitch_tables(b, stats(spark, sf_dir), 40.0)
 
 
-@query(with_(BOXES) + """, m AS (SELECT c.doc_id, c.page_number, c.box_no AS cap_no, CASE WHEN b.layout_type = 'title' THEN 'figure' ELSE 'table' END AS kind, b.box_no, round(CASE WHEN b.x1 < c.x0 OR b.x0 > c.x1 THEN ((b.x0 + b.x1 - c.x0 - c.x1) / 2) ** 2 ELSE 0 END + ((b.top + b.bottom - c.top - c.bottom) / 2) ** 2, 4) AS d
- FROM boxes c JOIN boxes b ON b.doc_id = c.doc_id AND b.page_number = c.page_number AND b.layout_type IN ('title', 'table') AND c.layout_type = 'header')
-SELECT doc_id, page_number, cap_no, kind, box_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, cap_no ORDER BY d, CASE kind WHEN 'figure' THEN 0 ELSE 1 END, box_no) AS n FROM m) WHERE n = 1""")
+@query(with_(BOXES) + """, y AS (SELECT *, top + 600 * (page_number - 1) AS t, bottom + 600 * (page_number - 1) AS u FROM boxes),
+m AS (SELECT c.doc_id, c.page_number, c.box_no AS cap_no, CASE WHEN b.layout_type = 'title' THEN 'figure' ELSE 'table' END AS kind, b.page_number AS box_page, b.box_no, round(CASE WHEN b.x1 < c.x0 OR b.x0 > c.x1 THEN ((b.x0 + b.x1 - c.x0 - c.x1) / 2) ** 2 ELSE 0 END + ((b.t + b.u - c.t - c.u) / 2) ** 2, 4) AS d
+ FROM y c JOIN y b ON b.doc_id = c.doc_id AND b.layout_type IN ('title', 'table') AND c.layout_type IN ('header', 'footer'))
+SELECT doc_id, page_number, cap_no, kind, box_page, box_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cap_no ORDER BY d, CASE kind WHEN 'figure' THEN 0 ELSE 1 END, box_page, box_no) AS n FROM m) WHERE n = 1""")
 def attach_captions(spark, sf_dir):
     b = boxes(spark, sf_dir)
     own = b.where("layout_type in ('title', 'table')").withColumn("layout_type", F.when(F.col("layout_type") == "title", "figure").otherwise("table"))
-    return L.attach_captions(b.where("layout_type = 'header'"), own)
+    return L.attach_captions(b.where("layout_type in ('header', 'footer')"), own, stats(spark, sf_dir))
 
 
 KIND = r"""CASE WHEN regexp_matches(t, '^(19|20)\d\d[年/-]\d\d?[月/-]\d\d?日*$') OR regexp_matches(t, '^(19|20)\d\d(年|[年-]\d\d?月*|年*[一二三四1-4]季度|[A-E])$') OR regexp_matches(t, '^\d\d?[月-]\d\d?日*$') OR regexp_matches(t, '^第*[一二三四1-4]季度$') THEN 'Dt'
@@ -186,14 +192,14 @@ def align_edges(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) for c in ("x0", "x1", "top", "bottom")})
 
 
-GRID = CELLS + """, grid AS (SELECT table_no, row_no, col_no, text, row_no % 4 = 0 AS is_header FROM cells), caps AS (SELECT r_regionkey AS table_no, CASE WHEN r_regionkey % 2 = 0 THEN r_name END AS caption FROM region),
+GRID = CELLS + """, grid AS (SELECT table_no, row_no, col_no, text, row_no % 4 = 0 AS is_header FROM cells), caps AS (SELECT DISTINCT table_no, CASE WHEN table_no % 2 = 0 THEN 'order ' || table_no END AS caption FROM cells),
 wide2 AS (SELECT table_no, max(col_no) AS last FROM grid GROUP BY table_no),
 full2 AS (SELECT r.table_no, r.row_no, r.is_header, list(coalesce(g.text, '') ORDER BY c.col_no) AS cells FROM (SELECT DISTINCT table_no, row_no, is_header FROM grid) r JOIN wide2 USING (table_no) JOIN (SELECT unnest([0, 1, 2]) AS col_no) c ON c.col_no <= last LEFT JOIN grid g ON g.table_no = r.table_no AND g.row_no = r.row_no AND g.col_no = c.col_no GROUP BY ALL)"""
 
 
 def grid(spark, sf_dir):
     own = cells(spark, sf_dir).select("table_no", "row_no", "col_no", "text", (F.col("row_no") % 4 == 0).alias("is_header"))
-    caps = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("table_no"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).alias("caption"))
+    caps = own.select("table_no").distinct().withColumn("caption", F.when(F.col("table_no") % 2 == 0, F.concat(F.lit("order "), F.col("table_no").cast("string"))))
     return own, caps
 
 
@@ -220,7 +226,7 @@ def assemble_blocks(spark, sf_dir):
 
 @query()
 def clean_regions(spark, sf_dir):
-    return D.clean_regions(regions(spark, sf_dir))
+    return D.clean_regions(regions(spark, sf_dir), boxes(spark, sf_dir))
 
 
 @query()

@@ -316,6 +316,34 @@ def test_a_grid_from_cells(spark):
     assert all(r.is_header == (r.row_no == 0) for r in got)
 
 
+def test_lone_cells_move_to_their_neighbours(spark):
+    schema = "doc_id long, table_no int, box_no long, x0 double, x1 double, top double, bottom double, is_header boolean, text string"
+    cell = lambda n, r, c, x, text="t", no=0: (1, no, n, x, x + 30.0, 20.0 * r, 20.0 * r + 15, False, text)
+    # Column 1 has one cell, in a row without a cell in column 0: it goes there, as column 2 is farther.
+    rows = [cell(i, i, 0, 0.0) for i in range(4)] + [cell(9, 4, 1, 35.0)] + [cell(10 + i, i, 2, 100.0) for i in range(5)]
+    got = {r.box_no: (r.row_no, r.col_no) for r in D.table_grid(spark.createDataFrame(rows, schema)).collect()}
+    assert got[9] == (4, 0) and got[10] == (0, 1)
+    # A row of one cell between rows of four that lack it: it goes to the nearer, and rows move up.
+    rows = [(1, 1, 10 * r + c, 40.0 * c, 40.0 * c + 30, t, t + 10, False, "t") for r, t in ((0, 0.0), (2, 60.0)) for c in range(4) if not (r == 0 and c == 1)] + [(1, 1, 99, 40.0, 70.0, 20.0, 30.0, False, "lone")]
+    got = {r.box_no: (r.row_no, r.col_no) for r in D.table_grid(spark.createDataFrame(rows, schema)).collect()}
+    assert got[99] == (0, 1) and got[20] == (1, 0)
+
+
+def test_regions_without_scores_go_by_the_text_they_cover(spark):
+    rows = [(1, 1, 0, "text", None, 0.0, 10.0, 0.0, 10.0), (1, 1, 1, "text", 0.9, 0.0, 10.0, 1.0, 11.0)]
+    boxes = spark.createDataFrame([box(0, 0, 10, 0, "a")], BOX).withColumn("bottom", F.lit(5.0))
+    regions = spark.createDataFrame(rows, REGION)
+    assert [r.region_no for r in D.clean_regions(regions, boxes).collect()] == [0]
+    assert [r.region_no for r in D.clean_regions(regions).collect()] == [1]
+
+
+def test_page_heights_without_characters_are_those_of_boxes(spark):
+    pages = spark.createDataFrame([(1, 1, 600.0), (1, 2, 600.0)], "doc_id long, page_number int, page_height double")
+    chars = spark.createDataFrame([(1, 1, 7.0, 5.0)], "doc_id long, page_number int, height double, width double")
+    boxes = spark.createDataFrame([box(0, 0, 10, 0, "a", page=2), box(1, 0, 10, 0, " ", page=2)], BOX)
+    assert [(r.mean_height, r.mean_width, r.cum) for r in L.page_stats(chars, pages, boxes).orderBy("page_number").collect()] == [(7.0, 5.0, 0.0), (10.0, 8.0, 600.0)]
+
+
 def test_cell_types(spark):
     cases = {"2024年3月": "Dt", "2024-01-05": "Dt", "3,000.5": "Nu", "ABC-1": "Ca", "abc def": "En", "12kg": "NE", "中": "Sg", "第1234567890": "Nr", "": "Ot", "2020": "Nu", "2020-05": "Dt", "1/2": "Nu", "2024A": "Dt", "2024年1季度": "Dt", " 2020年 ": "Dt", "$1,234.56": "Nr", "第2季度": "Dt", "3月5日": "Dt", "One, two, three and four!": "Tx"}
     rows = spark.createDataFrame([(k,) for k in cases], "text string").withColumn("kind", L.cell_type(F.col("text")))
