@@ -75,7 +75,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op10").path("warc")
     warc.write_pages(table(spark, sf_dir, "pages"), path)
-    found = warc.read(spark, path, "record_id", "record_type", "payload_digest", "payload_bytes", "refers_to")
+    found = warc.read(spark, path, "record_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload")
+    # Of a response what counts is the payload as it was read back; a revisit carries none, and its headers tell.
+    n, digest = F.octet_length("payload").cast("long"), warc.base32_of(F.sha1("payload"))
+    found = found.withColumns({"payload_bytes": F.coalesce(n, "payload_bytes"), "payload_digest": F.coalesce(digest, "payload_digest")})
     return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 

@@ -6,7 +6,8 @@ that names the files of the tasks that counted, with record starts about every
 parsed first; record-type and header predicates that Spark pushes down are tested on
 them alone, and a payload that no predicate lets through or that the schema doesn't ask
 for is stepped over unread. Response bodies are gzip-encoded inside their block, so what is
-stepped over is never decoded.
+stepped over is never decoded. Archives of other makers are read too: a ``.warc`` without a manifest, and a
+``.warc.gz``, is a partition of its own, as nothing says where its records begin.
 
 Paths may be of any file system that pyarrow reaches. All files are written under names of
 their own, so a task that runs twice leaves no doubt about which of its files count."""
@@ -153,7 +154,7 @@ class WarcReader(DataSourceReader):
                     out += [Stretch(posixpath.join(self.path, x["name"]), a, b) for a, b in zip(x["starts"], [*x["starts"][1:], x["size"]], strict=True)]
         else:
             for info in store.get_file_info(fs.FileSelector(root)):
-                if info.path.endswith(".warc"):
+                if info.path.endswith((".warc", ".warc.gz")):
                     out.append(Stretch(posixpath.join(self.path, posixpath.basename(info.path)), 0, info.size))
         return out or [Stretch("", 0, 0)]
 
@@ -164,7 +165,8 @@ class WarcReader(DataSourceReader):
         names = [f.name for f in self.schema]
         rows: dict[str, list] = {n: [] for n in names}
         held = 0
-        for head, block in records(store, path, partition.start, partition.end):
+        found = gzip_records(store, path) if path.endswith(".gz") else records(store, path, partition.start, partition.end)
+        for head, block in found:
             if any(field(head, h, c) not in values for h, values, c in self.tests):
                 continue
             for n in names:
@@ -203,11 +205,73 @@ def column(name: str, head: dict[str, str], block) -> object:
 
 
 def payload_of(head: dict[str, str], block: bytes) -> bytes | None:
-    """The body of a response as it was before its encoding; null for other records."""
-    if head.get("WARC-Type") != "response":
+    """The body of a response or request as it was before its encodings, the block of records that have no HTTP
+    headers, and null for revisits. A body that isn't what its headers say is given as it stands."""
+    kind = head.get("WARC-Type")
+    if kind == "revisit":
         return None
+    if kind not in ("response", "request") or not head.get("Content-Type", "application/http").lower().startswith("application/http"):
+        return block
     http, _, body = block.partition(b"\r\n\r\n")
-    return zlib.decompress(body, 47) if b"\r\ncontent-encoding: gzip" in http.lower() else body
+    http = http.lower()
+    try:
+        plain = dechunked(body) if b"\r\ntransfer-encoding: chunked" in http else body
+        return zlib.decompress(plain, 47) if b"\r\ncontent-encoding: gzip" in http and plain else plain
+    except (ValueError, zlib.error):
+        return body
+
+
+def dechunked(body: bytes) -> bytes:
+    """A body without the sizes of its chunks."""
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        n = int(body[at:end].split(b";")[0], 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def header_of(text: bytes, where: str) -> dict[str, str]:
+    version, *lines = text.decode("utf-8", "replace").split("\r\n")
+    if not version.startswith("WARC/"):
+        raise ValueError(f"no record begins at {where}")
+    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def gzip_records(store: fs.FileSystem, path: str, window: int = 1 << 16) -> Iterator[tuple[dict[str, str], object]]:
+    """As :func:`records`, of a compressed archive from its beginning; what isn't asked for is read past, not kept."""
+    with store.open_input_stream(path, compression="gzip") as f:
+        held, seen = b"", 0
+
+        def fill(n: int) -> bool:
+            nonlocal held
+            while len(held) < n and (more := f.read(max(window, n - len(held)))):
+                held += more
+            return len(held) >= n
+
+        while fill(1) and (held := held.lstrip(b"\r\n")) or fill(1):
+            size = 2048
+            while (cut := held.find(b"\r\n\r\n")) < 0:
+                if not fill(size) and b"\r\n\r\n" not in held:
+                    raise ValueError(f"a record of {path} has no end of headers")
+                size *= 4
+            head = header_of(held[:cut], f"record {seen} of {path}")
+            held, seen, n = held[cut + 4 :], seen + 1, int(head["Content-Length"])
+
+            def block(n: int = n) -> bytes:
+                fill(n)
+                return held[:n]
+
+            yield head, block
+            left = n + 4
+            while left > len(held):
+                left -= len(held)
+                held = f.read(window)
+                if not held:
+                    return
+            held = held[left:]
 
 
 def records(store: fs.FileSystem, path: str, start: int, end: int, window: int = 1 << 16) -> Iterator[tuple[dict[str, str], object]]:
@@ -229,10 +293,7 @@ def records(store: fs.FileSystem, path: str, start: int, end: int, window: int =
                 if size >= end - at:
                     raise ValueError(f"a record of {path} at {at} has no end of headers")
                 size *= 4
-            version, *lines = text[:cut].decode("utf-8", "replace").split("\r\n")
-            if not version.startswith("WARC/"):
-                raise ValueError(f"no record of {path} begins at {at}")
-            head = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            head = header_of(text[:cut], f"{at} of {path}")
             first, n = at + cut + 4, int(head["Content-Length"])
             yield head, lambda first=first, n=n: have(first, n)
             at = first + n + 4

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 from pyspark.sql import functions as F
@@ -84,3 +85,19 @@ def test_empty_table_and_clashing_columns(spark):
 def test_repeated_rows_are_alike(spark):
     got = warc.read(spark, archive(spark, [(1, "u", "h"), (1, "u", "h")]), "record_type").collect()
     assert [r.record_type for r in got] == ["response", "response"]
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    """Plain and compressed files without a manifest, with all kinds of records, one gzip member each."""
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    kinds = [
+        ("warcinfo", "application/warc-fields", b"software: x\r\n", b"software: x\r\n"), ("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", b""),
+        ("response", "application/http; msgtype=response", http + b"3\r\nabc\r\n2;x\r\nde\r\n0\r\n\r\n", b"abcde"), ("response", "application/http", b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nnot gzip", b"not gzip"),
+        ("response", "application/http", b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"z" * 300_000), b"z" * 300_000), ("resource", "image/png", b"\x89PNG" * 50_000, b"\x89PNG" * 50_000), ("conversion", "text/plain", b"plain", b"plain"), ("revisit", "application/http", b"HTTP/1.1 200 OK\r\n\r\n", None),
+    ]
+    parts = [f"WARC/1.0\r\nWARC-Type: {k}\r\nWARC-Record-ID: <{i}>\r\nContent-Type: {c}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, (k, c, b, _) in enumerate(kinds)]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    got = warc.read(spark, str(tmp_path), "record_id", "record_type", "payload").collect()
+    assert sorted(((r.record_id, r.record_type, r.payload) for r in got), key=str) == sorted([(f"<{i}>", k, p) for i, (k, _, _, p) in enumerate(kinds)] * 2, key=str)
+    assert warc.read(spark, str(tmp_path), "record_id", "record_type").where("record_type = 'resource'").count() == 2
