@@ -191,14 +191,18 @@ def attach_captions(captions: DataFrame, boxes: DataFrame, stats: DataFrame | No
 def cell_type(text: Column) -> Column:
     """The code of the first pattern that the trimmed text fits; Nr if 80 % of it, but for white space, are
     digits, points, commas and signs; Tx for more than three tokens, Lx for twelve or more; else Ot. Null is as an empty text."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    solid = F.regexp_replace(text, r"[\s\p{Z}]+", "")
-    n = T.words(text)
-    number = (F.length(solid) > 0) & (F.regexp_count(solid, F.lit("[0-9.,+-]")) >= 0.8 * F.length(solid))
-    out = F.when(number, "Nr").when(n >= 12, "Lx").when(n > 3, "Tx").otherwise("Ot")
-    for pattern, kind in reversed(CELL_PATTERNS):
-        out = F.when(text.rlike(pattern), kind).otherwise(out)
-    return out
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+    def kind_of(t: Column) -> Column:
+        solid, n = F.regexp_replace(t, r"[\s\p{Z}]+", ""), T.words(t)
+        number = (F.length(solid) > 0) & (F.regexp_count(solid, F.lit("[0-9.,+-]")) >= 0.8 * F.length(solid))
+        out = F.when(number, "Nr").when(n >= 12, "Lx").when(n > 3, "Tx").otherwise("Ot")
+        for pattern, kind in reversed(CELL_PATTERNS):
+            out = F.when(t.rlike(pattern), kind).otherwise(out)
+        return out
+
+    # The text is trimmed once, not anew for each pattern.
+    return F.element_at(F.transform(F.array(trimmed), kind_of), 1)
 
 
 def majority_type(cells: DataFrame, key: str) -> DataFrame:
