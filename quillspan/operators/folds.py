@@ -112,16 +112,18 @@ def _by_column(boxes: DataFrame, heights: DataFrame | None, merge) -> DataFrame:
     character heights; a page without one has the median of its boxes."""
     found = "col_id" in boxes.columns
     schema = ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ("" if found else ", col_id int")
+    names = [*boxes.columns, *([] if found else ["col_id"])]
     rows = boxes if heights is None else boxes.join(heights.select(*PAGE, F.col("mean_height").alias("_height")), PAGE, "left")
 
     def fold(b: pd.DataFrame) -> pd.DataFrame:
         height = float(b["_height"].iloc[0] or 0) if "_height" in b else 0.0
         if not height > 0:
             height = float((b["bottom"] - b["top"]).median())
-        b = b.drop(columns="_height", errors="ignore")
         b = b if found else _with_columns(b)
-        out = [r for _, own in b.groupby("col_id", dropna=False, sort=True) for r in merge(own.sort_values(["top", "x0", "box_no"]).to_dict("records"), height)]
-        return pd.DataFrame(out, columns=b.columns)
+        columns: dict[int | None, list[dict]] = {}
+        for r in sorted(b.to_dict("records"), key=lambda r: (r["top"], r["x0"], r["box_no"])):
+            columns.setdefault(r["col_id"], []).append(r)
+        return pd.DataFrame([r for own in columns.values() for r in merge(own, height)], columns=names)
 
     return _grouped(rows, PAGE, fold, schema)
 
