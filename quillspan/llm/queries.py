@@ -3,11 +3,16 @@ over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import audio, decontaminate, language_id, language_model, mixing, near_dedup, substring_dedup, token_blocks, url_filter, warc
+from quillspan.llm import (
+    audio, decontaminate, delta_lloyd, language_id, language_model, mixing, near_dedup, role_repair, substring_dedup, token_blocks, token_counts,
+    url_filter, warc,
+)
 from quillspan.llm.scratch import Scratch
 
 
@@ -82,6 +87,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op11")
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch.path("cache"), scratch, units=700_000)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = delta_lloyd.cluster(table(spark, sf_dir, "embeddings"), Scratch(spark, "op12"))
+    # One row for each centroid, so many as the parameter says.
+    sums = {r.cluster: r.s for r in found.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
+    rows = [(c, sums.get(c, 0), sum(sums.values()), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(centroids)]
+    own = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(own), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    transcript, found = role_repair.repair(role_repair.damage(rows), Scratch(spark, "op13"))
+    hashes = role_repair.transcript_sha256(transcript)
+    all_ = rows.select(F.col("conv_id").cast("long")).distinct().withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")))
+    out = all_.join(found.drop("conv_id"), "conv", "left").join(hashes, "conv", "left")
+    longs = (F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return out.select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,9 +130,60 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
+    "op11_token_counts": op11_token_counts,
+    "op12_delta_lloyd": op12_delta_lloyd,
+    "op13_role_repair": op13_role_repair,
 }
 
+
+def lloyd_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """The rounds written out, each over all vectors."""
+    ctes = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c, x FROM v QUALIFY c < {clusters})",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, any_value(x) AS x, min(d * {clusters} + c) % {clusters} AS c, min(d * {clusters} + c) // {clusters} AS d
+  FROM (SELECT r, vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, k.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i} k) GROUP BY r, vec_id)""")
+        if i < rounds:
+            ctes.append(f"""c{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.x, k.x) AS x FROM c{i} k LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x
+  FROM (SELECT c, j, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM a{i}) GROUP BY c, j) GROUP BY c) m ON m.c = k.c)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k ON k.c = a.c"""
+
+
+def repair_sql() -> str:
+    """Best (cost, edits) of each state after each row: nothing yet, after system, after user, after assistant. A value is the cost in
+    nine digits and the edits, so that the least text is the least value."""
+    add = lambda v, cost, letter: f"(printf('%09d', substr({v}, 1, 9)::INTEGER + {cost}) || substr({v}, 10) || '{letter}')"
+    best = "least(d.q, d.s, d.a)"
+    return r"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') AS conv, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) % 20 AS h FROM k),
+damaged AS (SELECT conv, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM crc, (SELECT unnest([1, 2]) AS n) WHERE n <= CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) - 1 AS place, substr(role, 1, 1) AS r, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM damaged),
+rows_ AS MATERIALIZED (SELECT *, CASE WHEN t = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY place) > 1 THEN 2 WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f,
+  CASE WHEN lag(r) OVER (PARTITION BY conv ORDER BY place) || r NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS odd FROM placed),
+dp AS (SELECT conv, 0 AS place, '000000000' AS q, NULL::VARCHAR AS s, '000000005I' AS u, '000000010II' AS a FROM (SELECT DISTINCT conv FROM rows_)
+ UNION ALL SELECT conv, place, q, s, u2, least(a1, """ + add("u2", 5, "I") + r""") FROM (SELECT *, least(u1, """ + add("least(q, s, a1)", 5, "I") + r""") AS u2 FROM (
+  SELECT d.conv, d.place + 1 AS place, """ + add("d.q", 2, "D") + " AS q, least(" + add("d.s", 2, "D") + ", CASE WHEN f IN (0, 3) AND r = 's' THEN " + add("d.q", "CASE f WHEN 3 THEN 5 ELSE 0 END", "K") + r""" END) AS s,
+  least(""" + add("d.u", 2, "D") + ", CASE WHEN f IN (0, 3) THEN CASE r WHEN 'u' THEN " + add(best, "CASE f WHEN 3 THEN 5 ELSE 0 END", "K") + " ELSE " + add(best, "CASE f WHEN 3 THEN 6 ELSE 1 END", "R") + r""" END END) AS u1,
+  least(""" + add("d.a", 2, "D") + ", CASE WHEN f IN (0, 3) THEN CASE r WHEN 'a' THEN " + add("d.u", "CASE f WHEN 3 THEN 5 ELSE 0 END", "K") + " ELSE " + add("d.u", "CASE f WHEN 3 THEN 6 ELSE 1 END", "R") + r""" END END) AS a1
+  FROM dp d JOIN rows_ x ON x.conv = d.conv AND x.place = d.place))),
+best AS (SELECT conv, substr(v, 1, 9)::BIGINT AS cost, substr(v, 10) AS audit FROM (SELECT conv, least(q, a) AS v FROM dp WHERE (conv, place) IN (SELECT (conv, count(*)) FROM rows_ GROUP BY conv))),
+letters AS (SELECT conv, l, i, count(*) FILTER (WHERE l <> 'I') OVER (PARTITION BY conv ORDER BY i) - 1 AS place FROM (SELECT conv, unnest(string_split(audit, '')) AS l, generate_subscripts(string_split(audit, ''), 1) AS i FROM best WHERE audit <> '')),
+steps AS (SELECT e.conv, e.l, e.i, x.role, x.r, x.text, row_number() OVER (PARTITION BY e.conv ORDER BY e.i) - 1 AS p FROM letters e LEFT JOIN rows_ x ON x.conv = e.conv AND x.place = e.place AND e.l <> 'I' WHERE e.l <> 'D'),
+headed AS (SELECT conv, max(CASE WHEN p = 0 AND l = 'K' AND r = 's' THEN 1 ELSE 0 END) AS head FROM steps GROUP BY conv),
+said AS (SELECT conv, sha256(string_agg(CASE l WHEN 'K' THEN role ELSE CASE (p - head) % 2 WHEN 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE l WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS h FROM steps JOIN headed USING (conv) GROUP BY conv),
+sums AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 1) AS blank, count(*) FILTER (WHERE f = 2) AS duplicate, count(*) FILTER (WHERE f = 3) AS truncated, sum(odd)::BIGINT AS illegal FROM rows_ GROUP BY conv)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM k) a LEFT JOIN sums USING (conv) LEFT JOIN best USING (conv) LEFT JOIN said USING (conv)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_delta_lloyd": lloyd_sql(),
+    "op13_role_repair": repair_sql(),
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
