@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions.vectors import hash_embed
+from quillspan.operators.ordered import changes
 
 CHUNKS = "doc_id long, chunk_no int, title_path array<string>, content string, n_tokens int"
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -34,16 +37,49 @@ def block_lists(blocks: DataFrame) -> DataFrame:
 
 def title_paths(blocks: DataFrame) -> DataFrame:
     """Text blocks with the headings above them: a title of level L (1 without one) cuts the stack to L - 1 entries and is
-    put on it. ``blocks`` are rows of blocks or of documents (:func:`block_lists`); one fold a document."""
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<block_no:int,title_path:array<string>,text:string>>").alias("out"))
+    put on it. Linear in the blocks of a document either way:
 
-    def step(s: Column, b: Column) -> Column:
-        title = b["type"] == "title"
-        path = F.when(title, F.concat(F.slice(s["path"], F.lit(1), F.greatest(F.coalesce(b["level"], F.lit(1)) - 1, F.lit(0))), F.array(b["text"]))).otherwise(s["path"])
-        row = F.struct(b["block_no"].cast("int").alias("block_no"), s["path"].alias("title_path"), b["text"].alias("text"))
-        return F.struct(path.alias("path"), F.when(title, s["out"]).otherwise(F.concat(s["out"], F.array(row))).alias("out"))
-
-    return block_lists(blocks).select("doc_id", F.inline(F.aggregate("blocks", start, step, lambda s: s["out"])))
+    Rows that are whole documents (:func:`block_lists`) stay where they are; their blocks pass by as a stream, and a task holds one
+    stack of headings. Rows that are blocks are shuffled once, and windows find the stack: the i-th title of a document
+    stands at depth i + min(0, least of level - number so far), as each title is at most one deeper than the last, and
+    what stands at a depth is the last title that did, down to the depth of the last title at all."""
+    kind = dict(blocks.dtypes)["doc_id"]
+    if "blocks" in blocks.columns:
+        rows = blocks.select("doc_id", "blocks", F.monotonically_increasing_id().alias("_doc")).select("doc_id", "_doc", F.inline("blocks"))
+        return rows.select("doc_id", "_doc", "block_no", "type", "level", "text").mapInArrow(_with_titles, f"doc_id {kind}, block_no int, title_path array<string>, text string")
+    title, level = F.coalesce(F.col("type") == "title", F.lit(False)), F.greatest(F.coalesce("level", F.lit(1)), F.lit(1))
+    deepest = blocks.agg(F.max(F.when(title, level))).first()[0] or 1
+    upto = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks.select("doc_id", F.col("block_no").cast("int"), "text", title.alias("_title"), F.count_if(title).over(upto).alias("_i"), level.alias("_level"))
+    depth = F.col("_i") + F.least(F.lit(0), F.min(F.when(F.col("_title"), F.col("_level") - F.col("_i"))).over(upto))
+    rows = rows.withColumn("_depth", F.when(F.col("_title"), depth))
+    stack = F.array(*(F.last(F.when(F.col("_depth") == d, F.col("text")), ignorenulls=True).over(upto) for d in range(1, deepest + 1)))
+    rows = rows.select("doc_id", "block_no", "text", "_title", stack.alias("_stack"), F.last("_depth", ignorenulls=True).over(upto).alias("_now"))
+    return rows.where("not _title").select("doc_id", "block_no", F.slice("_stack", F.lit(1), F.coalesce("_now", F.lit(0)).cast("int")).alias("title_path"), "text")
+
+
+def _with_titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    path, doc = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = batch.column("_doc")
+        new = changes([own])
+        new[0] = doc is None or own[0].as_py() != doc[0]
+        doc = (own[-1].as_py(),)
+        title = pc.fill_null(pc.equal(batch.column("type"), "title"), False).to_numpy(zero_copy_only=False)
+        # A stack for each place where it changes; rows between share it.
+        at = np.flatnonzero(new | title)
+        stacks = [path]
+        for i, level, text in zip(at.tolist(), batch.column("level").take(pa.array(at)).to_pylist(), batch.column("text").take(pa.array(at)).to_pylist(), strict=True):
+            path = [] if new[i] else path
+            if title[i]:
+                path = [*path[: max(0, (1 if level is None else level) - 1)], text]
+            stacks.append(path)
+        rows = pa.array(np.flatnonzero(~title))
+        which = np.cumsum(new | title)[~title]
+        columns = [batch.column("doc_id").take(rows), batch.column("block_no").take(rows).cast(pa.int32()), pa.array(stacks, pa.list_(pa.string())).take(pa.array(which)), batch.column("text").take(rows)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "block_no", "title_path", "text"])
 
 
 def build_chunks(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators import ordered as O
 from quillspan.operators import retrieval as R
 
 PAYLOAD = "session_id string, chat_type string, message struct<user:string,system:string>"
@@ -24,14 +25,18 @@ def explode_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def dedupe_batch(rows: DataFrame) -> DataFrame:
-    """The first row of each (kind, id) by ``seq``; rows without an id all stay, rows without a kind go."""
-    first = F.row_number().over(Window.partitionBy("kind", "id").orderBy("seq"))
-    return rows.where("kind is not null").withColumn("n", first).where("n = 1 or id is null").drop("n")
-
-
-def fill_defaults(rows: DataFrame, now: Column) -> DataFrame:
-    """Missing times, authors and ids; an id is a hash of the row's kind and number, so reruns agree."""
-    made = F.sha2(F.concat_ws("\u0001", "kind", F.col("seq").cast("string")), 256)
+    """The first row of each (kind, id) by ``seq``; rows without an id all stay, rows without a kind go. Copies of a key meet where
+    they are read, before a shuffle, and rows without an id take no part in it."""
+    known = rows.where("kind is not null and id is not null")
+    first = known.groupBy("kind", "id").agg(F.min_by(F.struct(*rows.columns), F.struct("seq")).alias("r")).select("r.*")
+    return first.unionByName(rows.where("kind is not null and id is null"))
+
+
+def fill_defaults(rows: DataFrame, now: Column, batch: int = 0) -> DataFrame:
+    """Missing times, authors and ids; a made id is a hash of the batch's number and all that the row says, so that reruns agree,
+    rows of other batches have other ids, and only rows alike in every column share one."""
+    said = F.md5(F.to_json(F.struct(*sorted(c for c in rows.columns if c != "id"))))
+    made = F.sha2(F.concat_ws("\u0001", "kind", F.col("seq").cast("string"), F.lit(str(batch)), said), 256)
     return rows.withColumns({"id": F.coalesce("id", made), "create_time": F.coalesce("create_time", now), "create_by": F.coalesce("create_by", F.lit("system"))})
 
 
@@ -72,8 +77,9 @@ def load_memory(requests: DataFrame, sessions: DataFrame, messages: DataFrame, v
     near = R.knn_join(requests, vectors, k).join(vectors.select("id", "role", "content"), "id")
     line = F.concat("role", F.lit(": "), "content").alias("line")
     related = near.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", line))), lambda x: x["line"]).alias("related"))
-    recent = recent_messages(sessions, messages, limit).select("session_id", F.col("messages").alias("recent"))
-    out = requests.select("query_id", "session_id").join(recent, "session_id", "left").join(sessions.select("session_id", "summary"), "session_id", "left").join(related, "query_id", "left")
+    asked = sessions.join(requests.select("session_id").distinct(), "session_id", "left_semi")
+    recent = recent_messages(asked, messages, limit).select("session_id", F.col("messages").alias("recent"))
+    out = requests.select("query_id", "session_id").join(recent, "session_id", "left").join(asked.select("session_id", "summary"), "session_id", "left").join(related, "query_id", "left")
     none = F.array().cast("array<string>")
     return out.select("query_id", "session_id", F.coalesce("recent", none).alias("recent"), F.coalesce("related", none).alias("related"), F.coalesce("summary", F.lit("")).alias("summary"))
 
@@ -92,16 +98,16 @@ def replay_checkpoints(pairs: DataFrame, threshold: int = 8) -> DataFrame:
     """(session_id, pair_no, ts) of the pairs that are checkpoints: the first, and each that
     finds ``threshold`` messages since the last. In closed form, as each pair has two rows."""
     every = -(-threshold // 2) + 1
-    numbered = pairs.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "pair_no")) - 1)
-    return numbered.where(F.col("n") % every == 0).select("session_id", F.col("n").cast("long").alias("pair_no"), "ts")
+    pairs = O.numbered(pairs.select("session_id", "pair_no", "ts"), ["session_id"], ["ts", "pair_no"], "n").withColumn("n", F.col("n") - 1)
+    return pairs.where(F.col("n") % every == 0).select("session_id", F.col("n").cast("long").alias("pair_no"), "ts")
 
 
 def asof_checkpoint(messages: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Messages with the last checkpoint strictly before them: one window over both, no range join."""
+    """Messages with the last checkpoint strictly before them: both in one order, no range join, and a long session in many tasks."""
     m = messages.select("session_id", "seq", "ts", F.lit(None).cast("timestamp").alias("cp"), F.lit(0).alias("kind"))
     c = checkpoints.select("session_id", F.lit(None).cast("long").alias("seq"), "ts", F.col("ts").alias("cp"), F.lit(1).alias("kind"))
-    before = Window.partitionBy("session_id").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    return m.unionByName(c).withColumn("checkpoint", F.last("cp", ignorenulls=True).over(before)).where("kind = 0").select("session_id", "seq", "ts", "checkpoint")
+    both = O.last_before(m.unionByName(c), ["session_id"], ["ts", "kind", "seq"], "cp", "checkpoint")
+    return both.where("kind = 0").select("session_id", "seq", "ts", "checkpoint")
 
 
 def late_messages(messages: DataFrame, sessions: DataFrame) -> DataFrame:

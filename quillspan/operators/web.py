@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.operators import ordered as O
 
 
 def leaf_flags(pages: DataFrame, *keep: str, least: int = 800, many: int = 10) -> DataFrame:
@@ -74,5 +75,5 @@ def cap_pages(found: DataFrame, limit: int = 5) -> DataFrame:
 
 def fetch_slots(urls: DataFrame, interval: float = 1.0) -> DataFrame:
     """``start_s``: seconds after the first fetch of the host at which each URL may be fetched."""
-    rows = urls.withColumn("host", T.authority(F.col("url")))
-    return rows.withColumn("start_s", (F.row_number().over(Window.partitionBy("host").orderBy("rank", "url", "query_id")) - 1) * F.lit(interval))
+    rows = O.numbered(urls.withColumn("host", T.authority(F.col("url"))), ["host"], ["rank", "url", "query_id"], "start_s")
+    return rows.withColumn("start_s", (F.col("start_s") - 1) * F.lit(interval))

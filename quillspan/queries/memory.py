@@ -46,7 +46,7 @@ def dedupe_batch(spark, sf_dir):
     return M.dedupe_batch(batch(spark, sf_dir))
 
 
-@query(with_(BATCH) + f" SELECT seq, kind, coalesce(id, sha256(concat_ws(chr(1), kind, seq::VARCHAR))) AS id, make_timestamp({EPOCH}::BIGINT * 1000000) AS create_time, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'system' END AS create_by FROM batch")
+@query(with_(BATCH) + f""" SELECT seq, kind, coalesce(id, sha256(concat_ws(chr(1), kind, seq::VARCHAR, '0', md5('{{' || CASE WHEN seq % 2 = 0 THEN '"create_by":"a",' ELSE '' END || coalesce('"kind":"' || kind || '",', '') || '"seq":' || seq || '}}')))) AS id, make_timestamp({EPOCH}::BIGINT * 1000000) AS create_time, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'system' END AS create_by FROM batch""")
 def fill_defaults(spark, sf_dir):
     rows = batch(spark, sf_dir).withColumns({"create_time": F.lit(None).cast("timestamp"), "create_by": F.when(F.col("seq") % 2 == 0, "a")})
     return M.fill_defaults(rows, F.timestamp_seconds(F.lit(EPOCH)))

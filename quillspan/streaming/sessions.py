@@ -6,14 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from quillspan.functions import vectors as V
 from quillspan.operators import memory as M
+from quillspan.sources import changes as C
 
 
 def session_state(pairs: DataFrame, threshold: int = 8, summarise: Callable[[int, pd.Timestamp], bool] | None = None) -> DataFrame:
@@ -42,50 +41,20 @@ def session_state(pairs: DataFrame, threshold: int = 8, summarise: Callable[[int
     return pairs.groupBy("session_id").applyInPandasWithState(step, "session_id long, pair_no long, ts timestamp", "n long, count long", "append", GroupStateTimeout.NoTimeout)
 
 
-BUCKETS = 16
+def save_batch(path: str, now: str = "2024-01-01 00:00:00", embed: Callable[[pd.Series], np.ndarray] | None = None, compact_after: int = 16, buckets: int = C.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rows (kind, id, seq, create_time, create_by, ...) are filled, deduplicated and saved as changes to those with
+    their kind and id (:mod:`quillspan.sources.changes`); with ``embed`` they have the ``vector`` of their ``content``.
 
-
-def versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
-    """The batch that last wrote each bucket of a store, by its latest manifest (``before`` a batch)."""
-    try:
-        rows = spark.read.schema("batch long, buckets map<int,long>").parquet(f"{path}/manifest")
-    except AnalysisException:  # nothing is saved yet
-        return {}
-    rows = rows.where(F.col("batch") < before) if before is not None else rows
-    last = rows.orderBy(F.desc("batch")).limit(1).collect()
-    return last[0].buckets if last else {}
-
-
-def saved(spark: SparkSession, path: str, schema: str | StructType, found: dict[int, int] | None = None) -> DataFrame:
-    """The rows of a store: of every bucket what its last batch wrote."""
-    found = versions(spark, path) if found is None else found
-    paths = [f"{path}/data/batch={v}/bucket={b}" for b, v in sorted(found.items())]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def save_batch(path: str, now: str = "2024-01-01 00:00:00", buckets: int = BUCKETS, embed: Callable[[pd.Series], np.ndarray] | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: rows (kind, id, seq, create_time, create_by, ...) are deduplicated, filled and put in the place of
-    those with their kind and id; with ``embed`` they have the ``vector`` of their ``content``.
-
-    The store is dealt to buckets by kind and id; a batch writes those it touches anew under its own number, and then a
-    manifest that names the last batch of each bucket. Until that is there readers see the batch before, so
-    a batch counts as a whole or not at all, and one that is tried again gives the same. Read with :func:`saved`."""
+    A batch writes no more than its own rows; after every ``compact_after`` batches the buckets that they touched are
+    written anew. A batch that is tried again gives the same. Read with :func:`quillspan.sources.changes.saved`."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = M.fill_defaults(M.dedupe_batch(batch), F.to_timestamp(F.lit(now)))
+        # First those with an id; those that are given one are alike in every column if they share it.
+        rows = M.dedupe_batch(M.fill_defaults(M.dedupe_batch(batch), F.to_timestamp(F.lit(now)), batch_id))
         if embed is not None:
             rows = rows.withColumn("vector", V.embed(F.col("content"), embed))
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("kind", "id"), F.lit(buckets)).cast("int")).persist()
-        try:
-            touched = {r.bucket for r in rows.select("bucket").distinct().collect()}
-            known = versions(spark, path, before=batch_id)
-            old = saved(spark, path, rows.drop("bucket").schema, {b: v for b, v in known.items() if b in touched})
-            new = M.upsert(old.withColumn("bucket", F.pmod(F.xxhash64("kind", "id"), F.lit(buckets)).cast("int")), rows, "kind", "id")
-            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={batch_id}")
-            now_at = known | dict.fromkeys(touched, batch_id)
-            spark.createDataFrame([(now_at,)], "buckets map<int,long>").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
-        finally:
-            rows.unpersist()
+        C.append(path, rows, batch_id)
+        if (batch_id + 1) % compact_after == 0:
+            C.compact(batch.sparkSession, path, rows.schema, buckets=buckets)
 
     return save

@@ -18,7 +18,7 @@ from quillspan.operators import memory as M
 from quillspan.operators import registry as G
 from quillspan.operators import retrieval as R
 from quillspan.operators import web as W
-from quillspan.sources import stores
+from quillspan.sources import changes, stores
 from quillspan.streaming import sessions
 
 BLOCK = "doc_id long, block_no int, type string, level int, text string"
@@ -97,7 +97,7 @@ def test_a_batch_is_saved_once(spark, tmp_path):
     first = spark.createDataFrame([("m", "1", 1, t, None, "a"), ("m", "1", 2, t, None, "again"), ("m", "2", 3, t, "u", "b"), ("s", "1", 4, None, None, "c"), (None, "9", 5, t, None, "x"), ("m", None, 6, t, None, "d")], schema)
     second = spark.createDataFrame([("m", "2", 7, t, None, "new"), ("m", "3", 8, t, None, "e")], schema)
     save, path = sessions.save_batch(str(tmp_path), embed=V.hash_embed), str(tmp_path)
-    read = lambda: sorted((r.kind, r.content, r.create_by, len(r.vector)) for r in sessions.saved(spark, path, schema + ", vector array<double>").collect())
+    read = lambda: sorted((r.kind, r.content, r.create_by, len(r.vector)) for r in changes.saved(spark, path, schema + ", vector array<double>").collect())
     assert read() == []
     save(first, 0)
     one = read()
