@@ -9,7 +9,8 @@ at it say how alike they are.
 
 Scale: equal fingerprints are one class and take part once. A key is two integers whose stretches
 of frames don't overlap, ``WIDTH`` apart: two consecutive ones share all but one frame and say little
-more than one does, and meet by chance in numbers that grow with the square of the input. What is
+more than one does, and meet by chance in numbers that grow with the square of the input. Held tones have
+no keys, only their changes do. What is
 asked for is printed at ``PHASES`` places within a hop, as a recording seldom begins where
 another's frame does. Votes are summed up before the shuffle, and joins on keys stay divisible."""
 
@@ -34,7 +35,11 @@ FILTERS = tuple((kind, first, height, width) for kind, first, height, width in (
     (2, 0, 4, 8), (2, 4, 4, 8), (2, 8, 4, 8), (2, 2, 2, 12), (3, 0, 12, 8), (3, 0, 6, 16), (3, 6, 6, 16), (3, 4, 4, 8),
 ))
 WIDTH = max(f[3] for f in FILTERS)
-LEVEL, VOTES, ERRORS, PHASES = 0.12, 3, 0.35, 4
+VOTES, ERRORS, PHASES = 3, 0.35, 4
+#: Edges of the four levels of a filter. 0, the value of most filters where a tone is held, lies well within one, so that noise doesn't move it.
+CUTS = (-0.2, 0.05, 0.2)
+#: Bits in which an integer may differ from the next, and from the one WIDTH later, where a tone is held.
+STEADY = 4
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -98,7 +103,7 @@ def integers(image: np.ndarray) -> np.ndarray:
             a = area(0, w // 2, p, p + h // 2) + area(w // 2, w, p + h // 2, p + h)
             b = area(0, w // 2, p + h // 2, p + h) + area(w // 2, w, p, p + h // 2)
         value = np.log((1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0)))
-        out |= GRAY[np.searchsorted([-LEVEL, 0.0, LEVEL], np.round(value, 9))] << np.uint32(2 * i)
+        out |= GRAY[np.searchsorted(CUTS, np.round(value, 9))] << np.uint32(2 * i)
     return out
 
 
@@ -128,10 +133,12 @@ def fingerprints(media: DataFrame, phases: int = 1) -> DataFrame:
 
 
 def keys_of(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a print, and the place of each."""
+    """The keys of a print, and the place of each. Where a tone is held, nothing changes from one frame to the next nor to those
+    WIDTH later: all such places have much the same key, which says nothing of an offset, and so they have none."""
     own = ints.astype(np.uint64)
-    first, second = own[: max(0, len(own) - WIDTH)], own[WIDTH:]
-    place = np.flatnonzero((first != SILENT) & (second != SILENT))
+    first, second, after = own[: max(0, len(own) - WIDTH)], own[WIDTH:], own[1 : max(1, len(own) - WIDTH + 1)]
+    held = (np.bitwise_count(first ^ second) <= STEADY) & (np.bitwise_count(first ^ after) <= STEADY)
+    place = np.flatnonzero((first != SILENT) & (second != SILENT) & ~held)
     return ((first << np.uint64(32)) | second).view(np.int64)[place], place.astype(np.int32)
 
 
