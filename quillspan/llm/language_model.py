@@ -9,9 +9,10 @@ words never seen, so that every text has a probability.
 Learning. Word counts, class counts and counts of features with classes are of all training
 documents, summed up in tasks and then by Spark. The weights start as damped log ratios of
 those counts, and are then trained by distributed gradient updates: a hash deals the training
-documents to ``ROUNDS`` slices, in each round tasks sum their gradient over the next slice,
+documents to ``ROUNDS`` slices, written once; in each round tasks sum their gradient over the next slice,
 Spark adds the sums, and the driver, which holds ``FEATURES * BUCKETS * CLASSES`` weights
-whatever the input, takes a step. Every training document is in one round, at any size.
+whatever the input, takes a step, divided by how often a feature met a class, and so nearly the second derivative:
+rare and frequent pairs move alike. Every training document is in one round, at any size.
 
 Scoring reads each text once, in sparse numpy batches. The counts of the ``KNOWN`` most frequent
 words, a number fixed beforehand, go to the tasks; the other words' counts, however many, are
@@ -34,7 +35,9 @@ from quillspan.llm.scratch import Scratch
 
 SINGLE, ENDINGS, BUCKETS, FEATURES = 64, 64, 2048, 4
 CLASSES = SINGLE + ENDINGS
-KNOWN, ROUNDS, STEP, LIMIT = 400_000, 6, 0.5, 12.0
+KNOWN, ROUNDS, LIMIT = 400_000, 6, 12.0
+#: How much of the log ratios of counts weights start with; the first step and by how much later ones are smaller; counts that rare pairs are taken to have.
+DAMP, STEP, DECAY, FEW = 0.25, 0.4, 0.85, 10.0
 #: Tokens whose probabilities are held at once, and buckets in a row of sums.
 STRIDE, SPAN, BLOCK = 1024, 8192, 64
 END = np.int64(-0x61C8864680B583EB)
@@ -136,6 +139,11 @@ class Model:
     within: np.ndarray
     total: int
     distinct: int
+    #: Counts of features with classes, for the driver's steps; not sent to tasks.
+    seen: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": None}
 
     def table(self) -> Table:
         return Table(self.known)
@@ -226,7 +234,7 @@ def learn(train: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     bias = np.log((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)).astype(np.float32)
     model = Model(known, n, single, np.zeros((FEATURES * BUCKETS, CLASSES), np.float32), bias, within_n + within_v + 1, int(total or 0), int(distinct))
     start(model, train)
-    fit(model, train)
+    fit(model, sliced(train, scratch))
     return model, counts.select("word", "n")
 
 
@@ -284,7 +292,7 @@ def start(model: Model, train: DataFrame) -> None:
     spread.unpersist()
     share = np.exp(model.bias)
     ratio = np.log((seen + 20 * share) / (seen.sum(axis=1, keepdims=True) + 20)) - model.bias
-    model.weights = np.clip(ratio * 0.4, -LIMIT, LIMIT).astype(np.float32)
+    model.weights, model.seen = np.clip(ratio * DAMP, -LIMIT, LIMIT).astype(np.float32), seen
 
 
 def gradients(spread):
@@ -323,23 +331,31 @@ def gradients(spread):
     return run
 
 
-def fit(model: Model, train: DataFrame, rounds: int = ROUNDS, step: float = STEP) -> None:
-    """Gradient rounds, each over its slice of the training documents; a step is divided by
-    how often a feature was seen, so that rare and frequent ones move alike. Copies of a text
-    under several ids are dealt to all slices, and count as often as they stand."""
-    spark, dealt = train.sparkSession, F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(rounds))
-    # A slice is a part of each task's rows: as many fewer tasks, so that what is shuffled follows the input.
-    tasks = max(train.rdd.getNumPartitions() // rounds, 1)
+def sliced(train: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """(slice, text): the training documents, dealt by a hash to slices that lie in folders of their own, so that a round
+    reads no other. Copies of a text under several ids are dealt to all slices, and count as often as they stand."""
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(rounds)).cast("int")
+    train.select(dealt.alias("slice"), "text").write.partitionBy("slice").parquet(scratch.path("slices"))
+    return train.sparkSession.read.schema("text string, slice int").parquet(scratch.path("slices"))
+
+
+def fit(model: Model, slices: DataFrame, rounds: int = ROUNDS, step: float = STEP) -> None:
+    """Gradient rounds, each over its slice, in as many tasks as reading it has. A step is divided by the pair's share of all
+    counts (and ``FEW``), and moves no weight by more than itself; each is smaller than the last."""
+    spark, whole = slices.sparkSession, model.seen.sum(axis=1, keepdims=True)
     for i in range(rounds):
-        spread = spark.sparkContext.broadcast(model)
-        rows = train.where(dealt == i).select("text").coalesce(tasks).mapInArrow(gradients(spread), PACKED)
-        for block, x in summed(rows, tasks):
+        spread, now = spark.sparkContext.broadcast(model), step * DECAY**i
+        own = slices.where(F.col("slice") == i).select("text")
+        for block, x in summed(own.mapInArrow(gradients(spread), PACKED), own.rdd.getNumPartitions()):
             x, a = x.reshape(-1, CLASSES + 1), block * BLOCK
             if a == len(model.weights):
-                model.bias = model.bias - (step * x[0, :-1] / max(x[0, -1], 1)).astype(np.float32)
+                # What classes were seen, from their share of all tokens.
+                share = np.exp(model.bias) / np.exp(model.bias).sum() * max(x[0, -1], 1)
+                model.bias = model.bias - (now * np.clip(x[0, :-1] / (share + FEW), -1, 1)).astype(np.float32)
             else:
-                own = model.weights[a : a + BLOCK]
-                model.weights[a : a + BLOCK] = np.clip(own - step * x[:, :-1] / (x[:, -1:] + 20), -LIMIT, LIMIT)
+                rows = slice(a, a + BLOCK)
+                met = model.seen[rows] * x[:, -1:] / np.maximum(whole[rows], 1)
+                model.weights[rows] = np.clip(model.weights[rows] - now * np.clip(x[:, :-1] / (met + FEW), -1, 1), -LIMIT, LIMIT)
         spread.unpersist()
 
 
