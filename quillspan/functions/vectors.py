@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -64,11 +65,36 @@ def word_weights(rows: DataFrame, text: str, *keys: str, dim: int = DIM) -> Data
     return counts.select(*keys, "bucket", (F.col("_n") / whole).alias("weight"))
 
 
-def embed(text: Column, fn: Callable[[pd.Series], np.ndarray] = hash_embed) -> Column:
-    """Vectors of a text column by any function of a batch of texts; a null text is empty."""
+Model = Callable[[pd.Series], np.ndarray]
+#: Models that a Python worker has loaded, by the name of their hook.
+_models: dict[str, Model] = {}
+
+
+def loaded(name: str, factory: Callable[[], Model]) -> Model:
+    if name not in _models:
+        _models[name] = factory()
+    return _models[name]
+
+
+@dataclass(frozen=True)
+class Hook:
+    """A model from outside: what loads it, called once in each Python worker, and how many texts it takes at once. Only the
+    factory travels with a query, so a model may be as large as a worker's memory; hooks of one name share theirs."""
+
+    name: str
+    factory: Callable[[], Model]
+    batch: int = 256
+
+
+def embed(text: Column, fn: Model | Hook = hash_embed) -> Column:
+    """Vectors of a text column by any function of a batch of texts, or by a :class:`Hook`; a null text is empty."""
+    hook = fn if isinstance(fn, Hook) else None
 
     @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(fn(texts)), dtype=object)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, step = (loaded(hook.name, hook.factory), hook.batch) if hook else (fn, 10_000)
+        for texts in parts:
+            texts = texts.fillna("")
+            yield pd.Series([v for i in range(0, len(texts), step) for v in model(texts.iloc[i : i + step])], dtype=object)
 
     return run(text)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.functions import vectors as V
 from quillspan.functions.vectors import hash_embed
 from quillspan.operators.ordered import changes
 
@@ -174,6 +175,49 @@ def cut(text: str, least: int, most: int, embed=hash_embed, length=lambda text:
     return out
 
 
+def split_chunks(chunks: DataFrame, least: int = 500, most: int = 2000, embed: V.Model | V.Hook = hash_embed, percentile: float | None = None) -> DataFrame:
+    """``chunks`` with those beyond ``most`` tokens in pieces, as :func:`cut` makes them, and numbered anew.
+
+    Sentences of all such chunks are embedded together, in batches of any size; distances are those to the sentence
+    before, cuts the greatest of a chunk, and pieces running sums of cuts. Token counts are the library's."""
+    key = ["doc_id", "chunk_no"]
+    big = chunks.where(F.col("n_tokens") > most)
+    parts = F.filter(F.split("content", _SENTENCE.pattern, -1), lambda s: F.trim(s) != "")
+    rows = big.select(*key, "title_path", "n_tokens", F.size(parts).alias("_m"), F.posexplode(parts).alias("i", "s"))
+    rows = rows.withColumn("v", V.embed(F.col("s"), embed))
+    far = F.round(1 - V.dot(F.col("v"), F.lag("v").over(Window.partitionBy(*key).orderBy("i"))), 9)
+    rows = rows.select(*key, "title_path", "n_tokens", "_m", "i", "s", far.alias("far"))
+    if percentile is None:
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("far").desc_nulls_last(), "i"))
+        new = rank <= F.least(F.col("_m") - 1, F.floor(F.col("n_tokens") / most))
+    else:
+        new = F.col("far") > F.percentile("far", F.lit(percentile / 100)).over(Window.partitionBy(*key))
+    rows = rows.withColumn("new", F.coalesce(new & F.col("far").isNotNull(), F.lit(False)))
+    piece = F.count_if(F.col("new")).over(Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    pieces = rows.withColumn("piece", piece).groupBy(*key, "piece").agg(F.first("title_path").alias("title_path"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "\n").alias("t"))
+    # Pieces below the minimum are joined to the next, and the last to the one before; a chunk has few.
+    lists = pieces.groupBy(*key).agg(F.first("title_path").alias("title_path"), F.sort_array(F.collect_list(F.struct("piece", "t", T.words(F.col("t")).alias("n")))).alias("p"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        held, n = F.concat(s["held"], F.array(x["t"])), s["n"] + x["n"]
+        full = n + 2 >= least
+        none = F.array().cast("array<string>")
+        return F.struct(F.when(full, F.concat(s["out"], F.array(F.array_join(held, "\n")))).otherwise(s["out"]).alias("out"), F.when(full, none).otherwise(held).alias("held"), F.when(full, 0).otherwise(n).alias("n"))
+
+    def finish(s: Column) -> Column:
+        rest, last = F.array_join(s["held"], "\n"), F.size(s["out"])
+        ended = F.concat(F.slice(s["out"], F.lit(1), F.greatest(last - 1, F.lit(0))), F.array(F.concat(F.get(s["out"], last - 1), F.lit("\n"), rest)))
+        return F.when(F.size(s["held"]) == 0, s["out"]).when(last > 0, ended).otherwise(F.array(rest))
+
+    cut_ = lists.select(*key, "title_path", F.posexplode(F.aggregate("p", start, step, finish)).alias("k", "content"))
+    # A chunk of white space alone has no sentence; it stays as it is.
+    whole = chunks.join(lists.select(*key), key, "left_anti").select(*key, "title_path", F.lit(0).alias("k"), "content", "n_tokens")
+    all_ = whole.unionByName(cut_.withColumn("n_tokens", T.token_count(F.col("content"))))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no", "k")) - 1
+    return all_.select("doc_id", number.alias("chunk_no"), "title_path", "content", "n_tokens")
+
+
 def sample_chunks(chunks: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
     """Up to ``k`` chunks of each collection (table_id, doc_id, chunk_no, content), drawn by a hash, joined by a blank line."""
     order = F.md5(F.concat_ws(":", F.lit(seed), "doc_id", "chunk_no"))

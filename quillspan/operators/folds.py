@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.operators.chunks import words
-from quillspan.operators.layout import CELL_PATTERNS
+from quillspan.operators.layout import CELL_PATTERNS, CONTENTS
 
 PAGE = ["doc_id", "page_number"]
 
@@ -177,8 +177,7 @@ def merge_bullets(boxes: DataFrame) -> DataFrame:
     return _grouped(boxes, ["doc_id"], fold)
 
 
-# Headings, without their spaces, and what a heading in Latin letters is made of.
-CONTENTS, LATIN = ("contents", "目录", "目次", "致谢", "acknowledge"), r"[0-9a-zA-Z :'.-]{5,}"
+LATIN = r"[0-9a-zA-Z :'.-]{5,}"  # fixed value: what a heading in Latin letters is made of
 
 
 def drop_contents(boxes: DataFrame, reach: int = 128) -> DataFrame:

@@ -88,15 +88,29 @@ def _share(a: str, b: str) -> Column:
     return F.when((w > 0) & (h > 0) & (area > 0), w * h / area).otherwise(0.0)
 
 
+#: Height of the bands of a page in which boxes meet, in its units.
+BAND = 48.0
+
+
+def overlapping(a: DataFrame, b: DataFrame, band: float = BAND) -> DataFrame:
+    """Pairs ``a``, ``b`` of boxes of a page that overlap. Boxes meet in bands of the page's height, each pair in the one where what they
+    share begins: a page of very many characters is spread over tasks, and rows met are near those that overlap."""
+    bands = F.explode(F.sequence(F.floor(F.col("top") / band), F.floor(F.greatest("top", "bottom") / band))).alias("_band")
+    a, b = a.select("*", bands).alias("a"), b.select("*", bands).alias("b")
+    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number")) & (F.col("a._band") == F.col("b._band"))
+    meet = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.top") < F.col("b.bottom")) & (F.col("b.top") < F.col("a.bottom"))
+    return a.join(b, same & meet & (F.floor(F.greatest("a.top", "b.top") / band) == F.col("a._band")))
+
+
 def best_overlap(a: DataFrame, b: DataFrame, threshold: float | None = None) -> DataFrame:
     """(doc_id, page_number, box_no, region_no, share): for each box the region that covers most
-    of it; ties by the share of the region, then the last region if there is a threshold, else
+    of it; ties by the share of the region, then the last region if there is a threshold (above 0), else
     the first. Boxes without overlap (or below the threshold) have none."""
-    met = a.alias("a").join(b.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number")) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.top") < F.col("b.bottom")) & (F.col("b.top") < F.col("a.bottom")))
-    rows = met.select("a.doc_id", "a.page_number", "a.box_no", "b.region_no", F.round(_share("a", "b"), 6).alias("share"), F.round(_share("b", "a"), 6).alias("back"))
+    rows = overlapping(a, b).select("a.doc_id", "a.page_number", "a.box_no", "b.region_no", F.round(_share("a", "b"), 6).alias("share"), F.round(_share("b", "a"), 6).alias("back"))
     rows = rows.where(F.col("share") >= threshold) if threshold is not None else rows.where("share > 0")
-    order = Window.partitionBy(*PAGE, "box_no").orderBy(F.desc("share"), F.desc("back"), F.desc("region_no") if threshold is not None else F.col("region_no"))
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "back")
+    # The best of each box is found while rows are summed up, before the shuffle.
+    best = F.max(F.struct("share", "back", (F.col("region_no") if threshold is not None else -F.col("region_no")).alias("r"), "region_no")).alias("x")
+    return rows.groupBy(*PAGE, "box_no").agg(best).select(*PAGE, "box_no", "x.region_no", "x.share")
 
 
 def chars_to_boxes(chars: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -114,11 +128,11 @@ def tag_layout(boxes: DataFrame, regions: DataFrame, threshold: float = 0.4) ->
     box; equations count as figures. Furniture that scores below 0.4 isn't looked at."""
     rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("b.type"))
     use = regions.where(~(F.col("type").isin(*FURNITURE) & (F.col("score") < 0.4)))
-    met = boxes.alias("a").join(use.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number")))
-    rows = met.select("a.doc_id", "a.page_number", "a.box_no", "b.region_no", "b.type", rank.alias("rank"), F.round(_share("a", "b"), 6).alias("share")).where((F.col("share") >= threshold) & (F.col("rank") > 0))
-    order = Window.partitionBy(*PAGE, "box_no").orderBy("rank", F.desc("share"), F.desc("region_no"))
+    rows = overlapping(boxes.select(*PAGE, "box_no", "x0", "x1", "top", "bottom"), use).select("a.doc_id", "a.page_number", "a.box_no", "b.region_no", "b.type", rank.alias("rank"), F.round(_share("a", "b"), 6).alias("share")).where((F.col("share") >= threshold) & (F.col("rank") > 0))
+    first = F.min(F.struct("rank", (-F.col("share")).alias("s"), (-F.col("region_no")).alias("r"), "type", "region_no")).alias("x")
+    rows = rows.groupBy(*PAGE, "box_no").agg(first).select(*PAGE, "box_no", "x.type", "x.region_no")
     kind = F.when(F.col("type") == "equation", "figure").otherwise(F.col("type"))
-    best = rows.withColumn("n", F.row_number().over(order)).where("n = 1").select(*PAGE, "box_no", kind.alias("layout_type"), F.concat("type", F.lit("-"), F.col("region_no").cast("string")).alias("layoutno"))
+    best = rows.select(*PAGE, "box_no", kind.alias("layout_type"), F.concat("type", F.lit("-"), F.col("region_no").cast("string")).alias("layoutno"))
     return boxes.drop("layout_type", "layoutno").join(best, [*PAGE, "box_no"], "left").fillna({"layout_type": "", "layoutno": ""})
 
 
@@ -138,9 +152,20 @@ def figure_boxes(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     return figures.join(tagged, [*PAGE, "layoutno"], "left_anti").select(*PAGE, "layoutno", "x0", "x1", "top", "bottom", F.lit("").alias("text"), F.lit("figure").alias("layout_type"))
 
 
-def dotted_pages(boxes: DataFrame, most: int = 3) -> DataFrame:
-    """Boxes of pages with at most ``most`` boxes that hold dotted leaders."""
+# Headings of contents and acknowledgements, without their spaces.
+CONTENTS = ("contents", "目录", "目次", "致谢", "acknowledge")
+
+
+def with_contents(boxes: DataFrame) -> DataFrame:
+    """(doc_id) of the documents that have a heading of contents or acknowledgements."""
+    return boxes.where(F.regexp_replace(F.lower("text"), "[ \u3000]+", "").isin(*CONTENTS)).select("doc_id").distinct()
+
+
+def dotted_pages(boxes: DataFrame, most: int = 3, before: DataFrame | None = None) -> DataFrame:
+    """Boxes of pages with at most ``most`` boxes that hold dotted leaders. Documents that had a contents heading keep theirs, as
+    its entries are gone already; ``before`` are the boxes as they were when it stood there (``boxes``, by default)."""
     dotted = boxes.groupBy(*PAGE).agg(F.count_if(F.col("text").contains("··")).alias("n")).where(F.col("n") > most)
+    dotted = dotted.join(with_contents(boxes if before is None else before), "doc_id", "left_anti")
     return boxes.join(dotted, [*PAGE], "left_anti")
 
 
@@ -172,42 +197,72 @@ def is_caption(text: Column, layout: Column) -> Column:
     return F.coalesce(F.trim(text).rlike("^[图表]+[ 0-9:：]{2,}"), F.lit(False)) | F.coalesce(layout.contains("caption"), F.lit(False))
 
 
-def attach_captions(captions: DataFrame, boxes: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+#: How far up and down a document boxes are looked at for a caption, before all of them are.
+REACH = (500.0, 8000.0)
+
+
+def attach_captions(captions: DataFrame, boxes: DataFrame, stats: DataFrame | None = None, reach: tuple[float, ...] = REACH) -> DataFrame:
     """(doc_id, page_number, cap_no, kind, box_page, box_no): the nearest table or figure box of the document for each caption by
     squared distance, a table only if strictly nearer; captions among ``boxes`` don't count. Where the widths overlap only
-    heights count. With ``stats`` tops are in their pages, and are moved down the document first; without, they are already."""
+    heights count. With ``stats`` tops are in their pages, and are moved down the document first; without, they are already.
+
+    Captions meet the boxes of the three bands of a document around them. What lies beyond is farther than a band is high, so that a
+    box found within that is the nearest; captions without one go on with higher bands, and the few left meet all boxes."""
     captions, boxes = (df if stats is None else to_document_y(df, stats) for df in (captions, boxes))
-    met = captions.alias("c").join(boxes.where("not layout_type like '%caption%'").alias("b"), F.col("c.doc_id") == F.col("b.doc_id"))
-    apart = (F.col("b.x1") < F.col("c.x0")) | (F.col("b.x0") > F.col("c.x1"))
-    dx = F.when(apart, (F.col("b.x0") + F.col("b.x1") - F.col("c.x0") - F.col("c.x1")) / 2).otherwise(0.0)
-    dy = (F.col("b.top") + F.col("b.bottom") - F.col("c.top") - F.col("c.bottom")) / 2
-    d = F.round(dx * dx + dy * dy, 4)
+    middle = F.col("top") + F.col("bottom")
+    boxes = boxes.where("not layout_type like '%caption%'").select("doc_id", F.col("page_number").alias("box_page"), "box_no", "layout_type", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), middle.alias("_by"))
+    left = captions.select("doc_id", "page_number", F.col("box_no").alias("cap_no"), "x0", "x1", middle.alias("_cy"))
+    apart = (F.col("bx1") < F.col("x0")) | (F.col("bx0") > F.col("x1"))
+    dx = F.when(apart, (F.col("bx0") + F.col("bx1") - F.col("x0") - F.col("x1")) / 2).otherwise(0.0)
+    dy = (F.col("_by") - F.col("_cy")) / 2
     # The least of each caption is found while rows are summed up, before the shuffle.
-    best = F.min(F.struct(d.alias("d"), F.when(F.col("b.layout_type") == "figure", 0).otherwise(1).alias("o"), F.col("b.page_number").alias("box_page"), F.col("b.box_no").alias("box_no"), F.col("b.layout_type").alias("kind"))).alias("x")
-    rows = met.groupBy("c.doc_id", "c.page_number", F.col("c.box_no").alias("cap_no")).agg(best)
-    return rows.select("doc_id", "page_number", "cap_no", "x.kind", "x.box_page", "x.box_no")
+    best = F.min(F.struct(F.round(dx * dx + dy * dy, 4).alias("d"), F.when(F.col("layout_type") == "figure", 0).otherwise(1).alias("o"), "box_page", "box_no", F.col("layout_type").alias("kind"))).alias("x")
+    keys, out = ["doc_id", "page_number", "cap_no"], None
+    for far in (*reach, None):
+        if far is None:
+            met = left.join(boxes, "doc_id")
+        else:
+            band = lambda c: F.floor(F.col(c) / 2 / far)  # noqa: B023, E731
+            met = left.withColumn("_band", F.explode(F.sequence(band("_cy") - 1, band("_cy") + 1))).join(boxes.withColumn("_band", band("_by")), ["doc_id", "_band"])
+        found = met.groupBy(*keys).agg(best)
+        if far is not None:
+            found = found.where(F.col("x.d") < far * far)
+            left = left.join(found.select(*keys), keys, "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out.select(*keys, "x.kind", "x.box_page", "x.box_no")
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def _kind_of(t: Column) -> Column:
+    """The code of a trimmed text."""
+    solid, n = F.regexp_replace(t, r"[\s\p{Z}]+", ""), T.words(t)
+    number = (F.length(solid) > 0) & (F.regexp_count(solid, F.lit("[0-9.,+-]")) >= 0.8 * F.length(solid))
+    out = F.when(number, "Nr").when(n >= 12, "Lx").when(n > 3, "Tx").otherwise("Ot")
+    for pattern, kind in reversed(CELL_PATTERNS):
+        out = F.when(t.rlike(pattern), kind).otherwise(out)
+    return out
 
 
 def cell_type(text: Column) -> Column:
     """The code of the first pattern that the trimmed text fits; Nr if 80 % of it, but for white space, are
-    digits, points, commas and signs; Tx for more than three tokens, Lx for twelve or more; else Ot. Null is as an empty text."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    digits, points, commas and signs; Tx for more than three tokens, Lx for twelve or more; else Ot. Null is as an empty text.
+    For whole columns :func:`with_cell_type` is faster."""
+    # The text is trimmed once, not anew for each pattern.
+    return F.element_at(F.transform(F.array(_trimmed(text)), _kind_of), 1)
 
-    def kind_of(t: Column) -> Column:
-        solid, n = F.regexp_replace(t, r"[\s\p{Z}]+", ""), T.words(t)
-        number = (F.length(solid) > 0) & (F.regexp_count(solid, F.lit("[0-9.,+-]")) >= 0.8 * F.length(solid))
-        out = F.when(number, "Nr").when(n >= 12, "Lx").when(n > 3, "Tx").otherwise("Ot")
-        for pattern, kind in reversed(CELL_PATTERNS):
-            out = F.when(t.rlike(pattern), kind).otherwise(out)
-        return out
 
-    # The text is trimmed once, not anew for each pattern.
-    return F.element_at(F.transform(F.array(trimmed), kind_of), 1)
+def with_cell_type(cells: DataFrame, name: str = "kind", text: str = "text") -> DataFrame:
+    """``cells`` with :func:`cell_type` of ``text`` as ``name``. The trimmed text is a column of its own, so that the patterns are tried on
+    it in generated code."""
+    return cells.withColumn("_trimmed", _trimmed(F.col(text))).withColumn(name, _kind_of(F.col("_trimmed"))).drop("_trimmed")
 
 
 def majority_type(cells: DataFrame, key: str) -> DataFrame:
     """The most common cell type of each table, ties by type."""
-    counts = cells.groupBy(key, cell_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+    counts = with_cell_type(cells.select(key, "text")).groupBy(key, "kind").agg(F.count("*").alias("n"))
     best = Window.partitionBy(key).orderBy(F.desc("n"), "kind")
     return counts.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 

@@ -18,6 +18,8 @@ NO_CONTEXT, APOLOGY = "no context", "sorry, no answer"
 PLACES = 12
 #: Rows of the base in a cell of a search with many queries.
 CELL = 20_000
+#: An approximate search: the most centroids, rows that they are drawn from, rounds of means, and queries on which the probes are measured.
+CENTROIDS, SAMPLE, MEANS, MEASURED = 4096, 32_768, 8, 256
 
 
 def top_k(base: DataFrame, query: list[float], k: int, metric: str = "cosine") -> DataFrame:
@@ -99,6 +101,97 @@ def _cell_search(asked: DataFrame, rows: DataFrame, k: int, by: str | None, bloc
     return q.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(run, schema)
 
 
+def knn_approximate(queries: DataFrame, base: DataFrame, k: int, target: float = 0.93, probes: int | None = None, by: str | None = None, block: int = 4096) -> DataFrame:
+    """As :func:`knn_join`, but each query meets only the rows of the cells nearest to it, exactly; about ``target`` of the true
+    nearest rows are found.
+
+    Rows lie in the cell of the nearest of about the root of their number of centroids (:data:`CENTROIDS` at most), which are means of a
+    sample of :data:`SAMPLE` rows; every row is indexed. How many cells a query probes is measured, unless ``probes`` says so: an
+    exact search for up to :data:`MEASURED` queries, one pass over the base, shows in which of a query's cells its nearest rows
+    lie. A row is shuffled once for every ``block`` queries of its cell, a query once for every ``CELL`` rows of each cell it probes: both grow as
+    their own side does. Null vectors and ids take no part, and vectors meet those of their own length only."""
+    keys = [by] if by else []
+    asked = queries.where("query_id is not null and vector is not null").select("query_id", "vector", *keys)
+    rows = base.where("id is not null and vector is not null").select("id", "vector", *keys)
+    if by:
+        asked, rows = asked.where(F.col(by).isNotNull()), rows.where(F.col(by).isNotNull())
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(base.dtypes)['id']}, score double"
+    centroids = _centroids(rows)
+    if probes is None:
+        few = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED).collect()
+        probes = _probes(few, rows, k, by, schema, centroids, target)
+    group = F.col(by).cast("string") if by else F.lit("")
+    at = lambda cell: F.concat(group, F.lit(":"), cell.cast("string"))
+    cells = _cells(centroids, probes)
+    asked = asked.withColumn("_cell", F.explode(cells(F.col("vector")))).select("query_id", "vector", at(F.col("_cell")).alias("_cell"))
+    rows = rows.select("id", "vector", at(F.get(_cells(centroids, 1)(F.col("vector")), 0)).alias("_cell"))
+    found = _cell_search(asked, rows, k, "_cell", block, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
+
+
+def _centroids(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Unit centroids of each vector length of the base: means of a sample drawn by a hash of the ids."""
+    sizes = {r.dim: r.n for r in rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(16).collect() if r.dim}
+    out = {}
+    for dim, n in sizes.items():
+        share = min(1.0, SAMPLE / n)
+        drawn = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 20)) < int(share * (1 << 20))
+        own = rows.where((F.size("vector") == dim) & drawn).select("id", "vector").limit(2 * SAMPLE).collect()
+        x = _unit(np.array([r.vector for r in sorted(own, key=lambda r: r.id)], float).reshape(len(own), dim))
+        x = x[np.isfinite(x).all(axis=1)]
+        c = min(CENTROIDS, max(1, int(n**0.5)), len(x))
+        if not c:
+            continue
+        means = x[np.linspace(0, len(x) - 1, c).astype(int)]
+        for _ in range(MEANS):
+            own_ = (x @ means.T).argmax(axis=1)
+            order = np.argsort(own_, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(own_[order]) > 0))
+            means = means.copy()
+            means[own_[order][first]] = _unit(np.add.reduceat(x[order], first, axis=0))
+        out[dim] = means
+    return out
+
+
+def _ranked(centroids: dict[int, np.ndarray], vectors: list, most: int) -> list[list[int]]:
+    """The numbers of each vector's ``most`` nearest centroids, nearest first; lengths without centroids are one cell."""
+    out: list[list[int]] = [[0]] * len(vectors)
+    sizes = np.array([len(v) for v in vectors])
+    for dim in np.unique(sizes).tolist():
+        if dim in centroids:
+            at = np.flatnonzero(sizes == dim)
+            near = np.nan_to_num(_unit(np.array([vectors[i] for i in at], float)) @ centroids[dim].T)
+            n = min(most, near.shape[1])
+            best = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < near.shape[1] else np.broadcast_to(np.arange(n), near.shape)
+            order = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1)
+            for i, own in zip(at.tolist(), order.tolist(), strict=True):
+                out[i] = own
+    return out
+
+
+def _cells(centroids: dict[int, np.ndarray], most: int) -> Callable[[Column], Column]:
+    @F.pandas_udf("array<int>")
+    def run(vectors: pd.Series) -> pd.Series:
+        return pd.Series([own for i in range(0, len(vectors), 1024) for own in _ranked(centroids, list(vectors[i : i + 1024]), most)], dtype=object)
+
+    return run
+
+
+def _probes(few: list, rows: DataFrame, k: int, by: str | None, schema: str, centroids: dict[int, np.ndarray], target: float) -> int:
+    """The least number of cells in which ``target`` of the nearest rows of ``few`` queries lie."""
+    found = _broadcast_search(few, rows, k, by, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    pairs = rows.select("id", "vector").join(F.broadcast(best.select("query_id", "id")), "id").collect()  # ``k`` rows for each of ``few`` queries
+    asked = {r.query_id: r.vector for r in few}
+    all_ = _ranked(centroids, list(asked.values()), CENTROIDS)
+    place = {q: {c: i for i, c in enumerate(own)} for q, own in zip(asked, all_, strict=True)}
+    cells = _ranked(centroids, [r.vector for r in pairs], 1)
+    deep = sorted(place[r.query_id].get(c[0], 0) for r, c in zip(pairs, cells, strict=True))
+    return deep[min(len(deep) - 1, int(np.ceil(target * len(deep))))] + 1 if deep else 1
+
+
 def _nearest(ids: np.ndarray, matrix: np.ndarray, frame: pd.DataFrame, k: int) -> pd.DataFrame:
     """The ``k`` best rows of a frame for each query."""
     score = np.round(_unit(np.stack(frame["vector"].to_numpy()).astype(float)) @ matrix.T, PLACES)

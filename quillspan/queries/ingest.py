@@ -138,7 +138,10 @@ def sentences(spark, sf_dir):
 
 @query()
 def split_oversize(spark, sf_dir):
-    return C.build_chunks(B.line_block_lists(table(spark, sf_dir, "documents")), least=60, most=200, split=True)
+    # Written once: oversize chunks are looked at apart from the others.
+    path, chunks = stores.fresh(spark, "chunks"), C.build_chunks(B.line_block_lists(table(spark, sf_dir, "documents")), least=60, most=200)
+    chunks.write.parquet(path)
+    return C.split_chunks(spark.read.schema(chunks.schema).parquet(path), least=60, most=200)
 
 
 @query("""WITH r AS (SELECT source AS table_id, text, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id || ':0'), doc_id) AS n FROM documents)
@@ -147,13 +150,24 @@ def sample_chunks(spark, sf_dir):
     return C.sample_chunks(table(spark, sf_dir, "documents").select(F.col("source").alias("table_id"), "doc_id", F.lit(0).alias("chunk_no"), F.col("text").alias("content")))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
+WEIGHTS = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
 b AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 256)::INTEGER AS bucket, count(*) AS n FROM w GROUP BY ALL)
-SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM b""")
+SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM b"""
+
+
+@query(WEIGHTS)
 def embed_chunks(spark, sf_dir):
     return V.word_weights(table(spark, sf_dir, "documents"), "text", "doc_id").withColumn("weight", F.round("weight", 6))
 
 
+@query(WEIGHTS)
+def embed_by_hook(spark, sf_dir):
+    """The same weights by a model that each worker loads once and that takes 256 texts at a time."""
+    hook = V.Hook("hash-256", lambda: V.hash_embed)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(V.embed(F.col("text"), hook)).alias("bucket", "weight"))
+    return rows.where("weight <> 0").withColumn("weight", F.round("weight", 6))
+
+
 @query("""WITH s AS (SELECT doc_id, text, unnest(range(0, ((length(text) - 1) // 80 + 1)::BIGINT)) AS frame_no FROM documents WHERE length(text) > 0)
 SELECT doc_id, frame_no::INTEGER AS frame_no, substr(text, (frame_no * 80 + 1)::BIGINT, 80) AS frame FROM s""")
 def text_frames(spark, sf_dir):

@@ -119,10 +119,24 @@ def figure_boxes(spark, sf_dir):
     return L.figure_boxes(boxes(spark, sf_dir), r)
 
 
-@query(with_(BOXES) + ", d AS (SELECT doc_id, page_number FROM boxes GROUP BY ALL HAVING count(*) FILTER (WHERE box_no % 9 = 0) > 3) SELECT doc_id, page_number, box_no FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = b.doc_id AND d.page_number = b.page_number)")
+# Where a contents heading stands first: it, its first entry, and what follows up to the next of 128 boxes that begins with the entry's first two words.
+HEADED = """, h AS (SELECT * REPLACE (CASE WHEN box_no = 0 AND {0} THEN 'Contents' WHEN box_no % 9 = 0 THEN text || '····' ELSE text END AS text) FROM boxes),
+entry AS (SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:2], ' ') AS head FROM h WHERE box_no = 1 AND {0}),
+upto AS (SELECT doc_id, coalesce(min(box_no) FILTER (WHERE box_no BETWEEN 2 AND 129 AND starts_with(text, head)), 2) AS n FROM h LEFT JOIN entry USING (doc_id) WHERE {0} GROUP BY doc_id),
+kept AS (SELECT h.* FROM h LEFT JOIN upto USING (doc_id) WHERE n IS NULL OR box_no >= n)"""
+
+
+def headed(spark, sf_dir, every):
+    """Boxes of which every ninth holds dotted leaders, and of every ``every``-th document the first is a contents heading."""
+    n, text = F.col("box_no"), F.col("text")
+    return boxes(spark, sf_dir).withColumn("text", F.when((n == 0) & (F.col("doc_id") % every == 0), "Contents").when(n % 9 == 0, F.concat("text", F.lit("····"))).otherwise(text))
+
+
+@query(with_(BOXES) + HEADED.format("doc_id % 2 = 0") + ", d AS (SELECT doc_id, page_number FROM kept WHERE doc_id % 2 <> 0 GROUP BY ALL HAVING count(*) FILTER (WHERE contains(text, '··')) > 3) SELECT doc_id, page_number, box_no FROM kept b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = b.doc_id AND d.page_number = b.page_number)")
 def dotted_pages(spark, sf_dir):
-    b = boxes(spark, sf_dir)
-    return L.dotted_pages(b.withColumn("text", F.when(F.col("box_no") % 9 == 0, F.concat("text", F.lit("····"))).otherwise(F.col("text")))).select("doc_id", "page_number", "box_no")
+    """Every other document has contents, which go first; its dotted pages stay."""
+    b = headed(spark, sf_dir, 2)
+    return L.dotted_pages(D.drop_contents(b), before=b).select("doc_id", "page_number", "box_no")
 
 
 @query(with_(BOXES) + """, b AS (SELECT *, page_number || '-table-' || (box_no % 2) AS k, (top + bottom) / 2 + 600 * (page_number - 1) AS mid FROM boxes),
@@ -173,7 +187,7 @@ def cell_texts(spark, sf_dir):
 
 @query(with_(CELLTEXTS) + f" SELECT c, kind, count(*) AS n FROM (SELECT c, {KIND} AS kind FROM texts) GROUP BY ALL")
 def cell_types(spark, sf_dir):
-    return cell_texts(spark, sf_dir).groupBy("c", L.cell_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+    return L.with_cell_type(cell_texts(spark, sf_dir)).groupBy("c", "kind").agg(F.count("*").alias("n"))
 
 
 @query(with_(CELLTEXTS) + f" SELECT k, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, kind) AS r FROM (SELECT k, {KIND} AS kind, count(*) AS n FROM texts GROUP BY ALL)) WHERE r = 1")
@@ -277,9 +291,9 @@ def merge_paragraphs(spark, sf_dir):
     return D.merge_paragraphs(c.withColumn("col_id", (F.floor(F.col("box_no") / 2) % 2).cast("int")), column_heights(spark, sf_dir))
 
 
-@query()
+@query(with_(BOXES) + HEADED.format("true") + " SELECT doc_id, page_number, box_no, text FROM kept")
 def drop_contents(spark, sf_dir):
-    return D.drop_contents(boxes(spark, sf_dir).withColumn("text", F.when(F.col("box_no") == 0, "Contents").otherwise(F.col("text"))))
+    return D.drop_contents(headed(spark, sf_dir, 1)).select("doc_id", "page_number", "box_no", "text")
 
 
 @query()

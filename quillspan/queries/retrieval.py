@@ -46,6 +46,16 @@ def knn_join(spark, sf_dir):
     return R.knn_join(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), v, 5)
 
 
+@query()
+def knn_approximate(spark, sf_dir):
+    """How many rows the approximate search finds for each query, and the share of the exact one's among them."""
+    v = vectors(spark, sf_dir)
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    near, exact = R.knn_approximate(asked, v, 5), R.knn_join(asked, v, 5)
+    both = exact.select("query_id", "id", F.lit(1).alias("true")).join(near.select("query_id", "id", F.lit(1).alias("found")), ["query_id", "id"], "full_outer")
+    return both.groupBy("query_id").agg(F.count("found").alias("n"), F.round(F.count_if(F.col("true").isNotNull() & F.col("found").isNotNull()) / F.count("true"), 6).alias("recall"))
+
+
 COLLECTIONS = "coll AS (SELECT table_id, arg_min(vector, id) AS vector FROM vectors GROUP BY table_id)"
 ROUTED = f"""sims AS (SELECT v.id AS query_id, c.table_id, round({COS.format('v.vector', 'c.vector')}, 12) AS sim FROM vectors v, coll c WHERE v.id % 20 = 0),
 best AS (SELECT query_id, table_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, table_id) AS n FROM sims WHERE round(sim, 6) >= 0.1) WHERE n = 1),
