@@ -181,9 +181,10 @@ def split_chunks(chunks: DataFrame, least: int = 500, most: int = 2000, embed: V
     Sentences of all such chunks are embedded together, in batches of any size; distances are those to the sentence
     before, cuts the greatest of a chunk, and pieces running sums of cuts. Token counts are the library's."""
     key = ["doc_id", "chunk_no"]
-    big = chunks.where(F.col("n_tokens") > most)
     parts = F.filter(F.split("content", _SENTENCE.pattern, -1), lambda s: F.trim(s) != "")
-    rows = big.select(*key, "title_path", "n_tokens", F.size(parts).alias("_m"), F.posexplode(parts).alias("i", "s"))
+    # A chunk of white space alone has no sentence; it stays as it is.
+    big = (F.col("n_tokens") > most) & (F.size(parts) > 0)
+    rows = chunks.where(big).select(*key, "title_path", "n_tokens", F.size(parts).alias("_m"), F.posexplode(parts).alias("i", "s"))
     rows = rows.withColumn("v", V.embed(F.col("s"), embed))
     far = F.round(1 - V.dot(F.col("v"), F.lag("v").over(Window.partitionBy(*key).orderBy("i"))), 9)
     rows = rows.select(*key, "title_path", "n_tokens", "_m", "i", "s", far.alias("far"))
@@ -211,8 +212,7 @@ def split_chunks(chunks: DataFrame, least: int = 500, most: int = 2000, embed: V
         return F.when(F.size(s["held"]) == 0, s["out"]).when(last > 0, ended).otherwise(F.array(rest))
 
     cut_ = lists.select(*key, "title_path", F.posexplode(F.aggregate("p", start, step, finish)).alias("k", "content"))
-    # A chunk of white space alone has no sentence; it stays as it is.
-    whole = chunks.join(lists.select(*key), key, "left_anti").select(*key, "title_path", F.lit(0).alias("k"), "content", "n_tokens")
+    whole = chunks.where(~big).select(*key, "title_path", F.lit(0).alias("k"), "content", "n_tokens")
     all_ = whole.unionByName(cut_.withColumn("n_tokens", T.token_count(F.col("content"))))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no", "k")) - 1
     return all_.select("doc_id", number.alias("chunk_no"), "title_path", "content", "n_tokens")

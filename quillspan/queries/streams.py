@@ -22,7 +22,7 @@ def arrivals(spark, sf_dir, name, columns, save):
     lot = F.floor((F.col("event_id") - F.lit(low or 0)) * PARTS / F.lit((high or 0) - (low or 0) + 1))
     for i in range(PARTS):
         rows.where(lot == i).write.mode("append").parquet(f"{path}/in")
-        read = spark.readStream.schema(rows.schema).parquet(f"{path}/in").select(*columns)
+        read = spark.readStream.schema(rows.schema).parquet(f"{path}/in").selectExpr(*columns)
         save(read, path).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     return path
 
@@ -30,11 +30,11 @@ def arrivals(spark, sf_dir, name, columns, save):
 @query(with_(MESSAGES, CHECKPOINTS) + " SELECT * FROM cps")
 def stream_session_state(spark, sf_dir):
     save = lambda rows, path: sessions.session_state(rows).writeStream.format("parquet").option("path", f"{path}/out").outputMode("append")
-    path = arrivals(spark, sf_dir, "stream", (F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "ts"), save)
+    path = arrivals(spark, sf_dir, "stream", ("user_id AS session_id", "event_id AS seq", "ts"), save)
     return spark.read.schema("session_id long, pair_no long, ts timestamp").parquet(f"{path}/out")
 
 
-SAVED = (F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("id"), F.col("ts").alias("create_time"), F.lit(None).cast("string").alias("create_by"))
+SAVED = ("event_id AS seq", "event_type AS kind", "CAST(user_id AS string) AS id", "ts AS create_time", "CAST(NULL AS string) AS create_by")
 
 
 @query(f"""WITH lots AS (SELECT *, floor((event_id - (SELECT min(event_id) FROM events)) * {PARTS} / (SELECT max(event_id) - min(event_id) + 1 FROM events)) AS lot FROM events)
