@@ -17,7 +17,7 @@ from quillspan.functions import vectors as V
 from quillspan.functions.vectors import hash_embed
 from quillspan.operators.ordered import changes
 
-CHUNKS = "doc_id long, chunk_no int, title_path array<string>, content string, n_tokens int"
+CHUNKS = "doc_id {}, chunk_no int, title_path array<string>, content string, n_tokens int"
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _CJK = re.compile("([一-鿿])")
 _SENTENCE = re.compile(r"(?<=[。.?!])[ \t\n\x0b\f\r]+|\n\n|\n")
@@ -112,7 +112,7 @@ def build_chunks(
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title_path", "content", "n_tokens"])
 
-    return docs.mapInPandas(run, CHUNKS)
+    return docs.mapInPandas(run, CHUNKS.format(dict(docs.dtypes)["doc_id"]))
 
 
 def pack(blocks, least: int, most: int, split: bool, keep_tail: bool, tokens=None, embed=hash_embed, percentile: float | None = None) -> Iterator[tuple[list[str], str, int]]:

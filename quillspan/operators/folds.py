@@ -106,6 +106,18 @@ GOES_ON, GOES_ON_BEFORE_LAST, CONTINUES = ",;:'\"，、‘“；：-", ",;:'\"
 ENDS, ENDS_ENGLISH = "。？！?", ".!?"
 
 
+def _merge_page(b: pd.DataFrame, merge, names: list[str]) -> pd.DataFrame:
+    """``merge(rows, height)`` of each column of a page, from the top; columns are found first where boxes have no ``col_id``."""
+    height = float(b["_height"].iloc[0] or 0) if "_height" in b else 0.0
+    if not height > 0:
+        height = float((b["bottom"] - b["top"]).median())
+    b = b if "col_id" in b else _with_columns(b)
+    columns: dict[int | None, list[dict]] = {}
+    for r in sorted(b.to_dict("records"), key=lambda r: (r["top"], r["x0"], r["box_no"])):
+        columns.setdefault(r["col_id"], []).append(r)
+    return pd.DataFrame([r for own in columns.values() for r in merge(own, height)], columns=names)
+
+
 def _by_column(boxes: DataFrame, heights: DataFrame | None, merge) -> DataFrame:
     """``merge(rows, height)`` of the boxes of each column of a page, from the top. Where boxes have no ``col_id``
     yet, columns are found first. ``heights`` (doc_id, page_number, mean_height) are the pages' median
@@ -114,41 +126,26 @@ def _by_column(boxes: DataFrame, heights: DataFrame | None, merge) -> DataFrame:
     schema = ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ("" if found else ", col_id int")
     names = [*boxes.columns, *([] if found else ["col_id"])]
     rows = boxes if heights is None else boxes.join(heights.select(*PAGE, F.col("mean_height").alias("_height")), PAGE, "left")
+    return _grouped(rows, PAGE, lambda b: _merge_page(b, merge, names), schema)
 
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        height = float(b["_height"].iloc[0] or 0) if "_height" in b else 0.0
-        if not height > 0:
-            height = float((b["bottom"] - b["top"]).median())
-        b = b if found else _with_columns(b)
-        columns: dict[int | None, list[dict]] = {}
-        for r in sorted(b.to_dict("records"), key=lambda r: (r["top"], r["x0"], r["box_no"])):
-            columns.setdefault(r["col_id"], []).append(r)
-        return pd.DataFrame([r for own in columns.values() for r in merge(own, height)], columns=names)
 
-    return _grouped(rows, PAGE, fold, schema)
+def _lines(rows: list[dict], height: float) -> list[dict]:
+    def widen(last: dict, r: dict) -> None:
+        last["x1"], last["top"], last["bottom"] = r["x1"], (last["top"] + r["top"]) / 2, (last["bottom"] + r["bottom"]) / 2
+
+    joins = lambda a, r: bool(a["layoutno"]) and a["layoutno"] == r["layoutno"] and a["layout_type"] not in APART and abs(a["top"] + a["bottom"] - r["top"] - r["bottom"]) / 2 < height / 3
+    return _merged(rows, joins, lambda a, b: a + b, widen)
 
 
 def merge_lines(boxes: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """Neighbours in a column of one layout, but tables, figures and equations, whose middles are less than a third of the
     page's character height apart become one box: texts are joined without a space, the right edge
     is the last one's, top and bottom are averaged. Boxes without a layout number stay alone."""
+    return _by_column(boxes, heights, _lines)
 
-    def widen(last: dict, r: dict) -> None:
-        last["x1"], last["top"], last["bottom"] = r["x1"], (last["top"] + r["top"]) / 2, (last["bottom"] + r["bottom"]) / 2
-
-    def merge(rows: list[dict], height: float) -> list[dict]:
-        joins = lambda a, r: bool(a["layoutno"]) and a["layoutno"] == r["layoutno"] and a["layout_type"] not in APART and abs(a["top"] + a["bottom"] - r["top"] - r["bottom"]) / 2 < height / 3
-        return _merged(rows, joins, lambda a, b: a + b, widen)
 
-    return _by_column(boxes, heights, merge)
-
-
-def merge_paragraphs(boxes: DataFrame, heights: DataFrame | None = None) -> DataFrame:
-    """Boxes of one layout down a column become one, with a space between, where they are at most 1.5 character heights
-    apart, share 0.3 of the narrower's width, and the upper doesn't end a sentence or signs say that it goes on.
-    Blank boxes go. A column ``is_english``, where there is one, says whether ``.`` and ``!`` end a sentence too."""
-
-    def joins(a: dict, r: dict, height: float) -> bool:
+def _paragraphs(rows: list[dict], height: float) -> list[dict]:
+    def joins(a: dict, r: dict) -> bool:
         over, width = max(0, min(a["x1"], r["x1"]) - max(a["x0"], r["x0"])), max(1, min(a["x1"] - a["x0"], r["x1"] - r["x0"]))
         above, below = a["text"].strip(), r["text"].strip()
         goes_on = above[-1] in GOES_ON or above[-2:-1] != "" and above[-2] in GOES_ON_BEFORE_LAST or below[0] in CONTINUES
@@ -158,53 +155,91 @@ def merge_paragraphs(boxes: DataFrame, heights: DataFrame | None = None) -> Data
     def widen(last: dict, r: dict) -> None:
         last["x0"], last["x1"], last["bottom"] = min(last["x0"], r["x0"]), max(last["x1"], r["x1"]), r["bottom"]
 
-    def merge(rows: list[dict], height: float) -> list[dict]:
-        solid = [r | {"text": r["text"].strip()} for r in rows if (r["text"] or "").strip()]
-        return _merged(solid, lambda a, r: joins(a, r, height), lambda a, b: f"{a} {b}", widen)
+    solid = [r | {"text": r["text"].strip()} for r in rows if (r["text"] or "").strip()]
+    return _merged(solid, joins, lambda a, b: f"{a} {b}", widen)
 
-    return _by_column(boxes, heights, merge)
+
+def merge_paragraphs(boxes: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """Boxes of one layout down a column become one, with a space between, where they are at most 1.5 character heights
+    apart, share 0.3 of the narrower's width, and the upper doesn't end a sentence or signs say that it goes on.
+    Blank boxes go. A column ``is_english``, where there is one, says whether ``.`` and ``!`` end a sentence too."""
+    return _by_column(boxes, heights, _paragraphs)
+
+
+def _bullets(b: pd.DataFrame) -> pd.DataFrame:
+    b = b[b["text"].fillna("").str.strip() != ""].sort_values(["page_number", "top", "x0", "box_no"])
+    first = lambda x: x["text"].strip()[0]
+    joins = lambda a, r: first(a) == first(r) and not re.match("[A-Za-z一-鿿]", first(r)) and a["page_number"] == r["page_number"] and a["top"] <= r["bottom"]
+    return pd.DataFrame(_merged(b.to_dict("records"), joins, lambda x, y: f"{x}\n{y}", _widen), columns=b.columns)
 
 
 def merge_bullets(boxes: DataFrame) -> DataFrame:
     """Boxes that begin with the same sign, no letter, become one, a line each. Blank boxes go."""
+    return _grouped(boxes, ["doc_id"], _bullets)
 
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        b = b[b["text"].fillna("").str.strip() != ""].sort_values(["page_number", "top", "x0", "box_no"])
-        first = lambda x: x["text"].strip()[0]
-        joins = lambda a, r: first(a) == first(r) and not re.match("[A-Za-z一-鿿]", first(r)) and a["page_number"] == r["page_number"] and a["top"] <= r["bottom"]
-        return pd.DataFrame(_merged(b.to_dict("records"), joins, lambda x, y: f"{x}\n{y}", _widen), columns=b.columns)
 
-    return _grouped(boxes, ["doc_id"], fold)
+LATIN = r"[0-9a-zA-Z :'.-]{5,}"  # fixed value: what a heading in Latin letters is made of
 
 
-LATIN = r"[0-9a-zA-Z :'.-]{5,}"  # fixed value: what a heading in Latin letters is made of
+def _is_heading(text: str) -> bool:
+    return re.sub("[ \u3000]+", "", text.lower()) in CONTENTS
+
+
+def _without_contents(b: pd.DataFrame, reach: int = 128) -> pd.DataFrame:
+    b = b.sort_values(["page_number", "top", "x0", "box_no"])
+    texts = [t or "" for t in b["text"]]
+    gone, i = set(), 0
+    while i < len(texts):
+        if not _is_heading(texts[i]):
+            i += 1
+            continue
+        latin = re.match(LATIN, texts[i].strip())
+        start = next((j for j in range(i + 1, len(texts)) if texts[j].strip()), len(texts))
+        gone.update(range(i, start + 1))
+        if start == len(texts):
+            break
+        entry = texts[start].strip()
+        head = " ".join(entry.split()[:2]) if latin else entry[:3]
+        i = next((j for j in range(start + 1, min(start + 1 + reach, len(texts))) if texts[j].startswith(head)), start + 1)
+        gone.update(range(start, i))
+    return b.iloc[[j for j in range(len(b)) if j not in gone]]
 
 
 def drop_contents(boxes: DataFrame, reach: int = 128) -> DataFrame:
     """Without a contents or acknowledgement heading, its first entry, and what follows up to the next of ``reach``
     boxes that begins as that entry does: with its first three characters, or its first two words
     where the heading is in Latin letters. Blank boxes before the entry go too."""
+    return _grouped(boxes, ["doc_id"], lambda b: _without_contents(b, reach))
 
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["page_number", "top", "x0", "box_no"])
-        texts = [t or "" for t in b["text"]]
-        gone, i = set(), 0
-        while i < len(texts):
-            if re.sub("[ \u3000]+", "", texts[i].lower()) not in CONTENTS:
-                i += 1
-                continue
-            latin = re.match(LATIN, texts[i].strip())
-            start = next((j for j in range(i + 1, len(texts)) if texts[j].strip()), len(texts))
-            gone.update(range(i, start + 1))
-            if start == len(texts):
-                break
-            entry = texts[start].strip()
-            head = " ".join(entry.split()[:2]) if latin else entry[:3]
-            i = next((j for j in range(start + 1, min(start + 1 + reach, len(texts))) if texts[j].startswith(head)), start + 1)
-            gone.update(range(start, i))
-        return b.iloc[[j for j in range(len(b)) if j not in gone]]
 
-    return _grouped(boxes, ["doc_id"], fold)
+def document_blocks(boxes: DataFrame, dotted: int = 3) -> DataFrame:
+    """(doc_id, blocks) of each document's boxes: columns, lines and paragraphs merged page by page, contents or else dotted pages
+    dropped, bullets merged, and all in document order as blocks that :func:`quillspan.operators.chunks.build_chunks` takes as they
+    are. The same as the single operators one after another, but documents are brought together once.
+
+    Boxes of tables are blocks of their own, figures and equations are left out. A column ``mean_height``, where there is one,
+    is the page's character height."""
+    kind = dict(boxes.dtypes)["doc_id"]
+    rows = boxes.withColumnRenamed("mean_height", "_height") if "mean_height" in boxes.columns else boxes
+
+    def fold(b: pd.DataFrame) -> pd.DataFrame:
+        names = [*b.columns, *([] if "col_id" in b else ["col_id"])]
+        text, tables = b[~b["layout_type"].isin(APART)], b[b["layout_type"] == "table"]
+        pages = [_merge_page(page, _lines, names) for _, page in text.groupby("page_number")]
+        pages = [_merge_page(page, _paragraphs, names) for page in pages if len(page)]
+        own = pd.concat(pages) if pages else text
+        headed = any(_is_heading(t or "") for t in own["text"])
+        own = _without_contents(own)
+        if not headed and len(own):
+            leaders = own["text"].fillna("").str.contains("··", regex=False).groupby(own["page_number"]).transform("sum")
+            own = own[leaders <= dotted]
+        own = _bullets(own)
+        rows = [(r.page_number, r.top, r.x0, "title" if r.layout_type == "title" else "paragraph", r.text) for r in own.itertuples()]
+        rows += [(r.page_number, r.top, r.x0, "table", r.text or "") for r in tables.itertuples()]
+        blocks = [{"block_no": i, "type": r[3], "level": 1 if r[3] == "title" else None, "text": r[4]} for i, r in enumerate(sorted(rows, key=lambda r: r[:4]))]
+        return pd.DataFrame({"doc_id": [b["doc_id"].iloc[0]], "blocks": [blocks]})
+
+    return rows.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, blocks array<struct<block_no:int,type:string,level:int,text:string>>")
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspan.operators import chunks as C
 from quillspan.operators import folds as D
 from quillspan.operators import layout as L
 from quillspan.queries.core import query, table, with_
@@ -305,3 +306,9 @@ def merge_bullets(spark, sf_dir):
 def table_grid(spark, sf_dir):
     b = boxes(spark, sf_dir)
     return D.table_grid(b.select("doc_id", F.col("page_number").alias("table_no"), "box_no", "x0", "x1", "top", "bottom", (F.col("layout_type") == "header").alias("is_header"), "text"))
+
+
+@query()
+def layout_chunks(spark, sf_dir):
+    """Boxes on pages of two columns to chunks, with one shuffle."""
+    return C.build_chunks(D.document_blocks(columns(spark, sf_dir)), least=60, most=200)

@@ -149,3 +149,21 @@ def test_cell_types_in_generated_code(spark):
 
 def test_line_boxes_lie_on_pages(spark, sf_dir):
     assert line_boxes(spark, sf_dir).where("top < 0 or top > 600").count() == 0
+
+
+def test_layout_in_one_grouping_is_the_single_operators(spark, sf_dir):
+    from quillspan.queries.layout import columns
+
+    b = columns(spark, sf_dir).withColumn("text", F.when((F.col("box_no") == 2) & (F.col("doc_id") % 3 == 0), "Contents").when(F.col("box_no") % 7 < 3, F.concat(F.lit("• "), "text")).when(F.col("box_no") % 5 == 0, F.concat("text", F.lit(" ··· 3"))).otherwise(F.col("text")))
+    text = b.where("layout_type not in ('table', 'figure', 'equation')")
+    merged = D.merge_paragraphs(D.merge_lines(D.assign_columns(text)))
+    kept = L.dotted_pages(D.drop_contents(merged), before=merged)
+    done = D.merge_bullets(kept)
+    cols = ("doc_id", "page_number", "top", "x0", "type", "text")
+    own = done.withColumn("type", F.when(F.col("layout_type") == "title", "title").otherwise("paragraph")).select(*cols)
+    want = L.assemble_blocks(own, b.where("layout_type = 'table'").withColumn("type", F.lit("table")).select(*cols)).select("doc_id", "block_no", "type", "text")
+    chain = D.document_blocks(b)
+    got = chain.select("doc_id", F.inline("blocks")).select("doc_id", "block_no", "type", "text")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = C.build_chunks(chain, 60, 200)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
