@@ -86,6 +86,11 @@ class Hook:
     batch: int = 256
 
 
+def vectors_of(fn: Model | Hook, texts: list[str]) -> np.ndarray:
+    """Vectors of a few texts, here and now."""
+    return (loaded(fn.name, fn.factory) if isinstance(fn, Hook) else fn)(pd.Series(texts))
+
+
 def embed(text: Column, fn: Model | Hook = hash_embed) -> Column:
     """Vectors of a text column by any function of a batch of texts, or by a :class:`Hook`; a null text is empty."""
     hook = fn if isinstance(fn, Hook) else None
