@@ -88,7 +88,10 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, percent: i
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; all columns stay."""
+    """``docs`` without the rows whose text holds a benchmark item; all columns stay, whatever they are called.
+
+    Null and empty texts stay, as do all rows where there are no items. Rows of one doc_id (or none) are judged by their own
+    texts; repeated rows go or stay together. An empty table gives an empty one."""
     d, t = unused(docs, "_d"), unused(docs, "_t")
     bad = scratch.keep(contaminated(docs, items, scratch, **options).select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct(), "bad")
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "left_anti")

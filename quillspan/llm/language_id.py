@@ -4,8 +4,8 @@ Nyström landmarks and one-versus-rest kernel ridge regression.
 A text is the set of its distinct n-grams of one to three UTF-8 bytes (A-Z lower-cased),
 as bits of a hashed row; the kernel of two texts is the size of the common part over the
 root of both sizes. The model is fit on a bounded sample of the labelled documents,
-``FIT_ROWS``, drawn evenly over languages by a hash; landmarks are dealt to them in turn. The
-driver holds only their bits. Every document is scored over its whole text: a batch's rows
+``FIT_ROWS``, drawn evenly over the languages by a hash, of which there may be ``LANGUAGES``; landmarks are dealt to them in
+turn. The driver holds only their bits. Every document is scored over its whole text: a batch's rows
 times the landmarks times the regression's weights."""
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BUCKETS, ORDER = 1 << 14, 3
 FIT_ROWS, LANDMARKS, RIDGE = 2_000, 256, 0.1
 #: Of each language about so many rows are learned from at least, or all it has, however many languages there are.
 LEAST_ROWS = 16
+#: So many languages are learned at most, the most frequent ones: with ``LEAST_ROWS`` this bounds what the driver holds.
+LANGUAGES = 512
 #: A document whose best language has no more than this score is rejected by the pipeline's stage.
 REJECT = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -86,21 +88,22 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.nda
 def solve(rows: np.ndarray, labels: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Kernel ridge regression on Nyström features, one language (1) against the rest (0): text
     unlike every landmark has kernels near 0, and so a decision near 0 for each language."""
-    marks = rows[:landmarks]
+    marks = rows[:landmarks].astype(np.float32)
     sizes = np.sqrt(np.maximum(marks.sum(axis=1), 1))
     values, vectors = np.linalg.eigh(kernel(marks, marks, sizes).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = kernel(rows, marks, sizes) @ root
+    features = np.concatenate([kernel(rows[i : i + 1024].astype(np.float32), marks, sizes) @ root for i in range(0, len(rows), 1024)])
     goal = np.where(labels[:, None] == np.arange(len(languages)), 1.0, 0.0)
     beta = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ goal)
     return Model(languages, marks, sizes.astype(np.float32), (root @ beta).astype(np.float32))
 
 
 def fit(docs: DataFrame, scratch: Scratch, folds: int = 4, fold: int = 2, rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Model | None:
-    """Fit on about ``rows`` labelled documents outside the held-out fold; None if there are none."""
+    """Fit on about ``rows`` labelled documents outside the held-out fold; None if there are none. Of more than ``LANGUAGES`` labels the
+    most frequent are learned, ties by name; documents of others get the learned label they are most like, or a low score."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    counts = scratch.keep(known.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    counts = scratch.keep(known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES), "langs")
     quota = max(rows / max(1, counts.count()), LEAST_ROWS)
     place = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = known.join(counts, "lang").withColumn("place", place).where(F.col("place") * F.col("n") < quota).select("doc_id", "text", "lang", "place")
@@ -121,7 +124,7 @@ def fit(docs: DataFrame, scratch: Scratch, folds: int = 4, fold: int = 2, rows:
     turns = [turn.update([r.lang]) or turn[r.lang] for r in got]
     got = [r for _, r in sorted(zip(turns, got, strict=True), key=lambda x: x[0])]
     languages = sorted({r.lang for r in got})
-    grid = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
+    grid = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1)
     return solve(grid, np.array([languages.index(r.lang) for r in got]), languages, landmarks)
 
 
@@ -165,7 +168,10 @@ def identify(docs: DataFrame, scratch: Scratch, folds: int = 4, fold: int = 2, *
 
 
 def keep_known(docs: DataFrame, scratch: Scratch, reject: float = REJECT, **options) -> DataFrame:
-    """``docs`` without the rows that get no language, or one with a score up to ``reject``. All columns stay."""
+    """``docs`` without the rows that get no language, or one with a score up to ``reject``. All columns stay, whatever they are called.
+
+    Null and empty texts and those without a letter go; a null doc_id or lang is no reason to go. Repeated rows go or stay
+    together. With nothing to learn from every row goes. An empty table gives an empty one."""
     names = unused(docs, "lang_pred"), unused(docs, "score")
     judged = predict(docs, fit(docs, scratch, **options), *docs.columns, names=names)
     return judged.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) > reject)).select(*docs.columns)

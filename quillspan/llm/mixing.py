@@ -78,7 +78,10 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS,
 
 
 def emit(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The mix itself: every document of ``docs`` as often as :func:`mix` says, columns as they were."""
+    """The mix itself: every document of ``docs`` as often as :func:`mix` says, columns as they were, whatever they are called.
+
+    Null and empty texts have no words and so no copies where their source has none; else they are drawn like others. A null source
+    is one source. Repeated rows are repeated alike. An empty table gives an empty one."""
     names = {c: unused(docs, f"_{c}") for c in docs.columns if c in ("size", "source_size", "target", "copies")}
     mixed = mix(docs.withColumnsRenamed(names), scratch, **options).where("copies > 0")
     copy = unused(mixed, "_copy")

@@ -18,6 +18,7 @@ import base64
 import hashlib
 import json
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ COLUMNS = {
     "content_type": "string", "content_length": "bigint", "payload_bytes": "bigint", "headers": "map<string,string>", "payload": "binary",
 }
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "content_type": "Content-Type"}
+#: Names of fields are the same in any case; those that are looked at are spelled so.
+SPELLED = {name.lower(): name for name in (*HEADERS.values(), "Content-Length", "X-Payload-Length")}
 SPLIT, ROLL, MANIFEST = 64 << 20, 512 << 20, "_manifest.json"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Encoding: gzip\r\n\r\n"
 REVISIT = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -234,10 +237,11 @@ def dechunked(body: bytes) -> bytes:
 
 
 def header_of(text: bytes, where: str) -> dict[str, str]:
-    version, *lines = text.decode("utf-8", "replace").split("\r\n")
+    version, *lines = re.sub(r"\r\n[ \t]+", " ", text.decode("utf-8", "replace")).split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError(f"no record begins at {where}")
-    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    found = ((k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines))
+    return {SPELLED.get(k.lower(), k): v for k, v in found}
 
 
 def gzip_records(store: fs.FileSystem, path: str, window: int = 1 << 16) -> Iterator[tuple[dict[str, str], object]]:

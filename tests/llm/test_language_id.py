@@ -86,3 +86,10 @@ def test_rare_languages_have_landmarks_and_rows(spark):
     many = [(i, f"text{i} of{i}", f"l{i}") for i in range(300)]
     learned = {f"l{i}" for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2}
     assert set(language_id.fit(spark.createDataFrame(many, DOCS), Scratch(spark, "t"), rows=20).languages) == learned
+
+
+def test_so_many_languages_are_learned_at_most(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 5)
+    rows = [(i, f"{'abcdefghijklmnop'[i % 12] * 4} {i % 12} text", f"l{i % 12:02}") for i in range(300)] + [(1000 + i, "more of one", "zz") for i in range(200)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), Scratch(spark, "t"))
+    assert len(model.languages) == 5 and "zz" in model.languages

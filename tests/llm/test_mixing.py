@@ -55,3 +55,21 @@ def test_nulls_empty_texts_and_empty_tables(spark):
 def test_main_path_is_native(spark, sf_dir):
     plan = mixing.emit(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "t"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_each_sources_words_come_near_its_target(spark):
+    rows = [(i, "w " * (5 + i % 40), "abc"[i % 3] if i % 50 else None) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), Scratch(spark, "t")).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
+        target[r.source] = r.target
+    assert set(taken) == {"a", "b", "c", None} and all(abs(taken[s] - target[s]) < 0.06 * target[s] + 100 for s in taken)
+
+
+def test_columns_that_are_called_as_working_ones_stay(spark):
+    rows = [(i, "a b c", "x", i, "s", "c", 7) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, _source string, _copy string, copies long")
+    got = mixing.emit(docs, Scratch(spark, "t"))
+    assert got.columns == docs.columns and got.count() >= 40
+    assert all((r.size, r._source, r._copy, r.copies) == (r.doc_id, "s", "c", 7) for r in got.collect())

@@ -101,3 +101,11 @@ def test_archives_of_other_makers(spark, tmp_path):
     got = warc.read(spark, str(tmp_path), "record_id", "record_type", "payload").collect()
     assert sorted(((r.record_id, r.record_type, r.payload) for r in got), key=str) == sorted([(f"<{i}>", k, p) for i, (k, _, _, p) in enumerate(kinds)] * 2, key=str)
     assert warc.read(spark, str(tmp_path), "record_id", "record_type").where("record_type = 'resource'").count() == 2
+
+
+def test_field_names_are_the_same_in_any_case(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    one = f"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: <a>\r\nwarc-target-uri: http://x.y/\r\n  z\r\nX-Other: 1\r\ncontent-type: application/http\r\ncontent-length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(one * 2)
+    got = warc.read(spark, str(tmp_path), "record_id", "record_type", "target_uri", "payload", "headers").where("record_type = 'response'").collect()
+    assert [(r.record_id, r.record_type, r.target_uri, bytes(r.payload), r.headers["X-Other"]) for r in got] == [("<a>", "response", "http://x.y/ z", b"hello", "1")] * 2
