@@ -19,15 +19,15 @@ def route_files(files: DataFrame) -> DataFrame:
     return files.withColumn("parser", parser).withColumn("ok", parser.isNotNull())
 
 
-def line_block_lists(docs: DataFrame) -> DataFrame:
-    """(doc_id, blocks): the non-empty lines of ``text`` in order, the first and every seventh as titles. A document stays one row."""
+def line_block_lists(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, ``keep``, blocks): the non-empty lines of ``text`` in order, the first and every seventh as titles. A document stays one row."""
 
     def block(text: Column, i: Column) -> Column:
         title = i % 7 == 0
         level = F.when(i == 0, 1).when(title, 1 + F.floor(i / 7).cast("int") % 3)
         return F.struct(i.alias("block_no"), F.when(title, "title").otherwise("paragraph").alias("type"), level.cast("int").alias("level"), text.alias("text"))
 
-    return docs.select("doc_id", F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), block).alias("blocks"))
+    return docs.select("doc_id", *keep, F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), block).alias("blocks"))
 
 
 def line_blocks(docs: DataFrame) -> DataFrame:

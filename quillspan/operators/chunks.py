@@ -29,11 +29,11 @@ def effective_min(blocks: DataFrame, least: int = 500) -> DataFrame:
     return sums.withColumn("min_tokens", F.when(F.col("n_blocks") < 30, F.least(F.lit(least).cast("long"), "n_chars")).otherwise(F.lit(least).cast("long")))
 
 
-def block_lists(blocks: DataFrame) -> DataFrame:
-    """(doc_id, blocks) of rows that are blocks, or as it is where a row is a document already: only the first needs a shuffle."""
+def block_lists(blocks: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, ``keep``, blocks) of rows that are blocks, or as it is where a row is a document already: only the first needs a shuffle."""
     if "blocks" in blocks.columns:
-        return blocks.select("doc_id", "blocks")
-    return blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "type", "level", "text"))).alias("blocks"))
+        return blocks.select("doc_id", *keep, "blocks")
+    return blocks.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in keep), F.sort_array(F.collect_list(F.struct("block_no", "type", "level", "text"))).alias("blocks"))
 
 
 def title_paths(blocks: DataFrame) -> DataFrame:
@@ -86,6 +86,7 @@ def _with_titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_chunks(
     blocks: DataFrame, least: int = 500, most: int = 2000, split: bool = False, keep_tail: bool = False,
     tokens: Callable[[str], int] | None = None, embed: Callable[[pd.Series], np.ndarray] = hash_embed, percentile: float | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Greedy packing of each document's blocks, in order.
 
@@ -95,24 +96,25 @@ def build_chunks(
     of its joined text: by the library's rule, or by ``tokens``, a tokenizer's count of one text with its special tokens.
     ``split`` cuts chunks beyond ``most`` where neighbouring sentences are least alike by ``embed`` (see :func:`cut`).
     Rows of ``blocks`` are blocks, which are brought together once, or whole documents (:func:`block_lists`), which
-    stay where they are. The fold is linear."""
-    lists = block_lists(blocks)
+    stay where they are; columns ``keep`` of a document go with its chunks. The fold is linear."""
+    lists = block_lists(blocks, *keep)
     count = (lambda t: T.words(t)) if tokens is None else (lambda t: F.lit(0))
     one = lambda b: F.struct(b["type"].alias("type"), F.coalesce(b["level"], F.lit(1)).alias("level"), b["text"].alias("text"), count(b["text"]).alias("n"))
     chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + F.coalesce(F.length(b["text"]), F.lit(0)))
-    docs = lists.select("doc_id", F.transform("blocks", one).alias("b"), F.size("blocks").alias("n_blocks"), chars.alias("n_chars"))
+    docs = lists.select("doc_id", *keep, F.transform("blocks", one).alias("b"), F.size("blocks").alias("n_blocks"), chars.alias("n_chars"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [
-                (d, i, *c)
-                for d, blocks_, n, chars in frame.itertuples(index=False)
+                (d, i, *c, *own)
+                for d, *own, blocks_, n, chars in frame.itertuples(index=False)
                 if blocks_ is not None
                 for i, c in enumerate(pack(blocks_, min(least, chars) if n < 30 else least, most, split, keep_tail, tokens, embed, percentile))
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title_path", "content", "n_tokens"])
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title_path", "content", "n_tokens", *keep])
 
-    return docs.mapInPandas(run, CHUNKS.format(dict(docs.dtypes)["doc_id"]))
+    kinds = dict(docs.dtypes)
+    return docs.mapInPandas(run, CHUNKS.format(kinds["doc_id"]) + "".join(f", {c} {kinds[c]}" for c in keep))
 
 
 def pack(blocks, least: int, most: int, split: bool, keep_tail: bool, tokens=None, embed=hash_embed, percentile: float | None = None) -> Iterator[tuple[list[str], str, int]]:

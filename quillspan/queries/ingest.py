@@ -15,6 +15,25 @@ from quillspan.sources import stores
 EXTS = ["txt", "md", "docx", "xlsx", "pdf", "zip"]
 
 
+def chunks_sql(least: int, most: int, select: str) -> str:
+    return "WITH RECURSIVE " + BLOCKS + f""", b AS (SELECT *, {sql_words('text')} AS n FROM blocks),
+m AS (SELECT doc_id, count(*) AS k, CASE WHEN count(*) < 30 THEN least({least}, sum(length(text))) ELSE {least} END AS mn FROM blocks GROUP BY doc_id),
+s AS (
+ SELECT doc_id, 0 AS i, []::VARCHAR[] AS path, []::VARCHAR[] AS content, 0::BIGINT AS body, 0::BIGINT AS cur, NULL::VARCHAR[] AS out_path, NULL::VARCHAR AS out_text, 0::BIGINT AS out_n, 0 AS chunks FROM m
+ UNION ALL
+ SELECT doc_id, i + 1, CASE WHEN type = 'title' THEN list_concat(path[1:level - 1], [text]) ELSE path END,
+  CASE WHEN fa THEN []::VARCHAR[] WHEN ends THEN CASE WHEN fb THEN []::VARCHAR[] ELSE content END WHEN fb THEN [text] ELSE list_append(content, text) END,
+  CASE WHEN fa THEN 0 WHEN ends THEN CASE WHEN fb THEN 0 ELSE body END WHEN fb THEN n ELSE body + n END,
+  CASE WHEN fa THEN 0 WHEN ends THEN CASE WHEN fb THEN 0 ELSE cur END WHEN fb THEN n + 2 ELSE cur + n + 2 END,
+  CASE WHEN fb OR fa THEN path END, CASE WHEN fb THEN array_to_string(content, chr(10)) WHEN fa THEN array_to_string(list_append(content, text), chr(10)) END,
+  CASE WHEN fb THEN body + 2 WHEN fa THEN body + n + 2 END, chunks + (fb OR fa)::INTEGER
+ FROM (SELECT s.*, b.type, b.level, b.text, b.n, coalesce(b.type, 'title') = 'title' AS ends,
+   (coalesce(b.type, 'title') = 'title' OR (b.n + 2 < {most} AND s.cur + b.n + 2 > {most})) AND len(s.content) > 0 AND s.body + 2 >= m.mn AS fb,
+   coalesce(b.type <> 'title' AND b.n + 2 >= {most} AND s.body + b.n + 2 >= m.mn, false) AS fa
+   FROM s JOIN m ON m.doc_id = s.doc_id AND s.i <= m.k LEFT JOIN b ON b.doc_id = s.doc_id AND b.block_no = s.i))
+{select}"""
+
+
 @query(r"""SELECT doc_id, file_name, CASE ext WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' WHEN 'docx' THEN 'word' WHEN 'xlsx' THEN 'excel' WHEN 'pdf' THEN 'pdf' END AS parser, ext <> 'zip' AS ok
 FROM (SELECT doc_id, ext, 'doc_' || doc_id || '.' || ext AS file_name FROM (SELECT doc_id, ['txt', 'md', 'docx', 'xlsx', 'pdf', 'zip'][doc_id % 6 + 1] AS ext FROM documents))""")
 def route_files(spark, sf_dir):
@@ -27,19 +46,22 @@ def pages_scan(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
 
 
-@query()
+@query(r"""SELECT doc_id, 0 AS block_no, 'paragraph' AS type, CASE WHEN doc_id % 3 = 0 THEN '中文' || regexp_replace(text, '[^\x00-\x7F]', '', 'g') ELSE text END AS text FROM documents""")
 def text_blocks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return stores.text_blocks(docs)
+    """Every third file is in GBK: two characters of it before what of the text is ASCII."""
+    gbk = F.concat(F.unhex(F.lit("D6D0CEC4")), F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", ""), "UTF-8"))
+    content = F.when(F.col("doc_id") % 3 == 0, gbk).otherwise(F.encode("text", "UTF-8"))
+    return stores.text_blocks(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")))
 
 
-@query()
+@query(chunks_sql(500, 2000, "SELECT source AS table_id, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, sum(out_n)::BIGINT AS n_tokens FROM s JOIN documents USING (doc_id) WHERE out_text IS NOT NULL GROUP BY source"))
 def chunk_store(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    chunks = C.build_chunks(B.line_block_lists(docs)).join(docs.select("doc_id", F.col("source").alias("table_id")), "doc_id")
     path = stores.fresh(spark, "chunks")
+    lists = B.line_block_lists(docs, "source")
+    chunks = C.build_chunks(lists, keep=("source",)).withColumnRenamed("source", "table_id")
     stores.write_chunks(chunks.withColumn("create_time", F.timestamp_seconds(F.lit(EPOCH))), path)
-    return spark.read.parquet(path).groupBy("table_id").agg(F.count("*").alias("n_chunks"))
+    return spark.read.parquet(path).groupBy("table_id").agg(F.count("*").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 @query("SELECT len(embedding)::INTEGER AS dim, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -111,22 +133,7 @@ def title_paths(spark, sf_dir):
     return C.title_paths(B.line_block_lists(table(spark, sf_dir, "documents")))
 
 
-@query("WITH RECURSIVE " + BLOCKS + f""", b AS (SELECT *, {sql_words('text')} AS n FROM blocks),
-m AS (SELECT doc_id, count(*) AS k, CASE WHEN count(*) < 30 THEN least(60, sum(length(text))) ELSE 60 END AS mn FROM blocks GROUP BY doc_id),
-s AS (
- SELECT doc_id, 0 AS i, []::VARCHAR[] AS path, []::VARCHAR[] AS content, 0::BIGINT AS body, 0::BIGINT AS cur, NULL::VARCHAR[] AS out_path, NULL::VARCHAR AS out_text, 0::BIGINT AS out_n, 0 AS chunks FROM m
- UNION ALL
- SELECT doc_id, i + 1, CASE WHEN type = 'title' THEN list_concat(path[1:level - 1], [text]) ELSE path END,
-  CASE WHEN fa THEN []::VARCHAR[] WHEN ends THEN CASE WHEN fb THEN []::VARCHAR[] ELSE content END WHEN fb THEN [text] ELSE list_append(content, text) END,
-  CASE WHEN fa THEN 0 WHEN ends THEN CASE WHEN fb THEN 0 ELSE body END WHEN fb THEN n ELSE body + n END,
-  CASE WHEN fa THEN 0 WHEN ends THEN CASE WHEN fb THEN 0 ELSE cur END WHEN fb THEN n + 2 ELSE cur + n + 2 END,
-  CASE WHEN fb OR fa THEN path END, CASE WHEN fb THEN array_to_string(content, chr(10)) WHEN fa THEN array_to_string(list_append(content, text), chr(10)) END,
-  CASE WHEN fb THEN body + 2 WHEN fa THEN body + n + 2 END, chunks + (fb OR fa)::INTEGER
- FROM (SELECT s.*, b.type, b.level, b.text, b.n, coalesce(b.type, 'title') = 'title' AS ends,
-   (coalesce(b.type, 'title') = 'title' OR (b.n + 2 < 200 AND s.cur + b.n + 2 > 200)) AND len(s.content) > 0 AND s.body + 2 >= m.mn AS fb,
-   coalesce(b.type <> 'title' AND b.n + 2 >= 200 AND s.body + b.n + 2 >= m.mn, false) AS fa
-   FROM s JOIN m ON m.doc_id = s.doc_id AND s.i <= m.k LEFT JOIN b ON b.doc_id = s.doc_id AND b.block_no = s.i))
-SELECT doc_id, (chunks - 1)::INTEGER AS chunk_no, out_path AS title_path, out_text AS content, out_n::INTEGER AS n_tokens FROM s WHERE out_text IS NOT NULL""")
+@query(chunks_sql(60, 200, """SELECT doc_id, (chunks - 1)::INTEGER AS chunk_no, out_path AS title_path, out_text AS content, out_n::INTEGER AS n_tokens FROM s WHERE out_text IS NOT NULL"""))
 def build_chunks(spark, sf_dir):
     return C.build_chunks(B.line_block_lists(table(spark, sf_dir, "documents")), least=60, most=200)
 

@@ -244,9 +244,15 @@ def clean_regions(spark, sf_dir):
     return D.clean_regions(regions(spark, sf_dir), boxes(spark, sf_dir))
 
 
-@query()
+@query(with_(BOXES, REGIONS).replace("WITH ", "WITH RECURSIVE ", 1) + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY score DESC, region_no) AS n FROM regions),
+f AS (SELECT doc_id, page_number, 1::BIGINT AS n, [{'x0': x0, 'x1': x1, 'top': top, 'bottom': bottom}] AS kept, true AS ok FROM ranked WHERE n = 1
+ UNION ALL SELECT doc_id, page_number, n, CASE WHEN ok THEN list_append(kept, {'x0': x0, 'x1': x1, 'top': top, 'bottom': bottom}) ELSE kept END, ok
+ FROM (SELECT f.kept, r.*, len(list_filter(f.kept, lambda k: greatest(least(k.x1, r.x1) - greatest(k.x0, r.x0), 0) * greatest(least(k.bottom, r.bottom) - greatest(k.top, r.top), 0)
+   > 0.2 * ((k.x1 - k.x0) * (k.bottom - k.top) + (r.x1 - r.x0) * (r.bottom - r.top) - greatest(least(k.x1, r.x1) - greatest(k.x0, r.x0), 0) * greatest(least(k.bottom, r.bottom) - greatest(k.top, r.top), 0)))) = 0 AS ok
+  FROM f JOIN ranked r ON r.doc_id = f.doc_id AND r.page_number = f.page_number AND r.n = f.n + 1))
+SELECT r.doc_id, r.page_number, r.region_no, r.score FROM ranked r JOIN f ON f.doc_id = r.doc_id AND f.page_number = r.page_number AND f.n = r.n WHERE f.ok""")
 def suppress_boxes(spark, sf_dir):
-    return D.suppress(regions(spark, sf_dir).withColumn("type", F.lit("all")), 0.2)
+    return D.suppress(regions(spark, sf_dir).withColumn("type", F.lit("all")), 0.2).select("doc_id", "page_number", "region_no", "score")
 
 
 def columns(spark, sf_dir):
@@ -297,9 +303,12 @@ def drop_contents(spark, sf_dir):
     return D.drop_contents(headed(spark, sf_dir, 1)).select("doc_id", "page_number", "box_no", "text")
 
 
-@query()
+@query(with_(BOXES) + r""", t AS (SELECT * REPLACE (CASE WHEN box_no % 3 <> 0 THEN '• ' || text ELSE text END AS text) FROM boxes),
+l AS (SELECT *, left(trim(text), 1) AS c, lag(left(trim(text), 1)) OVER w AS before FROM t WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY box_no)),
+g AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR c <> before OR regexp_matches(c, '[A-Za-z\x{4e00}-\x{9fff}]')) OVER (PARTITION BY doc_id, page_number ORDER BY box_no) AS part FROM l)
+SELECT doc_id, page_number, min(box_no) AS box_no, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom, string_agg(text, chr(10) ORDER BY box_no) AS text FROM g GROUP BY doc_id, page_number, part""")
 def merge_bullets(spark, sf_dir):
-    return D.merge_bullets(boxes(spark, sf_dir).withColumn("text", F.when(F.col("box_no") % 3 != 0, F.concat(F.lit("• "), "text")).otherwise(F.col("text"))))
+    return D.merge_bullets(boxes(spark, sf_dir).withColumn("text", F.when(F.col("box_no") % 3 != 0, F.concat(F.lit("• "), "text")).otherwise(F.col("text")))).drop("layout_type", "layoutno")
 
 
 @query()
