@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Tokens, CJK characters, ends of sentences.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+CJK, SENTENCE = "([一-鿿])", r"(?<=[。.?!])\s+|\n\n|\n"
 #: Where a heading's or paragraph's text ends, closed or not; a mark is put there before matching.
 PART_END = r"(?i)(<h[1-6]\b|<p\b|</h[1-6]>|</p>|</article>|</body>)"
 PART, PARAGRAPH = r"(?i)<(h[1-6]|p)\b[^>]*>([^\x01]*)", r"(?i)<p\b[^>]*>([^\x01]*)"
@@ -16,7 +18,7 @@ RISKY = ("login", "signup", "account", "captcha", "auth", "cookie")  # fixed val
 
 def words(text: Column) -> Column:
     """Tokens without special ones: CJK characters stand alone, letters and digits run together."""
-    spaced = F.regexp_replace(text, "([一-鿿])", " $1 ")
+    spaced = F.regexp_replace(text, CJK, " $1 ")
     return F.coalesce(F.regexp_count(spaced, F.lit(TOKEN)), F.lit(0))
 
 
@@ -28,7 +30,7 @@ def token_count(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Parts of a text after sentence ends and at line ends; only a single line end is
     taken at once, so blank lines give empty parts as they do for two line ends in a row."""
-    return F.split(text, r"(?<=[。.?!])\s+|\n\n|\n", -1)
+    return F.split(text, SENTENCE, -1)
 
 
 def extension(name: Column) -> Column:
@@ -81,7 +83,8 @@ def resolve(href: Column, base: Column) -> Column:
 
 def without_dots(url: Column) -> Column:
     """``url`` with ``.`` and ``..`` taken out of its path; ``..`` at the root goes."""
-    parts = F.slice(F.split(url_path(url), "/"), 2, 1_000_000)
+    parts = F.split(url_path(url), "/")
+    parts = F.slice(parts, F.lit(2), F.size(parts))
     kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
     # A path that ends in . or .. names a folder.
     tail = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")

@@ -18,6 +18,7 @@ from quillspan.functions.vectors import hash_embed
 from quillspan.operators.ordered import changes
 
 CHUNKS = "doc_id {}, chunk_no int, title_path array<string>, content string, n_tokens int"
+# Fixed values, as in quillspan.functions.text.
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _CJK = re.compile("([一-鿿])")
 _SENTENCE = re.compile(r"(?<=[。.?!])[ \t\n\x0b\f\r]+|\n\n|\n")

@@ -7,9 +7,11 @@ layout_type, layoutno) and keep the columns; where a fold merges, the first box'
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,16 +108,18 @@ GOES_ON, GOES_ON_BEFORE_LAST, CONTINUES = ",;:'\"，、‘“；：-", ",;:'\"
 ENDS, ENDS_ENGLISH = "。？！?", ".!?"
 
 
-def _merge_page(b: pd.DataFrame, merge, names: list[str]) -> pd.DataFrame:
+def _merge_page(rows: list[dict], merge) -> list[dict]:
     """``merge(rows, height)`` of each column of a page, from the top; columns are found first where boxes have no ``col_id``."""
-    height = float(b["_height"].iloc[0] or 0) if "_height" in b else 0.0
+    height = rows[0].get("_height") or 0.0
     if not height > 0:
-        height = float((b["bottom"] - b["top"]).median())
-    b = b if "col_id" in b else _with_columns(b)
+        height = float(np.median([r["bottom"] - r["top"] for r in rows]))
+    if "col_id" not in rows[0]:
+        own = column_ids(*(np.array([r[c] for r in rows], float) for c in ("x0", "x1")))
+        rows = [r | {"col_id": c} for r, c in zip(rows, own.tolist(), strict=True)]
     columns: dict[int | None, list[dict]] = {}
-    for r in sorted(b.to_dict("records"), key=lambda r: (r["top"], r["x0"], r["box_no"])):
+    for r in sorted(rows, key=lambda r: (r["top"], r["x0"], r["box_no"])):
         columns.setdefault(r["col_id"], []).append(r)
-    return pd.DataFrame([r for own in columns.values() for r in merge(own, height)], columns=names)
+    return [r for own in columns.values() for r in merge(own, height)]
 
 
 def _by_column(boxes: DataFrame, heights: DataFrame | None, merge) -> DataFrame:
@@ -124,9 +128,14 @@ def _by_column(boxes: DataFrame, heights: DataFrame | None, merge) -> DataFrame:
     character heights; a page without one has the median of its boxes."""
     found = "col_id" in boxes.columns
     schema = ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ("" if found else ", col_id int")
-    names = [*boxes.columns, *([] if found else ["col_id"])]
     rows = boxes if heights is None else boxes.join(heights.select(*PAGE, F.col("mean_height").alias("_height")), PAGE, "left")
-    return _grouped(rows, PAGE, lambda b: _merge_page(b, merge, names), schema)
+
+    def fold(page: pa.Table) -> pa.Table:
+        own = [f for f in page.schema if f.name != "_height"]
+        kinds = pa.schema([*own, *([] if found else [pa.field("col_id", pa.int32())])])
+        return pa.Table.from_pylist(_merge_page(page.to_pylist(), merge), kinds)
+
+    return rows.groupBy(*PAGE).applyInArrow(fold, schema)
 
 
 def _lines(rows: list[dict], height: float) -> list[dict]:
@@ -166,16 +175,25 @@ def merge_paragraphs(boxes: DataFrame, heights: DataFrame | None = None) -> Data
     return _by_column(boxes, heights, _paragraphs)
 
 
-def _bullets(b: pd.DataFrame) -> pd.DataFrame:
-    b = b[b["text"].fillna("").str.strip() != ""].sort_values(["page_number", "top", "x0", "box_no"])
+def _down(rows: list[dict]) -> list[dict]:
+    """Boxes in the order of their document."""
+    return sorted(rows, key=lambda r: (r["page_number"], r["top"], r["x0"], r["box_no"]))
+
+
+def _documents(boxes: DataFrame, fold) -> DataFrame:
+    """``fold(rows)`` of the boxes of each document."""
+    return boxes.groupBy("doc_id").applyInArrow(lambda t: pa.Table.from_pylist(fold(t.to_pylist()), t.schema), ", ".join(f"{n} {t}" for n, t in boxes.dtypes))
+
+
+def _bullets(rows: list[dict]) -> list[dict]:
     first = lambda x: x["text"].strip()[0]
     joins = lambda a, r: first(a) == first(r) and not re.match("[A-Za-z一-鿿]", first(r)) and a["page_number"] == r["page_number"] and a["top"] <= r["bottom"]
-    return pd.DataFrame(_merged(b.to_dict("records"), joins, lambda x, y: f"{x}\n{y}", _widen), columns=b.columns)
+    return _merged([r for r in _down(rows) if (r["text"] or "").strip()], joins, lambda x, y: f"{x}\n{y}", _widen)
 
 
 def merge_bullets(boxes: DataFrame) -> DataFrame:
     """Boxes that begin with the same sign, no letter, become one, a line each. Blank boxes go."""
-    return _grouped(boxes, ["doc_id"], _bullets)
+    return _documents(boxes, _bullets)
 
 
 LATIN = r"[0-9a-zA-Z :'.-]{5,}"  # fixed value: what a heading in Latin letters is made of
@@ -185,9 +203,9 @@ def _is_heading(text: str) -> bool:
     return re.sub("[ \u3000]+", "", text.lower()) in CONTENTS
 
 
-def _without_contents(b: pd.DataFrame, reach: int = 128) -> pd.DataFrame:
-    b = b.sort_values(["page_number", "top", "x0", "box_no"])
-    texts = [t or "" for t in b["text"]]
+def _without_contents(rows: list[dict], reach: int = 128) -> list[dict]:
+    rows = _down(rows)
+    texts = [r["text"] or "" for r in rows]
     gone, i = set(), 0
     while i < len(texts):
         if not _is_heading(texts[i]):
@@ -202,14 +220,14 @@ def _without_contents(b: pd.DataFrame, reach: int = 128) -> pd.DataFrame:
         head = " ".join(entry.split()[:2]) if latin else entry[:3]
         i = next((j for j in range(start + 1, min(start + 1 + reach, len(texts))) if texts[j].startswith(head)), start + 1)
         gone.update(range(start, i))
-    return b.iloc[[j for j in range(len(b)) if j not in gone]]
+    return [r for j, r in enumerate(rows) if j not in gone]
 
 
 def drop_contents(boxes: DataFrame, reach: int = 128) -> DataFrame:
     """Without a contents or acknowledgement heading, its first entry, and what follows up to the next of ``reach``
     boxes that begins as that entry does: with its first three characters, or its first two words
     where the heading is in Latin letters. Blank boxes before the entry go too."""
-    return _grouped(boxes, ["doc_id"], lambda b: _without_contents(b, reach))
+    return _documents(boxes, lambda rows: _without_contents(rows, reach))
 
 
 def document_blocks(boxes: DataFrame, dotted: int = 3) -> DataFrame:
@@ -222,24 +240,25 @@ def document_blocks(boxes: DataFrame, dotted: int = 3) -> DataFrame:
     kind = dict(boxes.dtypes)["doc_id"]
     rows = boxes.withColumnRenamed("mean_height", "_height") if "mean_height" in boxes.columns else boxes
 
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        names = [*b.columns, *([] if "col_id" in b else ["col_id"])]
-        text, tables = b[~b["layout_type"].isin(APART)], b[b["layout_type"] == "table"]
-        pages = [_merge_page(page, _lines, names) for _, page in text.groupby("page_number")]
-        pages = [_merge_page(page, _paragraphs, names) for page in pages if len(page)]
-        own = pd.concat(pages) if pages else text
-        headed = any(_is_heading(t or "") for t in own["text"])
-        own = _without_contents(own)
-        if not headed and len(own):
-            leaders = own["text"].fillna("").str.contains("··", regex=False).groupby(own["page_number"]).transform("sum")
-            own = own[leaders <= dotted]
-        own = _bullets(own)
-        rows = [(r.page_number, r.top, r.x0, "title" if r.layout_type == "title" else "paragraph", r.text) for r in own.itertuples()]
-        rows += [(r.page_number, r.top, r.x0, "table", r.text or "") for r in tables.itertuples()]
+    def fold(t: pa.Table) -> pa.Table:
+        all_, pages = t.to_pylist(), {}
+        for r in all_:
+            if r["layout_type"] not in APART:
+                pages.setdefault(r["page_number"], []).append(r)
+        own = []
+        for _, page in sorted(pages.items()):
+            own += _merge_page(_merge_page(page, _lines), _paragraphs)
+        headed, own = any(_is_heading(r["text"] or "") for r in own), _without_contents(own)
+        if not headed:
+            leaders = Counter(r["page_number"] for r in own if "··" in (r["text"] or ""))
+            own = [r for r in own if leaders[r["page_number"]] <= dotted]
+        rows = [(r["page_number"], r["top"], r["x0"], "title" if r["layout_type"] == "title" else "paragraph", r["text"]) for r in _bullets(own)]
+        rows += [(r["page_number"], r["top"], r["x0"], "table", r["text"] or "") for r in all_ if r["layout_type"] == "table"]
         blocks = [{"block_no": i, "type": r[3], "level": 1 if r[3] == "title" else None, "text": r[4]} for i, r in enumerate(sorted(rows, key=lambda r: r[:4]))]
-        return pd.DataFrame({"doc_id": [b["doc_id"].iloc[0]], "blocks": [blocks]})
+        kinds = pa.list_(pa.struct([("block_no", pa.int32()), ("type", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
+        return pa.table([t.column("doc_id").slice(0, 1), pa.array([blocks], kinds)], names=["doc_id", "blocks"])
 
-    return rows.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, blocks array<struct<block_no:int,type:string,level:int,text:string>>")
+    return rows.groupBy("doc_id").applyInArrow(fold, f"doc_id {kind}, blocks array<struct<block_no:int,type:string,level:int,text:string>>")
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
@@ -269,20 +288,19 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     return float(value.mean())
 
 
-def _with_columns(b: pd.DataFrame, most: int = 4) -> pd.DataFrame:
-    b = b.sort_values("box_no")
-    x = b["x0"].to_numpy(float)
-    width = float(b["x1"].max() - x.min()) or 1.0
-    snapped = np.where(x - x.min() < 0.12 * width, x.min(), x)
+def column_ids(x0: np.ndarray, x1: np.ndarray, most: int = 4) -> np.ndarray:
+    """The column of each box of a page, from left to right."""
+    width = float(x1.max() - x0.min()) or 1.0
+    snapped = np.where(x0 - x0.min() < 0.12 * width, x0.min(), x0)
     fits = {k: silhouette(snapped, kmeans(snapped, k)) for k in range(2, min(most, len(np.unique(snapped))) + 1)}
     k = max(fits, key=lambda n: (fits[n], -n)) if fits and max(fits.values()) > 0 else 1
-    return b.assign(col_id=kmeans(x, k).astype("int32"))
+    return kmeans(x0, k).astype("int32")
 
 
 def assign_columns(boxes: DataFrame, most: int = 4) -> DataFrame:
     """``col_id`` of each box in its page, from left to right: left edges within 12 % of the page's width
     count as its least; as many columns as part those edges best."""
-    return _grouped(boxes, PAGE, lambda b: _with_columns(b, most), ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ", col_id int")
+    return _grouped(boxes, PAGE, lambda b: b.assign(col_id=column_ids(b["x0"].to_numpy(float), b["x1"].to_numpy(float), most)), ", ".join(f"{n} {t}" for n, t in boxes.dtypes) + ", col_id int")
 
 
 def _kind(text: str | None) -> str:

@@ -163,6 +163,7 @@ def attach_captions(spark, sf_dir):
     return L.attach_captions(b.where("layout_type in ('header', 'footer')"), own, stats(spark, sf_dir))
 
 
+# The rules of cell types once more, as a twin must state them by itself.
 KIND = r"""CASE WHEN regexp_matches(t, '^(19|20)\d\d[年/-]\d\d?[月/-]\d\d?日*$') OR regexp_matches(t, '^(19|20)\d\d(年|[年-]\d\d?月*|年*[一二三四1-4]季度|[A-E])$') OR regexp_matches(t, '^\d\d?[月-]\d\d?日*$') OR regexp_matches(t, '^第*[一二三四1-4]季度$') THEN 'Dt'
   WHEN regexp_matches(t, '^[0-9.,+%/ -]+$') THEN 'Nu' WHEN regexp_matches(t, '^[0-9A-Z/._~-]+$') THEN 'Ca' WHEN regexp_matches(t, '^[A-Z]*[a-z'' -]+$') THEN 'En'
   WHEN regexp_matches(t, '^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()'' -]+$') THEN 'NE' WHEN length(t) = 1 THEN 'Sg'
