@@ -356,27 +356,27 @@ def table_grid(cells: DataFrame) -> DataFrame:
     then likewise one alone in its row, if there are four columns or more. A row is a header if more than half of its cells
     are flagged or, in a table that is mostly numbers, aren't numbers."""
 
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["top", "x0", "box_no"])
-        x0, x1, top, bottom = (b[c].to_numpy(float) for c in ("x0", "x1", "top", "bottom"))
-        filled = (b["text"].fillna("") != "").to_numpy(bool)
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("box_no", "x0", "top")])))
+        x0, x1, top, bottom = (t.column(c).to_numpy() for c in ("x0", "x1", "top", "bottom"))
+        texts = t.column("text").to_pylist()
+        filled = np.array([bool(x) for x in texts])
         row, col = _bands(top, bottom, 3.0), _bands(x0, x1, 0.0)
         if row.max() >= 3:
             col = _place_lone(col, row, x0, x1, filled)
         if col.max() >= 3:
             row = _place_lone(row, col, top, bottom, filled)
-        kinds = [_kind(t) for t in b["text"]]
-        numbers = max(dict.fromkeys(kinds), key=kinds.count) == "Nu"
-        flagged = b["is_header"].fillna(False).to_numpy(bool)
-        number = np.array([k == "Nu" for k in kinds])
-        head = np.zeros(row.max() + 1, bool)
-        for r in range(row.max() + 1):
-            cells_, heads = {}, 0
-            for i in np.flatnonzero(row == r):
-                cells_.setdefault(col[i], []).append(i)
-            for own in cells_.values():
-                heads += not number[own[0]] if numbers else bool(flagged[own].any())
-            head[r] = bool(cells_) and heads / len(cells_) > 0.5
-        return pd.DataFrame({"doc_id": b["doc_id"], "table_no": b["table_no"], "box_no": b["box_no"], "row_no": row.astype("int32"), "col_no": col.astype("int32"), "is_header": head[row], "text": b["text"]})
-
-    return _grouped(cells, ["doc_id", "table_no"], fold, "doc_id long, table_no int, box_no long, row_no int, col_no int, is_header boolean, text string")
+        kinds = [_kind(x) for x in texts]
+        numbers = Counter(kinds).most_common(1)[0][0] == "Nu"
+        flagged = [bool(x) for x in t.column("is_header").to_pylist()]
+        # Of each row its cells' columns, and those that speak for a header.
+        cells_: dict[tuple[int, int], bool] = {}
+        for r, c, flag, kind in zip(row.tolist(), col.tolist(), flagged, kinds, strict=True):
+            cells_[r, c] = cells_.setdefault((r, c), kind != "Nu") if numbers else cells_.get((r, c), False) or flag
+        n, heads = Counter(r for r, _ in cells_), Counter(r for (r, _), said in cells_.items() if said)
+        head = np.array([heads[r] > 0.5 * n[r] for r in range(row.max() + 1)])
+        keys = [t.column(c) for c in ("doc_id", "table_no", "box_no")]
+        return pa.table([*keys, pa.array(row.astype("int32")), pa.array(col.astype("int32")), pa.array(head[row]), t.column("text")], names=["doc_id", "table_no", "box_no", "row_no", "col_no", "is_header", "text"])
+
+    rows = cells.select("doc_id", "table_no", "box_no", *(F.col(c).cast("double") for c in ("x0", "x1", "top", "bottom")), "is_header", "text")
+    return rows.groupBy("doc_id", "table_no").applyInArrow(fold, "doc_id long, table_no int, box_no long, row_no int, col_no int, is_header boolean, text string")
