@@ -66,11 +66,11 @@ def word_weights(rows: DataFrame, text: str, *keys: str, dim: int = DIM) -> Data
 
 
 Model = Callable[[pd.Series], np.ndarray]
-#: Models that a Python worker has loaded, by the name of their hook.
-_models: dict[str, Model] = {}
+#: Models and tokenizers that a Python worker has loaded, by the name of their hook.
+_models: dict[str, Callable] = {}
 
 
-def loaded(name: str, factory: Callable[[], Model]) -> Model:
+def loaded(name: str, factory: Callable[[], Callable]) -> Callable:
     if name not in _models:
         _models[name] = factory()
     return _models[name]
@@ -82,13 +82,30 @@ class Hook:
     factory travels with a query, so a model may be as large as a worker's memory; hooks of one name share theirs."""
 
     name: str
-    factory: Callable[[], Model]
+    factory: Callable[[], Callable]
     batch: int = 256
 
 
+def resolved(fn):
+    """What a hook loads, in the worker that asks; any other function as it is."""
+    return loaded(fn.name, fn.factory) if isinstance(fn, Hook) else fn
+
+
+def token_counts(text: Column, tokens: Callable[[str], int] | Hook) -> Column:
+    """Counts by a caller's tokenizer, with its special tokens: a function of one text, or a :class:`Hook` that loads one; a null text is empty."""
+
+    @F.pandas_udf("int")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = resolved(tokens)
+        for texts in parts:
+            yield texts.fillna("").map(count).astype("int32")
+
+    return run(text)
+
+
 def vectors_of(fn: Model | Hook, texts: list[str]) -> np.ndarray:
     """Vectors of a few texts, here and now."""
-    return (loaded(fn.name, fn.factory) if isinstance(fn, Hook) else fn)(pd.Series(texts))
+    return resolved(fn)(pd.Series(texts))
 
 
 def embed(text: Column, fn: Model | Hook = hash_embed) -> Column:
@@ -97,7 +114,7 @@ def embed(text: Column, fn: Model | Hook = hash_embed) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, step = (loaded(hook.name, hook.factory), hook.batch) if hook else (fn, 10_000)
+        model, step = resolved(fn), hook.batch if hook else 10_000
         for texts in parts:
             texts = texts.fillna("")
             yield pd.Series([v for i in range(0, len(texts), step) for v in model(texts.iloc[i : i + step])], dtype=object)

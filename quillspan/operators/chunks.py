@@ -86,7 +86,7 @@ def _with_titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_chunks(
     blocks: DataFrame, least: int = 500, most: int = 2000, split: bool = False, keep_tail: bool = False,
-    tokens: Callable[[str], int] | None = None, embed: Callable[[pd.Series], np.ndarray] = hash_embed, percentile: float | None = None,
+    tokens: Callable[[str], int] | V.Hook | None = None, embed: Callable[[pd.Series], np.ndarray] = hash_embed, percentile: float | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Greedy packing of each document's blocks, in order.
@@ -94,7 +94,7 @@ def build_chunks(
     A heading, a text that would go beyond ``most`` tokens, and a text of at least ``most``
     end a chunk; one below the document's minimum isn't given out but carried on, and is
     lost at the end of the document unless ``keep_tail``. Token counts of a chunk are those
-    of its joined text: by the library's rule, or by ``tokens``, a tokenizer's count of one text with its special tokens.
+    of its joined text: by the library's rule, or by ``tokens``, a tokenizer's count of one text with its special tokens, or a hook that loads one.
     ``split`` cuts chunks beyond ``most`` where neighbouring sentences are least alike by ``embed`` (see :func:`cut`).
     Rows of ``blocks`` are blocks, which are brought together once, or whole documents (:func:`block_lists`), which
     stay where they are; columns ``keep`` of a document go with its chunks. The fold is linear."""
@@ -105,12 +105,13 @@ def build_chunks(
     docs = lists.select("doc_id", *keep, F.transform("blocks", one).alias("b"), F.size("blocks").alias("n_blocks"), chars.alias("n_chars"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter, model = V.resolved(tokens), V.resolved(embed)
         for frame in frames:
             rows = [
                 (d, i, *c, *own)
                 for d, *own, blocks_, n, chars in frame.itertuples(index=False)
                 if blocks_ is not None
-                for i, c in enumerate(pack(blocks_, min(least, chars) if n < 30 else least, most, split, keep_tail, tokens, embed, percentile))
+                for i, c in enumerate(pack(blocks_, min(least, chars) if n < 30 else least, most, split, keep_tail, counter, model, percentile))
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title_path", "content", "n_tokens", *keep])
 

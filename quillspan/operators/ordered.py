@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from quillspan.sources import stores
 
@@ -73,9 +73,9 @@ def _scanner(keys: list[str], value: str | None):
 def _scanned(rows: DataFrame, keys: list[str], order: list[Column | str], value: str | None) -> tuple[DataFrame, DataFrame]:
     """Rows with what their task found (a written table), and what tasks before theirs add to the key they begin with (one row a task)."""
     by = [*(F.col(k) for k in keys), *(F.col(c) if isinstance(c, str) else c for c in order)]
-    more = [StructField("_part", IntegerType()), StructField("_at", LongType()), StructField("_n", LongType()), StructField("_head", rows.select(F.lit(True)).schema[0].dataType)]
-    kind = [rows.schema[value].dataType] * 2 if value else []
-    schema = StructType([*rows.schema.fields, *more, *(StructField(n, t) for n, t in zip(("_upto", "_before"), kind, strict=False))])
+    more = zip(NAMES, (IntegerType(), LongType(), LongType(), BooleanType()), strict=True)
+    values = [(n, rows.schema[value].dataType) for n in ("_upto", "_before")] if value else []
+    schema = StructType([*rows.schema.fields, *(StructField(n, t) for n, t in [*more, *values])])
     scanned = rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_scanner(keys, value), schema)
     path = stores.fresh(rows.sparkSession, "ordered")
     scanned.write.parquet(path)

@@ -8,37 +8,51 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspan.functions import vectors as V
 from quillspan.operators import memory as M
 from quillspan.sources import changes as C
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def session_state(pairs: DataFrame, threshold: int = 8, summarise: Callable[[int, pd.Timestamp], bool] | None = None) -> DataFrame:
-    """(session_id, pair_no, ts) of the pairs that become checkpoints of a stream of (session_id, seq, ts).
 
-    State is a session's number of pairs and of messages since its checkpoint. The first pair
-    opens the session and is its checkpoint. A pair that finds ``threshold`` messages or more makes
-    a summary due; it becomes the checkpoint, and isn't counted, if ``summarise`` succeeds
-    (always, by default), else it is counted and the next pair tries again. Pairs of a batch
-    are taken in order of ts and seq."""
+class Counts(StatefulProcessor):
+    """State of a session: its number of pairs, and of messages since its checkpoint."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, count = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+    def __init__(self, threshold: int, summarise: Callable[[int, pd.Timestamp], bool] | None):
+        self.threshold, self.summarise = threshold, summarise
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "n long, count long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, count = self.counts.get() if self.counts.exists() else (0, 0)
         out = []
-        for ts in rows["ts"]:
-            if n == 0 or (count >= threshold and (summarise is None or summarise(key[0], ts))):
+        for ts in pd.concat(list(rows)).sort_values(["ts", "seq"])["ts"]:
+            if n == 0 or (count >= self.threshold and (self.summarise is None or self.summarise(key[0], ts))):
                 out.append((key[0], n, ts))
                 count = 0
             else:
                 count += 2
             n += 1
-        state.update((n, count))
-        yield pd.DataFrame(out, columns=["session_id", "pair_no", "ts"])
+        self.counts.update((n, count))
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "pair_no", "ts"])
+
+    def close(self) -> None:
+        pass
 
-    return pairs.groupBy("session_id").applyInPandasWithState(step, "session_id long, pair_no long, ts timestamp", "n long, count long", "append", GroupStateTimeout.NoTimeout)
+
+def session_state(pairs: DataFrame, threshold: int = 8, summarise: Callable[[int, pd.Timestamp], bool] | None = None) -> DataFrame:
+    """(session_id, pair_no, ts) of the pairs that become checkpoints of a stream of (session_id, seq, ts).
+
+    The first pair opens the session and is its checkpoint. A pair that finds ``threshold`` messages or more makes
+    a summary due; it becomes the checkpoint, and isn't counted, if ``summarise`` succeeds
+    (always, by default), else it is counted and the next pair tries again. Pairs of a batch
+    are taken in order of ts and seq. State lies in RocksDB, which the session is set to, and so on disk where it is large."""
+    pairs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return pairs.groupBy("session_id").transformWithStateInPandas(Counts(threshold, summarise), "session_id long, pair_no long, ts timestamp", "append", "none")
 
 
 def save_batch(path: str, now: str = "2024-01-01 00:00:00", embed: Callable[[pd.Series], np.ndarray] | None = None, compact_after: int = 16, buckets: int = C.BUCKETS) -> Callable[[DataFrame, int], None]:

@@ -12,6 +12,7 @@ from quillspan.operators import chunks as C
 from quillspan.operators import memory as M
 from quillspan.operators import ordered as O
 from quillspan.sources import changes
+from quillspan.streaming import sessions
 
 
 def plain(df):
@@ -98,6 +99,21 @@ def test_rows_without_an_id(spark):
     assert "Window" not in plan
 
 
+def test_session_state_outlives_a_stop(spark, tmp_path):
+    """Each lot is read by a stream of its own, which knows the lots before by its checkpoint alone; a summary that fails is tried again."""
+    t, path = dt.datetime(2024, 1, 1), str(tmp_path)
+    lots = [[(1, i) for i in range(3)] + [(2, 10)], [(1, i) for i in range(3, 7)], [(1, i) for i in range(7, 16)] + [(2, 17)]]
+    for lot in lots:
+        rows = [(s, i, t + dt.timedelta(seconds=i)) for s, i in lot]
+        spark.createDataFrame(rows, "session_id long, seq long, ts timestamp").write.mode("append").parquet(f"{path}/in")
+        read = spark.readStream.schema("session_id long, seq long, ts timestamp").parquet(f"{path}/in")
+        out = sessions.session_state(read, summarise=lambda s, ts: ts.second != 5).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.session_id, r.pair_no) for r in spark.read.schema("session_id long, pair_no long, ts timestamp").parquet(f"{path}/out").collect())
+    # After the first, four pairs make eight messages: the fifth fails at second 5, the next is the checkpoint, and so on.
+    assert got == [(1, 0), (1, 6), (1, 11), (2, 0)]
+
+
 STORE = "kind string, id string, v long"
 
 

@@ -120,6 +120,14 @@ def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
     assert len(pids) == len(set(pids)) <= 16
 
 
+def test_a_callers_tokenizer_counts(spark):
+    hook = V.Hook("letters", lambda: lambda text: len(text.replace(" ", "")) + 2)
+    docs = spark.createDataFrame([(1, "a bc"), (2, None), (3, "")], "doc_id long, text string")
+    assert [r.n for r in docs.orderBy("doc_id").select(V.token_counts(F.col("text"), hook).alias("n")).collect()] == [5, 2, 2]
+    chunks = C.build_chunks(B.line_block_lists(spark.createDataFrame([(1, "t\naa bb\ncc dd")], "doc_id long, text string")), 5, 8, tokens=hook).collect()
+    assert [(r.content, r.n_tokens) for r in chunks] == [("aa bb", 6), ("cc dd", 6)]
+
+
 def test_oversize_chunks_split_together_as_alone(spark):
     rng = np.random.default_rng(2)
     say = lambda n: " ".join(f"{' '.join(rng.choice(list('abcdefgh'), 6))}{rng.choice(['.', '?', '。'])}" for _ in range(n))
