@@ -143,7 +143,21 @@ def sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\u0002")).alias("digest"))
 
 
-@query()
+@query(chunks_sql(60, 200, rf""", c AS (SELECT doc_id, chunks - 1 AS chunk_no, out_path AS title_path, out_text AS content, out_n AS n_tokens FROM s WHERE out_text IS NOT NULL),
+parts AS (SELECT doc_id, chunk_no, title_path, n_tokens, list_filter(string_split_regex(regexp_replace(content, '([。.?!])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), '\x01|\n\n|\n'), lambda x: trim(x) <> '') AS l FROM c WHERE n_tokens > 200),
+sent AS (SELECT doc_id, chunk_no, title_path, n_tokens, len(l) AS m, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS i FROM parts),
+w AS (SELECT doc_id, chunk_no, i, (('0x' || substr(md5(w), 1, 8))::BIGINT % 256) AS bucket, count(*)::DOUBLE AS n FROM (SELECT doc_id, chunk_no, i, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS w FROM sent) GROUP BY ALL),
+size AS (SELECT doc_id, chunk_no, i, sqrt(sum(n * n)) AS z FROM w GROUP BY ALL),
+dots AS (SELECT b.doc_id, b.chunk_no, b.i, sum(a.n * b.n) AS x FROM w b JOIN w a ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no AND a.i = b.i - 1 AND a.bucket = b.bucket GROUP BY ALL),
+far AS (SELECT s.doc_id, s.chunk_no, title_path, n_tokens, m, t, s.i, CASE WHEN s.i > 0 THEN round(1 - coalesce(x / (z.z * y.z), 0), 9) END AS far FROM sent s LEFT JOIN dots USING (doc_id, chunk_no, i) LEFT JOIN size z USING (doc_id, chunk_no, i) LEFT JOIN size y ON y.doc_id = s.doc_id AND y.chunk_no = s.chunk_no AND y.i = s.i - 1),
+cuts AS (SELECT *, far IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY far DESC NULLS LAST, i) <= least(m - 1, n_tokens // 200) AS new FROM far),
+pieces AS (SELECT doc_id, chunk_no, title_path, piece, string_agg(t, chr(10) ORDER BY i) AS t, {sql_words("string_agg(t, chr(10) ORDER BY i)")} AS n FROM (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id, chunk_no ORDER BY i) AS piece FROM cuts) GROUP BY ALL),
+held AS (SELECT doc_id, chunk_no, 0::BIGINT AS piece, 0 AS g, n FROM pieces WHERE piece = 0
+ UNION ALL SELECT p.doc_id, p.chunk_no, p.piece, CASE WHEN h.n + 2 >= 60 THEN g + 1 ELSE g END, CASE WHEN h.n + 2 >= 60 THEN p.n ELSE h.n + p.n END FROM held h JOIN pieces p ON p.doc_id = h.doc_id AND p.chunk_no = h.chunk_no AND p.piece = h.piece + 1),
+last AS (SELECT doc_id, chunk_no, max(g) AS g, max_by(n, piece) + 2 < 60 AS short FROM held GROUP BY ALL),
+done AS (SELECT p.doc_id, p.chunk_no, any_value(title_path) AS title_path, k, string_agg(t, chr(10) ORDER BY p.piece) AS content FROM (SELECT h.*, CASE WHEN h.g = l.g AND short AND h.g > 0 THEN h.g - 1 ELSE h.g END AS k FROM held h JOIN last l USING (doc_id, chunk_no)) h JOIN pieces p USING (doc_id, chunk_no, piece) GROUP BY ALL),
+all_ AS (SELECT doc_id, chunk_no, 0 AS k, title_path, content, n_tokens FROM c WHERE n_tokens <= 200 UNION ALL SELECT doc_id, chunk_no, k, title_path, content, {sql_words("content")} + 2 FROM done)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no, k) - 1)::INTEGER AS chunk_no, title_path, content, n_tokens::INTEGER AS n_tokens FROM all_"""))
 def split_oversize(spark, sf_dir):
     # Written once: oversize chunks are looked at apart from the others.
     path, chunks = stores.fresh(spark, "chunks"), C.build_chunks(B.line_block_lists(table(spark, sf_dir, "documents")), least=60, most=200)

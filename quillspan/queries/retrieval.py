@@ -8,6 +8,7 @@ from quillspan.functions import vectors as V
 from quillspan.operators import registry as G
 from quillspan.operators import retrieval as R
 from quillspan.queries.core import HITS, REGISTRY, RUNS, VECTORS, hits, query, registry, runs, table, vectors, with_
+from quillspan.queries.ingest import chunks_sql
 
 COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
 
@@ -80,7 +81,14 @@ def search_collections(spark, sf_dir):
     return R.knn_join(asked.select("query_id", "vector", "table_id"), v, 5, by="table_id")
 
 
-@query()
+WEIGHED = r"(SELECT {0}, (('0x' || substr(md5(w), 1, 8))::BIGINT % 256) AS bucket, count(*)::DOUBLE AS n FROM (SELECT {0}, unnest(regexp_extract_all(lower({1}), '[\p{{L}}\p{{N}}]+')) AS w FROM {2}) GROUP BY ALL)"
+
+
+@query(chunks_sql(60, 200, f""", c AS (SELECT doc_id, (chunks - 1)::INTEGER AS chunk_no, out_text AS content FROM s JOIN documents USING (doc_id) WHERE out_text IS NOT NULL AND length(replace(documents.text, '----', '')) > 6000),
+q AS (SELECT bucket, sum(n) AS n FROM {WEIGHED.format('item_id', 'text', '(SELECT * FROM benchmark ORDER BY item_id LIMIT 1)')} GROUP BY bucket), v AS {WEIGHED.format('doc_id, chunk_no', 'content', 'c')},
+near AS (SELECT doc_id, chunk_no, round(coalesce(sum(v.n * q.n), 0) / (sqrt(sum(v.n * v.n)) * (SELECT sqrt(sum(n * n)) FROM q)), 12) AS score FROM v LEFT JOIN q USING (bucket) GROUP BY ALL)
+SELECT doc_id, 0 AS chunk_no, replace(text, '----', '') AS content FROM documents WHERE length(replace(text, '----', '')) <= 6000
+UNION ALL SELECT doc_id, chunk_no, content FROM (SELECT c.*, row_number() OVER (PARTITION BY c.doc_id ORDER BY coalesce(score, 0) DESC, c.chunk_no) AS n FROM c LEFT JOIN near USING (doc_id, chunk_no)) WHERE n <= 3""").replace("string_split(text, chr(10))", "string_split(replace(text, '----', ''), chr(10))"))
 def length_gate(spark, sf_dir):
     """Documents of at most 6000 characters whole; of longer ones the three chunks nearest to the first benchmark item."""
     first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).first()
