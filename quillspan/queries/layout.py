@@ -240,9 +240,17 @@ def assemble_blocks(spark, sf_dir):
     return out.drop("top", "x0")
 
 
-@query()
+@query(with_(BOXES, REGIONS).replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY top, x0, region_no) AS n FROM regions),
+f AS (SELECT doc_id, page_number, n, n AS cur, x0, x1, top, bottom, score, NULL::BIGINT AS gone FROM o WHERE n = 1
+ UNION ALL SELECT doc_id, page_number, n, CASE WHEN stays THEN cur ELSE n END, CASE WHEN stays THEN f_x0 ELSE x0 END, CASE WHEN stays THEN f_x1 ELSE x1 END, CASE WHEN stays THEN f_top ELSE top END, CASE WHEN stays THEN f_bottom ELSE bottom END, CASE WHEN stays THEN f_score ELSE score END, CASE WHEN stays THEN n WHEN meets THEN cur END
+ FROM (SELECT *, meets AND f_score > score AS stays FROM (SELECT o.*, f.cur, f.x0 AS f_x0, f.x1 AS f_x1, f.top AS f_top, f.bottom AS f_bottom, f.score AS f_score,
+   greatest(least(f.x1, o.x1) - greatest(f.x0, o.x0), 0) * greatest(least(f.bottom, o.bottom) - greatest(f.top, o.top), 0) AS shared,
+   shared > 0 AND shared >= 0.7 * least((f.x1 - f.x0) * (f.bottom - f.top), (o.x1 - o.x0) * (o.bottom - o.top)) AS meets
+   FROM f JOIN o ON o.doc_id = f.doc_id AND o.page_number = f.page_number AND o.n = f.n + 1)))
+SELECT o.doc_id, o.page_number, o.region_no FROM o WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = o.doc_id AND f.page_number = o.page_number AND f.gone = o.n)""")
 def clean_regions(spark, sf_dir):
-    return D.clean_regions(regions(spark, sf_dir), boxes(spark, sf_dir))
+    """Regions taken as of one type, so that those that cover each other meet."""
+    return D.clean_regions(regions(spark, sf_dir).withColumn("type", F.lit("all")), boxes(spark, sf_dir)).select("doc_id", "page_number", "region_no")
 
 
 @query(with_(BOXES, REGIONS).replace("WITH ", "WITH RECURSIVE ", 1) + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY score DESC, region_no) AS n FROM regions),
