@@ -6,6 +6,8 @@ top, bottom, text, layout_type, layoutno."""
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,16 +235,19 @@ def attach_captions(captions: DataFrame, boxes: DataFrame, stats: DataFrame | No
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    text, space = F.coalesce(text, F.lit("")), r"[\s\p{Z}]"
+    # Most texts have no white space at their ends, and need no look at the rest.
+    ends = F.substring(text, 1, 1).rlike(space) | F.substring(text, -1, 1).rlike(space)
+    return F.when(ends, F.regexp_replace(text, rf"^{space}+|{space}+$", "")).otherwise(text)
 
 
 def _kind_of(t: Column) -> Column:
-    """The code of a trimmed text."""
+    """The code of a trimmed text. Patterns of one code that follow each other are tried at once."""
     solid, n = F.regexp_replace(t, r"[\s\p{Z}]+", ""), T.words(t)
     number = (F.length(solid) > 0) & (F.regexp_count(solid, F.lit("[0-9.,+-]")) >= 0.8 * F.length(solid))
     out = F.when(number, "Nr").when(n >= 12, "Lx").when(n > 3, "Tx").otherwise("Ot")
-    for pattern, kind in reversed(CELL_PATTERNS):
-        out = F.when(t.rlike(pattern), kind).otherwise(out)
+    for kind, own in reversed([(k, [p for p, _ in g]) for k, g in groupby(CELL_PATTERNS, key=lambda x: x[1])]):
+        out = F.when(t.rlike("|".join(own)), kind).otherwise(out)
     return out
 
 

@@ -10,7 +10,7 @@ from quillspan.sources import changes, stores
 from quillspan.streaming import sessions
 
 
-PARTS = 4
+PARTS = 3
 
 
 def arrivals(spark, sf_dir, name, columns, save):
@@ -41,7 +41,7 @@ SAVED = ("event_id AS seq", "event_type AS kind", "CAST(user_id AS string) AS id
 SELECT seq, kind, id, create_time, 'system' AS create_by FROM (SELECT event_id AS seq, event_type AS kind, user_id::VARCHAR AS id, ts AS create_time, row_number() OVER (PARTITION BY event_type, user_id ORDER BY lot DESC, event_id) AS n FROM lots WHERE event_type IS NOT NULL) WHERE n = 1""")
 def stream_save(spark, sf_dir):
     """Each lot's first row of a key takes the place of the lots' before; a compaction falls between."""
-    save = lambda rows, path: rows.writeStream.foreachBatch(sessions.save_batch(f"{path}/out", compact_after=3))
+    save = lambda rows, path: rows.writeStream.foreachBatch(sessions.save_batch(f"{path}/out", compact_after=2))
     path = arrivals(spark, sf_dir, "save", SAVED, save)
     schema = "seq long, kind string, id string, create_time timestamp, create_by string"
     return changes.saved(spark, f"{path}/out", schema)
