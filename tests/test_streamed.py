@@ -37,3 +37,7 @@ def test_columns_of_many_pages_are_those_of_each(spark, sf_dir):
     for (x, y), a, b in zip(pages, edges[:-1], edges[1:]):
         near = np.flatnonzero(got[a:b] == 0)
         assert x.min() in x[near] and np.all(np.diff(got[a:b][np.argsort(x)]) >= 0)  # from left to right
+
+
+def test_regions_of_many_pages_are_cleaned_in_one_pass(spark, sf_dir):
+    check(spark, sf_dir, "clean_regions")
