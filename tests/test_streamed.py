@@ -41,3 +41,7 @@ def test_columns_of_many_pages_are_those_of_each(spark, sf_dir):
 
 def test_regions_of_many_pages_are_cleaned_in_one_pass(spark, sf_dir):
     check(spark, sf_dir, "clean_regions")
+
+
+def test_boxes_of_many_pages_are_suppressed_in_one_pass(spark, sf_dir):
+    check(spark, sf_dir, "suppress_boxes")
