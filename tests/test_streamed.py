@@ -45,3 +45,7 @@ def test_regions_of_many_pages_are_cleaned_in_one_pass(spark, sf_dir):
 
 def test_boxes_of_many_pages_are_suppressed_in_one_pass(spark, sf_dir):
     check(spark, sf_dir, "suppress_boxes")
+
+
+def test_documents_are_laid_out_in_one_pass(spark, sf_dir):
+    check(spark, sf_dir, "layout_chunks")
