@@ -49,3 +49,7 @@ def test_boxes_of_many_pages_are_suppressed_in_one_pass(spark, sf_dir):
 
 def test_documents_are_laid_out_in_one_pass(spark, sf_dir):
     check(spark, sf_dir, "layout_chunks")
+
+
+def test_lines_of_many_pages_are_merged_in_one_pass(spark, sf_dir):
+    check(spark, sf_dir, "merge_lines")
