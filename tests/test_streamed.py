@@ -53,3 +53,7 @@ def test_documents_are_laid_out_in_one_pass(spark, sf_dir):
 
 def test_lines_of_many_pages_are_merged_in_one_pass(spark, sf_dir):
     check(spark, sf_dir, "merge_lines")
+
+
+def test_contents_of_many_documents_go_in_one_pass(spark, sf_dir):
+    check(spark, sf_dir, "dotted_pages")
