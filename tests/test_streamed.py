@@ -57,3 +57,7 @@ def test_lines_of_many_pages_are_merged_in_one_pass(spark, sf_dir):
 
 def test_contents_of_many_documents_go_in_one_pass(spark, sf_dir):
     check(spark, sf_dir, "dotted_pages")
+
+
+def test_grids_of_many_tables_in_one_pass(spark, sf_dir):
+    check(spark, sf_dir, "table_grid")
