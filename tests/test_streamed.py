@@ -61,3 +61,7 @@ def test_contents_of_many_documents_go_in_one_pass(spark, sf_dir):
 
 def test_grids_of_many_tables_in_one_pass(spark, sf_dir):
     check(spark, sf_dir, "table_grid")
+
+
+def test_paragraphs_of_many_pages_are_merged_in_one_pass(spark, sf_dir):
+    check(spark, sf_dir, "merge_paragraphs")
