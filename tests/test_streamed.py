@@ -3,6 +3,7 @@
 import numpy as np
 
 from quillspan.operators import folds as D
+from quillspan.operators import layout as L
 from quillspan.queries import QUERIES
 
 
@@ -65,3 +66,17 @@ def test_grids_of_many_tables_in_one_pass(spark, sf_dir):
 
 def test_paragraphs_of_many_pages_are_merged_in_one_pass(spark, sf_dir):
     check(spark, sf_dir, "merge_paragraphs")
+
+
+def test_grids_are_brought_together_once(spark, sf_dir):
+    """One shuffle of cells; rows and columns that are missing, shared, or repeat as a header."""
+    for name in ("grid_html", "grid_sentences"):
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+        assert plan.count("Exchange hashpartitioning") <= 2 and "SortMergeJoin" not in plan
+    schema = "table_no long, row_no int, col_no int, text string, is_header boolean"
+    rows = [(1, 0, 0, "h", True), (1, 0, 1, None, True), (1, 1, 0, "b", False), (1, 1, 0, "a", False), (1, 2, 0, "h", True), (1, 3, 2, "c", False), (1, 4, 0, "n", None), (1, 5, 0, "n", None)]
+    cells, caps = spark.createDataFrame(rows, schema), spark.createDataFrame([(1, "cap")], "table_no long, caption string")
+    row = lambda tag, *own: "<tr>" + "".join(f"<{tag}>{x}</{tag}>" for x in own) + "</tr>"
+    want = ["<table><caption>cap</caption>", row("th", "h", "", ""), row("td", "a b", "", ""), row("td", "", "", "c"), row("td", "n", "", ""), "</table>"]
+    assert L.grid_html(cells, caps).first().html == "\n".join(want)
+    assert {r.row_no: r.sentence for r in L.grid_sentences(cells, caps).collect()} == {1: "h：a b\t——cap", 3: "c\t——cap"}
