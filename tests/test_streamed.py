@@ -1,6 +1,7 @@
 """Folds of many groups in one pass: no call to Python for each group, and groups that go on over batches."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillspan.operators import folds as D
 from quillspan.operators import layout as L
@@ -80,3 +81,19 @@ def test_grids_are_brought_together_once(spark, sf_dir):
     want = ["<table><caption>cap</caption>", row("th", "h", "", ""), row("td", "a b", "", ""), row("td", "", "", "c"), row("td", "n", "", ""), "</table>"]
     assert L.grid_html(cells, caps).first().html == "\n".join(want)
     assert {r.row_no: r.sentence for r in L.grid_sentences(cells, caps).collect()} == {1: "h：a b\t——cap", 3: "c\t——cap"}
+
+
+def test_majority_type_is_one_shuffle_without_sorting(spark, sf_dir):
+    plan = plan_of(QUERIES["table_major_type"](spark, sf_dir))
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    rows = spark.createDataFrame([(1, "12"), (1, "34"), (1, "ab"), (2, "ab"), (2, "12"), (3, None)], "k long, text string")
+    assert {(r.k, r.kind, r.n) for r in L.majority_type(rows, "k").collect()} == {(1, "Nu", 2), (2, "En", 1), (3, "Ot", 1)}
+
+
+def test_beginnings_rule_out_no_pattern(spark):
+    """Texts of every kind of sign, by the plain patterns and by the columns."""
+    rng, signs = np.random.default_rng(6), np.array(list("0129 年月日季度第一四ABEZabz.,+-/%$_~'（é中"))
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 9)))) for _ in range(3000)] + ["2021年3月4日", "第2季度", "2021B", "9月", "a b c d e", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = L.with_cell_type(df).select("text", "kind", L.cell_type(F.col("text")).alias("other")).collect()
+    assert all(r.kind == r.other == D._kind(r.text) for r in got)
