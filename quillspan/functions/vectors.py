@@ -108,15 +108,43 @@ def vectors_of(fn: Model | Hook, texts: list[str]) -> np.ndarray:
     return resolved(fn)(pd.Series(texts))
 
 
+#: So many texts are given to a model that is no hook, and to a hook without a number of its own, at once.
+BATCH = 256
+
+
 def embed(text: Column, fn: Model | Hook = hash_embed) -> Column:
-    """Vectors of a text column by any function of a batch of texts, or by a :class:`Hook`; a null text is empty."""
-    hook = fn if isinstance(fn, Hook) else None
+    """Vectors of a text column by any function of a batch of texts, or by a :class:`Hook`; a null text is empty. Vectors leave the
+    worker a few hundred at a time, however many rows a batch of Arrow has."""
+    step = fn.batch if isinstance(fn, Hook) else BATCH
 
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, step = resolved(fn), hook.batch if hook else 10_000
+        model = resolved(fn)
         for texts in parts:
-            texts = texts.fillna("")
-            yield pd.Series([v for i in range(0, len(texts), step) for v in model(texts.iloc[i : i + step])], dtype=object)
+            for i in range(0, len(texts), step):
+                yield pd.Series(list(model(texts.iloc[i : i + step].fillna(""))), dtype=object)
 
     return run(text)
+
+
+def distances(parts: Column, fn: Model | Hook = hash_embed) -> Column:
+    """Of each text of an array its cosine distance from the one before, null for the first. ``fn`` gives vectors of unit length."""
+    step = fn.batch if isinstance(fn, Hook) else BATCH
+
+    @F.pandas_udf("array<double>")
+    def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = resolved(fn)
+        for rows in lists:
+            out, size = [], np.array([len(x) for x in rows], np.int64)
+            texts = np.concatenate([np.zeros(0, object), *rows])
+            far, last = np.empty(len(texts)), None
+            for i in range(0, len(texts), step):
+                v = np.asarray(model(pd.Series(texts[i : i + step])), float)
+                before = v[:1] if last is None else last
+                far[i : i + len(v)] = 1 - (v * np.concatenate([before, v[:-1]])).sum(axis=1)
+                last = v[-1:]
+            for a, n in zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
+                out.append([None, *far[a + 1 : a + n].tolist()] if n else [])
+            yield pd.Series(out, dtype=object)
+
+    return run(parts)

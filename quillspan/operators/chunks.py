@@ -104,19 +104,38 @@ def build_chunks(
     chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + F.coalesce(F.length(b["text"]), F.lit(0)))
     docs = lists.select("doc_id", *keep, F.transform("blocks", one).alias("b"), F.size("blocks").alias("n_blocks"), chars.alias("n_chars"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = dict(docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, model = V.resolved(tokens), V.resolved(embed)
-        for frame in frames:
-            rows = [
-                (d, i, *c, *own)
-                for d, *own, blocks_, n, chars in frame.itertuples(index=False)
-                if blocks_ is not None
-                for i, c in enumerate(pack(blocks_, min(least, chars) if n < 30 else least, most, split, keep_tail, counter, model, percentile))
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title_path", "content", "n_tokens", *keep])
+        for batch in batches:
+            for part in _parts(batch):
+                found = [
+                    (i, k, *c)
+                    for i, (blocks_, n, chars) in enumerate(zip(*(part.column(c).to_pylist() for c in ("b", "n_blocks", "n_chars")), strict=True))
+                    if blocks_ is not None
+                    for k, c in enumerate(pack(blocks_, min(least, chars) if n < 30 else least, most, split, keep_tail, counter, model, percentile))
+                ]
+                at, *own = zip(*found, strict=True) if found else [()] * 5
+                own = [pa.array(x, t) for x, t in zip(own, (pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32()), strict=True)]
+                doc, *kept = (part.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", *keep))
+                yield pa.RecordBatch.from_arrays([doc, *own, *kept], names=["doc_id", "chunk_no", "title_path", "content", "n_tokens", *keep])
 
-    kinds = dict(docs.dtypes)
-    return docs.mapInPandas(run, CHUNKS.format(kinds["doc_id"]) + "".join(f", {c} {kinds[c]}" for c in keep))
+    return docs.mapInArrow(run, CHUNKS.format(kinds["doc_id"]) + "".join(f", {c} {kinds[c]}" for c in keep))
+
+
+#: So many characters of documents are Python objects at once in :func:`build_chunks`, or one document.
+PART_CHARS = 1 << 21
+
+
+def _parts(batch: pa.RecordBatch, most: int = PART_CHARS) -> Iterator[pa.RecordBatch]:
+    """A batch of documents in parts of at most ``most`` characters beside their first document; a block counts as a hundred more."""
+    size = pc.add(pc.fill_null(batch.column("n_chars"), 0), pc.multiply(pc.fill_null(batch.column("n_blocks"), 0).cast(pa.int64()), 100)).to_numpy()
+    part = np.cumsum(size) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)
 
 
 def pack(blocks, least: int, most: int, split: bool, keep_tail: bool, tokens=None, embed=hash_embed, percentile: float | None = None) -> Iterator[tuple[list[str], str, int]]:
@@ -182,16 +201,17 @@ def cut(text: str, least: int, most: int, embed=hash_embed, length=lambda text:
 def split_chunks(chunks: DataFrame, least: int = 500, most: int = 2000, embed: V.Model | V.Hook = hash_embed, percentile: float | None = None) -> DataFrame:
     """``chunks`` with those beyond ``most`` tokens in pieces, as :func:`cut` makes them, and numbered anew.
 
-    Sentences of all such chunks are embedded together, in batches of any size; distances are those to the sentence
+    Sentences of many such chunks are embedded together, in bounded batches; distances are those to the sentence
     before, cuts the greatest of a chunk, and pieces running sums of cuts. Token counts are the library's."""
     key = ["doc_id", "chunk_no"]
     parts = F.filter(F.split("content", _SENTENCE.pattern, -1), lambda s: F.trim(s) != "")
     # A chunk of white space alone has no sentence; it stays as it is.
     big = (F.col("n_tokens") > most) & (F.size(parts) > 0)
-    rows = chunks.where(big).select(*key, "title_path", "n_tokens", F.size(parts).alias("_m"), F.posexplode(parts).alias("i", "s"))
-    rows = rows.withColumn("v", V.embed(F.col("s"), embed))
-    far = F.round(1 - V.dot(F.col("v"), F.lag("v").over(Window.partitionBy(*key).orderBy("i"))), 9)
-    rows = rows.select(*key, "title_path", "n_tokens", "_m", "i", "s", far.alias("far"))
+    rows = chunks.where(big).select(*key, "title_path", "n_tokens", parts.alias("_s"))
+    # Vectors stay in the task that makes them: only distances leave it.
+    both = F.arrays_zip("_s", V.distances(F.col("_s"), embed).alias("_far"))
+    rows = rows.select(*key, "title_path", "n_tokens", F.size("_s").alias("_m"), F.posexplode(both).alias("i", "x"))
+    rows = rows.select(*key, "title_path", "n_tokens", "_m", "i", F.col("x._s").alias("s"), F.round("x._far", 9).alias("far"))
     if percentile is None:
         rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("far").desc_nulls_last(), "i"))
         new = rank <= F.least(F.col("_m") - 1, F.floor(F.col("n_tokens") / most))

@@ -1,8 +1,11 @@
 """Folds of many groups in one pass: no call to Python for each group, and groups that go on over batches."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillspan.functions import vectors as V
+from quillspan.operators import chunks as C
 from quillspan.operators import folds as D
 from quillspan.operators import layout as L
 from quillspan.queries import QUERIES
@@ -97,3 +100,30 @@ def test_beginnings_rule_out_no_pattern(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = L.with_cell_type(df).select("text", "kind", L.cell_type(F.col("text")).alias("other")).collect()
     assert all(r.kind == r.other == D._kind(r.text) for r in got)
+
+
+def test_documents_are_chunked_in_bounded_parts():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "n_chars": [10, 900, 5000, None, 20, 30, 40], "n_blocks": [1, 1, 2, None, 1, 1, 1]})
+    parts = list(C._parts(batch, 1000))
+    assert [d for p in parts for d in p.column("doc_id").to_pylist()] == list(range(7)) and len(parts) > 2
+    assert all(sum(x or 0 for x in p.column("n_chars").to_pylist()[1:]) <= 1000 for p in parts)  # and its first document
+
+
+def test_models_get_bounded_batches(spark):
+    """However many rows a batch of Arrow has; vectors come in their rows' order."""
+
+    def model(texts):
+        assert len(texts) <= V.BATCH
+        return np.array([[float(t or 0), 1.0] for t in texts])
+
+    rows = spark.range(2000).repartition(1).select("id", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("t"))
+    got = rows.select("id", V.embed(F.col("t"), model).alias("v")).collect()
+    assert len(got) == 2000 and all(r.v == [r.id if r.id % 7 else 0, 1.0] for r in got)
+
+
+def test_distances_within_each_list(spark):
+    """Lists longer than a model's batch."""
+    model = lambda texts: np.array([[1.0, 0.0] if t == "a" else [0.0, 1.0] for t in texts])
+    rows = spark.createDataFrame([(1, ["a", "a", "b"]), (2, []), (3, ["a"] * 300 + ["b"] * 300), (4, ["b"])], "id int, s array<string>")
+    got = {r.id: r.d for r in rows.select("id", V.distances(F.col("s"), model).alias("d")).collect()}
+    assert got == {1: [None, 0.0, 1.0], 2: [], 3: [None, *[0.0] * 299, 1.0, *[0.0] * 299], 4: [None]}
