@@ -127,3 +127,51 @@ def test_distances_within_each_list(spark):
     rows = spark.createDataFrame([(1, ["a", "a", "b"]), (2, []), (3, ["a"] * 300 + ["b"] * 300), (4, ["b"])], "id int, s array<string>")
     got = {r.id: r.d for r in rows.select("id", V.distances(F.col("s"), model).alias("d")).collect()}
     assert got == {1: [None, 0.0, 1.0], 2: [], 3: [None, *[0.0] * 299, 1.0, *[0.0] * 299], 4: [None]}
+
+
+def test_characters_are_shuffled_once(spark, sf_dir, monkeypatch):
+    """Characters meet their boxes and become their texts in one shuffle and no join; the same in parts of a few characters."""
+    whole = QUERIES["chars_to_boxes"](spark, sf_dir)
+    plan = plan_of(whole)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    want = rows_of(whole)
+    monkeypatch.setattr(D, "UNPACKED", 50)
+    assert rows_of(QUERIES["chars_to_boxes"](spark, sf_dir)) == want and len(want) > 50
+
+
+def test_characters_go_to_the_box_that_covers_most(spark, monkeypatch):
+    """Boxes and characters of any size, some without an edge, by all pairs of each page."""
+    rng, rows = np.random.default_rng(9), {"char": [], "box": []}
+    for kind, n, high in (("char", 150, 30), ("box", 40, 120)):
+        for page in (1, 2, 3):
+            for i in range(0 if (kind, page) == ("box", 3) else n):
+                x, y = rng.uniform(-50, 300), rng.uniform(-100, 600)
+                e = [float(v) for v in (x, x + rng.uniform(-5, 120), y, y + rng.uniform(-3, high))]
+                e = [None if i % 17 == 5 and k == i % 4 else v for k, v in enumerate(e)]
+                if kind == "box" and i % 8 == 7:
+                    e = rows["box"][-1][3:7]  # the same place twice: the first box has it
+                rows[kind].append((1, page, i, *e, *((float(rng.uniform(1, 60)), [chr(97 + i % 26), " ", None][0 if i % 9 else i % 2 + 1]) if kind == "char" else ("old",))))
+
+    def share(a, b, of):
+        if None in a or None in b:
+            return 0.0
+        w, h = min(a[1], b[1]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[2], b[2])
+        return round(w * h / ((of[1] - of[0]) * (of[3] - of[2])), 6) if w > 0 and h > 0 else 0.0
+
+    texts = {}
+    for _, page, i, *e, height, text in rows["char"]:
+        e = e[:4]
+        best = max(((share(e, r[3:7], e), share(e, r[3:7], r[3:7]), -r[2], r) for r in rows["box"] if r[1] == page), default=(0.0,))
+        if best[0] > 0 and (abs(height - (best[3][6] - best[3][5])) / max(height, best[3][6] - best[3][5]) < 0.7 or text == " "):
+            texts.setdefault((page, best[3][2]), []).append((e[0], i, text or ""))
+    want = {(r[1], r[2]): "".join(t for *_, t in sorted(texts.get((r[1], r[2]), []))) for r in rows["box"]}
+    places = "doc_id long, page_number int, {} long, x0 double, x1 double, top double, bottom double, "
+    chars, boxes = spark.createDataFrame(rows["char"], places.format("char_no") + "height double, text string"), spark.createDataFrame(rows["box"], places.format("box_no") + "text string")
+    assert {(r.page_number, r.box_no): r.text for r in D.chars_to_boxes(chars, boxes).collect()} == want and sum(map(bool, want.values())) > 20
+    edges = lambda own: np.array([[np.nan if v is None else v for v in r[3:7]] for r in own]).T
+    page = lambda own: np.array([r[1] for r in own])
+    best = lambda: D._best_box(edges(rows["char"]), page(rows["char"]), edges(rows["box"]), page(rows["box"]), np.array([r[2] for r in rows["box"]])).tolist()
+    at_once = best()
+    for n in (1, 7, 100):
+        monkeypatch.setattr(D, "PAIRS", n)
+        assert best() == at_once
