@@ -4,7 +4,8 @@ import datetime as dt
 import random
 import time
 
-from pyspark.sql import Window
+import pandas as pd
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators import blocks as B
@@ -159,3 +160,27 @@ def test_a_batch_without_manifest_does_not_count(spark, tmp_path):
     assert saved(spark, path) == [("m", "1", 0)]
     changes.append(path, spark.createDataFrame([("m", "1", 1)], STORE), 1)
     assert saved(spark, path) == [("m", "1", 1)]
+
+
+def test_a_session_asks_for_its_state_once():
+    """Rows come without a frame, in any order, null times and numbers last; state is got and put once a batch."""
+
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    seen = []
+    counts = sessions.Counts(4, lambda s, ts: seen.append(ts) or True, "Asia/Tokyo")
+    counts.counts = State()
+    row = lambda seq, ts: Row(session_id=7, seq=seq, ts=ts)
+    one = list(counts.handleInputRows((7,), iter([row(3, None), row(None, 5), row(1, 5), row(2, 0)]), None))
+    assert [(r.session_id, r.pair_no, r.ts) for r in one] == [(7, 0, 0), (7, 3, None)] and counts.counts.value == (4, 0)
+    two = list(counts.handleInputRows((7,), iter([row(9, 10**6), row(8, 9), row(7, 8)]), None))
+    assert [(r.pair_no, r.ts) for r in two] == [(6, 10**6)] and counts.counts.value == (7, 0) and counts.counts.calls == 4
+    assert seen[0] is pd.NaT and seen[1] == pd.Timestamp("1970-01-01 09:00:01")
