@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspan.functions import vectors as V
+from quillspan.operators import blocks as B
 from quillspan.operators import chunks as C
 from quillspan.operators import folds as D
 from quillspan.operators import layout as L
@@ -175,3 +176,13 @@ def test_characters_go_to_the_box_that_covers_most(spark, monkeypatch):
     for n in (1, 7, 100):
         monkeypatch.setattr(D, "PAIRS", n)
         assert best() == at_once
+
+
+def test_cells_of_a_table_are_grouped_once(spark, sf_dir):
+    """One grouping, and one shuffle besides that of the fixture; rows that are null, repeat a place, or lack cells."""
+    for name, shuffles in (("table_markdown", 1), ("sheet_blocks", 2)):
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+        assert plan.count("Exchange hashpartitioning") == shuffles and plan.count("ObjectHashAggregate") == 2
+    rows = [(1, 0, 1, "b"), (1, 0, 0, "a|"), (1, 2, 0, " c\nd "), (1, 1, 0, "y"), (1, 1, 0, "x"), (1, 1, 2, None), (1, None, 5, "n"), (1, None, 4, "m"), (2, None, None, None)]
+    got = {r.k: r.markdown for r in B.cells_to_markdown(spark.createDataFrame(rows, "k int, row_no int, col_no int, text string"), "k").collect()}
+    assert got == {1: "| m | n |  |\n| --- | --- | --- |\n| a\\| | b |  |\n| x | y |  |\n| c d |  |  |", 2: "|  |\n| --- |"}
