@@ -186,3 +186,43 @@ def test_cells_of_a_table_are_grouped_once(spark, sf_dir):
     rows = [(1, 0, 1, "b"), (1, 0, 0, "a|"), (1, 2, 0, " c\nd "), (1, 1, 0, "y"), (1, 1, 0, "x"), (1, 1, 2, None), (1, None, 5, "n"), (1, None, 4, "m"), (2, None, None, None)]
     got = {r.k: r.markdown for r in B.cells_to_markdown(spark.createDataFrame(rows, "k int, row_no int, col_no int, text string"), "k").collect()}
     assert got == {1: "| m | n |  |\n| --- | --- | --- |\n| a\\| | b |  |\n| x | y |  |\n| c d |  |  |", 2: "|  |\n| --- |"}
+
+
+def test_contents_and_dotted_pages_go_in_the_same_pass(spark, sf_dir):
+    """Documents are read, shuffled and given to Python once; boxes without an id or a page number stay, whatever dots they hold."""
+    plan = plan_of(QUERIES["dotted_pages"](spark, sf_dir))
+    assert plan.count("MapInArrow") == plan.count("FileScan") == plan.count("Exchange") == 1 and "Join" not in plan
+    rng = np.random.default_rng(11)
+    headings = ("Contents", "CON TENTS", "目 录", "\u3000致谢", "Ac\u212anowledge")
+    pool = (*headings, "contentſ", "Contents\n", "Contents 1", "", "  ", None, *["1 One ·· 2", "1 One", "第一章 ··", "第一章", "a ··", "··"] * 3)
+    rows = []
+    for doc in (None, *range(60)):
+        own = [x for x in pool if x not in headings] if doc is not None and doc % 2 else pool
+        for i in range(int(rng.integers(1, 60))):
+            rows.append((doc, None if rng.random() < 0.1 else int(rng.integers(1, 4)), i, float(rng.integers(2)), float(rng.integers(9)), own[rng.integers(len(own))]))
+    want = []
+    for doc in (None, *range(60)):
+        left = sorted((r for r in rows if r[0] == doc), key=lambda r: (r[1] or 9, r[4], r[3], r[2]))
+        kept, headed = [], False
+        while left:
+            box = left.pop(0)
+            if (box[5] or "").lower().replace(" ", "").replace("\u3000", "") not in D.CONTENTS:
+                kept.append(box)
+                continue
+            headed = True
+            while left and not (left[0][5] or "").strip():
+                left.pop(0)
+            if left:
+                entry = left.pop(0)[5].strip()
+                head = " ".join(entry.split()[:2]) if box[5].isascii() else entry[:3]
+                n = next((j for j, r in enumerate(left[:7]) if (r[5] or "").startswith(head)), 0)
+                left = left[n:]
+        dots = [r[1] for r in kept if "··" in (r[5] or "")]
+        want += [r for r in kept if headed or None in r[:2] or dots.count(r[1]) <= 3]
+    b = spark.createDataFrame(rows, "doc_id long, page_number int, box_no long, x0 double, top double, text string").repartition(3)
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert rows_of(D.drop_contents(b, 7, dotted=3)) == rows_of(spark.createDataFrame(want, b.schema))
+        assert rows_of(L.dotted_pages(D.drop_contents(b, 7), before=b)) == rows_of(spark.createDataFrame(want, b.schema))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 0 < len(want) < len(rows)
