@@ -58,3 +58,19 @@ def test_entry(spark):
 
 def test_twins_belong_to_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_paragraphs_hold_the_whole_text(spark, tmp_path):
+    """No box and no half of a line is left out, by the twin neither: lines of one letter, of signs beyond 16 bits, blank ones and pages of them."""
+    lines = [f"{'line ' * (i % 7)}{i}{'.,?:。 '[i % 6]}" for i in range(95)]
+    texts = ["\n".join(lines), "\n \n".join(lines[:41]), "a", "a\nb", " x \n\n y?\n z", "𝒳𝒴𝒵\n中文。字\né", "\n".join("abc" for _ in range(40)), "", " \n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["merge_paragraphs"](spark, str(tmp_path))
+    signs = {d: [] for d in range(len(texts))}
+    for r in got.collect():
+        signs[r.doc_id] += r.text
+    assert {d: sorted("".join(x).replace(" ", "")) for d, x in signs.items()} == {d: sorted("".join((t or "").split())) for d, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL['merge_paragraphs']})").fetchall()
+    assert sorted(tuple(map(plain, r)) for r in got.collect()) == sorted(tuple(map(plain, r)) for r in want)
